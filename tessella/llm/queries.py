@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import mixing, ogg, sharding, urls
+from tessella.llm import mixing, ogg, quality, sharding, toxicity, urls
 from tessella.llm.scratch import Scratch
 from tessella.llm.text import documents
 
@@ -20,8 +20,20 @@ RULES = [
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose label says low quality or toxic are bad."""
     bad = F.expr("CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL AND toxic IS NULL THEN NULL ELSE 0 END")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("bad"))
+    return labels(spark, sf_dir).groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("bad"))
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_byte_conv_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op3_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+    return scored.withColumn("n_spans", F.size("spans")).drop("spans")
 
 
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +55,9 @@ def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_conv_quality": op1_byte_conv_quality,
     "op2_url_reputation": op2_url_reputation,
+    "op3_crf_toxicity": op3_crf_toxicity,
     "op4_ogg_media": op4_ogg_media,
     "op5_subset_sum_mix": op5_subset_sum_mix,
     "op8_hypergeometric_shards": op8_hypergeometric_shards,
