@@ -32,6 +32,7 @@ class ConvParams:
     rows: int = 3000
     most_bytes: int = 32_768
     epochs: int = 8
+    least_steps: int = 700
     batch: int = 32
     rate: float = 0.004
     seed: int = 5
@@ -119,8 +120,10 @@ class ConvNet:
         rng = np.random.default_rng(p.seed + 1)
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
         second = {k: np.zeros_like(v) for k, v in self.w.items()}
-        steps, total = 0, p.epochs * -(-len(sample) // p.batch)
-        for _ in range(p.epochs):
+        each = -(-len(sample) // p.batch)
+        epochs = max(p.epochs, -(-p.least_steps // each))  # small samples are seen more often
+        steps, total = 0, epochs * each
+        for _ in range(epochs):
             order = rng.permutation(len(sample))
             for at in range(0, len(order), p.batch):
                 own = order[at : at + p.batch]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import mixing, ogg, quality, sharding, toxicity, urls
+from tessella.llm import mixing, neardup, ogg, quality, sharding, toxicity, urls
 from tessella.llm.scratch import Scratch
 from tessella.llm.text import documents
 
@@ -49,6 +49,11 @@ def op5_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir), Scratch(spark, "mix")).drop("copies")
 
 
+def op6_odd_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = neardup.NearDupParams(shingle=3, percent=85)
+    return neardup.near_duplicates(documents(spark, sf_dir), Scratch(spark, "neardup"), p)
+
+
 def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_rows(documents(spark, sf_dir), Scratch(spark, "shards"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_crf_toxicity": op3_crf_toxicity,
     "op4_ogg_media": op4_ogg_media,
     "op5_subset_sum_mix": op5_subset_sum_mix,
+    "op6_odd_sketch_neardup": op6_odd_sketch_neardup,
     "op8_hypergeometric_shards": op8_hypergeometric_shards,
 }
 ORACLES: dict[str, str] = {"op2_url_reputation": urls.sql(RULES)}
