@@ -118,5 +118,17 @@ def mix_sources(docs: DataFrame, scratch: Scratch, weights: list[int] = [5, 2, 1
     rank = F.row_number().over(Window.partitionBy("skey", "size", "bucket").orderBy("h", "doc_id")) + F.col("offset")
     return (
         rows.join(offsets, ["skey", "size", "bucket"]).withColumn("copies", F.col("passes") + (rank <= F.col("extra")).cast("long"))
-        .join(targets, "skey").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+        .join(targets, "skey").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "h")
     )
+
+
+def repeat_documents(docs: DataFrame, scratch: Scratch, seed: int = 11, **how) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes it.
+
+    Decisions are joined back by id and text hash; exact repeats of a row share the largest of theirs.
+    """
+    mixed = mix_sources(docs, scratch, seed=seed, **how)
+    copies = mixed.groupBy(F.col("doc_id").alias("_mix_id"), F.col("h").alias("_mix_h")).agg(F.max("copies").alias("_mix_n")).where("_mix_n > 0")
+    hashed = F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"])
+    joined = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_mix_id")) & (hashed == F.col("_mix_h")))
+    return joined.withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])

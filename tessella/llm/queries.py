@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import mixing, neardup, ogg, quality, sharding, toxicity, urls
+from tessella.llm import decontam, mixing, neardup, ogg, quality, sharding, toxicity, urls
 from tessella.llm.scratch import Scratch
 from tessella.llm.text import documents
 
@@ -46,7 +46,7 @@ def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(documents(spark, sf_dir), Scratch(spark, "mix")).drop("copies")
+    return mixing.mix_sources(documents(spark, sf_dir), Scratch(spark, "mix")).drop("copies", "h")
 
 
 def op6_odd_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op6_odd_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), Scratch(spark, "neardup"), p)
 
 
+def op7_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_rows(documents(spark, sf_dir), Scratch(spark, "shards"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ogg_media": op4_ogg_media,
     "op5_subset_sum_mix": op5_subset_sum_mix,
     "op6_odd_sketch_neardup": op6_odd_sketch_neardup,
+    "op7_qgram_decontamination": op7_qgram_decontamination,
     "op8_hypergeometric_shards": op8_hypergeometric_shards,
 }
 ORACLES: dict[str, str] = {"op2_url_reputation": urls.sql(RULES)}

@@ -73,13 +73,18 @@ def _lookup(table: list[list[int]], row: Column) -> Column:
     return F.element_at(F.from_json(F.lit(json.dumps(table)), "array<array<bigint>>"), row + 1)
 
 
+def _measures() -> tuple[Column, Column]:
+    text = F.coalesce("text", F.lit(""))
+    return (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+
+
 def shard_rows(docs: DataFrame, scratch: Scratch, shards: int = 40, seed: int = 23, partitions: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot for every row of docs(doc_id, text)."""
-    text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     key = ["doc_id", "size", "text_crc32"]
-    local, again = F.xxhash64(F.lit(seed), *key), F.xxhash64(F.lit(seed + 1), *key)
-    rows = scratch.write(base.withColumns({"local": local, "again": again}), "rows")
+    # Repeated rows are numbered, so that they are permuted apart; which is which makes no difference.
+    base = docs.select("doc_id", *_measures()).withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))))
+    local, again = F.xxhash64(F.lit(seed), *key, "nth"), F.xxhash64(F.lit(seed + 1), *key, "nth")
+    rows = scratch.write(base.drop("nth").withColumns({"local": local, "again": again}), "rows")
     if partitions is None:
         partitions = max(LEAST_PARTITIONS, min(MOST_PARTITIONS, rows.count() // ROWS_EACH))
     part = F.pmod(F.xxhash64("local"), F.lit(partitions)).cast("int")
@@ -101,3 +106,23 @@ def shard_rows(docs: DataFrame, scratch: Scratch, shards: int = 40, seed: int =
     offsets = bins.select("shard", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     place = F.row_number().over(Window.partitionBy("shard", "bin").orderBy("again", *key))
     return dealt.withColumn("place", place).join(offsets, ["shard", "bin"]).select(*key, "shard", (F.col("offset") + F.col("place") - 1).alias("slot"))
+
+
+def with_shards(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
+    """The rows of docs, all columns, with size, text_crc32, shard and slot.
+
+    Repeats of a document are numbered on both sides of the join back, so each gets a place of its own.
+    """
+    key = ["_shard_id", "_shard_size", "_shard_crc"]
+    placed = shard_rows(docs, scratch, **how).toDF(*key, "_shard", "_slot")
+    copy = lambda order: F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    placed = placed.withColumn("_shard_k", copy(["_shard", "_slot"]))
+    kept = [c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]
+    own = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("doc_id").alias(key[0]), *(m.alias(k) for m, k in zip(_measures(), key[1:])))
+    own = own.withColumn("_own_k", copy(["text"])).withColumnsRenamed({k: f"_own{k}" for k in key})
+    same = F.col(f"_own{key[0]}").eqNullSafe(F.col(key[0])) & (F.col("_own_k") == F.col("_shard_k"))
+    for k in key[1:]:
+        same &= F.col(f"_own{k}") == F.col(k)
+    return own.join(placed, same).select(
+        *[F.col(f"`{c}`") for c in kept], F.col(key[1]).alias("size"), F.col(key[2]).alias("text_crc32"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot")
+    )

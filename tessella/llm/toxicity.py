@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -274,6 +275,18 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, p: CrfParams = CrfParams
     return ready.mapInPandas(run, SCHEMA)
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, p: CrfParams = CrfParams(), threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, that score under the threshold."""
+    crf = Crf(p).fit(training_sample(docs, labels, "toxic", p.rows, p.most_bytes, p.seed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [TOKEN.findall(encode(t)) for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([crf.score(m) < threshold for _, m in _grouped(crf, tokens)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _grouped(crf: Crf, docs: list[list[bytes]], most: int = 200_000) -> Iterator[tuple[int, np.ndarray]]:
     """Marginals of each document; the chains of many documents run side by side."""
     at = 0
