@@ -84,7 +84,7 @@ def shard_rows(docs: DataFrame, scratch: Scratch, shards: int = 40, seed: int =
     # Repeated rows are numbered, so that they are permuted apart; which is which makes no difference.
     base = docs.select("doc_id", *_measures()).withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))))
     local, again = F.xxhash64(F.lit(seed), *key, "nth"), F.xxhash64(F.lit(seed + 1), *key, "nth")
-    rows = scratch.write(base.drop("nth").withColumns({"local": local, "again": again}), "rows")
+    rows = scratch.write(base.withColumns({"local": local, "again": again}).drop("nth"), "rows")
     if partitions is None:
         partitions = max(LEAST_PARTITIONS, min(MOST_PARTITIONS, rows.count() // ROWS_EACH))
     part = F.pmod(F.xxhash64("local"), F.lit(partitions)).cast("int")
