@@ -1,12 +1,16 @@
 """Banded candidates whose links are complete without writing all pairs of a bucket.
 
-Rows are (bucket, id).  First every member of a bucket is paired with one
-member of it, the leader: as many pairs as members.  After exact verification
-and union-find, a bucket whose members lie in one component needs nothing more.
-In the others every pair across components is compared, with one side outside
-the leader's component, in blocks of bounded size, by sketch; only pairs that
-the sketch lets pass are written and verified.  A link can only be missed where
-no band (or no sketch, at six deviations) has both texts together.
+Rows are (bucket, id).  Each batch names one leader per bucket and pairs the
+bucket's other members with it; only leaders meet in the shuffle, where each
+bucket again names one leader.  That gives as many pairs as members, and no
+task gets more than one row per batch of a bucket, however large it is.
+
+After exact verification and union-find, a bucket whose members lie in one
+component needs nothing more.  In the others every pair across components is
+compared, with one side outside the leader's component, in blocks of bounded
+size, by sketch; only pairs that the sketch lets pass are written and verified.
+A link can only be missed where no band (or no sketch, at six deviations) has
+both texts together.
 """
 
 from __future__ import annotations
@@ -20,42 +24,76 @@ from pyspark.sql import functions as F
 
 from tessella.llm.graph import connected_components
 from tessella.llm.scratch import Scratch
+from tessella.llm.text import mix
 
 #: Members of a bucket that one block holds.
 BLOCK = 2048
+LED = "bucket long, id long, leader long"
+
+
+def lead(bucket: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+    """Every (bucket, id) once, with the bucket's leader: the member of least seeded hash."""
+    rank = mix(ids.view(np.uint64) ^ mix(bucket.view(np.uint64)))
+    order = np.lexsort((rank, bucket))
+    bucket, ids, rank = bucket[order], ids[order], rank[order]
+    fresh = np.r_[True, (bucket[1:] != bucket[:-1]) | (rank[1:] != rank[:-1])] if len(ids) else np.zeros(0, bool)
+    bucket, ids = bucket[fresh], ids[fresh]
+    head = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(ids) else np.zeros(0, int)
+    return pd.DataFrame({"bucket": bucket, "id": ids, "leader": np.repeat(ids[head], np.diff(np.r_[head, len(ids)]))})
+
+
+def led(buckets: DataFrame) -> DataFrame:
+    """Batches of (bucket, id) with their own leaders."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield lead(b["bucket"].to_numpy(), b["id"].to_numpy())
+
+    return buckets.mapInPandas(run, LED)
+
+
+def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Leaders of one shuffle partition get their bucket's leader; the others pass by."""
+    frames = []
+    for b in batches:
+        own = b["id"].to_numpy() == b["leader"].to_numpy()
+        if not own.all():
+            yield b[~own]
+        frames.append(b.loc[own, ["bucket", "id"]])
+    if frames:
+        x = pd.concat(frames)
+        out = lead(x["bucket"].to_numpy(), x["id"].to_numpy())
+        yield out[out["id"] != out["leader"]]
 
 
-def link_components(buckets: DataFrame, sketches: DataFrame, verify: Callable[[DataFrame], DataFrame], most_differ: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) and components (id, comp) of the ids in buckets(bucket, id).
+def link_components(rows: DataFrame, sketches: Callable[[], DataFrame], verify: Callable[[DataFrame], DataFrame], most_differ: int, scratch: Scratch) -> DataFrame:
+    """Components (id, comp) of the ids in ``rows``, which are (bucket, id, leader) as ``led`` gives them.
 
-    ``sketches(id, sketch)`` are equally long binaries; pairs of which more
-    than ``most_differ`` bits differ are no links.  ``verify`` keeps the true
-    links of pairs(a, b) and may itself use the sketches.
+    ``sketches()`` has (id, sketch) with equally long binaries; pairs of which
+    more than ``most_differ`` bits differ are no links.  ``verify`` keeps the
+    true links of pairs(a, b).
     """
-    leaders = scratch.write(
-        buckets.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "id").alias("h"), "id")).alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1").select("bucket", F.col("first.id").alias("leader"), "n"),
-        "leaders",
-    )
-    members = scratch.write(buckets.join(leaders, "bucket"), "members")
-    star = members.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    links = scratch.write(verify(star), "links-1")
+    place = F.when(F.col("id") == F.col("leader"), F.col("bucket")).otherwise(F.xxhash64("bucket", "id"))
+    stars = scratch.write(rows.repartition(place).mapInPandas(_meet, LED), "stars")
+    pairs = stars.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    links = scratch.write(verify(pairs), "links-1")
     comps = scratch.write(connected_components(links, scratch, "comps-1"), "first-comps")
-    own = members.join(comps, "id", "left").select("bucket", "id", "leader", "n", F.coalesce("comp", "id").alias("comp"))
-    open_ = own.where("n > 2").groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-    rows = scratch.write(own.join(open_, "bucket").withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int")), "open")
-    if rows.isEmpty():
-        return links, comps
+    members = stars.select("bucket", "id").union(stars.select("bucket", "leader")).distinct()
+    own = members.join(comps, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
+    # Two members are a pair that was verified; more may hide pairs that were not.
+    state = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.min(F.struct(F.xxhash64("bucket", "comp"), "comp")).alias("m"))
+    open_ = state.where("n > 2 and x <> y").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks"), F.col("m.comp").alias("lead_comp"))
+    todo = scratch.write(own.join(open_, "bucket"), "open")
+    if todo.isEmpty():
+        return comps
     home = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    lead = rows.where("id = leader").select("bucket", F.col("comp").alias("lead_comp"))
-    tagged = rows.join(lead, "bucket").withColumn("outside", F.col("comp") != F.col("lead_comp")).join(sketches, "id")
-    placed = tagged.select("bucket", "id", "comp", "leader", "sketch", F.lit(False).alias("visits"), home.alias("chunk")).union(
-        tagged.where("outside").select("bucket", "id", "comp", "leader", "sketch", F.lit(True), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tagged = todo.join(sketches(), "id")
+    placed = tagged.select("bucket", "id", "comp", "sketch", F.lit(False).alias("visits"), home.alias("chunk")).union(
+        tagged.where("comp <> lead_comp").select("bucket", "id", "comp", "sketch", F.lit(True), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     )
     near = placed.repartition("bucket", "chunk").mapInPandas(lambda it: _cross_pairs(it, most_differ), "a long, b long").distinct()
-    more = scratch.write(verify(near), "links-2")
-    every = links.unionByName(more)
-    return every, scratch.write(connected_components(every, scratch, "comps-2"), "comps")
+    more = scratch.write(verify(near.join(pairs, ["a", "b"], "left_anti")), "links-2")
+    return scratch.write(connected_components(links.unionByName(more), scratch, "comps-2"), "comps")
 
 
 def _cross_pairs(batches: Iterator[pd.DataFrame], most_differ: int) -> Iterator[pd.DataFrame]:
@@ -65,17 +103,21 @@ def _cross_pairs(batches: Iterator[pd.DataFrame], most_differ: int) -> Iterator[
         return
     rows = pd.concat(frames).sort_values(["bucket", "chunk"], kind="stable")
     bits = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
-    ids, comp, leader = (rows[c].to_numpy() for c in ("id", "comp", "leader"))
-    visits = rows["visits"].to_numpy()
+    ids, comp, visits = (rows[c].to_numpy() for c in ("id", "comp", "visits"))
     place = rows[["bucket", "chunk"]].to_numpy()
     starts = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]).any(axis=1)])
+    a, b, held = [], [], 0
     for lo, hi in zip(starts, np.r_[starts[1:], len(rows)]):
         stay = lo + np.flatnonzero(~visits[lo:hi])
         for v in lo + np.flatnonzero(visits[lo:hi]):
-            # Pairs with the leader are known; a pair of two visitors is met from both sides.
-            other = stay[(comp[stay] != comp[v]) & (ids[stay] != leader[v])]
-            if ids[v] == leader[v] or not len(other):
-                continue
+            other = stay[comp[stay] != comp[v]]
             near = other[np.bitwise_count(bits[other] ^ bits[v]).sum(axis=1) <= most_differ]
             if len(near):
-                yield pd.DataFrame({"a": np.minimum(ids[near], ids[v]), "b": np.maximum(ids[near], ids[v])})
+                a.append(np.minimum(ids[near], ids[v]))
+                b.append(np.maximum(ids[near], ids[v]))
+                held += len(near)
+        if held > 100_000:
+            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+            a, b, held = [], [], 0
+    if held:
+        yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.banding import link_components
+from tessella.llm.banding import led, link_components
 from tessella.llm.scratch import Scratch
 from tessella.llm.text import WordHashes, hash_seeds, mix, words
 
@@ -178,10 +178,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, p: NearDupParams = NearDu
         .select("id", F.col("n_shingles").alias("n"), "bands", "sketch"),
         "reps",
     )
-    buckets = reps.select(F.explode("bands").alias("bucket"), "id").distinct()
     sketches = reps.select("id", "n", "sketch")
     verify = _verifier(base, sketches, p, scratch)
-    _, comps = link_components(buckets, sketches.select("id", "sketch"), verify, p.most_differ, scratch)
+    buckets = led(reps.select(F.explode("bands").alias("bucket"), "id"))
+    comps = link_components(buckets, lambda: sketches.select("id", "sketch"), verify, p.most_differ, scratch)
     # An id with several texts is one node that ties its classes together.
     split = scratch.write(rows.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 and id is not null").select("id"), "repeated")
     if not split.isEmpty():

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontam, mixing, neardup, ogg, pst, quality, sharding, toxicity, urls
+from tessella.llm import decontam, linededup, mixing, neardup, ogg, pst, quality, sharding, toxicity, urls
 from tessella.llm.scratch import Scratch
 from tessella.llm.text import documents
 
@@ -63,6 +63,11 @@ def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_minhash_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = linededup.line_plan(documents(spark, sf_dir), Scratch(spark, "lines"))
+    return plan.select("doc_id", "n_lines", F.size("kept").alias("n_kept"), "kept")
+
+
 def op10_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pst.suffix_tree_scores(documents(spark, sf_dir), Scratch(spark, "pst"))
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_odd_sketch_neardup": op6_odd_sketch_neardup,
     "op7_qgram_decontamination": op7_qgram_decontamination,
     "op8_hypergeometric_shards": op8_hypergeometric_shards,
+    "op9_minhash_line_dedup": op9_minhash_line_dedup,
     "op10_suffix_tree_lm": op10_suffix_tree_lm,
 }
 ORACLES: dict[str, str] = {"op2_url_reputation": urls.sql(RULES)}
