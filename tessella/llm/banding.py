@@ -6,9 +6,12 @@ bucket again names one leader.  That gives as many pairs as members, and no
 task gets more than one row per batch of a bucket, however large it is.
 
 After exact verification and union-find, a bucket whose members lie in one
-component needs nothing more.  In the others every pair across components is
-compared, with one side outside the leader's component, in blocks of bounded
-size, by sketch; only pairs that the sketch lets pass are written and verified.
+component needs nothing more.  In the others, members of different components
+whose sketches are near are joined into families, in blocks of bounded size
+that write a spanning forest, not pairs.  Every pair of a family across
+components is then verified on full sets, again in blocks that write a forest
+of the true links.  In both steps one side lies outside the group's leading
+component, so a group that has already come together costs next to nothing.
 A link can only be missed where no band (or no sketch, at six deviations) has
 both texts together.
 """
@@ -27,13 +30,13 @@ from tessella.llm.scratch import Scratch
 from tessella.llm.text import mix
 
 #: Members of a bucket that one block holds.
-BLOCK = 2048
+BLOCK = 1024
 LED = "bucket long, id long, leader long"
 
 
 def lead(bucket: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
-    """Every (bucket, id) once, with the bucket's leader: the member of least seeded hash."""
-    rank = mix(ids.view(np.uint64) ^ mix(bucket.view(np.uint64)))
+    """Every (bucket, id) once, with the bucket's leader: the member of least hash."""
+    rank = mix(ids.view(np.uint64))  # alike in all buckets, so that a group has few leaders and few distinct pairs
     order = np.lexsort((rank, bucket))
     bucket, ids, rank = bucket[order], ids[order], rank[order]
     fresh = np.r_[True, (bucket[1:] != bucket[:-1]) | (rank[1:] != rank[:-1])] if len(ids) else np.zeros(0, bool)
@@ -66,12 +69,16 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out[out["id"] != out["leader"]]
 
 
-def link_components(rows: DataFrame, sketches: Callable[[], DataFrame], verify: Callable[[DataFrame], DataFrame], most_differ: int, scratch: Scratch) -> DataFrame:
+def link_components(
+    rows: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: Callable[[], DataFrame], sets: Callable[[DataFrame], DataFrame],
+    most_differ: int, percent: int, scratch: Scratch,
+) -> DataFrame:
     """Components (id, comp) of the ids in ``rows``, which are (bucket, id, leader) as ``led`` gives them.
 
-    ``sketches()`` has (id, sketch) with equally long binaries; pairs of which
-    more than ``most_differ`` bits differ are no links.  ``verify`` keeps the
-    true links of pairs(a, b).
+    ``verify`` keeps the true links of pairs(a, b).  ``sketches()`` has (id,
+    sketch) with equally long binaries; pairs of which more than ``most_differ``
+    bits differ are no links.  ``sets`` gives (id, s), sorted arrays, of some
+    ids; a link has 100 * intersection >= percent * union.
     """
     place = F.when(F.col("id") == F.col("leader"), F.col("bucket")).otherwise(F.xxhash64("bucket", "id"))
     stars = scratch.write(rows.repartition(place).mapInPandas(_meet, LED), "stars")
@@ -79,45 +86,99 @@ def link_components(rows: DataFrame, sketches: Callable[[], DataFrame], verify:
     links = scratch.write(verify(pairs), "links-1")
     comps = scratch.write(connected_components(links, scratch, "comps-1"), "first-comps")
     members = stars.select("bucket", "id").union(stars.select("bucket", "leader")).distinct()
-    own = members.join(comps, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
+    own = members.join(comps, "id", "left").select(F.col("bucket").alias("g"), "id", F.coalesce("comp", "id").alias("comp"))
     # Two members are a pair that was verified; more may hide pairs that were not.
-    state = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.min(F.struct(F.xxhash64("bucket", "comp"), "comp")).alias("m"))
-    open_ = state.where("n > 2 and x <> y").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks"), F.col("m.comp").alias("lead_comp"))
-    todo = scratch.write(own.join(open_, "bucket"), "open")
+    todo = scratch.write(_blocks(own, 2), "open")
     if todo.isEmpty():
         return comps
+    near = todo.join(sketches(), "id").repartition("g", "chunk").mapInPandas(lambda it: _forest(it, _near_pairs(most_differ), True), "a long, b long").distinct()
+    families = connected_components(near, scratch, "families").select("id", F.col("comp").alias("g"))
+    own = scratch.write(families.join(comps, "id", "left").select("g", "id", F.coalesce("comp", "id").alias("comp")), "family-members")
+    full = scratch.write(sets(own.select("id")), "family-sets")
+    found = _blocks(own, 1).join(full, "id").repartition("g", "chunk").mapInPandas(lambda it: _forest(it, _true_links(percent), False), "a long, b long")
+    more = scratch.write(found.distinct(), "links-2")
+    return scratch.write(connected_components(links.unionByName(more), scratch, "comps-2"), "comps")
+
+
+def _blocks(own: DataFrame, least: int) -> DataFrame:
+    """(g, id, comp, visits, chunk) of groups of more than ``least`` members that have several components.
+
+    A group's members are dealt to chunks; those outside its leading component also visit every chunk.
+    """
+    state = own.groupBy("g").agg(
+        F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.min(F.struct(F.xxhash64("comp"), "comp")).alias("m")
+    )
+    open_ = state.where((F.col("n") > least) & F.expr("x <> y")).select("g", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks"), F.col("m.comp").alias("lead"))
+    tagged = own.join(open_, "g")
     home = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    tagged = todo.join(sketches(), "id")
-    placed = tagged.select("bucket", "id", "comp", "sketch", F.lit(False).alias("visits"), home.alias("chunk")).union(
-        tagged.where("comp <> lead_comp").select("bucket", "id", "comp", "sketch", F.lit(True), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    visits = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    return tagged.select("g", "id", "comp", F.lit(False).alias("visits"), home.alias("chunk")).union(
+        tagged.where("comp <> lead").select("g", "id", "comp", F.lit(True), visits)
     )
-    near = placed.repartition("bucket", "chunk").mapInPandas(lambda it: _cross_pairs(it, most_differ), "a long, b long").distinct()
-    more = scratch.write(verify(near.join(pairs, ["a", "b"], "left_anti")), "links-2")
-    return scratch.write(connected_components(links.unionByName(more), scratch, "comps-2"), "comps")
 
 
-def _cross_pairs(batches: Iterator[pd.DataFrame], most_differ: int) -> Iterator[pd.DataFrame]:
-    """Pairs of a visitor and a resident of a block, of different components, whose sketches are near."""
+def _forest(batches: Iterator[pd.DataFrame], related: Callable[[pd.DataFrame, np.ndarray, np.ndarray], np.ndarray], each: bool) -> Iterator[pd.DataFrame]:
+    """A spanning forest, in each block, of the ``related`` pairs of visitors and residents of different components.
+
+    ``each``: the forest spans the members that have such a pair; else the components.
+    """
     frames = list(batches)  # one shuffle partition of blocks
     if not frames:
         return
-    rows = pd.concat(frames).sort_values(["bucket", "chunk"], kind="stable")
-    bits = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
-    ids, comp, visits = (rows[c].to_numpy() for c in ("id", "comp", "visits"))
-    place = rows[["bucket", "chunk"]].to_numpy()
-    starts = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]).any(axis=1)])
-    a, b, held = [], [], 0
+    rows = pd.concat(frames, ignore_index=True).sort_values(["g", "chunk"], kind="stable", ignore_index=True)
+    ids, comp, visits, g, chunk = (rows[c].to_numpy() for c in ("id", "comp", "visits", "g", "chunk"))
+    starts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (chunk[1:] != chunk[:-1])])
+    a, b = [], []
     for lo, hi in zip(starts, np.r_[starts[1:], len(rows)]):
-        stay = lo + np.flatnonzero(~visits[lo:hi])
-        for v in lo + np.flatnonzero(visits[lo:hi]):
-            other = stay[comp[stay] != comp[v]]
-            near = other[np.bitwise_count(bits[other] ^ bits[v]).sum(axis=1) <= most_differ]
-            if len(near):
-                a.append(np.minimum(ids[near], ids[v]))
-                b.append(np.maximum(ids[near], ids[v]))
-                held += len(near)
-        if held > 100_000:
-            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
-            a, b, held = [], [], 0
-    if held:
-        yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+        stay, come = lo + np.flatnonzero(~visits[lo:hi]), lo + np.flatnonzero(visits[lo:hi])
+        label = np.arange(hi - lo) if each else comp[lo:hi].copy()
+        for at in range(0, len(come), 512):
+            part = come[at : at + 512]
+            for v, line in zip(part, related(rows, part, stay)):
+                other = stay[line]
+                other = other[(label[other - lo] != label[v - lo]) & (comp[other] != comp[v])]
+                if not len(other):
+                    continue
+                joined, first = np.unique(label[other - lo], return_index=True)
+                a += [ids[v]] * len(joined)
+                b += ids[other[first]].tolist()
+                label[np.isin(label, joined)] = label[v - lo]
+    yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+
+def _near_pairs(most_differ: int):
+    def related(rows: pd.DataFrame, come: np.ndarray, stay: np.ndarray) -> np.ndarray:
+        bits = lambda at: np.frombuffer(b"".join(rows["sketch"].to_numpy()[at]), np.uint64).reshape(len(at), -1)
+        left, right = bits(come), bits(stay)
+        differ = np.zeros((len(come), len(stay)), np.uint16)
+        for k in range(left.shape[1]):
+            differ += np.bitwise_count(left[:, k, None] ^ right[:, k])
+        return differ <= most_differ
+
+    return related
+
+
+def _true_links(percent: int):
+    """Exact intersections of full sets: products of 0/1 matrices over shared elements, a slab of elements at a time."""
+
+    def related(rows: pd.DataFrame, come: np.ndarray, stay: np.ndarray) -> np.ndarray:
+        sets = rows["s"].to_numpy()
+        at = np.r_[come, stay]
+        size = np.array([len(sets[i]) for i in at])
+        element, column, count = np.unique(np.concatenate(sets[at]), return_inverse=True, return_counts=True)
+        shared = np.cumsum(count > 1) - 1
+        keep = count[column] > 1
+        line, column = np.repeat(np.arange(len(at)), size)[keep], shared[column[keep]]
+        order = np.argsort(column, kind="stable")
+        line, column = line[order], column[order]
+        common = np.zeros((len(come), len(stay)), np.float32)
+        slab = 4096
+        for low in range(0, int(shared[-1]) + 1 if len(shared) else 0, slab):
+            lo, hi = np.searchsorted(column, [low, low + slab])
+            m = np.zeros((len(at), slab), np.float32)
+            m[line[lo:hi], column[lo:hi] - low] = 1
+            common += m[: len(come)] @ m[len(come) :].T
+        union = size[: len(come), None] + size[len(come) :] - common
+        return 100 * common >= percent * union
+
+    return related

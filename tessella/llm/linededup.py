@@ -197,18 +197,25 @@ def _exact(p: LineParams):
 
 def line_components(docs: DataFrame, scratch: Scratch, p: LineParams = LineParams()) -> DataFrame:
     """(id, comp) of the lines that are similar to others."""
-    calls = iter(range(1, 9))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        k = next(calls)
-        pairs = scratch.write(pairs, f"pairs-{k}")
+        pairs = scratch.write(pairs, "pairs")
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        lines = _texts(docs, wanted, scratch, "lines") if k == 1 else docs.sparkSession.read.schema("id long, line binary").parquet(f"{scratch.root}/lines")
+        lines = _texts(docs, wanted, scratch, "lines")
         full = pairs.join(lines.toDF("a", "u"), "a").join(lines.toDF("b", "v"), "b")
         return full.mapInPandas(_exact(p), "a long, b long")
 
-    known = lambda: _sketches(docs.sparkSession.read.schema("id long, line binary").parquet(f"{scratch.root}/lines"), p)
-    return link_components(_band_rows(docs, p), known, verify, p.most_differ, scratch)
+    stored = lambda: docs.sparkSession.read.schema("id long, line binary").parquet(f"{scratch.root}/lines")
+    full = lambda ids: _sets(stored().join(ids, "id", "left_semi"), p)
+    return link_components(_band_rows(docs, p), verify, lambda: _sketches(stored(), p), full, p.most_differ, p.percent, scratch)
+
+
+def _sets(lines: DataFrame, p: LineParams) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "s": [np.unique(shingle_hashes([x], p.shingle)[0]).view(np.int64) for x in batch["line"]]})
+
+    return lines.mapInPandas(run, "id long, s array<long>")
 
 
 def line_plan(docs: DataFrame, scratch: Scratch, p: LineParams = LineParams()) -> DataFrame:

@@ -137,8 +137,6 @@ def shingle_sets(docs: DataFrame, p: NearDupParams) -> DataFrame:
 
 def _verifier(docs: DataFrame, sketches: DataFrame, p: NearDupParams, scratch: Scratch):
     """Size and odd-sketch tests, then intersections of the full sets."""
-    calls = iter(range(1, 9))
-
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             ok = np.zeros(len(x), bool)
@@ -156,12 +154,11 @@ def _verifier(docs: DataFrame, sketches: DataFrame, p: NearDupParams, scratch: S
             yield x.loc[ok, ["a", "b"]]
 
     def verify(pairs: DataFrame) -> DataFrame:
-        k = next(calls)
         side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
         sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {p.percent} * greatest(na, nb)")
-        candidates = scratch.write(sized.select("a", "b", "sa", "sb").mapInPandas(near, "a long, b long").distinct(), f"candidates-{k}")
+        candidates = scratch.write(sized.select("a", "b", "sa", "sb").mapInPandas(near, "a long, b long").distinct(), "candidates")
         wanted = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
-        sets = scratch.write(shingle_sets(docs.join(wanted, "id", "left_semi"), p), f"sets-{k}")
+        sets = scratch.write(shingle_sets(docs.join(wanted, "id", "left_semi"), p), "sets")
         full = candidates.join(sets.select(F.col("id").alias("a"), F.col("s").alias("u")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("v")), "b")
         return full.mapInPandas(inside, "a long, b long").distinct()
 
@@ -181,7 +178,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, p: NearDupParams = NearDu
     sketches = reps.select("id", "n", "sketch")
     verify = _verifier(base, sketches, p, scratch)
     buckets = led(reps.select(F.explode("bands").alias("bucket"), "id"))
-    comps = link_components(buckets, lambda: sketches.select("id", "sketch"), verify, p.most_differ, scratch)
+    full = lambda ids: shingle_sets(base.join(ids, "id", "left_semi"), p)
+    comps = link_components(buckets, verify, lambda: sketches.select("id", "sketch"), full, p.most_differ, p.percent, scratch)
     # An id with several texts is one node that ties its classes together.
     split = scratch.write(rows.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 and id is not null").select("id"), "repeated")
     if not split.isEmpty():

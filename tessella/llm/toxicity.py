@@ -40,7 +40,7 @@ EDGE = b".,;:!?\"'()[]{}<>*_-#$%&|/\\"
 class CrfParams:
     """``rows`` and ``most_bytes`` bound the training sample; ``ratio`` and ``least`` pick toxic training tokens."""
 
-    rows: int = 6000
+    rows: int = 3000
     most_bytes: int = 32_768
     buckets: int = 1 << 16
     segment: int = 64
@@ -190,21 +190,19 @@ class Crf:
 
     def _train(self, chains: list[tuple[list[bytes], np.ndarray]]) -> None:
         p, s = self.p, self.p.segment
-        features = {w: (own_features(w, p.buckets), neighbour_features(w, p.buckets)) for tokens, _ in chains for w in tokens}
+        number = {w: k for k, w in enumerate({w for tokens, _ in chains for w in tokens})}
+        own = np.array([own_features(w, p.buckets) for w in number], np.int32)
+        near = np.array([neighbour_features(w, p.buckets) for w in number], np.int32)
         where, which = [], []
         y = np.zeros((len(chains), s), bool)
         live = np.zeros((len(chains), s), bool)
         for c, (tokens, tag) in enumerate(chains):
             y[c, : len(tag)], live[c, : len(tag)] = tag, True
-            for t, w in enumerate(tokens):
-                fs = list(features[w][0])
-                if t:
-                    fs.append(features[tokens[t - 1]][1][0])
-                if t + 1 < len(tokens):
-                    fs.append(features[tokens[t + 1]][1][1])
-                where += [c * s + t] * len(fs)
-                which += fs
-        where, which = np.array(where), np.array(which)
+            ids = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
+            at = c * s + np.arange(len(ids), dtype=np.int32)
+            where += [np.repeat(at, own.shape[1]), at[1:], at[:-1]]
+            which += [own[ids].ravel(), near[ids[:-1], 0], near[ids[1:], 1]]
+        where, which = np.concatenate(where).astype(np.int32), np.concatenate(which)
         seen_pairs = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & live[:, 1:]).sum() for b in (0, 1)] for a in (0, 1)], float)
         squares, squares_t = np.full(p.buckets, 1e-8), np.full((2, 2), 1e-8)
         for _ in range(p.steps):  # full-batch steps with per-weight rates
