@@ -40,15 +40,15 @@ EDGE = b".,;:!?\"'()[]{}<>*_-#$%&|/\\"
 class CrfParams:
     """``rows`` and ``most_bytes`` bound the training sample; ``ratio`` and ``least`` pick toxic training tokens."""
 
-    rows: int = 3000
+    rows: int = 4000
     most_bytes: int = 32_768
-    buckets: int = 1 << 16
+    buckets: int = 1 << 18
     segment: int = 64
     ratio: float = 12.0
     least: int = 4
     steps: int = 60
     rate: float = 0.2
-    penalty: float = 1e-6
+    penalty: float = 0.5
     seed: int = 7
 
 
@@ -167,25 +167,30 @@ class Crf:
             share = float(np.clip(labels.mean() if len(labels) else 0.1, 0.01, 0.99))
             self.combine = np.array([np.log(share / (1 - share)), 0.0, 0.0])
             return self
+        learn = len(docs) * 3 // 4
+        if len(docs) < 40 or labels[:learn].min() == labels[:learn].max() or labels[learn:].min() == labels[learn:].max():
+            learn = 0  # too few to set some aside
         bad, good = Counter(), Counter()
-        for tokens, y in zip(docs, labels):
+        seen = docs[:learn] or docs
+        for tokens, y in zip(seen, labels):
             (bad if y else good).update({normal(w) for w in tokens})
-        n_bad, n_good = labels.sum() + 1, (labels == 0).sum() + 1
+        n_bad, n_good = labels[: len(seen)].sum() + 1, (labels[: len(seen)] == 0).sum() + 1
         # Words of toxic documents only by a copied passage come with few texts; a clean count of one is smoothed in.
         lexicon = {w for w, c in bad.items() if c >= max(p.least, 0.01 * n_bad) and c / n_bad >= p.ratio * (good[w] + 1) / n_good}
-        tags = [np.array([y and normal(w) in lexicon for w in tokens], bool) for tokens, y in zip(docs, labels)]
-        # Equal weight to segments with and without toxic tokens: all of the former, as many of the latter four times.
+        tags = [np.array([y and normal(w) in lexicon for w in tokens], bool) for tokens, y in zip(seen, labels)]
+        # Equal weight to segments with and without toxic tokens: all of the former, six times as many of the latter.
         rng = np.random.default_rng(p.seed)
         s, hot, cold = p.segment, [], []
-        for tokens, y in zip(docs, tags):
+        for tokens, y in zip(seen, tags):
             for at in range(0, len(tokens), s):
                 (hot if y[at : at + s].any() else cold).append((tokens[at : at + s], y[at : at + s]))
-        keep = rng.permutation(len(cold))[: 4 * len(hot) + 500]
+        keep = rng.permutation(len(cold))[: 6 * len(hot) + 2000]
         chains = hot + [cold[i] for i in keep]
         if not hot:
             return self
         self._train(chains)
-        self._calibrate(docs, labels)
+        # The document score is fitted on the documents that the field hasn't learned from, where it errs as on new ones.
+        self._calibrate(docs[learn:], labels[learn:])
         return self
 
     def _train(self, chains: list[tuple[list[bytes], np.ndarray]]) -> None:
@@ -210,11 +215,11 @@ class Crf:
             emit = np.stack([np.zeros_like(e), np.where(live, e, -np.inf)], axis=2)
             marginal, pairs, _ = forward_backward(emit, self.trans)
             miss = np.where(live, y - marginal[:, :, 1], 0).ravel()
-            g = np.bincount(which, miss[where], p.buckets) / len(chains) - p.penalty * self.weights
-            gt = (seen_pairs - pairs) / len(chains)
+            g = np.bincount(which, miss[where], p.buckets) - p.penalty * self.weights
+            gt = seen_pairs - pairs
             squares, squares_t = 0.9 * squares + 0.1 * g**2, 0.9 * squares_t + 0.1 * gt**2
-            self.weights += p.rate * g / (np.sqrt(squares) + 1e-6)
-            self.trans += 0.5 * p.rate * gt / (np.sqrt(squares_t) + 1e-6)
+            self.weights += p.rate * g / (np.sqrt(squares) + 1)  # features seen once move slowly
+            self.trans += 0.5 * p.rate * gt / (np.sqrt(squares_t) + 1)
         self._forget()
 
     @staticmethod
