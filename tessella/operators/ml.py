@@ -137,7 +137,7 @@ def birch(df: DataFrame, columns: Sequence[str], k: int, threshold: float = 0.5,
 
     schema = "n double, s array<double>, q double"
     small = data.select("_a").mapInPandas(reduce, schema)
-    rows = small.groupBy(F.lit(1)).applyInPandas(merge, schema).toPandas()  # at most ``most`` rows
+    rows = small.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(merge, schema).toPandas()  # at most ``most`` rows
     if not len(rows):
         return df.withColumn(label, F.lit(None).cast("int"))
     n, centre = rows["n"].to_numpy(), np.array(rows["s"].tolist()) / rows["n"].to_numpy()[:, None]
