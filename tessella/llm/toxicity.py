@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -160,50 +159,50 @@ class Crf:
     # -- training
 
     def fit(self, sample: list[tuple[bytes, int]]) -> "Crf":
-        p = self.p
-        docs = [TOKEN.findall(t) for t, _ in sample]
+        p, s = self.p, self.p.segment
         labels = np.array([y for _, y in sample])
         if not len(labels) or labels.min() == labels.max():
             share = float(np.clip(labels.mean() if len(labels) else 0.1, 0.01, 0.99))
             self.combine = np.array([np.log(share / (1 - share)), 0.0, 0.0])
             return self
+        number: dict[bytes, int] = {}
+        docs = [np.fromiter((number.setdefault(w, len(number)) for w in TOKEN.findall(t)), np.int32) for t, _ in sample]
+        words, forms = list(number), {}
+        form = np.array([forms.setdefault(normal(w), len(forms)) for w in words], np.int32)
         learn = len(docs) * 3 // 4
         if len(docs) < 40 or labels[:learn].min() == labels[:learn].max() or labels[learn:].min() == labels[learn:].max():
             learn = 0  # too few to set some aside
-        bad, good = Counter(), Counter()
         seen = docs[:learn] or docs
-        for tokens, y in zip(seen, labels):
-            (bad if y else good).update({normal(w) for w in tokens})
-        n_bad, n_good = labels[: len(seen)].sum() + 1, (labels[: len(seen)] == 0).sum() + 1
-        # Words of toxic documents only by a copied passage come with few texts; a clean count of one is smoothed in.
-        lexicon = {w for w, c in bad.items() if c >= max(p.least, 0.01 * n_bad) and c / n_bad >= p.ratio * (good[w] + 1) / n_good}
-        tags = [np.array([y and normal(w) in lexicon for w in tokens], bool) for tokens, y in zip(seen, labels)]
-        # Equal weight to segments with and without toxic tokens: all of the former, six times as many of the latter.
+        counts = np.zeros((2, len(forms)))
+        for ids, y in zip(seen, labels):
+            counts[y, np.unique(form[ids])] += 1
+        n_good, n_bad = (np.bincount(labels[: len(seen)], minlength=2) + 1).tolist()
+        # A count of one in clean documents is smoothed in.
+        lexicon = (counts[1] >= max(p.least, 0.01 * n_bad)) & (counts[1] / n_bad >= p.ratio * (counts[0] + 1) / n_good)
         rng = np.random.default_rng(p.seed)
-        s, hot, cold = p.segment, [], []
-        for tokens, y in zip(seen, tags):
-            for at in range(0, len(tokens), s):
-                (hot if y[at : at + s].any() else cold).append((tokens[at : at + s], y[at : at + s]))
-        keep = rng.permutation(len(cold))[: 6 * len(hot) + 2000]
-        chains = hot + [cold[i] for i in keep]
+        hot, cold = [], []  # segments with and without toxic tokens
+        for ids, y in zip(seen, labels):
+            tags = lexicon[form[ids]] & bool(y)
+            for at in range(0, len(ids), s):
+                (hot if tags[at : at + s].any() else cold).append((ids[at : at + s], tags[at : at + s]))
+        # All of the former and up to four times as many of the latter.
+        keep = rng.permutation(len(cold))[: 4 * len(hot) + 1000]
         if not hot:
             return self
-        self._train(chains)
+        self._train(hot + [cold[i] for i in keep], words)
         # The document score is fitted on the documents that the field hasn't learned from, where it errs as on new ones.
-        self._calibrate(docs[learn:], labels[learn:])
+        self._calibrate([[words[i] for i in d] for d in docs[learn:]], labels[learn:])
         return self
 
-    def _train(self, chains: list[tuple[list[bytes], np.ndarray]]) -> None:
+    def _train(self, chains: list[tuple[np.ndarray, np.ndarray]], words: list[bytes]) -> None:
         p, s = self.p, self.p.segment
-        number = {w: k for k, w in enumerate({w for tokens, _ in chains for w in tokens})}
-        own = np.array([own_features(w, p.buckets) for w in number], np.int32)
-        near = np.array([neighbour_features(w, p.buckets) for w in number], np.int32)
+        own = np.array([own_features(w, p.buckets) for w in words], np.int32)
+        near = np.array([neighbour_features(w, p.buckets) for w in words], np.int32)
         where, which = [], []
         y = np.zeros((len(chains), s), bool)
         live = np.zeros((len(chains), s), bool)
-        for c, (tokens, tag) in enumerate(chains):
+        for c, (ids, tag) in enumerate(chains):
             y[c, : len(tag)], live[c, : len(tag)] = tag, True
-            ids = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
             at = c * s + np.arange(len(ids), dtype=np.int32)
             where += [np.repeat(at, own.shape[1]), at[1:], at[:-1]]
             which += [own[ids].ravel(), near[ids[:-1], 0], near[ids[1:], 1]]
@@ -269,7 +268,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, p: CrfParams = CrfParams
         for batch in batches:
             texts = [encode(t) for t in batch["text"]]
             scores, spans = np.zeros(len(texts)), []
-            for at, m in _grouped(crf, [TOKEN.findall(t) for t in texts]):
+            for at, m in _grouped(crf, texts):
                 scores[at] = crf.score(m)
                 spans.append(_spans(texts[at], m))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "score": scores, "predicted": (scores >= threshold).astype(np.int32), "spans": spans})
@@ -284,25 +283,25 @@ def without_toxic(docs: DataFrame, labels: DataFrame, p: CrfParams = CrfParams()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [TOKEN.findall(encode(t)) for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array([crf.score(m) < threshold for _, m in _grouped(crf, tokens)], pa.bool_()))
+            texts = [encode(t) for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([crf.score(m) < threshold for _, m in _grouped(crf, texts)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def _grouped(crf: Crf, docs: list[list[bytes]], most: int = 200_000) -> Iterator[tuple[int, np.ndarray]]:
-    """Marginals of each document; the chains of many documents run side by side."""
-    at = 0
-    while at < len(docs):
-        end, size = at, 0
-        while end < len(docs) and (end == at or size + len(docs[end]) <= most):
-            size += len(docs[end])
-            end += 1
-        chains = [crf._chains(crf.potentials(d)) if d else np.zeros((0, crf.p.segment, 2)) for d in docs[at:end]]
+def _grouped(crf: Crf, texts: list[bytes], most: int = 100_000) -> Iterator[tuple[int, np.ndarray]]:
+    """Marginals of each document; the chains of about ``most`` tokens run side by side."""
+    first, docs, size = 0, [], 0
+    for k, text in enumerate(texts):
+        docs.append(TOKEN.findall(text))
+        size += len(docs[-1])
+        if size < most and k + 1 < len(texts):
+            continue
+        chains = [crf._chains(crf.potentials(d)) if d else np.zeros((0, crf.p.segment, 2)) for d in docs]
         joined = np.concatenate(chains)
         marginal = forward_backward(joined, crf.trans)[0][:, :, 1] if len(joined) else joined[:, :, 0]
-        first = 0
+        at = 0
         for i, c in enumerate(chains):
-            yield at + i, marginal[first : first + len(c)].ravel()[: len(docs[at + i])]
-            first += len(c)
-        at = end
+            yield first + i, marginal[at : at + len(c)].ravel()[: len(docs[i])]
+            at += len(c)
+        first, docs, size = k + 1, [], 0
