@@ -72,6 +72,7 @@ class ConvNet:
     def forward(self, texts: list[bytes]) -> tuple[np.ndarray, tuple]:
         data, first = self._layout(texts)
         responses = self._blocks(data, int(first[-1]))
+        responses[first[1:] - 1, -self.p.width // self.p.stride + 1 :] = -np.inf  # these windows would reach into the next text
         pooled = responses.max(axis=1)
         after = np.arange(1, len(pooled) + 1)
         after[first[1:] - 1] -= 1  # the last chunk of a text is its last block alone
@@ -168,7 +169,10 @@ class ConvNet:
             more = int(at + n < blocks)
             piece = text[at * p.block : (at + n + more) * p.block + p.width]
             data = np.frombuffer(piece.ljust((n + more) * p.block + p.width, b"\0"), np.uint8)
-            pooled = self._blocks(data, n + more).max(axis=1)
+            responses = self._blocks(data, n + more)
+            if not more:
+                responses[-1, -p.width // p.stride + 1 :] = -np.inf
+            pooled = responses.max(axis=1)
             chunk = np.maximum(pooled[:n], pooled[np.minimum(np.arange(n) + 1, n + more - 1)])
             hidden = np.tanh(np.maximum(chunk, 0) @ self.w["h"] + self.w["hb"])
             top, total = np.maximum(top, hidden.max(0)), total + hidden.sum(0)
