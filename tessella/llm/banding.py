@@ -69,21 +69,44 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out[out["id"] != out["leader"]]
 
 
+#: Slots of the bitmap of wanted ids: its size, and so the broadcast's, is fixed.
+SLOTS = 1 << 23
+
+
+def wanted_ids(ids: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """A test that holds for all of ids(id) and for few others, from a bitmap of fixed size.
+
+    It spares shuffles most of what they would drop; a join decides.
+    """
+    slots = ids.select(F.pmod("id", F.lit(SLOTS)).cast("int").alias("s")).distinct().toPandas()["s"].to_numpy()
+    bitmap = np.zeros(SLOTS, bool)
+    bitmap[slots] = True
+    packed = ids.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+
+    def test(x: np.ndarray) -> np.ndarray:
+        at = x % SLOTS
+        return (packed.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+    return test
+
+
 def link_components(
-    rows: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: Callable[[], DataFrame], sets: Callable[[DataFrame], DataFrame],
-    most_differ: int, percent: int, scratch: Scratch,
+    rows: DataFrame, near: Callable[[DataFrame], DataFrame], sketches: Callable[[], DataFrame], payload: Callable[[DataFrame], DataFrame],
+    as_set: Callable[[object], np.ndarray], most_differ: int, percent: int, scratch: Scratch,
 ) -> DataFrame:
     """Components (id, comp) of the ids in ``rows``, which are (bucket, id, leader) as ``led`` gives them.
 
-    ``verify`` keeps the true links of pairs(a, b).  ``sketches()`` has (id,
-    sketch) with equally long binaries; pairs of which more than ``most_differ``
-    bits differ are no links.  ``sets`` gives (id, s), sorted arrays, of some
-    ids; a link has 100 * intersection >= percent * union.
+    ``near`` leaves out pairs(a, b) that cannot be links.  ``sketches()`` has
+    (id, sketch) with equally long binaries; pairs of which more than
+    ``most_differ`` bits differ are no links.  ``payload`` gives (id, s) of some
+    ids and ``as_set`` an s's sorted set; a link has 100 * intersection >=
+    percent * union.
     """
     place = F.when(F.col("id") == F.col("leader"), F.col("bucket")).otherwise(F.xxhash64("bucket", "id"))
     stars = scratch.write(rows.repartition(place).mapInPandas(_meet, LED), "stars")
-    pairs = stars.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    links = scratch.write(verify(pairs), "links-1")
+    pairs = scratch.write(near(stars.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()).distinct(), "pairs")
+    texts = scratch.write(payload(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "texts")
+    links = scratch.write(_links(_led_blocks(pairs), texts, as_set, percent), "links-1")
     comps = scratch.write(connected_components(links, scratch, "comps-1"), "first-comps")
     members = stars.select("bucket", "id").union(stars.select("bucket", "leader")).distinct()
     own = members.join(comps, "id", "left").select(F.col("bucket").alias("g"), "id", F.coalesce("comp", "id").alias("comp"))
@@ -91,15 +114,28 @@ def link_components(
     todo = scratch.write(_blocks(own, 2), "open")
     if todo.isEmpty():
         return comps
-    near = todo.join(sketches(), "id").repartition("g", "chunk").mapInPandas(lambda it: _forest(it, _near_pairs(most_differ), True), "a long, b long").distinct()
-    families = connected_components(near, scratch, "families").select("id", F.col("comp").alias("g"))
+    edges = todo.join(sketches(), "id").repartition("g", "chunk").mapInPandas(lambda it: _forest(it, _near_pairs(most_differ), True), "a long, b long")
+    families = connected_components(edges, scratch, "families").select("id", F.col("comp").alias("g"))
     own = scratch.write(families.join(comps, "id", "left").select("g", "id", F.coalesce("comp", "id").alias("comp")), "family-members")
-    full = scratch.write(sets(own.select("id")), "family-sets")
-    found = _blocks(own, 1).join(full, "id").repartition("g", "chunk").mapInPandas(lambda it: _forest(it, _true_links(percent), False), "a long, b long")
-    more = scratch.write(found.distinct(), "links-2")
+    if own.isEmpty():
+        return comps
+    more = scratch.write(_links(_blocks(own, 1), payload(own.select("id")), as_set, percent), "links-2")
     return scratch.write(connected_components(links.unionByName(more), scratch, "comps-2"), "comps")
 
 
+def _links(blocks: DataFrame, payload: DataFrame, as_set: Callable[[object], np.ndarray], percent: int) -> DataFrame:
+    """A forest of the true links in blocks."""
+    return blocks.join(payload, "id").repartition("g", "chunk").mapInPandas(lambda it: _forest(it, _true_links(percent, as_set), False), "a long, b long")
+
+
+def _led_blocks(pairs: DataFrame) -> DataFrame:
+    """pairs(a: leader, b) as blocks in which members visit their leader, who is in every chunk."""
+    n = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
+    members = pairs.join(n, "a").select(F.col("a").alias("g"), F.col("b").alias("id"), F.col("b").alias("comp"), F.lit(True).alias("visits"), F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
+    heads = n.select(F.col("a").alias("g"), F.col("a").alias("id"), F.col("a").alias("comp"), F.lit(False), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return members.union(heads)
+
+
 def _blocks(own: DataFrame, least: int) -> DataFrame:
     """(g, id, comp, visits, chunk) of groups of more than ``least`` members that have several components.
 
@@ -158,14 +194,17 @@ def _near_pairs(most_differ: int):
     return related
 
 
-def _true_links(percent: int):
+def _true_links(percent: int, as_set: Callable[[object], np.ndarray]):
     """Exact intersections of full sets: products of 0/1 matrices over shared elements, a slab of elements at a time."""
 
     def related(rows: pd.DataFrame, come: np.ndarray, stay: np.ndarray) -> np.ndarray:
-        sets = rows["s"].to_numpy()
-        at = np.r_[come, stay]
-        size = np.array([len(sets[i]) for i in at])
-        element, column, count = np.unique(np.concatenate(sets[at]), return_inverse=True, return_counts=True)
+        payload, at = rows["s"].to_numpy(), np.r_[come, stay]
+        sets = [as_set(payload[i]) for i in at]
+        size = np.array([len(s) for s in sets])
+        if len(stay) == 1:  # a leader and its members
+            common = np.array([len(np.intersect1d(s, sets[-1], assume_unique=True)) for s in sets[:-1]])[:, None]
+            return 100 * common >= percent * (size[:-1, None] + size[-1] - common)
+        element, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         shared = np.cumsum(count > 1) - 1
         keep = count[column] > 1
         line, column = np.repeat(np.arange(len(at)), size)[keep], shared[column[keep]]

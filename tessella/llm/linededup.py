@@ -24,14 +24,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.banding import LED, lead, link_components
+from tessella.llm.banding import LED, lead, link_components, wanted_ids
 from tessella.scratch import Scratch
 from tessella.llm.text import encode, hash_seeds, mix
 
 SPACE = b" \t\n\r\x0b\x0c"
-#: Slots of the bitmap that says which lines' texts are wanted: its size, and so the broadcast's, is fixed.
-SLOTS = 1 << 23
-
 
 @dataclass(frozen=True)
 class LineParams:
@@ -143,23 +140,18 @@ def _band_rows(docs: DataFrame, p: LineParams) -> DataFrame:
     return docs.select("text").mapInPandas(run, LED)
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, scratch: Scratch, label: str) -> DataFrame:
-    """(id, line) of the lines in wanted(id); a fixed-size bitmap spares the shuffle most others."""
-    slots = wanted.select(F.pmod("id", F.lit(SLOTS)).alias("s")).distinct().toPandas()["s"].to_numpy()
-    bitmap = np.zeros(SLOTS, bool)
-    bitmap[slots] = True
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, s) of the lines in ids(id), once each."""
+    test = wanted_ids(ids)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        have = np.unpackbits(packed.value).astype(bool)
         for batch in batches:
             lines = list(dict.fromkeys(x for t in batch["text"] for x in line_keys(t) if x))
-            ids = np.array([line_id(x) for x in lines], np.int64)
-            keep = have[ids % SLOTS] if len(ids) else np.zeros(0, bool)
-            yield pd.DataFrame({"id": ids[keep], "line": [x for x, k in zip(lines, keep) if k]})
+            found = np.array([line_id(x) for x in lines], np.int64)
+            keep = test(found)
+            yield pd.DataFrame({"id": found[keep], "s": [x for x, k in zip(lines, keep) if k]})
 
-    found = docs.select("text").mapInPandas(run, "id long, line binary").join(wanted, "id", "left_semi")
-    return scratch.write(found.groupBy("id").agg(F.first("line").alias("line")), label)
+    return docs.select("text").mapInPandas(run, "id long, s binary").join(ids, "id", "left_semi").groupBy("id").agg(F.first("s").alias("s"))
 
 
 def _sketches(lines: DataFrame, p: LineParams) -> DataFrame:
@@ -168,54 +160,19 @@ def _sketches(lines: DataFrame, p: LineParams) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             at = 0
-            for own in _blocks(list(batch["line"]), p.block):
+            for own in _blocks(list(batch["s"]), p.block):
                 yield pd.DataFrame({"id": batch["id"].iloc[at : at + len(own)], "sketch": maker.odd(maker.samples(own))})
                 at += len(own)
 
     return lines.mapInPandas(run, "id long, sketch binary")
 
 
-def _exact(p: LineParams):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets: dict[int, np.ndarray] = {}
-        for x in batches:
-            ok = np.zeros(len(x), bool)
-            for i, (a, b, u, v) in enumerate(zip(x["a"], x["b"], x["u"], x["v"])):
-                if len(sets) > 4096:
-                    sets.clear()
-                for key, line in ((a, u), (b, v)):
-                    if key not in sets:
-                        sets[key] = np.unique(shingle_hashes([line], p.shingle)[0])
-                s, t = sets[a], sets[b]
-                if 100 * min(len(s), len(t)) >= p.percent * max(len(s), len(t)):
-                    common = len(np.intersect1d(s, t, assume_unique=True))
-                    ok[i] = 100 * common >= p.percent * (len(s) + len(t) - common)
-            yield x.loc[ok, ["a", "b"]]
-
-    return run
-
-
 def line_components(docs: DataFrame, scratch: Scratch, p: LineParams = LineParams()) -> DataFrame:
     """(id, comp) of the lines that are similar to others."""
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.write(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        lines = _texts(docs, wanted, scratch, "lines")
-        full = pairs.join(lines.toDF("a", "u"), "a").join(lines.toDF("b", "v"), "b")
-        return full.mapInPandas(_exact(p), "a long, b long")
-
-    stored = lambda: docs.sparkSession.read.schema("id long, line binary").parquet(f"{scratch.root}/lines")
-    full = lambda ids: _sets(stored().join(ids, "id", "left_semi"), p)
-    return link_components(_band_rows(docs, p), verify, lambda: _sketches(stored(), p), full, p.most_differ, p.percent, scratch)
-
-
-def _sets(lines: DataFrame, p: LineParams) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "s": [np.unique(shingle_hashes([x], p.shingle)[0]).view(np.int64) for x in batch["line"]]})
-
-    return lines.mapInPandas(run, "id long, s array<long>")
+    stored = lambda: docs.sparkSession.read.schema("id long, s binary").parquet(f"{scratch.root}/texts")
+    given = iter([lambda ids: _texts(docs, ids), lambda ids: stored().join(ids, "id", "left_semi")])  # first from the documents, then from what was stored
+    as_set = lambda line: np.unique(shingle_hashes([line], p.shingle)[0])
+    return link_components(_band_rows(docs, p), lambda pairs: pairs, lambda: _sketches(stored(), p), lambda ids: next(given)(ids), as_set, p.most_differ, p.percent, scratch)
 
 
 def line_plan(docs: DataFrame, scratch: Scratch, p: LineParams = LineParams()) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.banding import led, link_components
+from tessella.llm.banding import led, link_components, wanted_ids
 from tessella.operators.graph import connected_components
 from tessella.scratch import Scratch
 from tessella.llm.text import WordHashes, hash_seeds, mix, words
@@ -125,20 +125,10 @@ def sketch_rows(docs: DataFrame, p: NearDupParams) -> DataFrame:
     return docs.mapInPandas(run, "id long, n_shingles long, hi long, lo long, bands array<long>, sketch binary")
 
 
-def shingle_sets(docs: DataFrame, p: NearDupParams) -> DataFrame:
-    """id and its full sorted set of shingle hashes."""
-    sketcher = Sketcher(p)
+def _near(sketches: DataFrame, p: NearDupParams, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that pass the tests of size and of odd sketches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "s": [sketcher.shingles(t).view(np.int64) for t in batch["text"]]})
-
-    return docs.mapInPandas(run, "id long, s array<long>")
-
-
-def _verifier(docs: DataFrame, sketches: DataFrame, p: NearDupParams, scratch: Scratch):
-    """Size and odd-sketch tests, then intersections of the full sets."""
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             ok = np.zeros(len(x), bool)
             if len(x):
@@ -146,24 +136,22 @@ def _verifier(docs: DataFrame, sketches: DataFrame, p: NearDupParams, scratch: S
                 ok = np.bitwise_count(left ^ right).sum(axis=1) <= p.most_differ
             yield x.loc[ok, ["a", "b"]]
 
-    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            ok = np.zeros(len(x), bool)
-            for i, (u, v) in enumerate(zip(x["u"], x["v"])):
-                common = len(np.intersect1d(u, v, assume_unique=True))
-                ok[i] = 100 * common >= p.percent * (len(u) + len(v) - common)
-            yield x.loc[ok, ["a", "b"]]
+    side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {p.percent} * greatest(na, nb)")
+    return sized.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, s): the texts of ids(id); a row with another text under the same id is one more row."""
+    test = wanted_ids(ids)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-        sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {p.percent} * greatest(na, nb)")
-        candidates = scratch.write(sized.select("a", "b", "sa", "sb").mapInPandas(near, "a long, b long").distinct(), "candidates")
-        wanted = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
-        sets = scratch.write(shingle_sets(docs.join(wanted, "id", "left_semi"), p), "sets")
-        full = candidates.join(sets.select(F.col("id").alias("a"), F.col("s").alias("u")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("v")), "b")
-        return full.mapInPandas(inside, "a long, b long").distinct()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            x = x[x["id"].notna()]
+            keep = test(x["id"].to_numpy(np.int64))
+            yield pd.DataFrame({"id": x["id"][keep].astype(np.int64), "s": x["text"][keep]})
 
-    return verify
+    return docs.mapInPandas(run, "id long, s string").join(ids, "id", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, p: NearDupParams = NearDupParams()) -> DataFrame:
@@ -177,10 +165,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, p: NearDupParams = NearDu
         "reps",
     )
     sketches = reps.select("id", "n", "sketch")
-    verify = _verifier(base, sketches, p, scratch)
     buckets = led(reps.select(F.explode("bands").alias("bucket"), "id"))
-    full = lambda ids: shingle_sets(base.join(ids, "id", "left_semi"), p)
-    comps = link_components(buckets, verify, lambda: sketches.select("id", "sketch"), full, p.most_differ, p.percent, scratch)
+    comps = link_components(
+        buckets, lambda pairs: _near(sketches, p, pairs), lambda: sketches.select("id", "sketch"), lambda ids: _texts(base, ids),
+        Sketcher(p).shingles, p.most_differ, p.percent, scratch,
+    )
     # An id with several texts is one node that ties its classes together.
     split = scratch.write(rows.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 and id is not null").select("id"), "repeated")
     if not split.isEmpty():
