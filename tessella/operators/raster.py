@@ -315,3 +315,57 @@ def boundary(df: DataFrame, v: str, by: Sequence[str]) -> DataFrame:
     moved = on.select(*by, "px", "py", step.alias("d")).select(*by, (F.col("px") + F.col("d.a")).alias("px"), (F.col("py") + F.col("d.b")).alias("py"))
     full = moved.groupBy(*by, "px", "py").agg(F.count(F.lit(1)).alias("n")).where("n = 4")
     return on.join(full, [*by, "px", "py"], "left_anti")
+
+
+def percentile_normalise(df: DataFrame, v: Sequence[str], by: Sequence[str], low: float = 0.01, high: float = 0.998) -> DataFrame:
+    """Each channel of each tile scaled so that its low and high percentiles become 0 and 1."""
+    bounds = df.groupBy(*by).agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"_q_{c}") for c in v])
+    scaled = {c: (F.col(c) - F.col(f"_q_{c}")[0]) / F.greatest(F.col(f"_q_{c}")[1] - F.col(f"_q_{c}")[0], F.lit(1e-20)) for c in v}
+    return df.join(bounds, list(by)).withColumns(scaled).drop(*[f"_q_{c}" for c in v])
+
+
+def resize_nearest(df: DataFrame, values: Sequence[str], size: tuple[int, int], to: tuple[int, int], by: Sequence[str] = ()) -> DataFrame:
+    """Nearest-neighbour resize from ``size`` to ``to`` (width, height): every target pixel looks up one source pixel."""
+    (w0, h0), (w1, h1) = size, to
+    spread = lambda c, n0, n1: F.explode(F.expr(f"filter(sequence(cast(floor({c} * {n1} / {n0}) as int), cast(ceil(({c} + 1) * {n1} / {n0}) as int)), t -> t < {n1} and cast(floor(t * {n0} / {n1}) as int) = {c})"))
+    return df.withColumn("_tx", spread("px", w0, w1)).withColumn("_ty", spread("py", h0, h1)).select(*by, F.col("_tx").alias("px"), F.col("_ty").alias("py"), *values)
+
+
+def patch_intensity(points: DataFrame, image: DataFrame, v: str, key: str, radius: str, outer: str, most: int, by: Sequence[str] = (), threshold: float = 30) -> DataFrame:
+    """Around each point: mean, maximum, deviation and positive share within ``radius``; mean and share of the ring out to ``outer``.
+
+    Points and pixels meet on square blocks of the largest outer radius ``most``; a point asks for the blocks that its ring touches.
+    """
+    block = lambda c: F.floor(c / most)
+    cover = lambda c: F.explode(F.sequence(block(F.col(c) - F.col(outer)), block(F.col(c) + F.col(outer))))
+    asked = points.select(key, *by, "cx", "cy", radius, outer).withColumn("_bx", cover("cx")).withColumn("_by", cover("cy"))
+    px = image.select(*by, "px", "py", v, block(F.col("px")).alias("_bx"), block(F.col("py")).alias("_by"))
+    d2 = (F.col("px") - F.col("cx")) * (F.col("px") - F.col("cx")) + (F.col("py") - F.col("cy")) * (F.col("py") - F.col("cy"))
+    near = asked.join(px, [*by, "_bx", "_by"]).withColumn("_d2", d2).where(F.col("_d2") <= F.col(outer) * F.col(outer))
+    inside = F.col("_d2") <= F.col(radius) * F.col(radius)
+    own, ring, hit = F.when(inside, F.col(v)), F.when(~inside, F.col(v)), (F.col(v) > threshold).cast("int")
+    found = near.groupBy(key).agg(
+        F.avg(own).alias("marker_intensity_mean"), F.max(own).alias("marker_intensity_max"), F.stddev_pop(own).alias("marker_intensity_std"),
+        F.avg(F.when(inside, hit)).alias("marker_positive_area_fraction"), F.avg(ring).alias("perinuclear_intensity_mean"), F.avg(F.when(~inside, hit)).alias("perinuclear_positive_fraction"),
+    )
+    names = [c for c in found.columns if c != key]
+    return points.select(key).join(found, key, "left").select(key, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
+
+
+def filament_table(comps: DataFrame, by: Sequence[str], mpp: float, least: int = 20) -> DataFrame:
+    """Skeleton components of at least ``least`` pixels, with length, box, centroid, aspect ratio and orientation."""
+    n, mid = F.col("x1") - F.col("x0") + 1, (F.col("x0") + F.col("x1")) / 2
+    # Second moments of a run of n pixels about its own middle are (n^2 - 1) / 12 each.
+    sums = comps.groupBy(*by, "comp").agg(
+        F.sum(n).alias("length_px"), F.min("x0").alias("_x0"), F.max("x1").alias("_x1"), F.min("py").alias("_y0"), F.max("py").alias("_y1"),
+        (F.sum(mid * n) / F.sum(n)).alias("centroid_x"), (F.sum(F.col("py") * n) / F.sum(n)).alias("centroid_y"),
+        (F.sum(n * mid * mid + n * (n * n - 1) / 12) / F.sum(n)).alias("_xx"), (F.sum(n * F.col("py") * F.col("py")) / F.sum(n)).alias("_yy"), (F.sum(n * mid * F.col("py")) / F.sum(n)).alias("_xy"),
+    ).where(F.col("length_px") >= least)
+    w, h = F.col("_x1") - F.col("_x0") + 1, F.col("_y1") - F.col("_y0") + 1
+    cx, cy = F.col("centroid_x"), F.col("centroid_y")
+    a, c, b = F.col("_xx") - cx * cx, F.col("_yy") - cy * cy, -(F.col("_xy") - cx * cy)
+    turn = F.when(a == c, F.when(b < 0, F.lit(-np.pi / 4)).otherwise(F.lit(np.pi / 4))).otherwise(F.atan2(-2 * b, c - a) / 2)
+    return sums.select(
+        *by, "comp", "length_px", (F.col("length_px") * mpp).alias("length_um"), "centroid_x", "centroid_y", turn.alias("orientation_rad"), F.degrees(turn).alias("orientation_deg"),
+        w.alias("bbox_width"), h.alias("bbox_height"), (F.greatest(w, h) / (F.least(w, h) + 1e-6)).alias("aspect_ratio"),
+    )

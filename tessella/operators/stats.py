@@ -175,3 +175,37 @@ def markdown(df: DataFrame) -> DataFrame:
     """Rows as lines of a Markdown table, without its head."""
     cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+
+
+def marker_summary(df: DataFrame, by: Sequence[str] = (), high: float = 0.5) -> DataFrame:
+    """Of patch intensities: mean and deviation, and objects whose positive share exceeds ``high``."""
+    over = F.col("marker_positive_area_fraction") > high
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("marker_intensity_mean").alias("mean_intensity"), F.stddev_samp("marker_intensity_mean").alias("std_intensity"),
+        F.count_if(over).alias("n_highly_positive"), (100 * F.avg(over.cast("int"))).alias("pct_highly_positive"),
+    )
+
+
+def positive_summary(df: DataFrame, flag: str, intensity: str, density: str, by: Sequence[str] = ()) -> DataFrame:
+    """Positives in number and percent, their intensity, and the distribution of a local density."""
+    p = lambda q: F.expr(f"percentile(`{density}`, {q})")
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(flag).cast("long").alias("n_positive"), (100 * F.avg(flag)).alias("pct_positive"), F.avg(intensity).alias("mean_intensity"),
+        F.stddev_samp(intensity).alias("std_intensity"), F.avg(density).alias("density_mean"), p(0.5).alias("density_median"), p(0.1).alias("density_p10"), p(0.9).alias("density_p90"),
+    )
+
+
+def filament_summary(filaments: DataFrame, topology: DataFrame, area_px: DataFrame, mpp: float) -> DataFrame:
+    """One row from filaments, skeleton topology (skeleton_px, endpoints, branches) and areas (positive_px, total_px)."""
+    n = filaments.agg(F.count(F.lit(1)).alias("n_filaments"), F.coalesce(F.avg("length_um"), F.lit(0.0)).alias("mean_length_um"))
+    t = topology.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("skeleton_px", "endpoints", "branches")])
+    out = n.crossJoin(t).crossJoin(area_px)  # one row each
+    share = F.when(F.col("total_px") > 0, F.col("positive_px") / F.col("total_px")).otherwise(F.lit(0.0))
+    return out.withColumns({"area_fraction": share, "skeleton_length_um": F.col("skeleton_px") * mpp})
+
+
+def column_check(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """(column, present, mean, min, max) of columns that a table should have."""
+    have = set(df.columns)
+    row = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(c in have).alias("present"), *[(f(c) if c in have else F.lit(None)).cast("double").alias(s) for s, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]) for c in wanted]).alias("r"))
+    return row.select(F.inline("r"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import columns as C
-from tessella.operators import raster
-from tessella.queries.registry import pixels, query, r6
+from tessella.operators import raster, stats
+from tessella.queries.registry import nuclei, pixels, query, r6
 from tessella.scratch import Scratch
 
 BLOCKS = """, lp as (select *, case when px % 6 between 1 and 4 and py % 6 between 1 and 4 then cast(floor(px / cast(6 as double)) as bigint) + 17 * cast(floor(py / cast(6 as double)) as bigint) + 1 else 0 end label from pixels)"""
@@ -145,3 +145,38 @@ def zscore_image(spark, sf):
     image = pixels(spark, sf).withColumn("image", F.lit(0))
     stats = image.groupBy("image").agg(F.avg("r").alias("m"), F.stddev_pop("r").alias("s"))
     return image.join(F.broadcast(stats), "image").select("px", "py", F.round((F.col("r") - F.col("m")) / (F.col("s") + 1e-8), 6).alias("z"))
+
+
+@query("tile_normalise", """, t as (select *, cast(floor(py / cast(50 as double)) as bigint) tile from pixels), q as (select tile, quantile_cont(r, 0.01) lo, quantile_cont(r, 0.998) hi from t group by tile)
+ select px, py, round((r - lo) / greatest(hi - lo, 1e-20), 6) r from t join q using (tile)""")
+def tile_normalise(spark, sf):
+    tiles = pixels(spark, sf).withColumn("tile", F.floor(F.col("py") / 50))
+    return raster.percentile_normalise(tiles, ["r"], ["tile"]).select("px", "py", *r6("r"))
+
+
+@query("mask_resize", """, t as (select x, y from (select unnest(range(0, 37)) x), (select unnest(range(0, 41)) y))
+ select x px, y py, v from t join mask on mask.px = cast(floor(x * 100 / cast(37 as double)) as bigint) and mask.py = cast(floor(y * 100 / cast(41 as double)) as bigint)""")
+def mask_resize(spark, sf):
+    return raster.resize_nearest(_mask(spark, sf).where("py < 100"), ["v"], (100, 100), (37, 41))
+
+
+@query("patch_intensity", """, n as (select nid, cast(floor(xi / cast(200 as double)) as bigint) cx, cast(floor(yi / cast(200 as double)) as bigint) cy, 2 + nid % 3 rad, 4 + nid % 3 outr from nuclei where slide_no = 1),
+ j as (select nid, g v, (px-cx)*(px-cx) + (py-cy)*(py-cy) <= rad * rad inner_ from n join pixels on (px-cx)*(px-cx) + (py-cy)*(py-cy) <= outr * outr)
+ select nid, round(coalesce(avg(v) filter (inner_), 0), 6) marker_intensity_mean, cast(coalesce(max(v) filter (inner_), 0) as double) marker_intensity_max, round(coalesce(stddev_pop(v) filter (inner_), 0), 6) marker_intensity_std,
+ round(coalesce(avg(case when v > 30 then 1 else 0 end) filter (inner_), 0), 6) marker_positive_area_fraction, round(coalesce(avg(v) filter (not inner_), 0), 6) perinuclear_intensity_mean,
+ round(coalesce(avg(case when v > 30 then 1 else 0 end) filter (not inner_), 0), 6) perinuclear_positive_fraction from n left join j using (nid) group by nid""")
+def patch_intensity(spark, sf):
+    n = nuclei(spark, sf).where("slide_no = 1")
+    points = n.select("nid", F.floor(F.col("xi") / 200).alias("cx"), F.floor(F.col("yi") / 200).alias("cy"), (2 + F.col("nid") % 3).alias("rad"), (4 + F.col("nid") % 3).alias("outr"))
+    out = raster.patch_intensity(points, pixels(spark, sf), "g", "nid", "rad", "outr", 6)
+    return out.select("nid", *r6(*[c for c in out.columns if c != "nid"]))
+
+
+@query("filament_summary")
+def filament_summary(spark, sf):
+    """Filaments of the DAB mask: thinned per tile, joined into components, measured and summed up."""
+    tiles = pixels(spark, sf).select("px", "py", (C.stain(C.DAB, *[F.col(c) for c in "rgb"]) > 0.6).cast("int").alias("v"), F.floor(F.col("py") / 100).alias("tile"))
+    skeleton = raster.skeleton(tiles, "v", ["tile"]).withColumn("v", F.lit(1))
+    filaments = raster.filament_table(raster.components(skeleton, "v", ["tile"], Scratch(spark, "filaments")), ["tile"], 0.5, 5)
+    area = tiles.agg(F.sum("v").alias("positive_px"), F.count(F.lit(1)).alias("total_px"))
+    return stats.filament_summary(filaments, raster.topology(skeleton, ["tile"]), area, 0.5)

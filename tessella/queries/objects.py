@@ -338,3 +338,33 @@ def slide_pipeline(spark, sf):
         "x_um": F.col("xi") / 10, "y_um": F.col("yi") / 10, "has_brown": (F.col("brown_intensity") > 0.15).cast("int"),
     }).drop("cluster", "seg", "nid", "slide_no")
     return run_slides(df, SlideSpec(radii_um=(50.0,), density_um=(50.0,), clusters=8))["report"]
+
+
+@query("brown_summary", PAIRS.format(r=500) + """, d as (select nid, any_value(slide_no2) slide_no, avg(case when brown_intensity > 0.15 then 1 else 0 end) den from pairs group by nid)
+ select n.slide_no, count(*) n, count(*) filter (brown_intensity > 0.15) n_positive, round(100 * avg(case when brown_intensity > 0.15 then 1 else 0 end), 6) pct_positive, round(avg(brown_intensity), 6) mean_intensity,
+ round(stddev_samp(brown_intensity), 6) std_intensity, round(avg(den), 6) density_mean, round(quantile_cont(den, 0.5), 6) density_median, round(quantile_cont(den, 0.1), 6) density_p10, round(quantile_cont(den, 0.9), 6) density_p90
+ from nuclei n join d using (nid) group by n.slide_no""")
+def brown_summary(spark, sf):
+    df = nuclei(spark, sf).withColumn("has_brown", (F.col("brown_intensity") > 0.15).cast("int"))
+    near = neighbourhood(df, [Ask("den", "mean", 500, "has_brown")], "nid", BY, "xi", "yi").select("nid", "den")
+    out = stats.positive_summary(df.join(near, "nid"), "has_brown", "brown_intensity", "den", BY)
+    return out.select("slide_no", "n", "n_positive", *r6(*[c for c in out.columns if c not in ("slide_no", "n", "n_positive")]))
+
+
+@query("column_check", " select 'area_px' as column, true present, round(avg(area_px), 6) mean, cast(min(area_px) as double) min, cast(max(area_px) as double) max from nuclei union all select 'absent', false, null, null, null")
+def column_check(spark, sf):
+    return stats.column_check(nuclei(spark, sf), ["area_px", "absent"]).select("column", "present", *r6("mean"), "min", "max")
+
+
+@query("family_ordinal", " select nid, cast(dense_rank() over (order by seg) - 1 as integer) code from nuclei")
+def family_ordinal(spark, sf):
+    return stats.ordinal(nuclei(spark, sf).select("nid", "seg"), "seg", "code").select("nid", "code")
+
+
+@query("union_slides", " select cast(slide_no as varchar) slide_id, count(*) n, count(orientation) n_orientation, count(brown) n_brown from (select slide_no, orientation, null brown from nuclei where slide_no = 0 union all select slide_no, null, brown_intensity from nuclei where slide_no = 1) group by 1")
+def union_slides_query(spark, sf):
+    from tessella.sources.tables import union_slides
+
+    df = nuclei(spark, sf)
+    parts = {"0": df.where("slide_no = 0").select("nid", "orientation"), "1": df.where("slide_no = 1").select("nid", F.col("brown_intensity").alias("brown"))}
+    return union_slides(parts).groupBy("slide_id").agg(F.count(F.lit(1)).alias("n"), F.count("orientation").alias("n_orientation"), F.count("brown").alias("n_brown"))
