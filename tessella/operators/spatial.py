@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.scratch import Scratch
+
 
 def _cells(x: Column, y: Column, r: float) -> tuple[Column, Column]:
     return F.floor(x / F.lit(float(r))).cast("long"), F.floor(y / F.lit(float(r))).cast("long")
@@ -51,13 +53,15 @@ def radius_join(left: DataFrame, right: DataFrame, r: float, by: Sequence[str],
     return l.join(rr, on, how).withColumn("d2", d2).drop("_lx", "_ly", "_rx", "_ry", "_dx", "_dy")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, other: str, by: Sequence[str], r: float, bounded: bool = True, strict: bool = True, x: str = "x", y: str = "y", span: float = 1e9) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: str, other: str, by: Sequence[str], r: float, bounded: bool = True, strict: bool = True, x: str = "x", y: str = "y") -> DataFrame:
     """(key, other, d2): the nearest right row of each left row, ties by the smaller ``other``.
 
     Bounded: misses (none within r; at r itself if ``strict``) have nulls.
     Unbounded: rings of r, 2r, 4r, ... are searched; a match within a ring's
-    radius is final, and only the unmatched go on, so the loop ends after as many
-    rounds as the largest gap doubles (nothing but a count reaches the driver).
+    radius is final, and only the unmatched go on, so there are as many rounds as
+    the largest gap takes doublings.  Rounds are written tables; the driver sees
+    the extent and one flag a round.  Rows whose keys the right side lacks have no
+    match and are left out.
     """
     best = F.min(F.struct(F.col("d2"), F.col(f"r_{other}").alias("o"))).alias("b")
     pick = lambda df: df.groupBy(f"l_{key}").agg(best).select(F.col(f"l_{key}").alias(key), F.col("b.o").alias(other), F.col("b.d2").alias("d2"))
@@ -65,14 +69,18 @@ def nearest(left: DataFrame, right: DataFrame, key: str, other: str, by: Sequenc
         pairs = radius_join(left, right, r, by, x, y)
         found = pick(pairs.where(F.col("d2") < r * r) if strict else pairs)
         return left.select(key).join(found, key, "left")
-    out, todo = None, left
+    scratch = Scratch(left.sparkSession, "nearest")
+    todo = left.join(right.select(*by).distinct(), list(by), "left_semi") if by else left
+    ends = left.select(x, y).union(right.select(x, y)).agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    reach = 2 * max(float(ends[1] - ends[0]), float(ends[3] - ends[2])) if ends[0] is not None and not right.isEmpty() else 0.0
+    out, k = None, 0
     while True:
-        found = pick(radius_join(todo, right, r, by, x, y)).persist()
+        found = scratch.write(pick(radius_join(todo, right, r, by, x, y)), f"found-{k}")
         out = found if out is None else out.unionByName(found)
-        todo = todo.join(found, key, "left_anti").persist()
-        if r > span or todo.isEmpty():
+        todo = scratch.write(todo.join(found, key, "left_anti"), f"todo-{k}")
+        if r > reach or todo.isEmpty():
             return out
-        r *= 2
+        r, k = 2 * r, k + 1
 
 
 @dataclass(frozen=True)

@@ -170,8 +170,8 @@ def segmenter_agreement(spark, sf):
     df = nuclei(spark, sf).select("nid", "slide_no", "xi", "yi", "seg")
     a, b = df.where("seg = 'F'").drop("seg"), df.where("seg = 'O'").drop("seg")
     other = lambda d: d.withColumnRenamed("nid", "oid")
-    ab = nearest(a, other(b), "nid", "oid", BY, 200, bounded=False, x="xi", y="yi", span=30000)
-    ba = nearest(b, other(a), "nid", "oid", BY, 200, bounded=False, x="xi", y="yi", span=30000)
+    ab = nearest(a, other(b), "nid", "oid", BY, 500, bounded=False, x="xi", y="yi")
+    ba = nearest(b, other(a), "nid", "oid", BY, 500, bounded=False, x="xi", y="yi")
     out = stats.count_comparison(a, b).crossJoin(stats.agreement(ab, ba, 100))
     return out.select("n_a", "n_b", "difference", *r6("pct_difference", "pct_ab", "mean_ab", "median_ab", "pct_ba", "mean_ba", "median_ba"))
 

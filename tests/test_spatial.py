@@ -59,7 +59,7 @@ def test_radius_join_and_nearest(spark):
     d2[a.slide.to_numpy()[:, None] != b.slide.to_numpy()] = np.inf
     assert got == (d2 <= R * R).sum()
     for bounded in (True, False):
-        near = nearest(spark.createDataFrame(a), spark.createDataFrame(b), "nid", "mid", ["slide"], 50, bounded=bounded, span=1e5).toPandas().set_index("nid")
+        near = nearest(spark.createDataFrame(a), spark.createDataFrame(b), "nid", "mid", ["slide"], 50, bounded=bounded).toPandas().set_index("nid")
         for i in range(len(a)):
             best = d2[i].min()
             if bounded and best >= 2500:
