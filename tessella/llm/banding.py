@@ -36,13 +36,21 @@ LED = "bucket long, id long, leader long"
 
 def lead(bucket: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
     """Every (bucket, id) once, with the bucket's leader: the member of least hash."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, ids = bucket[order], ids[order]
+    same = bucket[1:] == bucket[:-1]
+    many = np.r_[same, False] | np.r_[False, same]
+    single = pd.DataFrame({"bucket": bucket[~many], "id": ids[~many], "leader": ids[~many]})
+    bucket, ids = bucket[many], ids[many]
+    if not len(ids):
+        return single
     rank = mix(ids.view(np.uint64))  # alike in all buckets, so that a group has few leaders and few distinct pairs
     order = np.lexsort((rank, bucket))
     bucket, ids, rank = bucket[order], ids[order], rank[order]
-    fresh = np.r_[True, (bucket[1:] != bucket[:-1]) | (rank[1:] != rank[:-1])] if len(ids) else np.zeros(0, bool)
+    fresh = np.r_[True, (bucket[1:] != bucket[:-1]) | (rank[1:] != rank[:-1])]
     bucket, ids = bucket[fresh], ids[fresh]
-    head = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(ids) else np.zeros(0, int)
-    return pd.DataFrame({"bucket": bucket, "id": ids, "leader": np.repeat(ids[head], np.diff(np.r_[head, len(ids)]))})
+    head = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    return pd.concat([single, pd.DataFrame({"bucket": bucket, "id": ids, "leader": np.repeat(ids[head], np.diff(np.r_[head, len(ids)]))})])
 
 
 def led(buckets: DataFrame) -> DataFrame:
@@ -92,21 +100,21 @@ def wanted_ids(ids: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
 
 def link_components(
     rows: DataFrame, near: Callable[[DataFrame], DataFrame], sketches: Callable[[], DataFrame], payload: Callable[[DataFrame], DataFrame],
-    as_set: Callable[[object], np.ndarray], most_differ: int, percent: int, scratch: Scratch,
+    as_sets: Callable[[list], list[np.ndarray]], most_differ: int, percent: int, scratch: Scratch,
 ) -> DataFrame:
     """Components (id, comp) of the ids in ``rows``, which are (bucket, id, leader) as ``led`` gives them.
 
     ``near`` leaves out pairs(a, b) that cannot be links.  ``sketches()`` has
     (id, sketch) with equally long binaries; pairs of which more than
     ``most_differ`` bits differ are no links.  ``payload`` gives (id, s) of some
-    ids and ``as_set`` an s's sorted set; a link has 100 * intersection >=
+    ids and ``as_sets`` the sorted sets of several s; a link has 100 * intersection >=
     percent * union.
     """
     place = F.when(F.col("id") == F.col("leader"), F.col("bucket")).otherwise(F.xxhash64("bucket", "id"))
     stars = scratch.write(rows.repartition(place).mapInPandas(_meet, LED), "stars")
     pairs = scratch.write(near(stars.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()).distinct(), "pairs")
     texts = scratch.write(payload(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "texts")
-    links = scratch.write(_links(_led_blocks(pairs), texts, as_set, percent), "links-1")
+    links = scratch.write(_links(_led_blocks(pairs), texts, as_sets, percent), "links-1")
     comps = scratch.write(connected_components(links, scratch, "comps-1"), "first-comps")
     members = stars.select("bucket", "id").union(stars.select("bucket", "leader")).distinct()
     own = members.join(comps, "id", "left").select(F.col("bucket").alias("g"), "id", F.coalesce("comp", "id").alias("comp"))
@@ -119,13 +127,13 @@ def link_components(
     own = scratch.write(families.join(comps, "id", "left").select("g", "id", F.coalesce("comp", "id").alias("comp")), "family-members")
     if own.isEmpty():
         return comps
-    more = scratch.write(_links(_blocks(own, 1), payload(own.select("id")), as_set, percent), "links-2")
+    more = scratch.write(_links(_blocks(own, 1), payload(own.select("id")), as_sets, percent), "links-2")
     return scratch.write(connected_components(links.unionByName(more), scratch, "comps-2"), "comps")
 
 
-def _links(blocks: DataFrame, payload: DataFrame, as_set: Callable[[object], np.ndarray], percent: int) -> DataFrame:
+def _links(blocks: DataFrame, payload: DataFrame, as_sets: Callable[[list], list[np.ndarray]], percent: int) -> DataFrame:
     """A forest of the true links in blocks."""
-    return blocks.join(payload, "id").repartition("g", "chunk").mapInPandas(lambda it: _forest(it, _true_links(percent, as_set), False), "a long, b long")
+    return blocks.join(payload, "id").repartition("g", "chunk").mapInPandas(lambda it: _forest(it, _true_links(percent, as_sets), False), "a long, b long")
 
 
 def _led_blocks(pairs: DataFrame) -> DataFrame:
@@ -194,15 +202,15 @@ def _near_pairs(most_differ: int):
     return related
 
 
-def _true_links(percent: int, as_set: Callable[[object], np.ndarray]):
+def _true_links(percent: int, as_sets: Callable[[list], list[np.ndarray]]):
     """Exact intersections of full sets: products of 0/1 matrices over shared elements, a slab of elements at a time."""
 
     def related(rows: pd.DataFrame, come: np.ndarray, stay: np.ndarray) -> np.ndarray:
         payload, at = rows["s"].to_numpy(), np.r_[come, stay]
-        sets = [as_set(payload[i]) for i in at]
+        sets = as_sets(list(payload[at]))
         size = np.array([len(s) for s in sets])
         if len(stay) == 1:  # a leader and its members
-            common = np.array([len(np.intersect1d(s, sets[-1], assume_unique=True)) for s in sets[:-1]])[:, None]
+            common = np.array([_common(s, sets[-1]) for s in sets[:-1]])[:, None]
             return 100 * common >= percent * (size[:-1, None] + size[-1] - common)
         element, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         shared = np.cumsum(count > 1) - 1
@@ -221,3 +229,10 @@ def _true_links(percent: int, as_set: Callable[[object], np.ndarray]):
         return 100 * common >= percent * union
 
     return related
+
+
+def _common(s: np.ndarray, t: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if not len(s) or not len(t):
+        return 0
+    return int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())

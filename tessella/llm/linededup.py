@@ -38,7 +38,7 @@ class LineParams:
     rows: int = 4
     samples: int = 128
     bits: int = 512
-    block: int = 1 << 19
+    block: int = 1 << 15
     seed: int = 41
 
     @property
@@ -81,9 +81,8 @@ def shingle_hashes(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
 class LineBands:
     def __init__(self, p: LineParams, functions: int):
         self.p = p
-        a, b = hash_seeds(functions, p.seed)
-        self.a = (a >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-        self.b = (b >> np.uint64(32)).astype(np.uint32)
+        a, _ = hash_seeds(functions, p.seed)
+        self.a = (a >> np.uint64(32)).astype(np.uint32) | np.uint32(1)  # odd multipliers permute 32-bit hashes
 
     def samples(self, lines: list[bytes]) -> np.ndarray:
         """[function, line] least values."""
@@ -93,7 +92,6 @@ class LineBands:
         value = np.empty_like(low)
         for f in range(len(self.a)):
             np.multiply(low, self.a[f], out=value)
-            value += self.b[f]
             np.minimum.reduceat(value, first[:-1], out=out[f])
         return out
 
@@ -171,8 +169,12 @@ def line_components(docs: DataFrame, scratch: Scratch, p: LineParams = LineParam
     """(id, comp) of the lines that are similar to others."""
     stored = lambda: docs.sparkSession.read.schema("id long, s binary").parquet(f"{scratch.root}/texts")
     given = iter([lambda ids: _texts(docs, ids), lambda ids: stored().join(ids, "id", "left_semi")])  # first from the documents, then from what was stored
-    as_set = lambda line: np.unique(shingle_hashes([line], p.shingle)[0])
-    return link_components(_band_rows(docs, p), lambda pairs: pairs, lambda: _sketches(stored(), p), lambda ids: next(given)(ids), as_set, p.most_differ, p.percent, scratch)
+
+    def as_sets(lines: list[bytes]) -> list[np.ndarray]:
+        h, first = shingle_hashes(lines, p.shingle)
+        return [np.unique(h[a:b]) for a, b in zip(first, first[1:])]
+
+    return link_components(_band_rows(docs, p), lambda pairs: pairs, lambda: _sketches(stored(), p), lambda ids: next(given)(ids), as_sets, p.most_differ, p.percent, scratch)
 
 
 def line_plan(docs: DataFrame, scratch: Scratch, p: LineParams = LineParams()) -> DataFrame:

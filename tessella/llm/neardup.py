@@ -81,6 +81,9 @@ class Sketcher:
             out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
         return np.unique(out)
 
+    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
+        return [self.shingles(t) for t in texts]
+
     def samples(self, s: np.ndarray) -> np.ndarray:
         """MinHash samples: the least value of each function over the set."""
         low = (s >> np.uint64(20)).astype(np.uint32)
@@ -168,7 +171,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, p: NearDupParams = NearDu
     buckets = led(reps.select(F.explode("bands").alias("bucket"), "id"))
     comps = link_components(
         buckets, lambda pairs: _near(sketches, p, pairs), lambda: sketches.select("id", "sketch"), lambda ids: _texts(base, ids),
-        Sketcher(p).shingles, p.most_differ, p.percent, scratch,
+        Sketcher(p).sets, p.most_differ, p.percent, scratch,
     )
     # An id with several texts is one node that ties its classes together.
     split = scratch.write(rows.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 and id is not null").select("id"), "repeated")
