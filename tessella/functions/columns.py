@@ -99,3 +99,13 @@ def arrow(orientation: Column, major: Column, scale: float) -> tuple[Column, Col
 
 def colour_norm(v: Column, low: Column, high: Column) -> Column:
     return F.when(high > low, F.least(F.greatest((v - low) / (high - low), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
+
+
+def blend(a: Column, b: Column, alpha: float) -> Column:
+    """An overlay of b on a."""
+    return F.least(F.greatest(F.round(a * (1 - alpha) + b * alpha), F.lit(0)), F.lit(255)).cast("int")
+
+
+def angle_proxy(major: Column, minor: Column) -> Column:
+    """The older stand-in for an orientation, where a table has none."""
+    return F.atan2(minor, major)

@@ -70,3 +70,11 @@ def stain_paths(slides: DataFrame) -> DataFrame:
     """One row per sample with a map from stain to path; of several paths the last by name is taken."""
     one = slides.where("sample is not null").groupBy("sample", "stain").agg(F.max("path").alias("path"))
     return one.groupBy("sample").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("stain", "path")))).alias("paths"))
+
+
+def marker_info(name: Column, info: dict[str, str], default: str = "unknown") -> Column:
+    """A marker's description by name, from a plan-time table."""
+    out = F.lit(default)
+    for k, v in info.items():
+        out = F.when(F.upper(name) == k.upper(), v).otherwise(out)
+    return out

@@ -270,3 +270,13 @@ def hdbscan_or_birch(df: DataFrame, columns: Sequence[str], k: int, **how) -> Da
 
 def centroids(df: DataFrame, cluster: str, columns: Sequence[str]) -> DataFrame:
     return df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in columns])
+
+
+def save_model(model, path: str) -> None:
+    """Any Spark ML model, replacing what is there."""
+    model.write().overwrite().save(path)
+
+
+def load_model(kind: type, path: str):
+    """A saved model of a class; a path without one raises."""
+    return kind.load(path)
