@@ -2,9 +2,9 @@
 
 Tokens are words (A-Z lower-cased) and one end per document.  The root state
 is the add-one unigram distribution.  A position's state is the longest suffix
-of the tokens before it that the tree retains; suffixes grow to the left from
-an anchor, the nearest rare word, so that a state's training rows stay few
-(contexts of frequent words alone are left to the root).  A context is retained
+of the tokens before it that the tree retains, up to ``depth`` tokens, of which the
+document's start may be one.  Every context of every position is counted and
+tested: it is retained
 when its next-token distribution diverges from its parent's by a leave-one-out
 test, which a context seen once or without repeated continuation never passes.
 A retained state's distribution is smoothed with its parent's, the weight
@@ -12,8 +12,12 @@ being the number of distinct continuations (Witten-Bell).
 
 Counts are exact and grow with the corpus: they are summed per batch, shuffled
 and written.  Only words of at least 1/2**21 of all tokens are broadcast, which
-bounds that table; rarer words are looked up by a join.  Contexts are counted
-and scored in the partition of their anchor, which no frequent word can fill.
+bounds that table; rarer words are looked up by a join.  Contexts that hold a
+word of fewer than ``hot`` occurrences are counted and scored in the partition
+of the context from the nearest such word on, which no frequent word can fill.
+Contexts of hot words alone are summed per batch and settled level by level, and
+the others start from their distributions.  Where that line runs changes the
+plan, never the result.
 
 Null and empty texts have one token, the end.  Repeated rows get equal scores.
 An empty training set leaves every token unknown.  Words are told apart by
@@ -44,7 +48,8 @@ class PstParams:
     modulus: int = 7
     remainder: int = 2
     frequent: int = 1 << 21
-    anchor: int = 32
+    depth: int = 4
+    hot: int = 1 << 19
     gain_bits: float = 4.0
     group_tokens: int = 200_000
 
@@ -140,69 +145,176 @@ def _document_rows(docs: DataFrame, vocabulary, p: PstParams) -> DataFrame:
     return docs.mapInPandas(run, "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, others array<long>")
 
 
-def _context_rows(docs: DataFrame, vocabulary, anchor: int, p: PstParams) -> DataFrame:
-    """One row for each position with an anchor among the two tokens before it.
+class _Positions:
+    """The contexts of every position of some documents, up to ``depth`` words and the document's start before it.
 
-    ``k1``: the context from the anchor on; ``pack``: a hash of the word before
-    that context, and the position's root probability (negative where held out,
-    0 where the next word's count isn't known here); ``nx``: the next token.
+    ``anchor`` is the distance of the nearest word before that is not hot (of
+    fewer than ``hot`` occurrences), depth + 1 where all are.  ``keys[d]`` is
+    the context of d words; it is there where ``reach`` is at least d.
     """
 
+    def __init__(self, v: Vocabulary, rows: pd.DataFrame, own: list[list[bytes]], hot: int, depth: int):
+        ids, first = v.lookup(own)
+        sizes = np.diff(first)
+        at = np.arange(len(ids)) - np.repeat(first[:-1], sizes)
+        h, often = v.h[ids], v.count[ids] >= hot
+        start_often = bool(v.count[v[b"\n"]] >= hot)  # as many starts as ends
+        self.nx, self.reach = h, np.minimum(at + 1, depth)
+        self.p0 = np.where(v.count[ids] >= 0, 10.0 ** v.logp[ids], 0).astype(np.float32)
+        self.held = np.repeat(rows["held_out"].to_numpy(bool), sizes)
+        self.rid = np.repeat(rows["rid"].to_numpy(), sizes)
+        self.anchor = np.full(len(ids), depth + 1)
+        self.keys, self.words = [np.zeros(len(ids), np.uint64)], [np.zeros(len(ids), np.uint64)]
+        back = lambda x, k: np.r_[np.zeros(min(k, len(x)), x.dtype), x[:-k]]
+        for d in range(1, depth + 1):
+            w = np.where(at >= d, back(h, d), np.uint64(0))
+            cold = np.where(at >= d, ~back(often, d), (at == d - 1) & (not start_often))
+            self.anchor = np.where(cold & (self.anchor > depth), d, self.anchor)
+            self.keys.append(mix((self.keys[-1] + np.uint64(d)) ^ mix(w + np.uint64(1))))
+            self.words.append(w)
+
+
+def _each(docs: DataFrame, vocabulary, hot: int, p: PstParams, make, schema: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = vocabulary.value
-        back = lambda x, k: np.r_[np.zeros(k, x.dtype), x[:-k]]
         for batch in batches:
             for rows, own in _groups(batch, p.group_tokens):
-                ids, first = v.lookup(own)
-                sizes = np.diff(first)
-                depth = np.arange(len(ids)) - np.repeat(first[:-1], sizes)
-                h, rare = v.h[ids], v.count[ids] < anchor
-                ends_here = h == np.uint64(END)
-                rare &= ~ends_here
-                near = (depth >= 1) & back(rare, 1)
-                far = (depth >= 2) & ~near & back(rare, 2)
-                at = np.flatnonzero(near | far)
-                if not len(at):
-                    continue
-                one, two = mix(h[at - 1] + np.uint64(1)), h[np.maximum(at - 2, 0)]
-                k1 = np.where(near[at], one, mix(one ^ two))
-                deeper = np.where(near[at], 2, 3)
-                before = np.where(depth[at] >= deeper, h[np.maximum(at - deeper, 0)], np.uint64(0))
-                known = v.count[ids[at]] >= 0
-                p0 = np.where(known, 10.0 ** v.logp[ids[at]], 0).astype(np.float32)
-                out = np.repeat(rows["held_out"].to_numpy(bool), sizes)[at]
-                p0 = np.where(out, -p0 - np.float32(1e-30), p0).astype(np.float32)
-                pack = (mix(before) & np.uint64(0xFFFFFFFF00000000)) | p0.view(np.uint32).astype(np.uint64)
-                rid = np.repeat(rows["rid"].to_numpy(), sizes)[at]
-                yield pd.DataFrame({"k1": k1.view(np.int64), "pack": pack.view(np.int64), "nx": h[at].view(np.int64), "rid": rid})
-
-    return docs.select("rid", "text", "held_out").mapInPandas(run, "k1 long, pack long, nx long, rid long")
-
-
-def _runs(*keys: np.ndarray) -> np.ndarray:
-    """Numbers of the runs of equal keys in sorted arrays."""
-    new = np.zeros(len(keys[0]), bool)
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return np.cumsum(new)
-
-
-def _state(key: np.ndarray, nx: np.ndarray, train: np.ndarray, parent: np.ndarray, gain_bits: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every row (sorted by key, nx): its state's count of nx, total and distinct continuations, and whether the state is retained."""
-    state, pair = _runs(key), _runs(key, nx)
-    c_pair = np.bincount(pair, train)
-    n_state = np.bincount(state, train)
-    head = np.r_[True, pair[1:] != pair[:-1]]
-    t_state = np.bincount(state[head], c_pair > 0)
-    c, n, t = c_pair[pair], n_state[state], t_state[state]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = np.log2((np.maximum(c - 1, 0) + t * parent) / (np.maximum(n - 1, 0) + t) / parent)
-    gain = np.bincount(state, np.where(train > 0, ratio, 0))
-    return c, n, t, (gain >= gain_bits)[state] & (n >= 2)
+                yield make(_Positions(vocabulary.value, rows, own, hot, p.depth))
+
+    return docs.select("rid", "text", "held_out").mapInPandas(run, schema)
+
+
+def _hot_pairs(docs: DataFrame, vocabulary, hot: int, p: PstParams) -> DataFrame:
+    """Training counts c of (context k of d hot words, next token nx), held-out pairs included; added up per batch before the shuffle."""
+
+    def make(x: _Positions) -> pd.DataFrame:
+        parts = []
+        for d in range(1, p.depth + 1):
+            own = np.flatnonzero((x.anchor > d) & (x.reach >= d))
+            _, head, pair = np.unique(_pair(x.keys[d][own], x.nx[own]), return_index=True, return_inverse=True)
+            c, i = np.bincount(pair, ~x.held[own], len(head)), own[head]
+            parts.append(pd.DataFrame({"d": d, "k": x.keys[d][i].view(np.int64), "up": x.keys[d - 1][i].view(np.int64), "nx": x.nx[i].view(np.int64), "p0": x.p0[i], "c": c.astype(np.int64)}))
+        return pd.concat(parts)
+
+    rows = _each(docs, vocabulary, hot, p, make, "d int, k long, up long, nx long, p0 float, c long")
+    return rows.groupBy("d", "k", "nx").agg(F.first("up").alias("up"), F.first("p0").alias("p0"), F.sum("c").alias("c"))
+
+
+def _context_rows(docs: DataFrame, vocabulary, hot: int, p: PstParams, near: bool) -> DataFrame:
+    """One row for each position, with (``near``) or without a word that is not hot right before it.
+
+    ``g``: the context from the anchor on, which few rows have; ``up``: the
+    longest context of hot words alone.  ``w0``... hold two 32-bit halves each:
+    the root probability (negative where held out, 0 where the next word's count
+    isn't known here), then hashes of the words before the anchor (odd; 0 where
+    there is none, 2 where there is no anchor).
+    """
+
+    def make(x: _Positions) -> pd.DataFrame:
+        own = np.flatnonzero((x.anchor == 1) == near)
+        a, reach, rid = x.anchor[own], x.reach[own], x.rid[own]
+        local = a <= p.depth
+        keys, words = np.stack(x.keys), (mix(np.stack(x.words) + np.uint64(1)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        p0 = np.where(x.held[own], -x.p0[own] - np.float32(1e-30), x.p0[own]).astype(np.float32)
+        halves = [p0.view(np.uint32)]
+        for j in range(1, p.depth):
+            halves.append(np.where(a + j <= reach, words[np.minimum(a + j, p.depth), own], np.uint32(0)))
+        halves[1] = np.where(local, halves[1], np.uint32(2))
+        out = {"g": np.where(local, keys[np.minimum(a, p.depth), own].view(np.int64), rid), "nx": x.nx[own].view(np.int64), "rid": rid}
+        for j in range(0, len(halves), 2):
+            high = halves[j + 1] if j + 1 < len(halves) else np.zeros(len(own), np.uint32)
+            out[f"w{j // 2}"] = (halves[j].astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)).view(np.int64)
+        if not near:
+            out["up"] = keys[np.minimum(a - 1, reach), own].view(np.int64)
+        return pd.DataFrame(out)
+
+    more = "".join(f", w{j} long" for j in range((p.depth + 1) // 2)) + ("" if near else ", up long")
+    return _each(docs, vocabulary, hot, p, make, f"g long, nx long, rid long{more}")
+
+
+def _pair(key: np.ndarray, nx: np.ndarray) -> np.ndarray:
+    return mix(key ^ mix(nx + np.uint64(1)))
+
+
+@dataclass
+class _Rows:
+    """Rows of contexts and next tokens: the probability so far, whether a state counted the token, and whether any state was retained."""
+
+    nx: np.ndarray
+    weight: np.ndarray
+    unknown: np.ndarray
+    p: np.ndarray
+    seen: np.ndarray
+    used: np.ndarray
+
+    def settle(self, key: np.ndarray, at: np.ndarray, gain_bits: float) -> np.ndarray:
+        """Tests the contexts ``key`` of the rows ``at`` and applies those retained; tells which may have longer ones.
+
+        A context without a repeated continuation never passes, nor does any longer one.
+        """
+        w, parent = self.weight[at], self.p[at]
+        _, state = np.unique(key, return_inverse=True)
+        _, head, pair = np.unique(_pair(key, self.nx[at]), return_index=True, return_inverse=True)
+        c_pair, n_state = np.bincount(pair, w), np.bincount(state, w)
+        t_state = np.bincount(state[head], c_pair > 0, len(n_state))
+        most = np.zeros(len(n_state))
+        np.maximum.at(most, state[head], c_pair)
+        c, n, t = c_pair[pair], n_state[state], t_state[state]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.log2((np.maximum(c - 1, 0) + t * parent) / (np.maximum(n - 1, 0) + t) / parent)
+            kept = (np.bincount(state, np.where(w > 0, w * ratio, 0), len(n_state)) >= gain_bits)[state] & (n >= 2)
+            counted = kept & (c > 0)
+            lower = np.where(self.unknown[at] & ~self.seen[at], 0, parent)
+            self.p[at] = np.where(counted, (c + t * lower) / (n + t), np.where(kept, t / (n + t) * parent, parent))
+        self.seen[at] |= counted
+        self.used[at] |= kept
+        return (most >= 2)[state]
+
+
+def _pack(p: np.ndarray, seen: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """A probability as a float, and two flags, in one number."""
+    return (p.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32) | seen.astype(np.uint64) << np.uint64(1) | used.astype(np.uint64)).view(np.int64)
+
+
+def _unpack(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    u = q.view(np.uint64)
+    return (u >> np.uint64(32)).astype(np.uint32).view(np.float32).astype(float), (u & np.uint64(2)) > 0, (u & np.uint64(1)) > 0
+
+
+def _settle_hot(batches: Iterator[pd.DataFrame], least_p: float, gain_bits: float) -> Iterator[pd.DataFrame]:
+    """The distributions of the hot contexts of one partition."""
+    frames = list(batches)
+    x = pd.concat(frames) if frames else pd.DataFrame()
+    if not len(x):
+        return
+    p0 = x["p0"].to_numpy(float)
+    p, seen, used = _unpack(x["q"].to_numpy())
+    p = np.where(p > 0, p, np.where(p0 > 0, p0, least_p))
+    rows = _Rows(x["nx"].to_numpy().view(np.uint64), x["c"].to_numpy(float), p0 <= 0, p, seen, used)
+    rows.settle(x["k"].to_numpy().view(np.uint64), np.arange(len(x)), gain_bits)
+    yield pd.DataFrame({"k": x["k"].to_numpy(), "nx": x["nx"].to_numpy(), "q": _pack(rows.p, rows.seen, rows.used)})
+
+
+def _hot_states(docs: DataFrame, vocabulary, hot: int, least_p: float, scratch: Scratch, p: PstParams) -> DataFrame:
+    """(k, nx, q: the packed row) of all contexts of hot words alone, level by level."""
+    pairs = scratch.write(_hot_pairs(docs, vocabulary, hot, p), "pairs")
+    bits, levels = p.gain_bits, []
+    for d in range(1, p.depth + 1):
+        own = pairs.where(F.col("d") == d)
+        if levels:
+            own = own.join(levels[-1].withColumnRenamed("k", "up"), ["up", "nx"])
+        else:
+            own = own.withColumn("q", F.lit(0).cast("long"))
+        own = own.select("k", "nx", "c", "p0", "q").repartition("k")
+        levels.append(scratch.write(own.mapInPandas(lambda it: _settle_hot(it, least_p, bits), "k long, nx long, q long"), f"level{d}"))
+    scratch.drop("pairs")
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _score_contexts(batches: Iterator[pd.DataFrame], least_p: float, gain_bits: float) -> Iterator[pd.DataFrame]:
-    """Counts, tests and scores of the contexts of one partition.
+    """Counts, tests and scores of the contexts of one partition, one word longer at a time.
 
     Gives per document the gain over the root, and (with nx) the positions
     whose root term isn't known here and doesn't count.
@@ -211,31 +323,28 @@ def _score_contexts(batches: Iterator[pd.DataFrame], least_p: float, gain_bits:
     if not frames:
         return
     x = pd.concat(frames)
-    k1, nx, rid, pack = (x[c].to_numpy() for c in ("k1", "nx", "rid", "pack"))
-    bits = pack.view(np.uint64)
-    p0 = (bits & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.float32).astype(float)
-    k2 = (bits >> np.uint64(32)).astype(np.int64)
-    order = np.lexsort((nx, k2, k1))
-    k1, nx, rid, k2, p0 = k1[order], nx[order], rid[order], k2[order], p0[order]
-    train = (p0 >= 0).astype(float)
-    p0 = np.abs(p0)
+    del frames
+    rid, nx = x["rid"].to_numpy(), x["nx"].to_numpy()
+    packed = [x[c].to_numpy().view(np.uint64) for c in x.columns if c[0] == "w"]
+    halves = [(w >> np.uint64(s)).astype(np.uint32) for w in packed for s in (0, 32)]
+    signed, words = halves[0].view(np.float32).astype(float), halves[1:]
+    p0 = np.abs(signed)
     unknown = p0 <= 2e-30
     p0 = np.where(unknown, least_p, p0)
-    by1 = np.lexsort((nx, k1))
-    c, n, t, kept1 = (np.empty(len(nx)) for _ in range(4))
-    c[by1], n[by1], t[by1], kept1[by1] = _state(k1[by1], nx[by1], train[by1], p0[by1], gain_bits)
-    kept1 = kept1 > 0
-    seen1 = kept1 & (c > 0)
-    lower = np.where(unknown, 0, p0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p1 = np.where(seen1, (c + t * lower) / (n + t), np.where(kept1, t / (n + t) * p0, p0))
-        c2, n2, t2, kept2 = _state(_runs(k1, k2), nx, train, p1, gain_bits)
-        seen2 = kept2 & (c2 > 0)
-        lower2 = np.where(unknown & ~seen1, 0, p1)
-        final = np.where(seen2, (c2 + t2 * lower2) / (n2 + t2), np.where(kept2, t2 / (n2 + t2) * p1, p1))
-    whole = unknown & (seen1 | seen2)  # the state's probability replaces the root's unknown one
-    use = kept1 | kept2
-    value = np.log10(final[use]) - np.where(whole[use], 0, np.log10(p0[use]))
+    p, seen, used = _unpack(x["q"].to_numpy())
+    rows = _Rows(nx.view(np.uint64), (signed >= 0).astype(float), unknown, np.where(p > 0, p, p0), seen, used)
+    key, at = x["g"].to_numpy().view(np.uint64), np.flatnonzero(words[0] != 2)
+    key = key[at]
+    for w in [*words, None]:
+        if not len(at):
+            break
+        on = rows.settle(key, at, gain_bits)
+        if w is not None:
+            on &= w[at] != 0
+            at = at[on]
+            key = mix(key[on] ^ mix(w[at].astype(np.uint64)))
+    use, whole = rows.used, unknown & rows.seen  # whole: the state's probability replaces the root's unknown one
+    value = np.log10(rows.p[use]) - np.where(whole[use], 0, np.log10(p0[use]))
     docs, at = np.unique(rid[use], return_inverse=True)
     if len(docs):
         yield pd.DataFrame({"rid": docs, "nx": pd.array([None] * len(docs), "Int64"), "value": np.bincount(at, value)})
@@ -255,12 +364,17 @@ def suffix_tree_scores(docs: DataFrame, scratch: Scratch, p: PstParams = PstPara
     common = counts.where(F.col("c") >= least).toPandas()
     common = common.assign(u=common["h"].to_numpy(np.int64).view(np.uint64)).sort_values("u")
     vocabulary = spark.sparkContext.broadcast(Vocabulary(common["u"].to_numpy(), common["c"].to_numpy(np.int64), total, distinct))
-    anchor = int(max(np.ceil(least), p.anchor))
+    hot = int(max(np.ceil(least), p.hot))
     # A bound of the root probability of words whose count isn't broadcast; it makes the tests stricter.
     least_p = max(least, 1.0) / (total + distinct + 1)
     rows = scratch.write(_document_rows(base, vocabulary, p), "rows")
-    contexts = _context_rows(base, vocabulary, anchor, p).repartition("k1")
     bits = p.gain_bits
+    contexts = _context_rows(base, vocabulary, hot, p, True).withColumn("q", F.lit(0).cast("long"))
+    if (common["c"] >= hot).any():
+        states = _hot_states(base, vocabulary, hot, least_p, scratch, p)
+        far = _context_rows(base, vocabulary, hot, p, False).join(states.withColumnRenamed("k", "up"), ["up", "nx"])
+        contexts = contexts.unionByName(far.select(*contexts.columns))
+    contexts = contexts.repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), "g")
     gains = scratch.write(contexts.mapInPandas(lambda it: _score_contexts(it, least_p, bits), "rid long, nx long, value double"), "gains")
     # Exact repeats of a row share an id; their sums are divided by how many they are.
     named = rows.groupBy("rid").agg(F.count(F.lit(1)).alias("copies"))

@@ -215,3 +215,48 @@ def test_held_out_accuracy(spark):
     text = dict(rows)
     found = [text[r.doc_id][s.start : s.end] for r in got for s in r.spans]
     assert found and sum(w in bad for w in found) > 0.95 * len(found)
+
+
+def test_suffix_tree_states(spark):
+    """Scores by every context of up to four tokens, whichever words are hot; most contexts here are of frequent words alone."""
+    rng = random.Random(8)
+    phrases = ["a b c d a", "b a c a b d", "a a b", "c d a b"]
+    texts = [" ".join(rng.choice(phrases) if rng.random() < 0.8 else f"r{rng.randrange(9)}" for _ in range(30)) for _ in range(30)]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    docs = [[*t.encode().split(), b"\n"] for t in texts]
+    start, counts = b"<", Counter(w for d, h in zip(docs, held) if not h for w in d)
+    norm = sum(counts.values()) + len(counts) + 1
+    follow = {}
+    for d, h in zip(docs, held):
+        for i, w in enumerate(d):
+            before = [start, *d[:i]]
+            for k in range(1, min(4, len(before)) + 1):
+                follow.setdefault(tuple(before[-k:]), Counter())[w] += not h
+
+    def p(context, w):
+        if not context:
+            return (counts[w] + 1) / norm
+        c, lower = follow[context], p(context[1:], w)
+        if not retained(context):
+            return lower
+        n, t = sum(c.values()), sum(v > 0 for v in c.values())
+        return (c[w] + t * lower) / (n + t)
+
+    known = {}
+
+    def retained(context):
+        if context not in known:
+            c = follow[context]
+            n, t = sum(c.values()), sum(v > 0 for v in c.values())
+            gain = sum(v * math.log2((v - 1 + t * p(context[1:], w)) / (n - 1 + t) / p(context[1:], w)) for w, v in c.items() if v)
+            known[context] = n >= 2 and gain >= 4
+        return known[context]
+
+    want = [sum(math.log10(p(tuple([start, *d[:i]][-4:]), w)) for i, w in enumerate(d)) for d in docs]
+    assert sum(len(c) == 4 and retained(c) for c in follow)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot in (1, 30, 1 << 19):
+        got = {r.doc_id: r.score for r in pst.suffix_tree_scores(table, Scratch(spark, "t"), pst.PstParams(hot=hot)).collect()}
+        assert all(abs(got[i] - w) < 1e-4 * len(docs[i]) for i, w in enumerate(want))
+    same = [{r.doc_id: r.score for r in pst.suffix_tree_scores(table, Scratch(spark, "t"), pst.PstParams(hot=hot, frequent=30)).collect()} for hot in (1, 1 << 19)]
+    assert all(abs(same[0][i] - same[1][i]) < 1e-4 * len(docs[i]) for i in same[0])  # also with most counts looked up by the join
