@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.scratch import Scratch
+
 
 def select_features(df: DataFrame, wanted: Sequence[str], fallback: Sequence[str] = ()) -> list[str]:
     """The wanted columns that exist; else the fallback's (decided at plan time)."""
@@ -154,52 +156,84 @@ def _nearest(x: Column, centres: np.ndarray, labels: np.ndarray) -> Column:
     return assign(x)
 
 
-def hierarchical_labels(df: DataFrame, columns: Sequence[str], cluster: str, key: str, most: int = 4, seed: int = 42, sample: int = 20_000) -> DataFrame:
+def hierarchical_labels(df: DataFrame, columns: Sequence[str], cluster: str, key: str, most: int = 4, seed: int = 42, rounds: int = 50) -> DataFrame:
     """(key, cluster_hierarchical): each cluster's rows in at most four sub-clusters, as ``3b``; clusters under ``most`` rows are all ``a``.
 
-    Centroids are fitted on at most ``sample`` rows of a cluster, in hash order; every row is assigned to the nearest.
+    Centroids are fitted on all rows of a cluster: k-means++ draws by hash, then
+    Lloyd rounds.  Each round sends only sums to the driver, a row per sub-cluster.
     """
-    data = assemble(df, columns, "_x").select(key, cluster, vector_to_array("_x").alias("_a"))
-    size = data.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"))
-    share = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < F.lit(1e6) * sample / F.col("_n")
-    picked = data.join(F.broadcast(size), cluster).where(share)  # one row per cluster
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(key)
-        x = np.array(g["_a"].tolist(), float)
-        if int(g["_n"].iloc[0]) < most:
-            centres = x.mean(axis=0, keepdims=True)
-        else:
-            centres = _lloyd(x, most, seed)
-        return pd.DataFrame({cluster: g[cluster].iloc[0], "_c": [centres.ravel().tolist()]})
-
-    centres = picked.groupBy(cluster).applyInPandas(fit, T.StructType([df.schema[cluster], T.StructField("_c", T.ArrayType(T.DoubleType()))]))
-
-    @F.pandas_udf("string")
-    def letter(a: pd.Series, c: pd.Series) -> pd.Series:
-        out = []
-        for v, flat in zip(a, c):
-            grid = np.asarray(flat).reshape(-1, len(v))
-            out.append("abcdefghijklmnopqrstuvwxyz"[int(((grid - v) ** 2).sum(axis=1).argmin())])
-        return pd.Series(out)
-
-    return data.join(F.broadcast(centres), cluster).select(key, F.concat(F.col(cluster).cast("string"), letter("_a", "_c")).alias("cluster_hierarchical"))
-
-
-def _lloyd(x: np.ndarray, k: int, seed: int) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    k = min(k, len(np.unique(x, axis=0)))
-    centres = x[rng.choice(len(x), 1)]
-    while len(centres) < k:  # k-means++ seeding
-        d = ((x[:, None] - centres) ** 2).sum(2).min(axis=1)
-        centres = np.vstack([centres, x[rng.choice(len(x), p=d / d.sum())]])
-    for _ in range(50):
-        own = ((x[:, None] - centres) ** 2).sum(2).argmin(axis=1)
-        new = np.array([x[own == j].mean(axis=0) if (own == j).any() else centres[j] for j in range(k)])
-        if np.allclose(new, centres):
+    spark, width = df.sparkSession, len(columns)
+    scratch = Scratch(spark, "hierarchy")
+    data = scratch.write(assemble(df, columns, "_x").where(F.col(cluster).isNotNull()).select(key, cluster, vector_to_array("_x").alias("_a")), "rows")
+    kind, out = df.schema[cluster], T.ArrayType(T.DoubleType())
+    draws = T.StructType([kind, T.StructField("_e", T.DoubleType()), T.StructField("_a", out), T.StructField("_n", T.LongType())])
+    sums = T.StructType([kind, T.StructField("_j", T.IntegerType()), T.StructField("_n", T.LongType()), *[T.StructField(f"_s{i}", T.DoubleType()) for i in range(width)]])
+    centres: dict = {}
+
+    def distances(x: np.ndarray, grid: np.ndarray) -> np.ndarray:
+        return np.stack([((x - g) ** 2).sum(axis=1) for g in grid], axis=1)
+
+    def groups(batches: Iterator[pd.DataFrame], only: set | None) -> Iterator:
+        for b in batches:
+            for c, g in b.groupby(cluster):
+                if only is None or c in only:
+                    yield c, g, np.array(g["_a"].tolist(), float).reshape(-1, width)
+
+    def drawn(grids, step: int) -> dict:
+        """Per cluster a row drawn by its squared distance to the nearest centre (any row where there is none), and how many rows there are."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for c, g, x in groups(batches, None):
+                d = distances(x, grids.value[c]).min(axis=1) if c in grids.value else np.ones(len(x))
+                with np.errstate(divide="ignore"):
+                    e = -np.log(g["_u"].to_numpy()) / d
+                at = int(e.argmin())
+                yield pd.DataFrame({cluster: [c], "_e": [e[at]], "_a": [x[at].tolist()], "_n": [len(x)]})
+
+        u = (F.pmod(F.xxhash64(F.col(key), F.lit(seed + step)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        found = data.withColumn("_u", u).mapInPandas(run, draws)
+        best = found.groupBy(cluster).agg(F.min_by("_a", F.struct("_e", "_a")).alias("_a"), F.min("_e").alias("_e"), F.sum("_n").alias("_n"))
+        return {r[cluster]: r for r in best.collect()}
+
+    for step in range(most):
+        grids = spark.sparkContext.broadcast(dict(centres))
+        for c, r in drawn(grids, step).items():
+            if c not in centres:
+                centres[c] = np.array([r["_a"]])
+            elif r["_n"] >= most and np.isfinite(r["_e"]):
+                centres[c] = np.vstack([centres[c], r["_a"]])
+
+    def summed(grids, only: set) -> dict:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for c, _, x in groups(batches, only):
+                own = distances(x, grids.value[c]).argmin(axis=1)
+                for j in np.unique(own):
+                    part = x[own == j]
+                    yield pd.DataFrame([[c, j, len(part), *part.sum(axis=0)]], columns=sums.names)
+
+        names = [f"_s{i}" for i in range(width)]
+        rows = data.mapInPandas(run, sums).groupBy(cluster, "_j").agg(F.sum("_n").alias("_n"), *[F.sum(n).alias(n) for n in names])
+        return {(r[cluster], r["_j"]): np.array([r[n] for n in names]) / r["_n"] for r in rows.collect()}
+
+    moving = set(centres)
+    for _ in range(rounds):
+        if not moving:
             break
-        centres = new
-    return centres
+        found = summed(spark.sparkContext.broadcast(dict(centres)), moving)
+        for c in list(moving):
+            new = np.array([found.get((c, j), old) for j, old in enumerate(centres[c])])
+            if np.allclose(new, centres[c]):
+                moving.remove(c)
+            centres[c] = new
+    final = spark.sparkContext.broadcast(centres)
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for c, g, x in groups(batches, None):
+            at = distances(x, final.value[c]).argmin(axis=1)
+            yield pd.DataFrame({key: g[key], cluster: g[cluster], "_l": [chr(ord("a") + i) for i in at]})
+
+    lettered = data.mapInPandas(label, T.StructType([df.schema[key], kind, T.StructField("_l", T.StringType())]))
+    return lettered.select(key, F.concat(F.col(cluster).cast("string"), "_l").alias("cluster_hierarchical"))
 
 
 def umap_layout(df: DataFrame, columns: Sequence[str], key: str, neighbours: int = 30, min_dist: float = 0.1, landmarks: int = 1500, epochs: int = 200, seed: int = 42) -> DataFrame:

@@ -306,7 +306,7 @@ def pca(spark, sf):
 @query("kmeans")
 def kmeans(spark, sf):
     df, names = _embeddings(spark, sf)
-    out, _ = ml.kmeans(df, names, 10, seeds=3)
+    out, _ = ml.kmeans(df, names, 10)
     return out.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -319,7 +319,7 @@ def birch(spark, sf):
 @query("umap")
 def umap(spark, sf):
     df, names = _embeddings(spark, sf)
-    return ml.umap_layout(df, names, "vec_id", landmarks=400, epochs=100)
+    return ml.umap_layout(df, names, "vec_id")
 
 
 @query("hier_labels")

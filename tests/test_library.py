@@ -89,6 +89,38 @@ def test_clusters(spark):
     assert min(np.linalg.norm(centre.loc[i] - centre.loc[j]) for i, j in ((0, 1), (0, 2), (1, 2))) > spread
 
 
+def test_hierarchical_labels_fit_every_row(spark):
+    """Sub-clusters of a few rows among 40,000 get their own letters, and each row the letter of the nearest mean of a letter's rows."""
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(0, 0.01, (40_000, 2)), *[rng.normal(c, 0.01, (3, 2)) for c in ((900, 0), (0, 900), (900, 900))], [[1.0, 1.0]]])
+    df = spark.createDataFrame(pd.DataFrame({"id": range(len(x)), "a": x[:, 0], "b": x[:, 1], "g": [7] * (len(x) - 1) + [8]})).repartition(6)
+    got = ml.hierarchical_labels(df, ["a", "b"], "g", "id").toPandas().sort_values("id").cluster_hierarchical.to_numpy()
+    assert len(got) == len(x) and got[-1] == "8a"
+    parts = [set(got[a:b]) for a, b in ((0, 40_000), (40_000, 40_003), (40_003, 40_006), (40_006, 40_009))]
+    assert all(len(p) == 1 for p in parts) and len(set.union(*parts)) == 4
+
+
+def test_registered_clustering_uses_the_defaults(spark, monkeypatch, tmp_path):
+    import inspect
+
+    from tessella.queries import QUERIES
+
+    rng = np.random.default_rng(4)
+    pd.DataFrame({"vec_id": range(60), "embedding": list(rng.normal(size=(60, 64)).astype("float32")), "label": [0] * 60}).to_parquet(f"{tmp_path}/embeddings.parquet")
+    for name, function, defaults in (("kmeans", "kmeans", ["seeds"]), ("umap", "umap_layout", ["landmarks", "epochs"])):
+        real, seen = getattr(ml, function), {}
+
+        def spy(*args, real=real, seen=seen, **how):
+            bound = inspect.signature(real).bind(*args, **how)
+            bound.apply_defaults()
+            seen.update(bound.arguments)
+            return real(*args, **how)
+
+        monkeypatch.setattr(ml, function, spy)
+        QUERIES[name](spark, str(tmp_path)).count()
+        assert all(seen[d] >= inspect.signature(real).parameters[d].default for d in defaults)
+
+
 def nuclei(spark):
     rng = np.random.default_rng(1)
     n = 200
