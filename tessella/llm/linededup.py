@@ -1,8 +1,8 @@
 """Fuzzy line dedup: one line stays of each component of similar lines in the corpus.
 
-A line is compared as the set of its distinct byte shingles after lower-casing
-A-Z and stripping white space at its ends (a line shorter than a shingle is one
-shingle).  Equal lines share a 64-bit id; MinHash signatures over shingles give
+A line is compared as the set of its distinct shingles of characters after
+lower-casing A-Z and stripping white space at its ends (a line shorter than a
+shingle is one shingle).  Equal lines share a 64-bit id; MinHash signatures over shingles give
 high-recall bands, candidates are verified by exact Jaccard similarity, and a
 distributed union-find joins links.  Each component keeps its first occurrence
 by doc_id and line number, wherever in the corpus it is.
@@ -59,23 +59,32 @@ def line_id(line: bytes) -> int:
 
 
 def shingle_hashes(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles of all lines, and where each line's begin."""
-    sizes = np.array([max(1, len(x) - k + 1) for x in lines])
-    first = np.r_[0, np.cumsum(sizes)]
+    """Hashes of all shingles of k characters of all lines, and where each line's begin."""
     # Each line is padded to a shingle at least, so that every line has one.
-    padded = [x.ljust(k, b"\0") for x in lines]
-    starts = np.cumsum([0, *map(len, padded)])[:-1]
-    data = np.frombuffer(b"".join(padded) + b"\0" * 16, np.uint8)
-    at = np.arange(first[-1]) + np.repeat(starts - first[:-1], sizes)
-    n = len(data) - 16
-    out = np.full(n, k, np.uint64)
-    for j in range(0, k, 8):
-        word = np.ndarray((n,), "<u8", data, j, (1,))
-        if k - j < 8:
-            word = word & np.uint64((1 << 8 * (k - j)) - 1)
+    data = np.frombuffer(b"".join([x.ljust(k, b"\0") for x in lines]) + b"\0" * 4, np.uint8)
+    lengths = np.fromiter((max(len(x), k) for x in lines), np.int64, len(lines))
+    starts = np.flatnonzero(data[:-4] & 0xC0 != 0x80)  # of characters
+    code = data[starts].astype(np.uint64)
+    if len(starts) < len(data) - 4:
+        width = np.diff(np.r_[starts, len(data) - 4])
+        for j in range(1, 4):
+            code |= np.where(width > j, data[starts + j], 0).astype(np.uint64) << np.uint64(8 * j)
+    chars = np.diff(np.r_[0, np.searchsorted(starts, np.cumsum(lengths))])
+    begin = np.r_[0, np.cumsum(chars)]
+    sizes = np.maximum(1, chars - k + 1)
+    first = np.r_[0, np.cumsum(sizes)]
+    at = np.arange(first[-1]) + np.repeat(begin[:-1] - first[:-1], sizes)
+    # A short line's shingle ends where the line does.
+    code = np.r_[code, np.zeros(k, np.uint64)]
+    short = chars < k
+    out = np.full(len(at), k, np.uint64)
+    for j in range(k):
+        word = code[at + j]
+        if short.any():
+            word = np.where(np.repeat(short & (chars <= j), sizes), np.uint64(0), word)
         out = (out ^ word) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(32)
-    return mix(out[at]), first
+    return mix(out), first
 
 
 class LineBands:

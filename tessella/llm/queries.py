@@ -64,7 +64,7 @@ def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = linededup.line_plan(documents(spark, sf_dir), Scratch(spark, "lines"))
+    plan = linededup.line_plan(documents(spark, sf_dir), Scratch(spark, "lines"), linededup.LineParams(shingle=5, bands=20))
     return plan.select("doc_id", "n_lines", F.size("kept").alias("n_kept"), "kept")
 
 

@@ -69,6 +69,25 @@ def test_line_dedup(spark, corpus):
     assert got == set(first.values())
 
 
+def test_line_dedup_query(spark, tmp_path):
+    """The query links lines that differ in one character, accented or not, or in one short word, however short the lines are."""
+    from tessella.llm.queries import QUERIES
+
+    rng = random.Random(6)
+    lines = []
+    for g in range(40):
+        base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéüñ漢字 ") for _ in range(56 + g))
+        at = rng.randrange(10, 40)
+        lines += [base, base[:at] + "é" + base[at + 1 :], "".join(rng.choice("abcdeé漢 ") for _ in range(rng.randint(1, 60)))]
+    lines = [x.strip() or "x" for x in lines]
+    sets = [{x[j : j + 5] for j in range(max(1, len(x) - 4))} for x in lines]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert len(links) >= 40
+    spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id for r in QUERIES["op9_minhash_line_dedup"](spark, str(tmp_path)).collect() if r.n_kept}
+    assert got == set(components(len(sets), links))
+
+
 def test_edit_distance():
     rng = random.Random(3)
 
