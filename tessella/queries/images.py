@@ -22,6 +22,10 @@ def _labels(spark, sf):
     return pixels(spark, sf).withColumn("label", F.when(inside, number).otherwise(F.lit(0)))
 
 
+def _height(image):
+    return int(image.agg((F.max("py") + 1).alias("h")).first()["h"] or 0)
+
+
 @query("tissue_mask_hsv", " select px, py, v from mask")
 def tissue_mask_hsv(spark, sf):
     return _mask(spark, sf)
@@ -117,6 +121,15 @@ def best_orientation(spark, sf):
     return raster.best_orientation(p.select("px", "py", F.col("r").alias("v")), moving, "v", 100, 100).select("name", *r6("score"))
 
 
+@query("best_orientation_whole", """, h as (select max(py) bottom from pixels), m as (select 99 - px px, py, (r * 3 + g) / cast(4 as double) v from pixels),
+ o as (select 'identity' name, px, py, v from m union all select 'flip_h', 99 - px, py, v from m union all select 'flip_v', px, bottom - py, v from m, h union all select 'rot180', 99 - px, bottom - py, v from m, h)
+ select name, round(corr(r, v), 6) score from o join pixels using (px, py) group by name""")
+def best_orientation_whole(spark, sf):
+    p = pixels(spark, sf)
+    moving = p.select((99 - F.col("px")).alias("px"), "py", ((F.col("r") * 3 + F.col("g")) / 4).alias("v"))
+    return raster.best_orientation(p.select("px", "py", F.col("r").alias("v")), moving, "v", 100, _height(p)).select("name", *r6("score"))
+
+
 @query("center_of_mass", """ select round(a.x - b.x, 6) dx, round(a.y - b.y, 6) dy from (select avg(px) x, avg(py) y from pixels where r / cast(255 as double) > 0.01) a, (select avg(px) x, avg(py) y from pixels where g / cast(255 as double) > 0.5) b""")
 def center_of_mass(spark, sf):
     p = pixels(spark, sf)
@@ -160,18 +173,38 @@ def mask_resize(spark, sf):
     return raster.resize_nearest(_mask(spark, sf).where("py < 100"), ["v"], (100, 100), (37, 41))
 
 
+@query("mask_resize_whole", """, h as (select max(py) + 1 height from pixels), t as (select x, y from (select unnest(range(0, 37)) x), (select unnest(range(0, 41)) y))
+ select x px, y py, v from t, h join mask on mask.px = cast(floor(x * 100 / cast(37 as double)) as bigint) and mask.py = cast(floor(y * height / cast(41 as double)) as bigint)""")
+def mask_resize_whole(spark, sf):
+    return raster.resize_nearest(_mask(spark, sf), ["v"], (100, _height(pixels(spark, sf))), (37, 41))
+
+
 @query("patch_intensity", """, n as (select nid, cast(floor(xi / cast(200 as double)) as bigint) cx, cast(floor(yi / cast(200 as double)) as bigint) cy, 2 + nid % 3 rad, 4 + nid % 3 outr from nuclei where slide_no = 1),
  j as (select nid, g v, (px-cx)*(px-cx) + (py-cy)*(py-cy) <= rad * rad inner_ from n join pixels on (px-cx)*(px-cx) + (py-cy)*(py-cy) <= outr * outr)
  select nid, round(coalesce(avg(v) filter (inner_), 0), 6) marker_intensity_mean, cast(coalesce(max(v) filter (inner_), 0) as double) marker_intensity_max, round(coalesce(stddev_pop(v) filter (inner_), 0), 6) marker_intensity_std,
  round(coalesce(avg(case when v > 30 then 1 else 0 end) filter (inner_), 0), 6) marker_positive_area_fraction, round(coalesce(avg(v) filter (not inner_), 0), 6) perinuclear_intensity_mean,
  round(coalesce(avg(case when v > 30 then 1 else 0 end) filter (not inner_), 0), 6) perinuclear_positive_fraction from n left join j using (nid) group by nid""")
 def patch_intensity(spark, sf):
-    n = nuclei(spark, sf).where("slide_no = 1")
+    return _patch_intensity(spark, sf, nuclei(spark, sf).where("slide_no = 1"))
+
+
+def _patch_intensity(spark, sf, n):
     points = n.select("nid", F.floor(F.col("xi") / 200).alias("cx"), F.floor(F.col("yi") / 200).alias("cy"), (2 + F.col("nid") % 3).alias("rad"), (4 + F.col("nid") % 3).alias("outr"))
     out = raster.patch_intensity(points, pixels(spark, sf), "g", "nid", "rad", "outr", 6)
     return out.select("nid", *r6(*[c for c in out.columns if c != "nid"]))
 
 
+@query("patch_intensity_whole", """, n as (select nid, cast(floor(xi / cast(200 as double)) as bigint) cx, cast(floor(yi / cast(200 as double)) as bigint) cy, 2 + nid % 3 rad, 4 + nid % 3 outr from nuclei),
+ o as (select dx, dy from (select unnest(range(-6, 7)) dx), (select unnest(range(-6, 7)) dy)),
+ w as (select nid, cx + dx px, cy + dy py, dx * dx + dy * dy <= rad * rad inner_ from n join o on dx * dx + dy * dy <= outr * outr),
+ j as (select nid, g v, inner_ from w join pixels using (px, py))
+ select nid, round(coalesce(avg(v) filter (inner_), 0), 6) marker_intensity_mean, cast(coalesce(max(v) filter (inner_), 0) as double) marker_intensity_max, round(coalesce(stddev_pop(v) filter (inner_), 0), 6) marker_intensity_std,
+ round(coalesce(avg(case when v > 30 then 1 else 0 end) filter (inner_), 0), 6) marker_positive_area_fraction, round(coalesce(avg(v) filter (not inner_), 0), 6) perinuclear_intensity_mean,
+ round(coalesce(avg(case when v > 30 then 1 else 0 end) filter (not inner_), 0), 6) perinuclear_positive_fraction from n left join j using (nid) group by nid""")
+def patch_intensity_whole(spark, sf):
+    return _patch_intensity(spark, sf, nuclei(spark, sf))
+
+
 @query("filament_summary")
 def filament_summary(spark, sf):
     """Filaments of the DAB mask: thinned per tile, joined into components, measured and summed up."""

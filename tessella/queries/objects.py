@@ -278,6 +278,13 @@ def feature_splat(spark, sf):
     return raster.splat(points, "area_px", "nid", F.floor(F.col("xi") / 40), F.floor(F.col("yi") / 40), 500, 500, [])
 
 
+@query("feature_splat_whole", """, p as (select nid, slide_no, area_px, cast(floor(xi / cast(40 as double)) as bigint) x, cast(floor(yi / cast(40 as double)) as bigint) y from nuclei),
+ m as (select nid, slide_no, area_px, x + dx px, y + dy py from p, (values (-1), (0), (1)) a(dx), (values (-1), (0), (1)) b(dy))
+ select slide_no, px, py, max_by(area_px, nid) area_px from m where px between 0 and 499 and py between 0 and 499 group by slide_no, px, py""")
+def feature_splat_whole(spark, sf):
+    return raster.splat(nuclei(spark, sf), "area_px", "nid", F.floor(F.col("xi") / 40), F.floor(F.col("yi") / 40), 500, 500, ["slide_no"])
+
+
 EMB = [f"f{i}" for i in range(64)]
 
 

@@ -100,6 +100,23 @@ def test_hierarchical_labels_fit_every_row(spark):
     assert all(len(p) == 1 for p in parts) and len(set.union(*parts)) == 4
 
 
+@pytest.mark.skipif(not os.path.isdir(SF.replace("0.001", "0.01")), reason="needs the test tables")
+def test_whole_queries_cover_their_tables(spark):
+    """On an image of more than 100 rows, and on all slides."""
+    sf = SF.replace("0.001", "0.01")
+    db = duckdb.connect()
+    for t in TABLES:
+        db.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    for name in ("best_orientation_whole", "mask_resize_whole", "patch_intensity_whole", "feature_splat_whole"):
+        got, want = QUERIES[name](spark, sf).toPandas(), db.sql(ORACLES[name]).df()
+        keys = [c for c in ("name", "nid", "slide_no", "px", "py") if c in got]
+        both = got.merge(want, on=keys, suffixes=("", "_w"))
+        assert len(got) == len(want) == len(both)
+        assert all(np.allclose(both[c], both[f"{c}_w"], atol=2e-6) for c in got if c not in keys)
+    assert QUERIES["patch_intensity_whole"](spark, sf).count() == db.sql("select count(*) from orders").fetchall()[0][0]
+    assert QUERIES["feature_splat_whole"](spark, sf).select("slide_no").distinct().count() == 4
+
+
 def test_registered_clustering_uses_the_defaults(spark, monkeypatch, tmp_path):
     import inspect
 
