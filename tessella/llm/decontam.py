@@ -6,7 +6,8 @@ edits keeps at least m - q + 1 - q * e of its q-grams, all on diagonals at most
 e apart.  Shared q-grams are counted in overlapping diagonal bands; bands that
 reach the bound are retained and every window in them with enough q-grams is
 verified by banded alignment.  Items longer than a window are covered by
-overlapping windows; shorter ones are one window with an edit budget in
+overlapping windows, and where none of these is found by the windows at every
+byte, so that any run of a window's length counts; shorter ones are one window with an edit budget in
 proportion.  Items shorter than a q-gram prove nothing and never match.
 
 Documents are read whole.  The benchmark is read in blocks of bounded bytes
@@ -141,24 +142,37 @@ class LeakIndex:
         return [(row, self.ids[i], start, end, edits) for (row, i), (edits, start, end) in sorted(found.items())]
 
     def _verify(self, i: int, where: np.ndarray, pos: np.ndarray, plain: list[bytes], ends: np.ndarray, found: dict) -> None:
-        slack = 2 * self.p.edits + 2
         for row in np.unique(np.searchsorted(ends, where, "right")):
             base = int(ends[row]) - len(plain[row]) - 1
             own = np.searchsorted(ends, where, "right") == row
             at, p0 = where[own] - base, pos[own]
-            for start, m, edits, need in self.windows[i]:
-                if (row, i) in found and found[row, i][0] == 0:
-                    return
-                inside = (p0 >= start) & (p0 <= start + m - self.p.q)
-                if len(np.unique(p0[inside])) < need:
-                    continue
-                shift = at[inside] - p0[inside]
-                lo = max(0, int(shift.min()) + start - slack)
-                region = plain[row][lo : int(shift.max()) + start + m + slack]
-                best = edit_distance_within(self.texts[i][start : start + m], region, edits)
-                if best is not None and ((row, i) not in found or best[0] < found[row, i][0]):
-                    end = lo + best[1]
-                    found[row, i] = (best[0], max(0, end - m), end)
+            strided = self.windows[i]
+            starts = self._passing(p0, np.array([s for s, *_ in strided]), strided[0])
+            self._align(row, i, starts, at, p0, base, plain, found)
+            if (row, i) not in found:  # a shorter run may hold no whole window of the stride
+                self._align(row, i, self._passing(p0, np.arange(len(self.texts[i]) - strided[0][1] + 1), strided[0]), at, p0, base, plain, found)
+
+    def _passing(self, p0: np.ndarray, starts: np.ndarray, like: tuple[int, int, int, int]) -> np.ndarray:
+        """The window starts with enough different q-grams."""
+        _, m, _, need = like
+        u = np.unique(p0)
+        return starts[np.searchsorted(u, starts + m - self.p.q, "right") - np.searchsorted(u, starts, "left") >= need]
+
+    def _align(self, row: int, i: int, starts: np.ndarray, at: np.ndarray, p0: np.ndarray, base: int, plain: list[bytes], found: dict) -> None:
+        """Aligns windows of item i with the text; the first with the least edits stays."""
+        slack = 2 * self.p.edits + 2
+        _, m, edits, _ = self.windows[i][0]
+        for start in starts.tolist():
+            if (row, i) in found and found[row, i][0] == 0:
+                return
+            inside = (p0 >= start) & (p0 <= start + m - self.p.q)
+            shift = at[inside] - p0[inside]
+            lo = max(0, int(shift.min()) + start - slack)
+            region = plain[row][lo : int(shift.max()) + start + m + slack]
+            best = edit_distance_within(self.texts[i][start : start + m], region, edits)
+            if best is not None and ((row, i) not in found or best[0] < found[row, i][0]):
+                end = lo + best[1]
+                found[row, i] = (best[0], max(0, end - m), end)
 
 
 def _indexes(benchmark: DataFrame, p: LeakParams) -> Iterator[LeakIndex]:

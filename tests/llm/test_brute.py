@@ -123,6 +123,20 @@ def test_leaks_with_edits(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
 
 
+def test_short_runs_of_long_items_leak():
+    """A verbatim run of a window's length or more is found wherever in the item it begins, also by the second text of a band."""
+    item = prose(77, 80)[:300]
+    m = len(decontam.normal(item))
+    index = decontam.LeakIndex([(1, item)], decontam.LeakParams())
+    runs = [(o, n) for n in (80, 81, 97, 118) for o in range(0, m - n + 1)]
+    part = decontam.normal(item).decode()
+    texts = [f"{prose(900 + k % 7, 12)}|{part[o : o + n]}|{prose(800 + k % 5, 12)}" for k, (o, n) in enumerate(runs)]
+    assert {row for row, *_ in index.find(texts)} == set(range(len(texts)))
+    short = [f"x|{part[o : o + 70]}|y" for o in range(0, m - 70, 9)]
+    assert index.find(short) == []
+    assert {row for row, *_ in index.find([part[:90], part[:90], part[100:190]])} == {0, 1, 2}
+
+
 def test_ogg_pages():
     def crc(data):
         c = 0
