@@ -25,7 +25,7 @@ class ConvParams:
     """``rows`` and ``most_bytes`` bound the training sample."""
 
     width: int = 8
-    stride: int = 4
+    stride: int = 1
     block: int = 128
     filters: int = 24
     hidden: int = 16
@@ -138,7 +138,7 @@ class ConvNet:
                     self.w[k] -= (rate * (first[k] / (1 - 0.9**steps)) / (np.sqrt(second[k] / (1 - 0.99**steps)) + 1e-7)).astype(np.float32)
         return self
 
-    def score(self, texts: list[bytes], most: int = 1 << 20) -> np.ndarray:
+    def score(self, texts: list[bytes], most: int = 1 << 18) -> np.ndarray:
         """Probabilities of label 1, in groups of about ``most`` bytes to bound memory."""
         if self.constant is not None:
             return np.full(len(texts), self.constant)

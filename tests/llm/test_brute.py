@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import prose
-from tessella.llm import decontam, linededup, mixing, neardup, ogg, pst, sharding, toxicity
+from tessella.llm import decontam, linededup, mixing, neardup, ogg, pst, quality, sharding, toxicity
 from tessella.llm.labelled import HOLD_OUT
 from tessella.scratch import Scratch
 
@@ -214,6 +214,26 @@ def test_forward_backward():
     assert abs(pairs.sum() - 12) < 1e-9
 
 
+def test_filters_see_every_offset():
+    """A text's score does not depend on the offset of a pattern, and a pattern learned at some offsets is known at others."""
+    net = quality.ConvNet(quality.ConvParams())
+    scores = net.score([(b" " * k + b"pattern!").ljust(100) for k in range(10, 30)])
+    assert np.ptp(scores) < 1e-6
+
+    def sample(offsets, seed):
+        rng, out = random.Random(seed), []
+        for k in range(120):
+            text = bytearray(rng.choice(b"abcdefgh ") for _ in range(400))
+            at = 4 * rng.randrange(90) + rng.choice(offsets)
+            text[at : at + 8] = b"zqxzqxzq" if k % 2 else b"qzxqzxqz"
+            out.append((bytes(text), k % 2))
+        return out
+
+    held = sample([1, 2, 3], 2)
+    fitted = quality.ConvNet(quality.ConvParams(least_steps=150)).fit(sample([0], 1))
+    assert np.mean((fitted.score([t for t, _ in held]) >= 0.5) == [y == 1 for _, y in held]) >= 0.9
+
+
 def test_unigram_base(spark, corpus):
     texts, docs = corpus
     counts = Counter()
