@@ -297,8 +297,8 @@ def _layout(x: np.ndarray, k: int, min_dist: float, epochs: int, seed: int) -> n
     return y
 
 
-def hdbscan_or_birch(df: DataFrame, columns: Sequence[str], k: int, **how) -> DataFrame:
-    """Density clustering needs an optional package; without it BIRCH takes its place."""
+def birch_for_density(df: DataFrame, columns: Sequence[str], k: int, **how) -> DataFrame:
+    """BIRCH in the place of density clustering, which the library does not have."""
     return birch(df, columns, k, **how)
 
 

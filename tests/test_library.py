@@ -117,6 +117,12 @@ def test_whole_queries_cover_their_tables(spark):
     assert QUERIES["feature_splat_whole"](spark, sf).select("slide_no").distinct().count() == 4
 
 
+def test_density_clustering_is_named_birch(spark):
+    df = spark.createDataFrame([(float(i % 2 * 9), 0.1 * i) for i in range(10)], "a double, b double")
+    got = ml.birch_for_density(df, ["a", "b"], 2).toPandas()
+    assert not hasattr(ml, "hdbscan_or_birch") and got.groupby("a").cluster.nunique().eq(1).all() and got.cluster.nunique() == 2
+
+
 def test_registered_clustering_uses_the_defaults(spark, monkeypatch, tmp_path):
     import inspect
 
