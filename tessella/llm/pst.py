@@ -1,44 +1,59 @@
 """LM scoring with a probabilistic suffix tree over tokens.
 
 Tokens are words (A-Z lower-cased) and one end per document.  The root state
-is the add-one unigram distribution.  A position's state is the longest suffix
-of the tokens before it that the tree retains, up to ``depth`` tokens, of which the
-document's start may be one.  Every context of every position is counted and
-tested: it is retained
-when its next-token distribution diverges from its parent's by a leave-one-out
-test, which a context seen once or without repeated continuation never passes.
-A retained state's distribution is smoothed with its parent's, the weight
-being the number of distinct continuations (Witten-Bell).
-
-Counts are exact and grow with the corpus: they are summed per batch, shuffled
-and written.  Only words of at least 1/2**21 of all tokens are broadcast, which
-bounds that table; rarer words are looked up by a join.  Contexts that hold a
-word of fewer than ``hot`` occurrences are counted and scored in the partition
-of the context from the nearest such word on, which no frequent word can fill.
-Contexts of hot words alone are summed per batch and settled level by level, and
-the others start from their distributions.  Where that line runs changes the
-plan, never the result.
-
-Null and empty texts have one token, the end.  Repeated rows get equal scores.
-An empty training set leaves every token unknown.  Words are told apart by
-64-bit hashes (a collision would join two words' counts).
+is the add-one unigram distribution; words of fewer than 1/``frequent`` of all
+tokens (none before ``frequent`` tokens are reached) and words never seen are one
+class there, whose members are alike.  A position's state is the longest suffix
+of the tokens before it that the tree retains, up to ``depth`` tokens, of which
+the document's start may be one.  Every context of every position is counted and
+tested: it is retained when its next-token distribution diverges from its
+parent's by a leave-one-out test, which a context without a repeated continuation
+never passes, nor does any longer one.  A retained state's distribution is
+smoothed with its parent's, the weight being the number of distinct continuations
+(Witten-Bell), so every state's probabilities sum to one over the training words
+and one unknown word.
+
+Each position is shuffled once, to the partition of its nearest word, where all
+its contexts lie together.  Positions travel as compressed byte planes of word
+numbers, a block for each group of documents and partition.  Words of at least
+``hot`` occurrences would fill a partition: contexts of hot words alone are summed
+per batch and settled level by level, and positions behind them start from the
+distributions found, in the partition of the context up to the nearest word that
+isn't hot.  Where that line runs changes the plan, never the result.  Only words
+of the root's own (at most ``frequent``) are broadcast; the base score's other
+counts are joined.
+
+Null and empty texts have one token, the end.  Repeated rows get equal scores,
+other columns aren't read, ties play no part, an empty table gives an empty result,
+a null id is a training row.  An empty training set leaves every token unknown.
+Words are told apart by 47 bits of a hash beyond the broadcast ones, which have
+numbers of their own.  Very long texts are read whole; a group of documents has
+``group_tokens`` tokens or one document.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.scratch import Scratch
-from tessella.llm.text import WordHashes, encode, held_out, mix
+from tessella.llm.text import encode, held_out, mix
 
 END = xxhash.xxh3_64_intdigest(b"\n")  # white space, so no word's
+#: Word numbers: none, the document's start, then the broadcast words by falling count, then hashes.
+NONE, START, FIRST = 0, 1, 2
+#: Bytes of a word's number and of a document's place in its group.
+WORD_BYTES, DOC_BYTES = 6, 4
 
 
 @dataclass(frozen=True)
@@ -49,263 +64,314 @@ class PstParams:
     remainder: int = 2
     frequent: int = 1 << 21
     depth: int = 4
-    hot: int = 1 << 19
+    hot: int = 1 << 20
     gain_bits: float = 4.0
-    group_tokens: int = 200_000
+    group_tokens: int = 400_000
 
 
-def _groups(batch: pd.DataFrame, most: int) -> Iterator[tuple[pd.DataFrame, list[list[bytes]]]]:
-    """Runs of rows with their tokens, of about ``most`` tokens each."""
-    start, own, size = 0, [], 0
+def _groups(batch: pd.DataFrame, most: int) -> Iterator[tuple[pd.DataFrame, list[bytes], np.ndarray]]:
+    """Runs of rows of about ``most`` tokens, their tokens with ends, and where each document's begin."""
+    start, tokens, first = 0, [], [0]
     for k, text in enumerate(batch["text"]):
-        own.append(encode(text).lower().split())
-        size += len(own[-1]) + 1
-        if size >= most:
-            yield batch.iloc[start : k + 1], own
-            start, own, size = k + 1, [], 0
-    if own:
-        yield batch.iloc[start:], own
-
-
-class Vocabulary(dict):
-    """Word -> number, with each word's hash, root probability (log10) and whether it is rare."""
-
-    limit = 1 << 19
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int):
-        self.known, self.counts, self.total, self.distinct = hashes, counts, total, distinct
-        self.norm = np.log10(total + distinct + 1)
+        tokens += encode(text).lower().split()
+        tokens.append(b"\n")
+        first.append(len(tokens))
+        if len(tokens) >= most or k + 1 == len(batch):
+            yield batch.iloc[start : k + 1], tokens, np.array(first)
+            start, tokens, first = k + 1, [], [0]
+
+
+def _hash(word: bytes) -> int:
+    return END if word == b"\n" else xxhash.xxh3_64_intdigest(word)
+
+
+class Vocabulary:
+    """The broadcast words, by falling count: their numbers, counts and root probabilities."""
+
+    limit = 1 << 18
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, frequent: int, hot: int):
+        self.args = hashes, counts, total, distinct, frequent, hot
+        self.order = np.argsort(hashes)
+        self.sorted, self.counts = hashes[self.order], counts
+        norm = total + distinct + 1
+        self.rare = FIRST + frequent
+        self.p = np.r_[1.0, 1.0, (counts + 1) / norm]  # by number
+        self.base = np.log10(self.p)
+        # The other words and the unknown one share what is left in equal parts.
+        others = distinct - len(counts)
+        self.p_rare = (total - int(counts.sum()) + others + 1) / norm / (others + 1)
+        end = np.flatnonzero(hashes == np.uint64(END))
+        self.start_hot = bool(len(end) and counts[end[0]] >= hot)  # as many starts as ends
+        self.hot_below = FIRST + int((counts >= hot).sum())
         self._clear()
 
     def __reduce__(self):
-        return Vocabulary, (self.known, self.counts, self.total, self.distinct)
+        return Vocabulary, self.args
 
     def _clear(self) -> None:
-        self.clear()
-        self.h, self.logp, self.count = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Numbers for words that have none; all are looked up at once."""
-        h = np.array([END if w == b"\n" else xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-        # -1: not among the frequent words, so the count is looked up by a join
-        c = np.full(len(h), -1, np.int64)
-        if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-            c = np.where(self.known[at] == h, self.counts[at], -1)
-        self.update(zip(words, range(len(self), len(self) + len(words))))
-        self.h, self.count = np.concatenate([self.h, h]), np.concatenate([self.count, c])
-        self.logp = np.concatenate([self.logp, np.where(c >= 0, np.log10(np.maximum(c, 0) + 1) - self.norm, 0.0)])
-
-    def lookup(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Token numbers of all documents, ends included, and where each document starts."""
-        if len(self) > self.limit:
+        self.local: dict[bytes, int] = {}
+        self.h, self.number = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def lookup(self, tokens: list[bytes]) -> np.ndarray:
+        """Places of the tokens in ``h`` and ``number``; unknown words get one."""
+        if len(self.local) > self.limit:
             self._clear()
-        sizes = np.array([len(d) + 1 for d in docs])
-        tokens: list[bytes] = []
-        for d in docs:
-            tokens += d
-            tokens.append(b"\n")
-        new = list(set(tokens).difference(self))
+        new = list(set(tokens).difference(self.local))
         if new:
-            self._learn(new)
-        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens)), np.r_[0, np.cumsum(sizes)]
+            h = np.fromiter(map(_hash, new), np.uint64, len(new))
+            at = np.minimum(np.searchsorted(self.sorted, h), max(0, len(self.sorted) - 1))
+            known = self.sorted[at] == h if len(self.sorted) else np.zeros(len(h), bool)
+            number = np.uint64(self.rare) + (h >> np.uint64(17))
+            number[known] = self.order[at[known]] + FIRST
+            self.local.update(zip(new, range(len(self.local), len(self.local) + len(new))))
+            self.h, self.number = np.r_[self.h, h], np.r_[self.number, number]
+        return np.fromiter(map(self.local.__getitem__, tokens), np.int64, len(tokens))
+
+    def root(self, number: np.ndarray) -> np.ndarray:
+        """Root probabilities."""
+        own = number < self.rare
+        out = np.full(len(number), self.p_rare)
+        out[own] = self.p[number[own].astype(np.int64)]
+        return out
+
+    def is_hot(self, number: np.ndarray) -> np.ndarray:
+        return ((number >= FIRST) & (number < self.hot_below)) | ((number == START) & self.start_hot)
 
 
 def count_tokens(docs: DataFrame, p: PstParams) -> DataFrame:
-    """(h, c): counts of training tokens, ends included; added up per batch before the shuffle."""
+    """(h, c): counts of training tokens, ends included; added up per group before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for batch in batches:
-            batch = batch[~batch["held_out"].astype(bool)]
-            parts = [np.r_[hashes.array([w for d in own for w in d]), np.full(len(own), END, np.uint64)] for _, own in _groups(batch, p.group_tokens)]
-            if parts:
-                h, c = np.unique(np.concatenate(parts), return_counts=True)
-                yield pd.DataFrame({"h": h.view(np.int64), "c": c})
+            for _, tokens, _ in _groups(batch[~batch["held_out"].astype(bool)], 4 * p.group_tokens):
+                found = Counter(tokens)
+                yield pd.DataFrame({"h": np.fromiter(map(_hash, found), np.uint64, len(found)).view(np.int64), "c": np.fromiter(found.values(), np.int64, len(found))})
 
     return docs.select("text", "held_out").mapInPandas(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _document_rows(docs: DataFrame, vocabulary, p: PstParams) -> DataFrame:
-    """Per row: token numbers known from the frequent words, and the hashes of its other words."""
+# -- blocks of positions: byte planes, compressed
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = vocabulary.value
-        for batch in batches:
-            for rows, own in _groups(batch, p.group_tokens):
-                ids, first = v.lookup(own)
-                rare = v.count[ids] < 0
-                add = lambda x: np.add.reduceat(x, first[:-1])
-                others = np.split(v.h[ids[rare]].view(np.int64), np.cumsum(add(rare.astype(np.int64)))[:-1])
-                yield pd.DataFrame({
-                    "rid": rows["rid"].to_numpy(), "doc_id": rows["doc_id"].astype("Int64").array, "held_out": rows["held_out"].to_numpy(),
-                    "n_tokens": np.diff(first), "n_known": add((v.count[ids] > 0).astype(np.int64)), "base": add(v.logp[ids]), "others": others,
-                })
 
-    return docs.mapInPandas(run, "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, others array<long>")
+def _pack(columns: list[tuple[np.ndarray, int]]) -> bytes:
+    """Columns of numbers, each with the low bytes that it needs."""
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1)[:, :width].T).tobytes() for c, width in columns]
+    return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
 
 
-class _Positions:
-    """The contexts of every position of some documents, up to ``depth`` words and the document's start before it.
+def _unpack(data: bytes, n: int, widths: list[int]) -> list[np.ndarray]:
+    planes = np.frombuffer(pa.decompress(data, n * sum(widths), codec="zstd"), np.uint8).reshape(-1, n)
+    out, at = [], 0
+    for width in widths:
+        column = np.zeros((n, 8), np.uint8)
+        column[:, :width] = planes[at : at + width].T
+        out.append(column.view(np.uint64).ravel())
+        at += width
+    return out
+
+
+def _blocks(part: np.ndarray, columns: list[tuple[np.ndarray, int]]) -> Iterator[tuple[int, int, bytes]]:
+    """(partition, positions, data) of the positions of each partition, in their order."""
+    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
+    part, columns = part[order], [(c[order], width) for c, width in columns]
+    ends = np.r_[np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
+    lo = 0
+    for hi in ends.tolist() if len(part) else ():
+        yield int(part[lo]), hi - lo, _pack([(c[lo:hi], width) for c, width in columns])
+        lo = hi
+
+
+def _longer(key: np.ndarray, d: int, word: np.ndarray) -> np.ndarray:
+    """The key of the context one word longer, of d words."""
+    return mix((key + np.uint64(d)) ^ mix(word + np.uint64(1)))
 
-    ``anchor`` is the distance of the nearest word before that is not hot (of
-    fewer than ``hot`` occurrences), depth + 1 where all are.  ``keys[d]`` is
-    the context of d words; it is there where ``reach`` is at least d.
-    """
 
-    def __init__(self, v: Vocabulary, rows: pd.DataFrame, own: list[list[bytes]], hot: int, depth: int):
-        ids, first = v.lookup(own)
+def _pair(key: np.ndarray, nx: np.ndarray) -> np.ndarray:
+    return mix(key ^ mix(nx + np.uint64(1)))
+
+
+def _contexts(v: Vocabulary, words: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of positions with the words before them (nearest first): the distance of the nearest word that isn't hot
+    (one beyond the depth where there is none), the keys of contexts of 0, 1.. words, and how many words there are."""
+    depth, n = len(words), len(words[0])
+    anchor, reach = np.full(n, depth + 1), np.zeros(n, np.int64)
+    keys = [np.zeros(n, np.uint64)]
+    for d, w in enumerate(words, 1):
+        there = w != NONE
+        reach += there
+        anchor[there & (anchor > depth) & ~v.is_hot(w)] = d
+        keys.append(_longer(keys[-1], d, w))
+    return anchor, keys, reach
+
+
+class _Group:
+    """The positions of a group of documents: next tokens and the words before them."""
+
+    def __init__(self, v: Vocabulary, rows: pd.DataFrame, tokens: list[bytes], first: np.ndarray, depth: int):
+        self.places = v.lookup(tokens)
+        self.nx = v.number[self.places]
         sizes = np.diff(first)
-        at = np.arange(len(ids)) - np.repeat(first[:-1], sizes)
-        h, often = v.h[ids], v.count[ids] >= hot
-        start_often = bool(v.count[v[b"\n"]] >= hot)  # as many starts as ends
-        self.nx, self.reach = h, np.minimum(at + 1, depth)
-        self.p0 = np.where(v.count[ids] >= 0, 10.0 ** v.logp[ids], 0).astype(np.float32)
-        self.held = np.repeat(rows["held_out"].to_numpy(bool), sizes)
-        self.rid = np.repeat(rows["rid"].to_numpy(), sizes)
-        self.anchor = np.full(len(ids), depth + 1)
-        self.keys, self.words = [np.zeros(len(ids), np.uint64)], [np.zeros(len(ids), np.uint64)]
-        back = lambda x, k: np.r_[np.zeros(min(k, len(x)), x.dtype), x[:-k]]
+        at = np.arange(len(tokens)) - np.repeat(first[:-1], sizes)
+        self.words = []
         for d in range(1, depth + 1):
-            w = np.where(at >= d, back(h, d), np.uint64(0))
-            cold = np.where(at >= d, ~back(often, d), (at == d - 1) & (not start_often))
-            self.anchor = np.where(cold & (self.anchor > depth), d, self.anchor)
-            self.keys.append(mix((self.keys[-1] + np.uint64(d)) ^ mix(w + np.uint64(1))))
+            w = np.zeros(len(tokens), np.uint64)
+            w[d:] = self.nx[:-d]
+            w[at < d] = NONE
+            w[at == d - 1] = START
             self.words.append(w)
+        self.held = rows["held_out"].to_numpy(bool)
+        # The place in the group, and whether the document is held out.
+        self.doc = np.repeat(np.arange(len(rows), dtype=np.uint64) * np.uint64(2) + self.held, sizes)
 
+    def columns(self, own: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        return [(c[own], WORD_BYTES) for c in (self.nx, *self.words)] + [(self.doc[own], DOC_BYTES)]
+
+
+DOC = "grp long, at int, doc_id string, held_out boolean, n_tokens long, n_known long, base double, root double, others array<long>"
+BLOCK = "part int, grp long, n int, data binary"
+
+
+def _run_groups(make, vocabulary, p: PstParams):
+    """mapInPandas code that gives ``make``'s frames for each group, numbered alike in every pass over the rows."""
 
-def _each(docs: DataFrame, vocabulary, hot: int, p: PstParams, make, schema: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grp = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for rows, own in _groups(batch, p.group_tokens):
-                yield make(_Positions(vocabulary.value, rows, own, hot, p.depth))
+            for rows, tokens, first in _groups(batch, p.group_tokens):
+                yield from make(vocabulary.value, grp, rows, first, _Group(vocabulary.value, rows, tokens, first, p.depth))
+                grp += 1
 
-    return docs.select("rid", "text", "held_out").mapInPandas(run, schema)
+    return run
 
 
-def _hot_pairs(docs: DataFrame, vocabulary, hot: int, p: PstParams) -> DataFrame:
-    """Training counts c of (context k of d hot words, next token nx), held-out pairs included; added up per batch before the shuffle."""
+def _near(docs: DataFrame, vocabulary, parts: int, p: PstParams) -> DataFrame:
+    """Rows of documents, and blocks of the positions whose nearest word isn't hot."""
 
-    def make(x: _Positions) -> pd.DataFrame:
-        parts = []
-        for d in range(1, p.depth + 1):
-            own = np.flatnonzero((x.anchor > d) & (x.reach >= d))
-            _, head, pair = np.unique(_pair(x.keys[d][own], x.nx[own]), return_index=True, return_inverse=True)
-            c, i = np.bincount(pair, ~x.held[own], len(head)), own[head]
-            parts.append(pd.DataFrame({"d": d, "k": x.keys[d][i].view(np.int64), "up": x.keys[d - 1][i].view(np.int64), "nx": x.nx[i].view(np.int64), "p0": x.p0[i], "c": c.astype(np.int64)}))
-        return pd.concat(parts)
+    def make(v: Vocabulary, grp: int, rows: pd.DataFrame, first: np.ndarray, x: _Group) -> Iterator[pd.DataFrame]:
+        rare = x.nx >= v.rare
+        add = lambda y: np.add.reduceat(y, first[:-1])
+        own = np.where(rare, 0.0, v.base[np.where(rare, 0, x.nx).astype(np.int64)])
+        others = np.split(v.h[x.places[rare]].view(np.int64), np.cumsum(add(rare.astype(np.int64)))[:-1])
+        base, few = add(own), add(rare.astype(np.int64))
+        yield pd.DataFrame({
+            "part": grp % parts, "grp": grp, "at": np.arange(len(rows)), "doc_id": rows["doc_id"], "held_out": x.held, "n_tokens": np.diff(first),
+            "n_known": np.diff(first) - few, "base": base, "root": base + few * np.log10(v.p_rare), "others": others, "n": 0, "data": None,
+        })
+        near = np.flatnonzero(~v.is_hot(x.words[0]))
+        key = _longer(np.zeros(len(near), np.uint64), 1, x.words[0][near])
+        yield _as_rows(grp, _blocks((key % np.uint64(parts)).astype(np.int64), x.columns(near)))
 
-    rows = _each(docs, vocabulary, hot, p, make, "d int, k long, up long, nx long, p0 float, c long")
-    return rows.groupBy("d", "k", "nx").agg(F.first("up").alias("up"), F.first("p0").alias("p0"), F.sum("c").alias("c"))
+    schema = f"part int, {DOC}, n int, data binary"
+    return docs.mapInPandas(_in_order(_run_groups(make, vocabulary, p), schema), schema)
 
 
-def _context_rows(docs: DataFrame, vocabulary, hot: int, p: PstParams, near: bool) -> DataFrame:
-    """One row for each position, with (``near``) or without a word that is not hot right before it.
+def _in_order(run, schema: str):
+    """Frames with all columns of the schema, in its order."""
+    names = [c.split()[0] for c in re.sub(r"<.*?>", "", schema).split(", ")]
 
-    ``g``: the context from the anchor on, which few rows have; ``up``: the
-    longest context of hot words alone.  ``w0``... hold two 32-bit halves each:
-    the root probability (negative where held out, 0 where the next word's count
-    isn't known here), then hashes of the words before the anchor (odd; 0 where
-    there is none, 2 where there is no anchor).
-    """
+    def ordered(batches):
+        for frame in run(batches):
+            yield frame.assign(**{c: None for c in names if c not in frame})[names]
 
-    def make(x: _Positions) -> pd.DataFrame:
-        own = np.flatnonzero((x.anchor == 1) == near)
-        a, reach, rid = x.anchor[own], x.reach[own], x.rid[own]
-        local = a <= p.depth
-        keys, words = np.stack(x.keys), (mix(np.stack(x.words) + np.uint64(1)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-        p0 = np.where(x.held[own], -x.p0[own] - np.float32(1e-30), x.p0[own]).astype(np.float32)
-        halves = [p0.view(np.uint32)]
-        for j in range(1, p.depth):
-            halves.append(np.where(a + j <= reach, words[np.minimum(a + j, p.depth), own], np.uint32(0)))
-        halves[1] = np.where(local, halves[1], np.uint32(2))
-        out = {"g": np.where(local, keys[np.minimum(a, p.depth), own].view(np.int64), rid), "nx": x.nx[own].view(np.int64), "rid": rid}
-        for j in range(0, len(halves), 2):
-            high = halves[j + 1] if j + 1 < len(halves) else np.zeros(len(own), np.uint32)
-            out[f"w{j // 2}"] = (halves[j].astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)).view(np.int64)
-        if not near:
-            out["up"] = keys[np.minimum(a - 1, reach), own].view(np.int64)
-        return pd.DataFrame(out)
-
-    more = "".join(f", w{j} long" for j in range((p.depth + 1) // 2)) + ("" if near else ", up long")
-    return _each(docs, vocabulary, hot, p, make, f"g long, nx long, rid long{more}")
+    return ordered
 
 
-def _pair(key: np.ndarray, nx: np.ndarray) -> np.ndarray:
-    return mix(key ^ mix(nx + np.uint64(1)))
+def _as_rows(grp: int, blocks: Iterator[tuple[int, int, bytes]]) -> pd.DataFrame:
+    part, n, data = zip(*blocks) if (blocks := list(blocks)) else ((), (), ())
+    return pd.DataFrame({"part": np.array(part, np.int64), "grp": grp, "n": np.array(n, np.int64), "data": data})
 
 
-@dataclass
-class _Rows:
-    """Rows of contexts and next tokens: the probability so far, whether a state counted the token, and whether any state was retained."""
+def _far(docs: DataFrame, vocabulary, parts: int, p: PstParams) -> DataFrame:
+    """Pairs of contexts of hot words and next tokens with training counts, added up per group, and blocks of the positions behind hot words."""
+
+    def make(v: Vocabulary, grp: int, rows: pd.DataFrame, first: np.ndarray, x: _Group) -> Iterator[pd.DataFrame]:
+        own = np.flatnonzero(v.is_hot(x.words[0]))
+        if not len(own):
+            return
+        words, nx, live = [w[own] for w in x.words], x.nx[own], ~x.held[(x.doc[own] >> np.uint64(1)).astype(np.int64)]
+        anchor, keys, reach = _contexts(v, words)
+        for d in range(1, p.depth + 1):
+            at = np.flatnonzero((anchor > d) & (reach >= d))
+            _, head, pair = np.unique(_pair(keys[d][at], nx[at]), return_index=True, return_inverse=True)
+            i = at[head]
+            yield pd.DataFrame({"d": d, "k": keys[d][i].view(np.int64), "up": keys[d - 1][i].view(np.int64), "nx": nx[i].view(np.int64), "c": np.bincount(pair, live[at], len(head)).astype(np.int64)})
+        up = np.take_along_axis(np.stack(keys), np.minimum(anchor - 1, reach)[None], 0)[0]
+        yield _as_rows(grp, _blocks((_pair(up, nx) % np.uint64(parts)).astype(np.int64), x.columns(own)))
+
+    schema = f"d int, k long, up long, nx long, c long, {BLOCK}"
+    return docs.mapInPandas(_in_order(_run_groups(make, vocabulary, p), schema), schema)
+
 
-    nx: np.ndarray
-    weight: np.ndarray
-    unknown: np.ndarray
-    p: np.ndarray
-    seen: np.ndarray
-    used: np.ndarray
+# -- counting, testing and smoothing
 
-    def settle(self, key: np.ndarray, at: np.ndarray, gain_bits: float) -> np.ndarray:
-        """Tests the contexts ``key`` of the rows ``at`` and applies those retained; tells which may have longer ones.
 
-        A context without a repeated continuation never passes, nor does any longer one.
-        """
-        w, parent = self.weight[at], self.p[at]
+class _Rows:
+    """Positions (or pairs of a context and a next token): training weight, probability so far and whether any state was retained."""
+
+    def __init__(self, nx: np.ndarray, weight: np.ndarray, p: np.ndarray, used: np.ndarray):
+        names, self.nx = np.unique(nx, return_inverse=True)
+        self.names, self.weight, self.p, self.used = len(names), weight, p, used
+
+    def settle(self, key: np.ndarray, at: np.ndarray, gain_bits: float) -> tuple[np.ndarray, np.ndarray]:
+        """Tests the contexts ``key`` of the rows ``at`` and applies those retained; gives the rows that may have longer ones and their contexts."""
+        if not len(at):
+            return at, key
         _, state = np.unique(key, return_inverse=True)
-        _, head, pair = np.unique(_pair(key, self.nx[at]), return_index=True, return_inverse=True)
-        c_pair, n_state = np.bincount(pair, w), np.bincount(state, w)
-        t_state = np.bincount(state[head], c_pair > 0, len(n_state))
-        most = np.zeros(len(n_state))
-        np.maximum.at(most, state[head], c_pair)
-        c, n, t = c_pair[pair], n_state[state], t_state[state]
+        pair = state * self.names + self.nx[at]
+        order = np.argsort(pair)
+        pair, at = pair[order], at[order]
+        start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        rows = np.diff(np.r_[start, len(pair)])
+        c, state, parent = np.add.reduceat(self.weight[at], start), pair[start] // self.names, self.p[at[start]]
+        begin = np.flatnonzero(np.r_[True, state[1:] != state[:-1]])
+        pairs = np.diff(np.r_[begin, len(state)])
+        n, t, most = np.add.reduceat(c, begin), np.add.reduceat((c > 0).astype(float), begin), np.maximum.reduceat(c, begin)
+        n_, t_ = np.repeat(n, pairs), np.repeat(t, pairs)
         with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.log2((np.maximum(c - 1, 0) + t * parent) / (np.maximum(n - 1, 0) + t) / parent)
-            kept = (np.bincount(state, np.where(w > 0, w * ratio, 0), len(n_state)) >= gain_bits)[state] & (n >= 2)
-            counted = kept & (c > 0)
-            lower = np.where(self.unknown[at] & ~self.seen[at], 0, parent)
-            self.p[at] = np.where(counted, (c + t * lower) / (n + t), np.where(kept, t / (n + t) * parent, parent))
-        self.seen[at] |= counted
-        self.used[at] |= kept
-        return (most >= 2)[state]
+            ratio = np.log2((np.maximum(c - 1, 0) + t_ * parent) / (np.maximum(n_ - 1, 0) + t_) / parent)
+            kept = (np.add.reduceat(np.where(c > 0, c * ratio, 0), begin) >= gain_bits) & (n >= 2)
+            kept_ = np.repeat(kept, pairs)
+            self.p[at] = np.repeat(np.where(kept_, (c + t_ * parent) / (n_ + t_), parent), rows)
+        self.used[at] |= np.repeat(kept_, rows)
+        on = np.repeat(np.repeat(most >= 2, pairs), rows)
+        return at[on], np.repeat(state, rows)[on].astype(np.uint64)
 
 
-def _pack(p: np.ndarray, seen: np.ndarray, used: np.ndarray) -> np.ndarray:
-    """A probability as a float, and two flags, in one number."""
-    return (p.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32) | seen.astype(np.uint64) << np.uint64(1) | used.astype(np.uint64)).view(np.int64)
+def _as_long(p: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """A probability as a float, and a flag, in one number."""
+    return p.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32) | used.astype(np.uint64)
 
 
-def _unpack(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    u = q.view(np.uint64)
-    return (u >> np.uint64(32)).astype(np.uint32).view(np.float32).astype(float), (u & np.uint64(2)) > 0, (u & np.uint64(1)) > 0
+def _from_long(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (q >> np.uint64(32)).astype(np.uint32).view(np.float32).astype(float), (q & np.uint64(1)) > 0
 
 
-def _settle_hot(batches: Iterator[pd.DataFrame], least_p: float, gain_bits: float) -> Iterator[pd.DataFrame]:
-    """The distributions of the hot contexts of one partition."""
-    frames = list(batches)
-    x = pd.concat(frames) if frames else pd.DataFrame()
-    if not len(x):
-        return
-    p0 = x["p0"].to_numpy(float)
-    p, seen, used = _unpack(x["q"].to_numpy())
-    p = np.where(p > 0, p, np.where(p0 > 0, p0, least_p))
-    rows = _Rows(x["nx"].to_numpy().view(np.uint64), x["c"].to_numpy(float), p0 <= 0, p, seen, used)
-    rows.settle(x["k"].to_numpy().view(np.uint64), np.arange(len(x)), gain_bits)
-    yield pd.DataFrame({"k": x["k"].to_numpy(), "nx": x["nx"].to_numpy(), "q": _pack(rows.p, rows.seen, rows.used)})
-
-
-def _hot_states(docs: DataFrame, vocabulary, hot: int, least_p: float, scratch: Scratch, p: PstParams) -> DataFrame:
-    """(k, nx, q: the packed row) of all contexts of hot words alone, level by level."""
-    pairs = scratch.write(_hot_pairs(docs, vocabulary, hot, p), "pairs")
-    bits, levels = p.gain_bits, []
+def _hot_states(pairs: DataFrame, vocabulary, parts: int, scratch: Scratch, p: PstParams) -> DataFrame:
+    """(part, k, nx, q) of all contexts of hot words alone, level by level."""
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = list(batches)
+        x = pd.concat(frames) if frames else pd.DataFrame()
+        if not len(x):
+            return
+        nx, k = x["nx"].to_numpy().view(np.uint64), x["k"].to_numpy().view(np.uint64)
+        before, used = _from_long(x["q"].to_numpy().view(np.uint64))
+        rows = _Rows(nx, x["c"].to_numpy(float), np.where(before > 0, before, vocabulary.value.root(nx)), used)
+        rows.settle(k, np.arange(len(x)), p.gain_bits)
+        q = _as_long(rows.p, rows.used).view(np.int64)
+        yield pd.DataFrame({"part": (_pair(k, nx) % np.uint64(parts)).astype(np.int32), "k": k.view(np.int64), "nx": nx.view(np.int64), "q": q})
+
+    levels: list[DataFrame] = []
+    summed = scratch.write(pairs.groupBy("d", "k", "nx").agg(F.first("up").alias("up"), F.sum("c").alias("c")), "pairs")
     for d in range(1, p.depth + 1):
-        own = pairs.where(F.col("d") == d)
+        own = summed.where(F.col("d") == d)
         if levels:
-            own = own.join(levels[-1].withColumnRenamed("k", "up"), ["up", "nx"])
+            own = own.join(levels[-1].select(F.col("k").alias("up"), "nx", "q"), ["up", "nx"])
         else:
             own = own.withColumn("q", F.lit(0).cast("long"))
-        own = own.select("k", "nx", "c", "p0", "q").repartition("k")
-        levels.append(scratch.write(own.mapInPandas(lambda it: _settle_hot(it, least_p, bits), "k long, nx long, q long"), f"level{d}"))
+        own = own.select("k", "nx", "c", "q").repartition("k")
+        levels.append(scratch.write(own.mapInPandas(settle, "part int, k long, nx long, q long"), f"level{d}"))
     scratch.drop("pairs")
     out = levels[0]
     for more in levels[1:]:
@@ -313,86 +379,171 @@ def _hot_states(docs: DataFrame, vocabulary, hot: int, least_p: float, scratch:
     return out
 
 
-def _score_contexts(batches: Iterator[pd.DataFrame], least_p: float, gain_bits: float) -> Iterator[pd.DataFrame]:
-    """Counts, tests and scores of the contexts of one partition, one word longer at a time.
+def _start_far(blocks: DataFrame, states: DataFrame, vocabulary, parts: int, p: PstParams) -> DataFrame:
+    """Blocks of positions behind hot words with what the hot contexts gave them, for the partitions of their further contexts."""
+    widths = [WORD_BYTES] * (p.depth + 1) + [DOC_BYTES]
 
-    Gives per document the gain over the root, and (with nx) the positions
-    whose root term isn't known here and doesn't count.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v, keys, values, held = vocabulary.value, [], [], []
+        for b in batches:
+            state = b["data"].isna().to_numpy()
+            k, nx, q = (b[c].to_numpy()[state].view(np.uint64) for c in ("k", "nx", "q"))
+            keys.append(_pair(k, nx))
+            values.append(q)
+            held += [(int(g), int(n), d) for g, n, d in zip(b["grp"][~state], b["n"][~state], b["data"][~state])]
+        if not held:
+            return
+        keys, values = np.concatenate(keys), np.concatenate(values)
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        for grp, n, data in held:
+            columns = _unpack(data, n, widths)
+            anchor, own, reach = _contexts(v, columns[1:-1])
+            own = np.stack(own)
+            up = np.take_along_axis(own, np.minimum(anchor - 1, reach)[None], 0)[0]
+            q = values[np.searchsorted(keys, _pair(up, columns[0]))]
+            place = np.take_along_axis(own, np.minimum(anchor, reach)[None], 0)[0] % np.uint64(parts)
+            yield _as_rows(grp, _blocks(place.astype(np.int64), [*zip(columns, widths), (q, 8)]))
+
+    # Zeros, not nulls, for pandas would turn numbers beside nulls into floats.
+    none = [F.lit(0).cast("long").alias(c) for c in ("k", "nx", "q")]
+    block = [F.lit(0).cast("long").alias("grp"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("data")]
+    rows = blocks.select("part", "grp", "n", "data", *none).unionByName(states.select("part", *block, "k", "nx", "q"))
+    return rows.repartitionById(parts, F.col("part")).mapInPandas(_in_order(run, BLOCK), BLOCK)
+
+
+def _score(rows: DataFrame, vocabulary, p: PstParams) -> DataFrame:
+    """Counts, tests and scores of the contexts of each partition, one word longer at a time.
+
+    The rows of documents pass by; blocks of positions become blocks of their
+    documents' gains over the root.
     """
-    frames = list(batches)
-    if not frames:
-        return
-    x = pd.concat(frames)
-    del frames
-    rid, nx = x["rid"].to_numpy(), x["nx"].to_numpy()
-    packed = [x[c].to_numpy().view(np.uint64) for c in x.columns if c[0] == "w"]
-    halves = [(w >> np.uint64(s)).astype(np.uint32) for w in packed for s in (0, 32)]
-    signed, words = halves[0].view(np.float32).astype(float), halves[1:]
-    p0 = np.abs(signed)
-    unknown = p0 <= 2e-30
-    p0 = np.where(unknown, least_p, p0)
-    p, seen, used = _unpack(x["q"].to_numpy())
-    rows = _Rows(nx.view(np.uint64), (signed >= 0).astype(float), unknown, np.where(p > 0, p, p0), seen, used)
-    key, at = x["g"].to_numpy().view(np.uint64), np.flatnonzero(words[0] != 2)
-    key = key[at]
-    for w in [*words, None]:
-        if not len(at):
+    widths = [WORD_BYTES] * (p.depth + 1) + [DOC_BYTES]
+    schema = f"part int, {DOC}, n int, data binary"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, part = [], 0
+        for b in batches:
+            doc = b["data"].isna()
+            if doc.any():
+                yield b[doc]
+            if not doc.all():
+                part = int(b["part"].iloc[0])
+                held += [(int(g), int(n), d, bool(f)) for g, n, d, f in zip(b["grp"][~doc], b["n"][~doc], b["data"][~doc], b["far"][~doc])]
+        if held:
+            del b
+            gains = _as_rows(part, _gains(vocabulary.value, held, widths, p))
+            yield gains.rename(columns={"part": "grp", "grp": "part"})
+
+    return rows.mapInPandas(_in_order(run, schema), schema)
+
+
+def _gains(v: Vocabulary, held: list[tuple[int, int, bytes, bool]], widths: list[int], p: PstParams) -> Iterator[tuple[int, int, bytes]]:
+    """(group, documents, data) of the documents of each group whose score differs from the root's."""
+    held.sort(key=lambda h: (h[0], h[3]))
+    sizes = np.array([h[1] for h in held])
+    ends = np.cumsum(sizes)
+    columns = [np.empty(ends[-1], np.uint64) for _ in widths]
+    q = np.zeros(ends[-1], np.uint64)
+    for k, (_, n, data, far) in enumerate(held):
+        lo, hi = ends[k] - n, ends[k]
+        *own, last = _unpack(data, n, widths + [8]) if far else [*_unpack(data, n, widths), None]
+        for c, x in zip(columns, own):
+            c[lo:hi] = x
+        if far:
+            q[lo:hi] = last
+    groups = [h[0] for h in held]
+    del held
+    nx, words, doc = columns[0], columns[1:-1], columns[-1]
+    root = v.root(nx)
+    before, used = _from_long(q)
+    rows = _Rows(nx, (doc & np.uint64(1) == 0).astype(float), np.where(before > 0, before, root), used)
+    far = before > 0
+    key, at, offset = _longer(np.zeros(len(nx), np.uint64), 1, words[0]), np.arange(len(nx)), None
+    if far.any():
+        anchor, keys, _ = _contexts(v, words)
+        at = np.flatnonzero(anchor <= p.depth)
+        key, offset, words = np.take_along_axis(np.stack(keys)[:, at], anchor[None, at], 0)[0], anchor - 1, np.stack([*words, *np.zeros((p.depth, len(nx)), np.uint64)])
+        del keys
+    for d in range(1, p.depth + 1):
+        at, state = rows.settle(key, at, p.gain_bits)
+        if d == p.depth:
             break
-        on = rows.settle(key, at, gain_bits)
-        if w is not None:
-            on &= w[at] != 0
-            at = at[on]
-            key = mix(key[on] ^ mix(w[at].astype(np.uint64)))
-    use, whole = rows.used, unknown & rows.seen  # whole: the state's probability replaces the root's unknown one
-    value = np.log10(rows.p[use]) - np.where(whole[use], 0, np.log10(p0[use]))
-    docs, at = np.unique(rid[use], return_inverse=True)
-    if len(docs):
-        yield pd.DataFrame({"rid": docs, "nx": pd.array([None] * len(docs), "Int64"), "value": np.bincount(at, value)})
-    if whole.any():
-        pairs = pd.DataFrame({"rid": rid[whole], "nx": nx[whole], "value": 1.0}).groupby(["rid", "nx"], as_index=False).sum()
-        yield pairs.astype({"nx": "Int64"})
+        w = words[d][at] if offset is None else words[offset[at] + d, at]
+        there = w != NONE
+        at = at[there]
+        key = _longer(state[there], d, w[there])
+    use = np.flatnonzero(rows.used)
+    if not len(use):
+        for g in sorted(set(groups)):
+            yield g, 0, b""
+        return
+    value = np.log10(rows.p[use]) - np.log10(root[use])
+    number = {g: i for i, g in enumerate(sorted(set(groups)))}
+    place = np.repeat(np.array([number[g] for g in groups], np.uint64), sizes)[use] << np.uint64(32) | doc[use] >> np.uint64(1)
+    docs, where = np.unique(place, return_inverse=True)
+    value = np.bincount(where, value)
+    owner = (docs >> np.uint64(32)).astype(np.int64)
+    for g, i in number.items():
+        lo, hi = np.searchsorted(owner, [i, i + 1])
+        yield g, hi - lo, _pack([(docs[lo:hi], DOC_BYTES), (value[lo:hi].astype(np.float32), 4)]) if hi > lo else b""
+
+
+def _add_up(gains: DataFrame) -> DataFrame:
+    """(grp, at, gain): the gains of all partitions, added in their order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, total = None, np.zeros(0)
+        for b in batches:
+            for grp, n, data in zip(b["grp"], b["n"], b["data"]):
+                if grp != now:
+                    if now is not None:
+                        yield pd.DataFrame({"grp": now, "at": np.arange(len(total)), "gain": total})
+                    now, total = grp, np.zeros(0)
+                planes = np.frombuffer(pa.decompress(data, n * (DOC_BYTES + 4), codec="zstd"), np.uint8).reshape(-1, n)
+                docs = np.ascontiguousarray(planes[:DOC_BYTES].T).view(np.uint32).ravel()
+                value = np.ascontiguousarray(planes[DOC_BYTES:].T).view(np.float32).ravel()
+                if docs[-1] >= len(total):
+                    total = np.r_[total, np.zeros(int(docs[-1]) + 1 - len(total))]
+                total[docs] += value
+        if now is not None:
+            yield pd.DataFrame({"grp": now, "at": np.arange(len(total)), "gain": total})
+
+    return gains.select("grp", "part", "n", "data").repartition("grp").sortWithinPartitions("grp", "part").mapInPandas(run, "grp long, at int, gain double")
 
 
 def suffix_tree_scores(docs: DataFrame, scratch: Scratch, p: PstParams = PstParams()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
-    base = docs.select("doc_id", "text", held_out(F.col("doc_id"), p.modulus, p.remainder).alias("held_out"), F.xxhash64("doc_id", "text").alias("rid"))
+    base = docs.select(F.col("doc_id").cast("string"), "text", held_out(F.col("doc_id"), p.modulus, p.remainder).alias("held_out"))
+    if "Exchange" in base._jdf.queryExecution().executedPlan().toString():
+        base = scratch.write(base, "documents")  # groups are numbered by the order of the rows, which a shuffle doesn't keep
     counts = scratch.write(count_tokens(base, p), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     # At most ``frequent`` words can have this count: the broadcast is bounded whatever the corpus.
     least = total / p.frequent
-    common = counts.where(F.col("c") >= least).toPandas()
-    common = common.assign(u=common["h"].to_numpy(np.int64).view(np.uint64)).sort_values("u")
-    vocabulary = spark.sparkContext.broadcast(Vocabulary(common["u"].to_numpy(), common["c"].to_numpy(np.int64), total, distinct))
+    common = counts.where(F.col("c") >= least).toPandas().sort_values(["c", "h"], ascending=[False, True])
     hot = int(max(np.ceil(least), p.hot))
-    # A bound of the root probability of words whose count isn't broadcast; it makes the tests stricter.
-    least_p = max(least, 1.0) / (total + distinct + 1)
-    rows = scratch.write(_document_rows(base, vocabulary, p), "rows")
-    bits = p.gain_bits
-    contexts = _context_rows(base, vocabulary, hot, p, True).withColumn("q", F.lit(0).cast("long"))
-    if (common["c"] >= hot).any():
-        states = _hot_states(base, vocabulary, hot, least_p, scratch, p)
-        far = _context_rows(base, vocabulary, hot, p, False).join(states.withColumnRenamed("k", "up"), ["up", "nx"])
-        contexts = contexts.unionByName(far.select(*contexts.columns))
-    contexts = contexts.repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), "g")
-    gains = scratch.write(contexts.mapInPandas(lambda it: _score_contexts(it, least_p, bits), "rid long, nx long, value double"), "gains")
-    # Exact repeats of a row share an id; their sums are divided by how many they are.
-    named = rows.groupBy("rid").agg(F.count(F.lit(1)).alias("copies"))
-    asked = (
-        rows.select("rid", F.explode("others").alias("h")).groupBy("rid", "h").agg(F.count(F.lit(1)).alias("tf")).withColumn("cov", F.lit(0.0))
-        .unionByName(gains.where("nx is not null").select("rid", F.col("nx").alias("h"), F.lit(0).cast("long").alias("tf"), F.col("value").alias("cov")))
-    )
+    hashes, c = common["h"].to_numpy(np.int64).view(np.uint64), common["c"].to_numpy(np.int64)
+    vocabulary = spark.sparkContext.broadcast(Vocabulary(hashes, c, total, distinct, p.frequent, hot))
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = _near(base, vocabulary, parts, p).withColumn("far", F.lit(False))
+    if (c >= hot).any():
+        far = scratch.write(_far(base, vocabulary, parts, p), "far")
+        states = _hot_states(far.where("d is not null").select("d", "k", "up", "nx", "c"), vocabulary, parts, scratch, p)
+        started = _start_far(far.where("d is null"), states, vocabulary, parts, p).withColumn("far", F.lit(True))
+        rows = rows.unionByName(started, allowMissingColumns=True)
+    scored = scratch.write(_score(rows.repartitionById(parts, F.col("part")), vocabulary, p), "scored")
+    gains = _add_up(scored.where("data is not null and n > 0"))
+    rows = scored.where("data is null")
+    # The counts of words that aren't broadcast, for the base score alone.
     norm = float(np.log10(total + distinct + 1))
-    root = F.log10(F.coalesce("c", F.lit(0)) + 1) - norm
-    found = asked.join(counts.where(F.col("c") < least), "h", "left").groupBy("rid").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("known2"),
-        F.sum(F.col("tf") * root).alias("base2"), F.sum(F.col("cov") * root).alias("covered"),
+    found = (
+        rows.select("grp", "at", F.explode("others").alias("h")).join(counts.where(F.col("c") < least), "h", "left")
+        .groupBy("grp", "at").agg(F.count("c").alias("known2"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1) - norm).alias("base2"))
     )
-    gained = gains.where("nx is null").groupBy("rid").agg(F.sum("value").alias("gain"))
-    by_row = named.join(found, "rid", "left").join(gained, "rid", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)) / F.col("copies")
-    base_score = F.col("base") + zero("base2")
-    return rows.drop("others").join(by_row, "rid").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce(F.col("known2") / F.col("copies"), F.lit(0))).cast("long").alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"), base_score.alias("base_score"), (base_score + zero("gain") - zero("covered")).alias("score"),
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    return rows.drop("others").join(found, ["grp", "at"], "left").join(gains, ["grp", "at"], "left").select(
+        F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", (F.col("n_known") + zero("known2")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        (F.col("base") + zero("base2")).alias("base_score"), (F.col("root") + zero("gain")).alias("score"),
     )

@@ -270,7 +270,8 @@ def test_held_out_accuracy(spark):
     assert found and sum(w in bad for w in found) > 0.95 * len(found)
 
 
-def test_suffix_tree_states(spark):
+@pytest.mark.parametrize("frequent", [1 << 21, 30])
+def test_suffix_tree_states(spark, frequent):
     """Scores by every context of up to four tokens, whichever words are hot; most contexts here are of frequent words alone."""
     rng = random.Random(8)
     phrases = ["a b c d a", "b a c a b d", "a a b", "c d a b"]
@@ -278,7 +279,10 @@ def test_suffix_tree_states(spark):
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
     docs = [[*t.encode().split(), b"\n"] for t in texts]
     start, counts = b"<", Counter(w for d, h in zip(docs, held) if not h for w in d)
-    norm = sum(counts.values()) + len(counts) + 1
+    total = sum(counts.values())
+    norm = total + len(counts) + 1
+    rare = [w for w in counts if counts[w] * frequent < total]
+    assert bool(rare) == (frequent == 30)
     follow = {}
     for d, h in zip(docs, held):
         for i, w in enumerate(d):
@@ -288,7 +292,9 @@ def test_suffix_tree_states(spark):
 
     def p(context, w):
         if not context:
-            return (counts[w] + 1) / norm
+            if counts[w] * frequent >= total:
+                return (counts[w] + 1) / norm
+            return (sum(counts[x] for x in rare) + len(rare) + 1) / norm / (len(rare) + 1)
         c, lower = follow[context], p(context[1:], w)
         if not retained(context):
             return lower
@@ -306,10 +312,18 @@ def test_suffix_tree_states(spark):
         return known[context]
 
     want = [sum(math.log10(p(tuple([start, *d[:i]][-4:]), w)) for i, w in enumerate(d)) for d in docs]
-    assert sum(len(c) == 4 and retained(c) for c in follow)
+    states = [(), *(c for c in follow if retained(c))]
+    assert any(len(c) == 4 for c in states)
+    assert all(abs(sum(p(c, w) for w in [*counts, b"never seen"]) - 1) < 1e-9 for c in states)
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for hot in (1, 30, 1 << 19):
-        got = {r.doc_id: r.score for r in pst.suffix_tree_scores(table, Scratch(spark, "t"), pst.PstParams(hot=hot)).collect()}
-        assert all(abs(got[i] - w) < 1e-4 * len(docs[i]) for i, w in enumerate(want))
-    same = [{r.doc_id: r.score for r in pst.suffix_tree_scores(table, Scratch(spark, "t"), pst.PstParams(hot=hot, frequent=30)).collect()} for hot in (1, 1 << 19)]
-    assert all(abs(same[0][i] - same[1][i]) < 1e-4 * len(docs[i]) for i in same[0])  # also with most counts looked up by the join
+        got = {r.doc_id: r.score for r in pst.suffix_tree_scores(table, Scratch(spark, "t"), pst.PstParams(hot=hot, frequent=frequent, group_tokens=500)).collect()}
+        assert all(abs(got[i] - w) < 1e-5 * len(docs[i]) for i, w in enumerate(want))
+
+
+def test_repeated_phrase_scores_above_the_root(spark):
+    """Contexts of frequent words alone are states too."""
+    docs = spark.createDataFrame([(i, "alpha beta gamma delta " * 10) for i in range(100)], "doc_id long, text string").repartition(3)
+    rows = pst.suffix_tree_scores(docs, Scratch(spark, "t")).collect()
+    assert len(rows) == 100 and all(r.score > 0.3 * r.base_score for r in rows)
+    assert len({round(r.score, 6) for r in rows}) == 1
