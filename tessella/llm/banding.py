@@ -3,15 +3,18 @@
 Rows are (bucket, id).  Each batch names one leader per bucket and pairs the
 bucket's other members with it; only leaders meet in the shuffle, where each
 bucket again names one leader.  That gives as many pairs as members, and no
-task gets more than one row per batch of a bucket, however large it is.
+task gets more than one row per batch of a bucket, however large it is.  What
+meets travels as blocks of numbers, one for each batch and partition.
 
 After exact verification and union-find, a bucket whose members lie in one
 component needs nothing more.  In the others, members of different components
 whose sketches are near are joined into families, in blocks of bounded size
 that write a spanning forest, not pairs.  Every pair of a family across
-components is then verified on full sets, again in blocks that write a forest
-of the true links.  In both steps one side lies outside the group's leading
-component, so a group that has already come together costs next to nothing.
+components is then verified on full sets, again in blocks, bounded in members and
+bytes, that write a forest of the true links.  In both steps one side lies outside
+the group's leading component, so a group that has already come together costs
+next to nothing.  Blocks are read one after the other, their visitors a slice at a
+time, so a task holds one block's residents and no more.
 A link can only be missed where no band (or no sketch, at six deviations) has
 both texts together.
 """
@@ -29,52 +32,67 @@ from tessella.operators.graph import connected_components
 from tessella.scratch import Scratch
 from tessella.llm.text import mix
 
-#: Members of a bucket that one block holds.
-BLOCK = 1024
+#: Members and bytes of texts that live in one block, and members where only sketches are compared.
+BLOCK, BYTES, SKETCHES = 1024, 1 << 22, 1 << 14
+#: Bytes of texts whose sets are made together.
+SLICE = 1 << 20
+MET = "part int, own binary, stars binary"
 LED = "bucket long, id long, leader long"
 
 
-def lead(bucket: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
-    """Every (bucket, id) once, with the bucket's leader: the member of least hash."""
-    order = np.argsort(bucket, kind="stable")
+def lead(bucket: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The (bucket, id) that are alone in their bucket, and (bucket, id, leader) of the others, once each, with the member of least hash as leader."""
+    order = np.argsort(bucket)
     bucket, ids = bucket[order], ids[order]
     same = bucket[1:] == bucket[:-1]
     many = np.r_[same, False] | np.r_[False, same]
-    single = pd.DataFrame({"bucket": bucket[~many], "id": ids[~many], "leader": ids[~many]})
+    single = np.stack([bucket[~many], ids[~many]])
     bucket, ids = bucket[many], ids[many]
     if not len(ids):
-        return single
+        return single, np.zeros((3, 0), np.int64)
     rank = mix(ids.view(np.uint64))  # alike in all buckets, so that a group has few leaders and few distinct pairs
     order = np.lexsort((rank, bucket))
     bucket, ids, rank = bucket[order], ids[order], rank[order]
     fresh = np.r_[True, (bucket[1:] != bucket[:-1]) | (rank[1:] != rank[:-1])]
     bucket, ids = bucket[fresh], ids[fresh]
     head = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    return pd.concat([single, pd.DataFrame({"bucket": bucket, "id": ids, "leader": np.repeat(ids[head], np.diff(np.r_[head, len(ids)]))})])
-
-
-def led(buckets: DataFrame) -> DataFrame:
-    """Batches of (bucket, id) with their own leaders."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield lead(b["bucket"].to_numpy(), b["id"].to_numpy())
-
-    return buckets.mapInPandas(run, LED)
+    return single, np.stack([bucket, ids, np.repeat(ids[head], np.diff(np.r_[head, len(ids)]))])
+
+
+def meeting(buckets: list[np.ndarray], ids: np.ndarray, parts: int) -> pd.DataFrame:
+    """A batch's rows of ``MET``: its leaders for the partitions of their buckets, and the members that they lead."""
+    own, stars = [], []
+    for bucket in buckets:  # one band after the other
+        single, led = lead(bucket, ids)
+        head = led[1] == led[2]
+        own.append(np.concatenate([single, led[:2, head]], axis=1))
+        stars.append(led[:, ~head])
+    own = np.concatenate(own, axis=1) if own else np.zeros((2, 0), np.int64)
+    part = (mix(own[0].view(np.uint64)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+    order = np.argsort(part, kind="stable")
+    own, part = own[:, order], part[order]
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+    data = [own[:, lo:hi].tobytes() for lo, hi in zip(starts, np.r_[starts[1:], len(part)])]
+    out = pd.DataFrame({"part": part[starts].astype(np.int32), "own": data, "stars": None})
+    stars = np.concatenate(stars, axis=1) if stars else np.zeros((3, 0), np.int64)
+    if stars.shape[1]:
+        home = int(mix(ids[:1].view(np.uint64))[0] % np.uint64(parts))
+        out = pd.concat([out, pd.DataFrame({"part": [home], "own": [None], "stars": [stars.tobytes()]})])
+    return out
 
 
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Leaders of one shuffle partition get their bucket's leader; the others pass by."""
-    frames = []
+    met = []
     for b in batches:
-        own = b["id"].to_numpy() == b["leader"].to_numpy()
-        if not own.all():
-            yield b[~own]
-        frames.append(b.loc[own, ["bucket", "id"]])
-    if frames:
-        x = pd.concat(frames)
-        out = lead(x["bucket"].to_numpy(), x["id"].to_numpy())
-        yield out[out["id"] != out["leader"]]
+        for own, stars in zip(b["own"], b["stars"]):
+            if stars is not None:
+                yield pd.DataFrame(np.frombuffer(stars, np.int64).reshape(3, -1).T, columns=["bucket", "id", "leader"])
+            else:
+                met.append(np.frombuffer(own, np.int64).reshape(2, -1))
+    if met:
+        led = lead(*np.concatenate(met, axis=1))[1]
+        yield pd.DataFrame(led[:, led[1] != led[2]].T, columns=["bucket", "id", "leader"])
 
 
 #: Slots of the bitmap of wanted ids: its size, and so the broadcast's, is fixed.
@@ -98,11 +116,15 @@ def wanted_ids(ids: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
     return test
 
 
+def partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def link_components(
     rows: DataFrame, near: Callable[[DataFrame], DataFrame], sketches: Callable[[], DataFrame], payload: Callable[[DataFrame], DataFrame],
     as_sets: Callable[[list], list[np.ndarray]], most_differ: int, percent: int, scratch: Scratch,
 ) -> DataFrame:
-    """Components (id, comp) of the ids in ``rows``, which are (bucket, id, leader) as ``led`` gives them.
+    """Components (id, comp) of the ids in ``rows``, which are ``meeting``'s over ``partitions`` partitions.
 
     ``near`` leaves out pairs(a, b) that cannot be links.  ``sketches()`` has
     (id, sketch) with equally long binaries; pairs of which more than
@@ -110,49 +132,94 @@ def link_components(
     ids and ``as_sets`` the sorted sets of several s; a link has 100 * intersection >=
     percent * union.
     """
-    place = F.when(F.col("id") == F.col("leader"), F.col("bucket")).otherwise(F.xxhash64("bucket", "id"))
-    stars = scratch.write(rows.repartition(place).mapInPandas(_meet, LED), "stars")
-    pairs = scratch.write(near(stars.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()).distinct(), "pairs")
+    stars = scratch.write(rows.repartitionById(partitions(rows), F.col("part")).mapInPandas(_meet, LED), "stars")
+    met = scratch.write(stars.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "met")
+    pairs = scratch.write(near(met), "pairs")
     texts = scratch.write(payload(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "texts")
-    links = scratch.write(_links(_led_blocks(pairs), texts, as_sets, percent), "links-1")
+    links = scratch.write(_led_links(pairs, texts, as_sets, percent), "links-1")
     comps = scratch.write(connected_components(links, scratch, "comps-1"), "first-comps")
-    members = stars.select("bucket", "id").union(stars.select("bucket", "leader")).distinct()
-    own = members.join(comps, "id", "left").select(F.col("bucket").alias("g"), "id", F.coalesce("comp", "id").alias("comp"))
+    # Buckets are trees of (leader, member); only those with an edge across components can be open.
+    side = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
+    across = met.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    open_ = stars.join(across.select(F.col("a").alias("leader"), F.col("b").alias("id")), ["leader", "id"], "left_semi").select("bucket").distinct()
+    hidden = scratch.write(stars.join(open_, "bucket", "left_semi"), "open-buckets")
+    if hidden.isEmpty():
+        return comps
+    members = hidden.select("bucket", "id").union(hidden.select("bucket", "leader")).distinct()
+    own = members.join(comps, "id", "left").select(F.col("bucket").alias("g"), "id", F.coalesce("comp", "id").alias("comp"), F.lit(0).alias("bytes"))
     # Two members are a pair that was verified; more may hide pairs that were not.
-    todo = scratch.write(_blocks(own, 2), "open")
+    todo = scratch.write(_blocks(own, 2, SKETCHES), "open")
     if todo.isEmpty():
         return comps
-    edges = todo.join(sketches(), "id").repartition("g", "chunk").mapInPandas(lambda it: _forest(it, _near_pairs(most_differ), True), "a long, b long")
+    edges = _in_blocks(todo.join(sketches().withColumnRenamed("sketch", "s"), "id"), _NearPairs(most_differ), True)
     families = connected_components(edges, scratch, "families").select("id", F.col("comp").alias("g"))
     own = scratch.write(families.join(comps, "id", "left").select("g", "id", F.coalesce("comp", "id").alias("comp")), "family-members")
     if own.isEmpty():
         return comps
-    more = scratch.write(_links(_blocks(own, 1), payload(own.select("id")), as_sets, percent), "links-2")
+    texts = scratch.write(payload(own.select("id")), "family-texts")
+    sized = own.join(texts.groupBy("id").agg(F.sum(F.octet_length("s")).alias("bytes")), "id")
+    more = scratch.write(_in_blocks(_blocks(sized, 1, BLOCK).join(texts, "id"), _TrueLinks(percent, as_sets), False), "links-2")
     return scratch.write(connected_components(links.unionByName(more), scratch, "comps-2"), "comps")
 
 
-def _links(blocks: DataFrame, payload: DataFrame, as_sets: Callable[[list], list[np.ndarray]], percent: int) -> DataFrame:
-    """A forest of the true links in blocks."""
-    return blocks.join(payload, "id").repartition("g", "chunk").mapInPandas(lambda it: _forest(it, _true_links(percent, as_sets), False), "a long, b long")
+# -- pairs of leaders and members
 
 
-def _led_blocks(pairs: DataFrame) -> DataFrame:
-    """pairs(a: leader, b) as blocks in which members visit their leader, who is in every chunk."""
+def _led_links(pairs: DataFrame, texts: DataFrame, as_sets: Callable[[list], list[np.ndarray]], percent: int) -> DataFrame:
+    """The true links among pairs(a: leader, b); a leader's members are dealt to chunks, and it goes to each."""
     n = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
-    members = pairs.join(n, "a").select(F.col("a").alias("g"), F.col("b").alias("id"), F.col("b").alias("comp"), F.lit(True).alias("visits"), F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
-    heads = n.select(F.col("a").alias("g"), F.col("a").alias("id"), F.col("a").alias("comp"), F.lit(False), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return members.union(heads)
+    members = pairs.join(n, "a").select(F.col("a").alias("g"), F.col("b").alias("id"), F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
+    heads = n.select(F.col("a").alias("g"), F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, heads = None, []  # an id may have several texts
+        for rows in batches:
+            a, b = [], []
+            for part in _slices(rows):
+                for g, chunk, i, s in zip(part["g"], part["chunk"], part["id"], as_sets(list(part["s"]))):
+                    if (g, chunk) != now:
+                        now, heads = (g, chunk), []
+                    if i == g:
+                        heads.append(s)
+                    elif any(100 * (c := _common(s, t)) >= percent * (len(s) + len(t) - c) for t in heads):
+                        a.append(g)
+                        b.append(i)
+            yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    placed = members.union(heads).join(texts, "id").select("g", "chunk", "id", "s").repartition("g", "chunk")
+    return placed.sortWithinPartitions("g", "chunk", F.col("id") != F.col("g")).mapInPandas(run, "a long, b long")
+
+
+def _slices(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Parts of the rows whose texts have about ``SLICE`` bytes."""
+    size = np.cumsum([len(s) for s in rows["s"]])
+    ends = np.r_[np.flatnonzero(np.diff(size // SLICE)) + 1, len(rows)] if len(rows) else ()
+    lo = 0
+    for hi in ends:
+        yield rows.iloc[lo:hi]
+        lo = hi
+
+
+def _common(s: np.ndarray, t: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if not len(s) or not len(t):
+        return 0
+    return int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+
 
+# -- groups with several components
 
-def _blocks(own: DataFrame, least: int) -> DataFrame:
+
+def _blocks(own: DataFrame, least: int, most: int) -> DataFrame:
     """(g, id, comp, visits, chunk) of groups of more than ``least`` members that have several components.
 
-    A group's members are dealt to chunks; those outside its leading component also visit every chunk.
+    A group's members are dealt to chunks of about ``most`` members and ``BYTES``; those outside its leading component also visit every chunk.
     """
     state = own.groupBy("g").agg(
-        F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.min(F.struct(F.xxhash64("comp"), "comp")).alias("m")
+        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.min(F.struct(F.xxhash64("comp"), "comp")).alias("m")
     )
-    open_ = state.where((F.col("n") > least) & F.expr("x <> y")).select("g", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks"), F.col("m.comp").alias("lead"))
+    chunks = F.ceil(F.greatest(F.col("n") / most, F.col("bytes") / BYTES, F.lit(1))).cast("int")
+    open_ = state.where((F.col("n") > least) & F.expr("x <> y")).select("g", chunks.alias("chunks"), F.col("m.comp").alias("lead"))
     tagged = own.join(open_, "g")
     home = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     visits = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
@@ -161,78 +228,107 @@ def _blocks(own: DataFrame, least: int) -> DataFrame:
     )
 
 
-def _forest(batches: Iterator[pd.DataFrame], related: Callable[[pd.DataFrame, np.ndarray, np.ndarray], np.ndarray], each: bool) -> Iterator[pd.DataFrame]:
-    """A spanning forest, in each block, of the ``related`` pairs of visitors and residents of different components.
+def _in_blocks(blocks: DataFrame, related, each: bool) -> DataFrame:
+    """A spanning forest (a, b), in each block, of the ``related`` pairs of visitors and residents of different components.
 
     ``each``: the forest spans the members that have such a pair; else the components.
     """
-    frames = list(batches)  # one shuffle partition of blocks
-    if not frames:
-        return
-    rows = pd.concat(frames, ignore_index=True).sort_values(["g", "chunk"], kind="stable", ignore_index=True)
-    ids, comp, visits, g, chunk = (rows[c].to_numpy() for c in ("id", "comp", "visits", "g", "chunk"))
-    starts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (chunk[1:] != chunk[:-1])])
-    a, b = [], []
-    for lo, hi in zip(starts, np.r_[starts[1:], len(rows)]):
-        stay, come = lo + np.flatnonzero(~visits[lo:hi]), lo + np.flatnonzero(visits[lo:hi])
-        label = np.arange(hi - lo) if each else comp[lo:hi].copy()
-        for at in range(0, len(come), 512):
-            part = come[at : at + 512]
-            for v, line in zip(part, related(rows, part, stay)):
-                other = stay[line]
-                other = other[(label[other - lo] != label[v - lo]) & (comp[other] != comp[v])]
-                if not len(other):
-                    continue
-                joined, first = np.unique(label[other - lo], return_index=True)
-                a += [ids[v]] * len(joined)
-                b += ids[other[first]].tolist()
-                label[np.isin(label, joined)] = label[v - lo]
-    yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-
-def _near_pairs(most_differ: int):
-    def related(rows: pd.DataFrame, come: np.ndarray, stay: np.ndarray) -> np.ndarray:
-        bits = lambda at: np.frombuffer(b"".join(rows["sketch"].to_numpy()[at]), np.uint64).reshape(len(at), -1)
-        left, right = bits(come), bits(stay)
-        differ = np.zeros((len(come), len(stay)), np.uint16)
-        for k in range(left.shape[1]):
-            differ += np.bitwise_count(left[:, k, None] ^ right[:, k])
-        return differ <= most_differ
-
-    return related
-
-
-def _true_links(percent: int, as_sets: Callable[[list], list[np.ndarray]]):
-    """Exact intersections of full sets: products of 0/1 matrices over shared elements, a slab of elements at a time."""
-
-    def related(rows: pd.DataFrame, come: np.ndarray, stay: np.ndarray) -> np.ndarray:
-        payload, at = rows["s"].to_numpy(), np.r_[come, stay]
-        sets = as_sets(list(payload[at]))
-        size = np.array([len(s) for s in sets])
-        if len(stay) == 1:  # a leader and its members
-            common = np.array([_common(s, sets[-1]) for s in sets[:-1]])[:, None]
-            return 100 * common >= percent * (size[:-1, None] + size[-1] - common)
-        element, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = np.cumsum(count > 1) - 1
-        keep = count[column] > 1
-        line, column = np.repeat(np.arange(len(at)), size)[keep], shared[column[keep]]
-        order = np.argsort(column, kind="stable")
-        line, column = line[order], column[order]
-        common = np.zeros((len(come), len(stay)), np.float32)
-        slab = 4096
-        for low in range(0, int(shared[-1]) + 1 if len(shared) else 0, slab):
-            lo, hi = np.searchsorted(column, [low, low + slab])
-            m = np.zeros((len(at), slab), np.float32)
-            m[line[lo:hi], column[lo:hi] - low] = 1
-            common += m[: len(come)] @ m[len(come) :].T
-        union = size[: len(come), None] + size[len(come) :] - common
-        return 100 * common >= percent * union
-
-    return related
-
 
-def _common(s: np.ndarray, t: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    if not len(s) or not len(t):
-        return 0
-    return int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, block = None, None
+        for rows in batches:
+            a, b = [], []
+            g, chunk = rows["g"].to_numpy(), rows["chunk"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (chunk[1:] != chunk[:-1])]) if len(rows) else []
+            for lo, hi in zip(starts, [*starts[1:], len(rows)]):
+                if (g[lo], chunk[lo]) != now:
+                    now, block = (g[lo], chunk[lo]), _Block(related, each)
+                block.add(rows.iloc[lo:hi], a, b)
+            yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    columns = blocks.select("g", "chunk", "visits", "id", "comp", "s").repartition("g", "chunk")
+    return columns.sortWithinPartitions("g", "chunk", "visits").mapInPandas(run, "a long, b long")
+
+
+class _Block:
+    """The residents of a block, which come first, and the forest that visitors' pairs with them make."""
+
+    def __init__(self, related, each: bool):
+        self.related, self.each, self.rows, self.residents = related, each, [], None
+        self.parent: dict[int, int] = {}
+
+    def _root(self, label: int) -> int:
+        while (up := self.parent.get(label, label)) != label:
+            label = up
+        return label
+
+    def add(self, rows: pd.DataFrame, a: list[int], b: list[int]) -> None:
+        visits = rows["visits"].to_numpy()
+        if not visits.all():
+            self.rows.append(rows[~visits])
+        if not visits.any():
+            return
+        if self.residents is None:
+            stay = pd.concat(self.rows)
+            self.rows, self.residents = [], self.related.residents(list(stay["s"]))
+            self.ids, self.comp = stay["id"].to_numpy(), stay["comp"].to_numpy()
+            self.label = (self.ids if self.each else self.comp).copy()
+        for part in _slices(rows[visits]):
+            for at in range(0, len(part), 64):
+                some = part.iloc[at : at + 64]
+                self._join(some, self.related(list(some["s"]), self.residents), a, b)
+
+    def _join(self, come: pd.DataFrame, lines: np.ndarray, a: list[int], b: list[int]) -> None:
+        for i, comp, line in zip(come["id"].tolist(), come["comp"].tolist(), lines):
+            root = self._root(i if self.each else comp)
+            other = np.flatnonzero(line & (self.label != root) & (self.comp != comp))
+            if not len(other):
+                continue
+            joined, first = np.unique(self.label[other], return_index=True)
+            a += [i] * len(joined)
+            b += self.ids[other[first]].tolist()
+            for x in joined.tolist():
+                self.parent[x] = root
+            self.label[np.isin(self.label, joined)] = root
+
+
+class _NearPairs:
+    """Pairs of sketches of which at most so many bits differ."""
+
+    def __init__(self, most_differ: int):
+        self.most_differ = most_differ
+
+    def residents(self, sketches: list[bytes]) -> np.ndarray:
+        return np.ascontiguousarray(np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1).T)
+
+    def __call__(self, come: list[bytes], stay: np.ndarray) -> np.ndarray:
+        left = self.residents(come)
+        differ = np.zeros((left.shape[1], stay.shape[1]), np.uint16)
+        for x, y in zip(left, stay):
+            differ += np.bitwise_count(x[:, None] ^ y)
+        return differ <= self.most_differ
+
+
+class _TrueLinks:
+    """Exact intersections of full sets: each visitor's elements are looked up among the residents' sorted elements."""
+
+    def __init__(self, percent: int, as_sets: Callable[[list], list[np.ndarray]]):
+        self.percent, self.as_sets = percent, as_sets
+
+    def residents(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sets = self.as_sets(texts)
+        size = np.array([len(s) for s in sets])
+        element, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(element, kind="stable")
+        return element[order], owner[order], size
+
+    def __call__(self, come: list, stay: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        element, owner, size = stay
+        out = np.zeros((len(come), len(size)), bool)
+        for k, s in enumerate(self.as_sets(come)):
+            lo, hi = np.searchsorted(element, s, "left"), np.searchsorted(element, s, "right")
+            count = hi - lo
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+            common = np.bincount(owner[at], minlength=len(size))
+            out[k] = 100 * common >= self.percent * (len(s) + size - common)
+        return out

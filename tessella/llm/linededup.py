@@ -24,21 +24,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.banding import LED, lead, link_components, wanted_ids
+from tessella.llm.banding import MET, link_components, meeting, partitions, wanted_ids
 from tessella.scratch import Scratch
 from tessella.llm.text import encode, hash_seeds, mix
 
 SPACE = b" \t\n\r\x0b\x0c"
 
+
 @dataclass(frozen=True)
 class LineParams:
-    shingle: int = 9
+    shingle: int = 5
     percent: int = 80
-    bands: int = 12
-    rows: int = 4
+    functions: int = 72
+    bands: int = 24
+    rows: int = 6
     samples: int = 128
     bits: int = 512
-    block: int = 1 << 15
+    block: int = 1 << 16
     seed: int = 41
 
     @property
@@ -60,31 +62,31 @@ def line_id(line: bytes) -> int:
 
 def shingle_hashes(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of k characters of all lines, and where each line's begin."""
-    # Each line is padded to a shingle at least, so that every line has one.
-    data = np.frombuffer(b"".join([x.ljust(k, b"\0") for x in lines]) + b"\0" * 4, np.uint8)
-    lengths = np.fromiter((max(len(x), k) for x in lines), np.int64, len(lines))
-    starts = np.flatnonzero(data[:-4] & 0xC0 != 0x80)  # of characters
-    code = data[starts].astype(np.uint64)
-    if len(starts) < len(data) - 4:
-        width = np.diff(np.r_[starts, len(data) - 4])
+    # Line feeds, which no line has, end each line, so that a shorter one has a shingle of its own.
+    pad = b"\n" * k
+    data = np.frombuffer(pad.join(lines) + pad + b"\0" * 4, np.uint8)
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines)) + k
+    code = data[:-4]
+    chars = lengths
+    if (code & 0x80).any():
+        starts = np.flatnonzero(code & 0xC0 != 0x80)  # of characters
+        width = np.diff(np.r_[starts, len(code)])
+        code = code[starts].astype(np.uint64)
         for j in range(1, 4):
             code |= np.where(width > j, data[starts + j], 0).astype(np.uint64) << np.uint64(8 * j)
-    chars = np.diff(np.r_[0, np.searchsorted(starts, np.cumsum(lengths))])
-    begin = np.r_[0, np.cumsum(chars)]
-    sizes = np.maximum(1, chars - k + 1)
-    first = np.r_[0, np.cumsum(sizes)]
-    at = np.arange(first[-1]) + np.repeat(begin[:-1] - first[:-1], sizes)
-    # A short line's shingle ends where the line does.
-    code = np.r_[code, np.zeros(k, np.uint64)]
-    short = chars < k
-    out = np.full(len(at), k, np.uint64)
+        chars = np.diff(np.r_[0, np.searchsorted(starts, np.cumsum(lengths))])
+    else:
+        code = code.astype(np.uint64)
+    # A polynomial of k characters from every one, then those that begin a line's shingle.
+    out = np.zeros(len(code) - k + 1, np.uint64)
     for j in range(k):
-        word = code[at + j]
-        if short.any():
-            word = np.where(np.repeat(short & (chars <= j), sizes), np.uint64(0), word)
-        out = (out ^ word) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(32)
-    return mix(out), first
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += code[j : len(code) - k + 1 + j]
+    begin = np.cumsum(chars) - chars
+    sizes = np.maximum(1, chars - 2 * k + 1)
+    first = np.r_[0, np.cumsum(sizes)]
+    at = np.arange(first[-1]) + np.repeat(begin - first[:-1], sizes)
+    return mix(out[at]), first
 
 
 class LineBands:
@@ -105,11 +107,13 @@ class LineBands:
         return out
 
     def bands(self, samples: np.ndarray) -> np.ndarray:
+        """[band, line] buckets; each band has its own choice of the functions, which it shares with others."""
         p = self.p
-        own = samples[: p.bands * p.rows].reshape(p.bands, p.rows, -1).astype(np.uint64)
-        h = np.repeat(np.arange(1, p.bands + 1, dtype=np.uint64)[:, None], own.shape[2], axis=1)
+        rng = np.random.default_rng(p.seed)
+        chosen = np.stack([rng.choice(p.functions, p.rows, replace=False) for _ in range(p.bands)])
+        h = np.repeat(np.arange(1, p.bands + 1, dtype=np.uint64)[:, None], samples.shape[1], axis=1)
         for r in range(p.rows):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + own[:, r])
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + samples[chosen[:, r]].astype(np.uint64))
         return h.view(np.int64)
 
     def odd(self, samples: np.ndarray) -> list[bytes]:
@@ -131,20 +135,17 @@ def _blocks(lines: list[bytes], most: int) -> Iterator[list[bytes]]:
 
 
 def _band_rows(docs: DataFrame, p: LineParams) -> DataFrame:
-    """(bucket, id, leader) of the distinct lines of each batch."""
-    bands = LineBands(p, p.bands * p.rows)
+    """The distinct lines of each batch with their buckets, as ``meeting`` gives them."""
+    bands, parts = LineBands(p, p.functions), partitions(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             distinct = list(dict.fromkeys(x for t in batch["text"] for x in line_keys(t) if x))
-            buckets, ids = [], []
-            for own in _blocks(distinct, p.block):
-                buckets.append(bands.bands(bands.samples(own)))
-                ids.append(np.array([line_id(x) for x in own], np.int64))
-            for k in range(p.bands) if ids else ():
-                yield lead(np.concatenate([b[k] for b in buckets]), np.concatenate(ids))
-
-    return docs.select("text").mapInPandas(run, LED)
+            if distinct:
+                found = np.concatenate([bands.bands(bands.samples(own)) for own in _blocks(distinct, p.block)], axis=1)
+                yield meeting(list(found), np.array([line_id(x) for x in distinct], np.int64), parts)
+
+    return docs.select("text").mapInPandas(run, MET)
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:

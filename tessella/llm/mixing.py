@@ -8,21 +8,25 @@ a bounded knapsack over lengths closes the gap.  Which documents of a length
 are taken follows a seeded hash, so reruns agree.
 
 Null texts have no words, null sources are one source that sorts last, an empty
-table gives an empty result, and repeated rows count as rows of their own.
+table gives an empty result, and repeated rows count as rows of their own, each
+with its own copies.  Ties of the hash are broken by doc_id; rows that are alike in
+doc_id, text and source are numbered, and which of them is taken makes no difference.
+Only doc_id, text and source are read; ``repeat_documents`` passes all columns on,
+whatever their names but those that begin with _mix.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.scratch import Scratch
 from tessella.llm.text import word_count
 
-#: The gap, in words, that the knapsack closes, and how many distinct lengths it may use.
-GAP, LENGTHS, BUCKETS = 16_384, 256, 64
+#: The gap, in words, that the knapsack closes over all lengths that fit in it, and hash buckets that split a length.
+GAP, BUCKETS = 16_384, 256
 
 
 def source_targets(totals: DataFrame, weights: list[int], budget: float, most: float) -> DataFrame:
@@ -62,23 +66,23 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
         if l and (n := min(have[i] - take[i], (rest - GAP // 2) // l)) > 0:
             take[i] += n
             rest -= n * l
-    usable = [i for i in range(len(size)) if 0 < size[i] <= rest and have[i] > take[i]]
-    step = max(1, -(-len(usable) // LENGTHS))
-    usable = sorted(set(usable[::step] + usable[-LENGTHS // 4 :]), reverse=True)
-    reach, seen, parts = 1, [], []
-    for i in usable:  # bounded knapsack: each length's multiples in binary parts, reachable sums as a bit set
+    reach, seen = 1, []
+    for i in range(len(size) - 1, -1, -1):  # bounded knapsack: each length's multiples in binary parts, reachable sums as a bit set
+        if reach >> rest & 1:
+            break
+        if not 0 < size[i] <= rest or have[i] <= take[i]:
+            continue
+        seen.append((i, reach))
         left, part = min(int(have[i] - take[i]), int(rest // size[i])), 1
-        while left and not reach >> rest & 1:
+        while left:
             n = min(part, left)
-            seen.append(reach)
-            parts.append((i, n))
             reach |= (reach << int(n * size[i])) & ((1 << (rest + 1)) - 1)
             left, part = left - n, part * 2
     at = reach.bit_length() - 1
-    for before, (i, n) in zip(reversed(seen), reversed(parts)):
-        if not before >> at & 1:
-            take[i] += n
-            at -= int(n * size[i])
+    for i, before in reversed(seen):
+        while not before >> at & 1:
+            take[i] += 1
+            at -= int(size[i])
     out = np.zeros(len(size), dtype=np.int64)
     out[order] = take.astype(np.int64)
     return out
@@ -86,17 +90,22 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
 
 def _fit(group: pd.DataFrame) -> pd.DataFrame:
     total, target = int(group["source_size"].iloc[0]), float(group["target"].iloc[0])
-    passes = min(int(target // total), 2**31) if total else 0
+    passes = int(target // total) if total else 0
     rest = max(0, min(round(target - passes * total), total))
     extra = fit_lengths(group["size"].to_numpy(), group["n"].to_numpy(), rest)
     return pd.DataFrame({"skey": group["skey"], "size": group["size"], "passes": passes, "extra": extra})
 
 
+def _source_key() -> Column:
+    """Sorts by code point, null last."""
+    return F.coalesce(F.concat(F.lit("0"), "source"), F.lit("1"))
+
+
 def mix_sources(docs: DataFrame, scratch: Scratch, weights: list[int] = [5, 2, 1], budget: float = 1.5, most: float = 2.0, seed: int = 11) -> DataFrame:
-    """doc_id, size, source_size, target and taken words for every row of docs(doc_id, text, source)."""
+    """doc_id, size, source_size, target and taken words, copies, source key and hash for every row of docs(doc_id, text, source)."""
     rows = scratch.write(
         docs.select(
-            "doc_id", F.coalesce(F.concat(F.lit("0"), "source"), F.lit("1")).alias("skey"), word_count(F.col("text")).alias("size"),
+            "doc_id", _source_key().alias("skey"), word_count(F.col("text")).alias("size"),
             F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"),
         ),
         "rows",
@@ -118,17 +127,22 @@ def mix_sources(docs: DataFrame, scratch: Scratch, weights: list[int] = [5, 2, 1
     rank = F.row_number().over(Window.partitionBy("skey", "size", "bucket").orderBy("h", "doc_id")) + F.col("offset")
     return (
         rows.join(offsets, ["skey", "size", "bucket"]).withColumn("copies", F.col("passes") + (rank <= F.col("extra")).cast("long"))
-        .join(targets, "skey").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "h")
+        .join(targets, "skey").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "skey", "h")
     )
 
 
 def repeat_documents(docs: DataFrame, scratch: Scratch, seed: int = 11, **how) -> DataFrame:
     """The rows of docs, all columns, each as often as the mix takes it.
 
-    Decisions are joined back by id and text hash; exact repeats of a row share the largest of theirs.
+    Decisions are joined back by id, source and text hash; rows alike in these are numbered on both sides, so each gets its own.
     """
-    mixed = mix_sources(docs, scratch, seed=seed, **how)
-    copies = mixed.groupBy(F.col("doc_id").alias("_mix_id"), F.col("h").alias("_mix_h")).agg(F.max("copies").alias("_mix_n")).where("_mix_n > 0")
-    hashed = F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"])
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_mix_id")) & (hashed == F.col("_mix_h")))
+    key = ["_mix_id", "_mix_source", "_mix_h"]
+    nth = lambda *order: F.row_number().over(Window.partitionBy(*key).orderBy(*order)).alias("_mix_nth")
+    mixed = mix_sources(docs, scratch, seed=seed, **how).select(F.col("doc_id").alias(key[0]), F.col("skey").alias(key[1]), F.col("h").alias(key[2]), F.col("copies").alias("_mix_n"))
+    copies = mixed.select("*", nth(F.desc("_mix_n"))).where("_mix_n > 0").withColumnsRenamed({c: f"{c}_" for c in [*key, "_mix_nth"]})
+    own = docs.withColumns({key[0]: F.col("doc_id"), key[1]: _source_key(), key[2]: F.xxhash64(F.lit(seed), "doc_id", "text")}).select("*", nth(F.lit(1)))
+    same = F.col(key[0]).eqNullSafe(F.col(f"{key[0]}_"))
+    for c in [*key[1:], "_mix_nth"]:
+        same &= F.col(c) == F.col(f"{c}_")
+    joined = own.join(copies, same)
     return joined.withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])

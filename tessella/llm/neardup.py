@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.banding import led, link_components, wanted_ids
+from tessella.llm.banding import MET, link_components, meeting, partitions, wanted_ids
 from tessella.operators.graph import connected_components
 from tessella.scratch import Scratch
 from tessella.llm.text import WordHashes, hash_seeds, mix, words
@@ -39,8 +39,8 @@ class NearDupParams:
 
     shingle: int = 5
     percent: int = 80
-    bands: int = 20
-    rows: int = 4
+    bands: int = 24
+    rows: int = 5
     samples: int = 128
     bits: int = 512
     seed: int = 31
@@ -168,7 +168,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, p: NearDupParams = NearDu
         "reps",
     )
     sketches = reps.select("id", "n", "sketch")
-    buckets = led(reps.select(F.explode("bands").alias("bucket"), "id"))
+    parts = partitions(docs)
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield meeting(list(np.stack(b["bands"].to_numpy()).T), b["id"].to_numpy(), parts)
+
+    buckets = reps.select("bands", "id").mapInPandas(met, MET)
     comps = link_components(
         buckets, lambda pairs: _near(sketches, p, pairs), lambda: sketches.select("id", "sketch"), lambda ids: _texts(base, ids),
         Sketcher(p).sets, p.most_differ, p.percent, scratch,

@@ -46,7 +46,7 @@ def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(documents(spark, sf_dir), Scratch(spark, "mix")).drop("copies", "h")
+    return mixing.mix_sources(documents(spark, sf_dir), Scratch(spark, "mix")).drop("copies", "skey", "h")
 
 
 def op6_odd_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = linededup.line_plan(documents(spark, sf_dir), Scratch(spark, "lines"), linededup.LineParams(shingle=5, bands=20))
+    plan = linededup.line_plan(documents(spark, sf_dir), Scratch(spark, "lines"))
     return plan.select("doc_id", "n_lines", F.size("kept").alias("n_kept"), "kept")
 
 

@@ -7,9 +7,12 @@ partition orders its rows at random and deals them out by its row of the
 matrix; each shard orders what it receives at random again.
 
 Null texts have no bytes and the checksum of the empty text; null ids and
-repeated rows are rows like others; an empty table gives an empty result.
-Only DataFrame functions touch rows; the driver draws the matrix, whose size
-is bounded by ``MOST_PARTITIONS`` times the number of shards.
+repeated rows are rows like others; an empty table gives an empty result; very long
+texts only give their length and checksum.  Rows that are alike are numbered, and
+which of them is which makes no difference.  Columns of a name that is added here
+keep it, and the added one is called ``shard_`` and that name.
+Only DataFrame functions touch rows; the driver draws the matrix of ``partitions``
+times the number of shards.
 """
 
 from __future__ import annotations
@@ -23,8 +26,6 @@ from pyspark.sql import functions as F
 
 from tessella.scratch import Scratch
 
-LEAST_PARTITIONS, MOST_PARTITIONS, ROWS_EACH = 64, 4096, 2_000_000
-
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
     """One draw by inversion that walks outwards from the mode; about a standard deviation of steps."""
@@ -78,15 +79,16 @@ def _measures() -> tuple[Column, Column]:
     return (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
 
 
-def shard_rows(docs: DataFrame, scratch: Scratch, shards: int = 40, seed: int = 23, partitions: int | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot for every row of docs(doc_id, text)."""
+def shard_rows(docs: DataFrame, scratch: Scratch, shards: int = 40, seed: int = 23, partitions: int = 1024) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot for every row of docs(doc_id, text).
+
+    ``partitions`` is the same at every size; a task orders one of them at a time.
+    """
     key = ["doc_id", "size", "text_crc32"]
     # Repeated rows are numbered, so that they are permuted apart; which is which makes no difference.
     base = docs.select("doc_id", *_measures()).withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))))
     local, again = F.xxhash64(F.lit(seed), *key, "nth"), F.xxhash64(F.lit(seed + 1), *key, "nth")
     rows = scratch.write(base.withColumns({"local": local, "again": again}).drop("nth"), "rows")
-    if partitions is None:
-        partitions = max(LEAST_PARTITIONS, min(MOST_PARTITIONS, rows.count() // ROWS_EACH))
     part = F.pmod(F.xxhash64("local"), F.lit(partitions)).cast("int")
     counted = {r["part"]: r["count"] for r in rows.groupBy(part.alias("part")).count().collect()}  # one row a partition
     counts = [counted.get(p, 0) for p in range(partitions)]
@@ -109,7 +111,7 @@ def shard_rows(docs: DataFrame, scratch: Scratch, shards: int = 40, seed: int =
 
 
 def with_shards(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
-    """The rows of docs, all columns, with size, text_crc32, shard and slot.
+    """The rows of docs, all columns, with size, text_crc32, shard and slot (a clashing name gets ``shard_`` before it).
 
     Repeats of a document are numbered on both sides of the join back, so each gets a place of its own.
     """
@@ -117,12 +119,16 @@ def with_shards(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
     placed = shard_rows(docs, scratch, **how).toDF(*key, "_shard", "_slot")
     copy = lambda order: F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     placed = placed.withColumn("_shard_k", copy(["_shard", "_slot"]))
-    kept = [c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]
-    own = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("doc_id").alias(key[0]), *(m.alias(k) for m, k in zip(_measures(), key[1:])))
+    names = []
+    for name in ("size", "text_crc32", "shard", "slot"):
+        while name in docs.columns:
+            name = f"shard_{name}"
+        names.append(name)
+    own = docs.select("*", F.col("doc_id").alias(key[0]), *(m.alias(k) for m, k in zip(_measures(), key[1:])))
     own = own.withColumn("_own_k", copy(["text"])).withColumnsRenamed({k: f"_own{k}" for k in key})
     same = F.col(f"_own{key[0]}").eqNullSafe(F.col(key[0])) & (F.col("_own_k") == F.col("_shard_k"))
     for k in key[1:]:
         same &= F.col(f"_own{k}") == F.col(k)
     return own.join(placed, same).select(
-        *[F.col(f"`{c}`") for c in kept], F.col(key[1]).alias("size"), F.col(key[2]).alias("text_crc32"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot")
+        *[F.col(f"`{c}`") for c in docs.columns], *[F.col(c).alias(name) for c, name in zip((key[1], key[2], "_shard", "_slot"), names)]
     )

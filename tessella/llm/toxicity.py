@@ -5,14 +5,22 @@ whose normal form is far more frequent in toxic than in clean ones are toxic;
 all others are clean.  The field has two tags.  A token's potentials are sums
 of hashed features of itself and its neighbours (word, prefix, suffix, shape);
 tag pairs have transition potentials.  Weights maximise the penalised
-likelihood by gradient steps whose expectations come from forward-backward.
-Chains are segments of at most ``segment`` tokens that together cover the text.
+likelihood by gradient steps whose expectations come from forward-backward; the
+chains it learns from are the segments of ``segment`` tokens of the training texts.
+A scored document is one chain, however long: the messages of its two tags are
+one ratio, whose steps compose as 2x2 matrices, so segments of many documents are
+walked side by side and then tied together, exactly.
 
 Marginals aggregate to a document score by a logistic function of the largest
 marginal and the expected number of toxic tokens; tokens whose marginal is at
 least one half give the offending spans, as character offsets.
 
-Null and empty texts have no tokens and get the score of no evidence.
+Null and empty texts have no tokens and get the score of no evidence.  Without
+labels of both classes, or without a word that tells them apart, no field is
+learned: every document gets the share of toxic labels (one tenth without
+labels) and no spans.  Repeated rows get equal scores, an empty table gives an empty
+result, and no other columns are read (``without_toxic`` passes them on, whatever
+their names).
 """
 
 from __future__ import annotations
@@ -96,17 +104,59 @@ def forward_backward(emit: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, n
     return marginal, pairs, (np.log(norm) + peak).sum(axis=1)
 
 
+def message_ratios(e: np.ndarray, first: np.ndarray, trans: np.ndarray, segment: int = 64) -> np.ndarray:
+    """Forward messages' ratio toxic : clean at every token of chains that begin where ``first`` holds.
+
+    ``e`` is the toxic tag's log potential.  A step maps the ratio r to
+    E (t01 + t11 r) / (t00 + t10 r), a 2x2 matrix; segments compose theirs side by
+    side, one walk over the segments gives what each starts from, and a second pass fills them.
+    """
+    n = len(e)
+    if not n:
+        return np.zeros(0)
+    (t00, t01), (t10, t11) = np.exp(trans)
+    lines = -(-n // segment)
+    shaped = lambda x: np.concatenate([x, np.zeros(lines * segment - n, x.dtype)]).reshape(lines, segment).T.copy()
+    E, cut = shaped(np.exp(np.clip(e, -60, 60))), shaped(first)
+    # A chain's first token forgets what was before.
+    a, b, c, d = np.where(cut, 0, E * t11), np.where(cut, E, E * t01), np.where(cut, 0, t10), np.where(cut, 1, t00)
+    p, q, r, s = (np.full(lines, x) for x in (1.0, 0.0, 0.0, 1.0))
+    for k in range(segment):
+        p, q, r, s = a[k] * p + b[k] * r, a[k] * q + b[k] * s, c[k] * p + d[k] * r, c[k] * q + d[k] * s
+        size = p + q + r + s
+        p, q, r, s = p / size, q / size, r / size, s / size
+    start, state = np.ones(lines), 1.0
+    for k, (w, x, y, z) in enumerate(zip(p.tolist(), q.tolist(), r.tolist(), s.tolist())):
+        start[k] = state
+        state = (w * state + x) / max(y * state + z, 1e-300)
+    out = np.empty_like(E)
+    for k in range(segment):
+        start = (a[k] * start + b[k]) / (c[k] * start + d[k])
+        out[k] = start
+    return out.T.ravel()[:n]
+
+
+def chain_marginals(e: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """The toxic tag's marginal of every token of the chains that begin where ``first`` holds."""
+    if not len(e):
+        return np.zeros(0)
+    last = np.r_[first[1:], True]
+    x = message_ratios(e, first, trans) * message_ratios(e[::-1], last[::-1], trans.T)[::-1] / np.exp(np.clip(e, -60, 60))
+    return x / (1 + x)
+
+
 class Crf:
     def __init__(self, p: CrfParams):
         self.p = p
         self.weights = np.zeros(p.buckets)
+        self.learned = False
         self.trans = np.zeros((2, 2))
         self.combine = np.array([-2.2, 4.0, 1.0])
         self._forget()
 
     def _forget(self) -> None:
         self._index: dict[bytes, int] = {}
-        self._values = np.empty((1024, 3))
+        self._values = np.zeros((0, 3))
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
@@ -119,51 +169,44 @@ class Crf:
 
     def _ids(self, tokens: list[bytes]) -> np.ndarray:
         """Word numbers of the process's cache of potentials, which is emptied when full."""
-        if len(self._index) > 1 << 18:
+        if len(self._index) > 1 << 17:
             self._forget()
-        index = self._index
-        try:
-            return np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
-        except KeyError:
-            w, b = self.weights, self.p.buckets
-            for word in {t for t in tokens if t not in index}:
-                before, after = neighbour_features(word, b)
-                if len(index) == len(self._values):
-                    self._values = np.concatenate([self._values, np.empty_like(self._values)])
-                self._values[len(index)] = w[own_features(word, b)].sum(), w[before], w[after]
-                index[word] = len(index)
-            return np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
-
-    def potentials(self, tokens: list[bytes]) -> np.ndarray:
-        """The toxic tag's potential of each token; the clean tag's is 0."""
-        ids = self._ids(tokens)
-        v = self._values
-        out = v[ids, 0]
-        out[1:] += v[ids[:-1], 1]
-        out[:-1] += v[ids[1:], 2]
+        index, b = self._index, self.p.buckets
+        new = list(set(tokens).difference(index))
+        if new:
+            own = self.weights[np.array([own_features(w, b) for w in new])].sum(axis=1)
+            near = self.weights[np.array([neighbour_features(w, b) for w in new])]
+            self._values = np.concatenate([self._values, np.column_stack([own, near])])
+            index.update(zip(new, range(len(index), len(index) + len(new))))
+        return np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
+
+    def potentials(self, tokens: list[bytes], first: np.ndarray) -> np.ndarray:
+        """The toxic tag's potential of each token of chains that begin where ``first`` holds; the clean tag's is 0."""
+        v = self._values[self._ids(tokens)] if tokens else np.zeros((0, 3))
+        out = v[:, 0].copy()
+        out[1:] += np.where(first[1:], 0, v[:-1, 1])
+        out[:-1] += np.where(first[1:], 0, v[1:, 2])
         return out
 
-    def _chains(self, e: np.ndarray) -> np.ndarray:
-        """[chain, segment, 2] potentials of a token sequence; the last chain is padded."""
-        s = self.p.segment
-        out = np.zeros((-(-len(e) // s) * s, 2))
-        out[: len(e), 1] = e
-        out[len(e) :, 1] = -np.inf
-        return out.reshape(-1, s, 2)
-
-    def marginals(self, tokens: list[bytes]) -> np.ndarray:
-        if not tokens:
-            return np.zeros(0)
-        return forward_backward(self._chains(self.potentials(tokens)), self.trans)[0].reshape(-1, 2)[: len(tokens), 1]
+    def marginals(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Marginals of all tokens of some documents, and where each document's begin; none are toxic where no field was learned."""
+        begin = np.cumsum([0, *map(len, docs)])
+        tokens = [w for d in docs for w in d]
+        if not self.learned:
+            return np.zeros(len(tokens)), begin
+        first = np.zeros(len(tokens) + 1, bool)
+        first[begin] = True
+        first = first[:-1]
+        return chain_marginals(self.potentials(tokens, first), first, self.trans), begin
 
     # -- training
 
     def fit(self, sample: list[tuple[bytes, int]]) -> "Crf":
         p, s = self.p, self.p.segment
         labels = np.array([y for _, y in sample])
+        share = float(np.clip(labels.mean() if len(labels) else 0.1, 0.01, 0.99))
+        self.combine = np.array([np.log(share / (1 - share)), 0.0, 0.0])
         if not len(labels) or labels.min() == labels.max():
-            share = float(np.clip(labels.mean() if len(labels) else 0.1, 0.01, 0.99))
-            self.combine = np.array([np.log(share / (1 - share)), 0.0, 0.0])
             return self
         number: dict[bytes, int] = {}
         docs = [np.fromiter((number.setdefault(w, len(number)) for w in TOKEN.findall(t)), np.int32) for t, _ in sample]
@@ -191,6 +234,7 @@ class Crf:
             return self
         self._train(hot + [cold[i] for i in keep], words)
         # The document score is fitted on the documents that the field hasn't learned from, where it errs as on new ones.
+        self.learned = True
         self._calibrate([[words[i] for i in d] for d in docs[learn:]], labels[learn:])
         return self
 
@@ -222,12 +266,18 @@ class Crf:
         self._forget()
 
     @staticmethod
-    def evidence(marginal: np.ndarray) -> tuple[float, float]:
-        """The largest marginal and the log of the expected number of toxic tokens, of those above the noise of one in twenty."""
-        return (float(marginal.max()), float(np.log1p(marginal[marginal > 0.05].sum()))) if len(marginal) else (0.0, 0.0)
+    def evidence(marginal: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Of each document: 1, the largest marginal and the log of the expected number of toxic tokens, of those above the noise of one in twenty."""
+        some = np.diff(begin) > 0
+        out = np.zeros((len(begin) - 1, 3))
+        out[:, 0] = 1
+        if some.any():
+            out[some, 1] = np.maximum.reduceat(marginal, begin[:-1][some])
+            out[some, 2] = np.log1p(np.add.reduceat(np.where(marginal > 0.05, marginal, 0), begin[:-1][some]))
+        return out
 
     def _calibrate(self, docs: list[list[bytes]], labels: np.ndarray) -> None:
-        x = np.array([(1.0, *self.evidence(self.marginals(tokens))) for tokens in docs])
+        x = self.evidence(*self.marginals(docs))
         w = np.zeros(3)
         for _ in range(30):  # Newton steps of a penalised logistic regression
             q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -237,9 +287,8 @@ class Crf:
 
     # -- use
 
-    def score(self, marginal: np.ndarray) -> float:
-        top, mass = self.evidence(marginal)
-        return float(1 / (1 + np.exp(-np.clip(self.combine @ (1.0, top, mass), -30, 30))))
+    def scores(self, marginal: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.evidence(marginal, begin) @ self.combine, -30, 30)))
 
 
 def _spans(text: bytes, marginal: np.ndarray) -> list[dict[str, int]]:
@@ -257,7 +306,7 @@ def _spans(text: bytes, marginal: np.ndarray) -> list[dict[str, int]]:
     return out
 
 
-SCHEMA = "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int>>"
+SCHEMA = "doc_id string, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int>>"
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, p: CrfParams = CrfParams(), threshold: float = 0.5) -> DataFrame:
@@ -266,15 +315,15 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, p: CrfParams = CrfParams
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [encode(t) for t in batch["text"]]
-            scores, spans = np.zeros(len(texts)), []
-            for at, m in _grouped(crf, texts):
-                scores[at] = crf.score(m)
-                spans.append(_spans(texts[at], m))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "score": scores, "predicted": (scores >= threshold).astype(np.int32), "spans": spans})
+            for part, texts, marginal, begin in _grouped(crf, batch["text"]):
+                scores = crf.scores(marginal, begin)
+                spans = [_spans(t, marginal[a:b]) for t, a, b in zip(texts, begin, begin[1:])]
+                own = batch.iloc[part]
+                yield pd.DataFrame({"doc_id": own["doc_id"].array, "held_out": own["held_out"].array, "score": scores, "predicted": (scores >= threshold).astype(np.int32), "spans": spans})
 
-    ready = docs.select("doc_id", "text", held_out(F.col("doc_id"), *HOLD_OUT).alias("held_out"))
-    return ready.mapInPandas(run, SCHEMA)
+    # An id beside a null one would pass through pandas as a float: text keeps it whole.
+    ready = docs.select(F.col("doc_id").cast("string"), "text", held_out(F.col("doc_id"), *HOLD_OUT).alias("held_out"))
+    return ready.mapInPandas(run, SCHEMA).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, p: CrfParams = CrfParams(), threshold: float = 0.5) -> DataFrame:
@@ -283,25 +332,22 @@ def without_toxic(docs: DataFrame, labels: DataFrame, p: CrfParams = CrfParams()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [encode(t) for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array([crf.score(m) < threshold for _, m in _grouped(crf, texts)], pa.bool_()))
+            for part, _, marginal, begin in _grouped(crf, batch.column(batch.schema.get_field_index("text"))):
+                own = batch.slice(part.start, part.stop - part.start)
+                yield own.filter(pa.array(crf.scores(marginal, begin) < threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def _grouped(crf: Crf, texts: list[bytes], most: int = 100_000) -> Iterator[tuple[int, np.ndarray]]:
-    """Marginals of each document; the chains of about ``most`` tokens run side by side."""
-    first, docs, size = 0, [], 0
-    for k, text in enumerate(texts):
-        docs.append(TOKEN.findall(text))
-        size += len(docs[-1])
-        if size < most and k + 1 < len(texts):
-            continue
-        chains = [crf._chains(crf.potentials(d)) if d else np.zeros((0, crf.p.segment, 2)) for d in docs]
-        joined = np.concatenate(chains)
-        marginal = forward_backward(joined, crf.trans)[0][:, :, 1] if len(joined) else joined[:, :, 0]
-        at = 0
-        for i, c in enumerate(chains):
-            yield first + i, marginal[at : at + len(c)].ravel()[: len(docs[i])]
-            at += len(c)
-        first, docs, size = k + 1, [], 0
+def _grouped(crf: Crf, column, most: int = 1 << 20, rows: int = 2048) -> Iterator[tuple[slice, list[bytes], np.ndarray, np.ndarray]]:
+    """Rows of about ``most`` bytes with their texts, their tokens' marginals and where each document's begin."""
+    at, texts, size = 0, [], 0
+    values = column.tolist() if hasattr(column, "tolist") and not isinstance(column, pa.Array) else (x.as_py() for x in column)
+    for k, text in enumerate(values):
+        texts.append(encode(text))
+        size += len(texts[-1])
+        if size >= most or len(texts) == rows:
+            yield slice(at, k + 1), texts, *crf.marginals([t.split() for t in texts])
+            at, texts, size = k + 1, [], 0
+    if texts:
+        yield slice(at, at + len(texts)), texts, *crf.marginals([t.split() for t in texts])

@@ -137,6 +137,30 @@ def test_short_runs_of_long_items_leak():
     assert {row for row, *_ in index.find([part[:90], part[:90], part[100:190]])} == {0, 1, 2}
 
 
+def test_edited_runs_leak():
+    """A window's length with as many edits as allowed is found at every offset."""
+    item = decontam.normal(prose(78, 80)[:260]).decode()
+    index, rng = decontam.LeakIndex([(1, item)], decontam.LeakParams()), random.Random(3)
+    texts = []
+    for o in range(len(item) - 80 + 1):
+        part = list(item[o : o + 80])
+        for at in rng.sample(range(80), 4):
+            part[at] = "#"
+        texts.append("before it | " + "".join(part) + " | after it")
+    assert {row for row, *_ in index.find(texts)} == set(range(len(texts)))
+
+
+def test_repetitive_texts_and_short_items():
+    """Equal q-grams neither multiply nor hide a leak; items shorter than a q-gram match exactly, as words."""
+    items = [(1, "a" * 2000), (2, "ab cd " * 100), (3, "Tiny  one"), (4, ""), (5, None)]
+    index = decontam.LeakIndex(items, decontam.LeakParams(pairs=50_000))
+    texts = ["a" * 200_000, "ab cd " * 5000, "a tiny one is here", "tiny ones", "atiny one", "", None, "b" * 5000]
+    assert [(r, i) for r, i, *_ in index.find(texts)] == [(0, 1), (1, 2), (2, 3)]
+    text, item = "xy " * 4000 + prose(5, 60) + " xy" * 4000, decontam.normal(prose(5, 60)).decode()
+    whole = decontam.LeakIndex([(7, item), (8, "xy " * 90)], decontam.LeakParams(pairs=10_000)).find([text])
+    assert [(i, e) for _, i, _, _, e in whole] == [(7, 0), (8, 0)]
+
+
 def test_ogg_pages():
     def crc(data):
         c = 0
@@ -214,6 +238,28 @@ def test_forward_backward():
     assert abs(pairs.sum() - 12) < 1e-9
 
 
+def test_chains_are_whole_documents():
+    """Segments tied together give the marginals of each document as one chain."""
+    rng = np.random.default_rng(2)
+    lengths = [1, 63, 64, 65, 200, 3, 1000]
+    e, trans = rng.normal(size=sum(lengths)) * 3, rng.normal(size=(2, 2)) * 2
+    first = np.zeros(len(e), bool)
+    first[np.cumsum([0, *lengths[:-1]])] = True
+    got = toxicity.chain_marginals(e, first, trans)
+    for lo, n in zip(np.cumsum([0, *lengths]), lengths):
+        own = e[lo : lo + n]
+        want = toxicity.forward_backward(np.stack([np.zeros(n), own], axis=1)[None], trans)[0][0, :, 1]
+        assert np.allclose(got[lo : lo + n], want, atol=1e-9)
+
+
+@pytest.mark.parametrize("toxic", [lambda i: 1, lambda i: 0, lambda i: i % 2])
+def test_labels_that_teach_nothing_give_no_spans(spark, toxic):
+    docs = spark.createDataFrame([(i, f"word{i} is here and there") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, toxic(i)) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity_scores(docs, labels, toxicity.CrfParams(steps=5)).collect()
+    assert len({r.score for r in got}) == 1 and not any(r.spans for r in got)
+
+
 def test_filters_see_every_offset():
     """A text's score does not depend on the offset of a pattern, and a pattern learned at some offsets is known at others."""
     net = quality.ConvNet(quality.ConvParams())

@@ -69,6 +69,10 @@ def test_mixing(spark, docs, nothing):
     assert abs(sum(t for _, t in targets) - 1.5 * total) < 1e-6 * total
     assert mixing.mix_sources(nothing, Scratch(spark, "t")).count() == 0
     assert mixing.repeat_documents(docs, Scratch(spark, "t")).columns == docs.columns
+    same = spark.createDataFrame([(1, "six words are in this row", "a")] * 6 + [(k, f"other words {k}", "b") for k in range(9)], "doc_id long, text string, source string")
+    got, out = mixing.mix_sources(same, Scratch(spark, "t")).collect(), mixing.repeat_documents(same, Scratch(spark, "t")).collect()
+    assert len(out) == sum(r.copies for r in got)
+    assert sum(r.doc_id == 1 and r.source == "a" for r in out) == sum(r.copies for r in got if r["size"] == 6)
 
 
 def test_near_duplicates(spark, docs, nothing):
@@ -102,7 +106,9 @@ def test_sharding(spark, docs, nothing):
     assert max(counts.values()) - min(counts.values()) <= 1
     assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in counts.items())
     placed = sharding.with_shards(docs, Scratch(spark, "t"), shards=7)
-    assert placed.count() == N and placed.select("shard", "slot").distinct().count() == N
+    assert set(placed.columns) == {*docs.columns, "shard_size", "text_crc32", "shard_shard", "slot"}
+    assert placed.count() == N and placed.select("shard_shard", "slot").distinct().count() == N
+    assert {(r["size"], r["shard"]) for r in placed.collect()} == {(7, 7)}
 
 
 def test_line_dedup(spark, docs, nothing):
@@ -131,3 +137,13 @@ def test_stages(spark, docs, nothing, labels, tmp_path, name, stage):
     assert out.count() > 0 and stage(spark, nothing, str(tmp_path)).count() == 0
     if name != corpus_pipeline.STAGES[-1][0]:
         assert set(out.columns) == set(docs.columns)
+    else:
+        assert set(out.columns) > set(docs.columns)
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_without_labels_or_benchmark(spark, docs, labels, tmp_path, name, stage):
+    """Stages that have nothing to learn from or look for leave all rows."""
+    labels.limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    bench(spark).limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert stage(spark, docs, str(tmp_path)).count() == N or name in ("near_duplicates", "mixing")
