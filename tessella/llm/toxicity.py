@@ -182,7 +182,8 @@ class Crf:
 
     def potentials(self, tokens: list[bytes], first: np.ndarray) -> np.ndarray:
         """The toxic tag's potential of each token of chains that begin where ``first`` holds; the clean tag's is 0."""
-        v = self._values[self._ids(tokens)] if tokens else np.zeros((0, 3))
+        ids = self._ids(tokens)  # may replace the values
+        v = self._values[ids] if tokens else np.zeros((0, 3))
         out = v[:, 0].copy()
         out[1:] += np.where(first[1:], 0, v[:-1, 1])
         out[:-1] += np.where(first[1:], 0, v[1:, 2])
