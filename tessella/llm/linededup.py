@@ -8,8 +8,11 @@ distributed union-find joins links.  Each component keeps its first occurrence
 by doc_id and line number, wherever in the corpus it is.
 
 Blank lines are no lines: they are never counted, compared or removed.  Null
-and empty texts have none.  Rows without a doc_id sort first.  Repeats of a
-whole row are one document.
+and empty texts have none.  Rows without a doc_id sort first.  Rows that repeat
+both doc_id and text are numbered: the first of them is the document, the others
+keep no line.  Lines end at line feeds only.  Ties of leaders are broken by hash, and
+the result doesn't depend on them.  An empty table gives an empty result; other columns
+are passed on by ``dedup_lines``, whatever their names but those that begin with _line.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from math import exp, sqrt
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.banding import MET, link_components, meeting, partitions, wanted_ids
@@ -35,8 +38,8 @@ SPACE = b" \t\n\r\x0b\x0c"
 class LineParams:
     shingle: int = 5
     percent: int = 80
-    functions: int = 72
-    bands: int = 24
+    functions: int = 96
+    bands: int = 32
     rows: int = 6
     samples: int = 128
     bits: int = 512
@@ -188,7 +191,7 @@ def line_components(docs: DataFrame, scratch: Scratch, p: LineParams = LineParam
 
 
 def line_plan(docs: DataFrame, scratch: Scratch, p: LineParams = LineParams()) -> DataFrame:
-    """doc_id, rid, n_lines and kept (numbers of the lines that stay) for every document of docs(doc_id, text)."""
+    """doc_id, rid, nth, n_lines and kept (numbers of the lines that stay) for every row of docs(doc_id, text); nth numbers equal rows."""
     base = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
     comps = line_components(base, scratch, p)
 
@@ -209,19 +212,23 @@ def line_plan(docs: DataFrame, scratch: Scratch, p: LineParams = LineParams()) -
     winners = first.join(comps, "id", "left").groupBy(F.coalesce("comp", "id").alias("class")).agg(F.min("at").alias("at"))
     kept = winners.groupBy("at.rid").agg(F.sort_array(F.collect_list("at.pos")).alias("kept"))
     own = base.select("doc_id", "rid", _count_lines(F.col("text")).alias("n_lines")).groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("n_lines").alias("n_lines"), F.count(F.lit(1)).alias("rows"))
-    return own.join(kept, "rid", "left").select("doc_id", "rid", "n_lines", F.coalesce("kept", F.array().cast("array<int>")).alias("kept"), "rows")
+    none = F.array().cast("array<int>")
+    each = own.join(kept, "rid", "left").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    return each.select("doc_id", "rid", "nth", "n_lines", F.when(F.col("nth") == 1, F.coalesce("kept", none)).otherwise(none).alias("kept"))
 
 
 def _count_lines(text: Column) -> Column:
     """Lines with a character that isn't white space."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"(?m)^[ \t\r\x0B\x0C]*[^ \t\r\n\x0B\x0C]")), F.lit(0))
+    return F.coalesce(F.regexp_count(text, F.lit(r"(?dm)^[ \t\r\x0B\x0C]*[^ \t\r\n\x0B\x0C]")), F.lit(0))
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch, p: LineParams = LineParams()) -> DataFrame:
     """The rows of docs, all columns, with the text of the lines that stay (blank ones stay too)."""
-    plan = line_plan(docs, scratch, p).select(F.col("rid").alias("_line_rid"), F.col("kept").alias("_line_kept"))
+    plan = line_plan(docs, scratch, p).select(F.col("rid").alias("_line_rid"), F.col("nth").alias("_line_nth"), F.col("kept").alias("_line_kept"))
     lines = F.split("text", "\n")
     blank = lambda x: F.regexp_replace(x, r"[ \t\r\n\x0B\x0C]", "") == ""
     stay = F.filter(lines, lambda x, i: blank(x) | F.array_contains("_line_kept", i))
-    joined = docs.join(plan, F.xxhash64("doc_id", "text") == F.col("_line_rid"))
-    return joined.withColumn("text", F.concat_ws("\n", stay)).drop("_line_rid", "_line_kept")
+    own = docs.withColumn("_line_own", F.xxhash64("doc_id", "text"))
+    own = own.withColumn("_line_k", F.row_number().over(Window.partitionBy("_line_own").orderBy(F.lit(1))))
+    joined = own.join(plan, (F.col("_line_own") == F.col("_line_rid")) & (F.col("_line_k") == F.col("_line_nth")))
+    return joined.withColumn("text", F.when(F.col("text").isNotNull(), F.concat_ws("\n", stay))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -57,15 +57,16 @@ def test_near_duplicates(spark, corpus, k, percent):
     assert [got[i] for i in range(len(texts))] == want
 
 
-def test_line_dedup(spark, corpus):
+@pytest.mark.parametrize("n", [5, 9])
+def test_line_dedup(spark, corpus, n):
     texts, docs = corpus
     lines = [(i, k, x) for i, t in enumerate(texts) for k, x in enumerate(linededup.line_keys(t)) if x]
-    sets = [{x[j : j + 9] for j in range(max(1, len(x) - 8))} for *_, x in lines]
+    sets = [{x[j : j + n] for j in range(max(1, len(x) - n + 1))} for *_, x in lines]
     links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     first = {}
     for c, (i, k, _) in zip(components(len(sets), links), lines):
         first[c] = min(first.get(c, (i, k)), (i, k))
-    got = {(r.doc_id, k) for r in linededup.line_plan(docs, Scratch(spark, "t")).collect() for k in r.kept}
+    got = {(r.doc_id, k) for r in linededup.line_plan(docs, Scratch(spark, "t"), linededup.LineParams(shingle=n)).collect() for k in r.kept}
     assert got == set(first.values())
 
 

@@ -113,12 +113,18 @@ def test_sharding(spark, docs, nothing):
 
 def test_line_dedup(spark, docs, nothing):
     got = linededup.line_plan(docs, Scratch(spark, "t")).collect()
-    assert len(got) == N - 1 and linededup.line_plan(nothing, Scratch(spark, "t")).count() == 0  # a repeated row is one document
+    assert len(got) == N and linededup.line_plan(nothing, Scratch(spark, "t")).count() == 0
     by = {(r.doc_id, r.n_lines): r for r in got}
     assert by[104, 0].kept == [] and by[105, 0].kept == [] and by[106, 0].kept == []
     assert any(r.doc_id == 101 and r.kept == [] for r in got)
     out = linededup.dedup_lines(docs, Scratch(spark, "t"))
-    assert set(out.columns) == set(docs.columns) and out.count() == N
+    assert out.columns == docs.columns and out.count() == N
+    # Rows that repeat leave one row with its lines; only line feeds end lines.
+    odd = spark.createDataFrame([(1, "a line that is here three times")] * 3 + [(2, "a\rb\x85c\u2028d\n\r\ne")], "doc_id long, text string")
+    got = linededup.line_plan(odd, Scratch(spark, "t")).collect()
+    assert sorted(len(r.kept) for r in got if r.doc_id == 1) == [0, 0, 1]
+    assert [(r.n_lines, r.kept) for r in got if r.doc_id == 2] == [(2, [0, 2])]
+    assert sorted(r.text for r in linededup.dedup_lines(odd, Scratch(spark, "t")).collect() if r.doc_id == 1)[1:] == ["", "a line that is here three times"]
 
 
 def test_suffix_tree(spark, docs, nothing):
