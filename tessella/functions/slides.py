@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 MARKERS = ["CD3", "GFAP", "IBA1", "NF", "PGP", "PGP9-5"]
 #: Stains and the patterns that their slide names start with.
 STAIN_PATTERNS = {
-    "H&E": r"^(HE|H&E|HandE)[-_]", "CD3": r"^CD3[-_]", "GFAP": r"^GFAP[-_]", "Iba1": r"^(Iba1|Ibal)[-_]",
-    "NF": r"^NF[-_]", "PGP9.5": r"^PGP9?[._-]?5[-_]", "PID": r"^(PID|BIDS)",
+    "H&E": r"^(HE|H&E|HandE)", "CD3": r"^CD3-", "GFAP": r"^GFAP-", "Iba1": r"^(Iba1|Ibal)-",
+    "NF": r"^NF-", "PGP9.5": r"^PGP9[._-]?5-", "PID": r"^(PID|BID)",
 }
 
 
@@ -33,26 +33,29 @@ def slide_type(name: Column, profile: str = "detector") -> Column:
 
 
 def stain_slide(name: Column, stain: str) -> Column:
-    """Whether a slide is of a stain, whatever the case of either."""
-    pattern = {k.lower(): v for k, v in STAIN_PATTERNS.items()}[stain.lower()]
-    return name.rlike("(?i)" + pattern)
+    """Whether a slide is of a stain, whatever the case of either; never of a stain without a pattern."""
+    patterns = {k.lower(): v for k, v in STAIN_PATTERNS.items()}
+    pattern = patterns.get(stain.lower().replace("9-5", "9.5").replace("9_5", "9.5"))
+    return F.when(name.isNotNull(), F.lit(False)) if pattern is None else name.rlike("(?i)" + pattern)
 
 
-def normalized(name: Column) -> Column:
-    return F.regexp_replace(name, r"^BIDS", "PID-S")
+def normalized(name: Column, profile: str = "combined") -> Column:
+    """Mends the misspelt BIDS family: ``separate`` runs give PID, whatever the case; ``combined`` ones PID-S."""
+    return F.regexp_replace(name, r"(?i)^BIDS", "PID") if profile == "separate" else F.regexp_replace(name, r"^BIDS", "PID-S")
 
 
 def parse_name(name: Column) -> tuple[Column, Column]:
-    """(stain, sample) of a slide name; both null where no rule fits."""
+    """(stain, sample) of a slide name, the stain in its usual spelling; both null where no rule fits."""
     n = normalized(name)
-    parts = F.split(n, "-")
-    size = F.size(parts)
-    pid = F.regexp_extract(n, r"^PID\d+([BS]\d+)", 1)
-    three = n.rlike(r"^PGP9-5-")
-    head = F.upper(parts[0])
-    named = F.when(head == "HE", "H&E").otherwise(parts[0])
-    stain = F.when(pid != "", "PID").when(three, "PGP9.5").when(size == 2, named)
-    sample = F.when(pid != "", F.upper(pid)).when(three, F.upper(F.get(parts, F.lit(2)))).when(size == 2, F.upper(F.get(parts, F.lit(1))))
+    parts = F.split(n, "-", -1)
+    pid = F.regexp_extract(n, r"(?i)^PID\d+([BS]\d+)", 1)
+    three = n.rlike(r"^PGP9-5-[^-]*$")
+    part = lambda k: F.get(parts, F.lit(k))
+    head = F.upper(part(0))
+    usual = F.when(head.isin("HE", "H&E", "HE="), "H&E").when(head.contains("PGP"), "PGP9.5").when(head == "IBA1", "Iba1").when(head.isin("CD3", "GFAP", "NF", "PID"), head)
+    some = F.size(parts) >= 2
+    stain = F.when(pid != "", "PID").when(three, "PGP9.5").when(some, F.coalesce(usual, part(0)))
+    sample = F.when(pid != "", F.upper(pid)).when(three, F.upper(part(2))).when(some, F.upper(part(1)))
     return stain, sample
 
 

@@ -3,42 +3,95 @@
 Both rules are greedy in a total order.  Here they are solved by rounds: in
 each, every node that no undecided node dominates is settled at once, so the
 rounds are as many as the longest chain of dominance, not as many as nodes.
-Edges and decisions are written tables; the driver sees only whether any are left.
+Connected groups of edges don't influence one another: groups of bounded size are
+dealt to tasks, which run all their rounds in memory, many groups side by side.
+Only groups of more edges take their rounds as written tables, of which the driver
+sees only whether any edges are left.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import count
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.graph import connected_components
 from tessella.operators.spatial import radius_join
 from tessella.scratch import Scratch
 
 
-def dominated(edges: DataFrame, scratch: Scratch, most_rounds: int = 200) -> DataFrame:
-    """(id) of the nodes that fall: a node falls when one that stands has an edge (hi, lo) to it."""
-    now, fallen = scratch.write(edges.select("hi", "lo").distinct(), "edges-0"), None
-    for k in range(1, most_rounds + 1):
+def _falling(edges: pd.DataFrame) -> pd.DataFrame:
+    """The nodes that fall in whole groups of edges."""
+    nodes, at = np.unique(np.concatenate([edges["hi"].to_numpy(), edges["lo"].to_numpy()]), return_inverse=True)
+    hi, lo = at[: len(edges)], at[len(edges) :]
+    down = np.zeros(len(nodes), bool)
+    while len(hi):
+        below = np.zeros(len(nodes), bool)
+        below[lo] = True
+        down[lo[~below[hi]]] = True
+        left = below[hi] & ~down[hi] & ~down[lo]
+        hi, lo = hi[left], lo[left]
+    return pd.DataFrame({"id": nodes[down]})
+
+
+def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches come sorted by group; the last group of a batch may go on in the next one."""
+    held = None
+    for rows in batches:
+        if not len(rows):
+            continue
+        rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+        whole = rows["group"] != rows["group"].iloc[-1]
+        if whole.any():
+            yield _falling(rows[whole])
+        held = rows[~whole]
+    if held is not None:
+        yield _falling(held)
+
+
+def dominated(edges: DataFrame, scratch: Scratch, most_edges: int = 1 << 20) -> DataFrame:
+    """(id) of the nodes that fall: a node falls when one that stands has an edge (hi, lo) to it.
+
+    Edges follow a total order, so they have no cycles.  ``most_edges`` bounds the group that one task holds.
+    """
+    own = scratch.write(edges.select("hi", "lo").distinct(), "edges")
+    a, b = F.xxhash64("hi"), F.xxhash64("lo")  # equal hashes only put two groups into one
+    groups = connected_components(own.select(a.alias("a"), b.alias("b")), scratch, "groups").toDF("_node", "_comp")
+    tagged = scratch.write(own.join(groups, a == F.col("_node"), "left").select("hi", "lo", F.coalesce("_comp", a).alias("group")), "grouped")
+    sized = tagged.groupBy("group").agg(F.count(F.lit(1)).alias("_n"))
+    small = tagged.join(sized.where(F.col("_n") <= most_edges).select("group"), "group", "left_semi")
+    kind = edges.schema["lo"].dataType.simpleString()
+    fallen = scratch.write(small.repartition("group").sortWithinPartitions("group").mapInPandas(_settle, f"id {kind}"), "fallen")
+    large = tagged.join(sized.where(F.col("_n") > most_edges).select("group"), "group", "left_semi")
+    return _by_rounds(large.select("hi", "lo"), fallen, scratch)
+
+
+def _by_rounds(edges: DataFrame, fallen: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds the nodes that fall by ``edges`` to ``fallen``; every round settles a node at least."""
+    now = scratch.write(edges, "edges-0")
+    for k in count(1):
         if now.isEmpty():
-            return fallen if fallen is not None else edges.select(F.col("lo").alias("id")).limit(0)
+            return fallen
         top = now.select(F.col("hi").alias("id")).distinct().join(now.select(F.col("lo").alias("id")), "id", "left_anti")
         top = scratch.write(top, f"top-{k}")
         down = scratch.write(now.join(top, now["hi"] == top["id"], "left_semi").select(F.col("lo").alias("id")).distinct(), f"down-{k}")
-        fallen = down if fallen is None else fallen.unionByName(down)
+        fallen = fallen.unionByName(down)
         gone = top.unionByName(down)
         left = now.join(gone, now["hi"] == gone["id"], "left_anti").join(down, now["lo"] == down["id"], "left_anti")
         now = scratch.write(left, f"edges-{k}")
         scratch.drop(f"edges-{k - 1}")
-    raise RuntimeError(f"undecided after {most_rounds} rounds")
 
 
 def nms_dedup(points: DataFrame, r: float, key: str, prefer: str, by: Sequence[str], scratch: Scratch, x: str = "x", y: str = "y") -> DataFrame:
-    """Keeps a point if no kept one lies within r; larger ``prefer`` first, ties by the smaller key."""
+    """Keeps a point if no kept one lies within r; larger ``prefer`` first, null last, ties by the smaller key."""
     own = points.select(key, prefer, x, y, *by)
     pairs = radius_join(own, own, r, by, x, y)
-    first = (F.col(f"l_{prefer}") > F.col(f"r_{prefer}")) | ((F.col(f"l_{prefer}") == F.col(f"r_{prefer}")) & (F.col(f"l_{key}") < F.col(f"r_{key}")))
+    l, rr = F.col(f"l_{prefer}"), F.col(f"r_{prefer}")
+    first = (l > rr) | (l.isNotNull() & rr.isNull()) | (l.eqNullSafe(rr) & (F.col(f"l_{key}") < F.col(f"r_{key}")))
     edges = pairs.where(first).select(F.col(f"l_{key}").alias("hi"), F.col(f"r_{key}").alias("lo"))
     return points.join(dominated(edges, scratch).withColumnRenamed("id", key), key, "left_anti")
 

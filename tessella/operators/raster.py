@@ -308,8 +308,23 @@ def zscore(v: str, by: Sequence[str]) -> Column:
     return (F.col(v) - F.avg(v).over(w)) / (F.stddev_pop(v).over(w) + 1e-8)
 
 
+def outer_boundary(labels: DataFrame, v: str, by: Sequence[str]) -> DataFrame:
+    """Outer borders of labels: every pixel has one row, 0 is background.
+
+    A pixel is one if a 4-neighbour's value differs from its own and it either is background or has another label
+    among its 8 neighbours, so of two labels that touch both sides are borders.
+    """
+    steps = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(a * b == 0).alias("four")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+    sent = labels.select(*by, "px", "py", F.col(v).alias("_sent"), F.explode(F.array(*steps)).alias("d"))
+    moved = sent.select(*by, (F.col("px") + F.col("d.a")).alias("px"), (F.col("py") + F.col("d.b")).alias("py"), "_sent", "d.four")
+    four, label = F.when(F.col("four"), F.col("_sent")), F.when(F.col("_sent") > 0, F.col("_sent"))
+    near = moved.groupBy(*by, "px", "py").agg(F.min(four).alias("_l4"), F.max(four).alias("_h4"), F.min(label).alias("_l8"), F.max(label).alias("_h8"))
+    other = lambda low, high: F.coalesce((F.col(low) != F.col(v)) | (F.col(high) != F.col(v)), F.lit(False))
+    return labels.join(near, [*by, "px", "py"]).where(other("_l4", "_h4") & ((F.col(v) == 0) | other("_l8", "_h8"))).select(*by, "px", "py")
+
+
 def boundary(df: DataFrame, v: str, by: Sequence[str]) -> DataFrame:
-    """Set pixels with an unset or missing 4-neighbour."""
+    """Set pixels with an unset or missing 4-neighbour: the inner border of a mask (``outer_boundary`` gives that of labels)."""
     on = df.where(F.col(v) > 0).select(*by, "px", "py")
     step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0))]))
     moved = on.select(*by, "px", "py", step.alias("d")).select(*by, (F.col("px") + F.col("d.a")).alias("px"), (F.col("py") + F.col("d.b")).alias("py"))

@@ -9,10 +9,11 @@ from tessella.operators import raster
 from tessella.queries.registry import query
 from tessella.queries.registry import slides as slide_view
 
-PARSED = r""", n as (select slide_no, slide_name, regexp_replace(slide_name, '^BIDS', 'PID-S') nm from slides),
- p as (select *, regexp_extract(nm, '^PID\d+([BS]\d+)', 1) pid, string_split(nm, '-') parts from n),
- parsed as (select slide_no, slide_name, case when pid <> '' then 'PID' when starts_with(nm, 'PGP9-5-') then 'PGP9.5' when len(parts) = 2 then (case when upper(parts[1]) = 'HE' then 'H&E' else parts[1] end) end stain,
- case when pid <> '' then upper(pid) when starts_with(nm, 'PGP9-5-') then upper(parts[3]) when len(parts) = 2 then upper(parts[2]) end sample from p)"""
+PARSED = r""", n as (select slide_no, slide_name, case when starts_with(slide_name, 'BIDS') then 'PID-S' || substr(slide_name, 5) else slide_name end nm from slides),
+ p as (select *, regexp_extract(nm, '^PID\d+([BS]\d+)', 1, 'i') pid, string_split(nm, '-') parts, len(parts) = 3 and parts[1] = 'PGP9' and parts[2] = '5' three, upper(parts[1]) head from n),
+ parsed as (select slide_no, slide_name, case when pid <> '' then 'PID' when three then 'PGP9.5' when len(parts) < 2 then null when head in ('HE', 'H&E', 'HE=') then 'H&E' when head like '%PGP%' then 'PGP9.5'
+ when head = 'IBA1' then 'Iba1' when head in ('CD3', 'GFAP', 'NF', 'PID') then head else parts[1] end stain,
+ case when pid <> '' then upper(pid) when three then upper(parts[3]) when len(parts) >= 2 then upper(parts[2]) end sample from p)"""
 
 
 @query("slide_classify", r""" select slide_no, slide_name, case when regexp_matches(upper(slide_name), '\bHE[-=_]') then 'H&E' when regexp_matches(upper(slide_name), '\bCD3[-_]') then 'IHC_CD3'
@@ -34,7 +35,7 @@ def sample_groups(spark, sf):
     return S.complete_samples(slide_parse(spark, sf), 2).select("sample", F.size("stains").cast("long").alias("n_stains"), F.lit(1).alias("has_he"))
 
 
-@query("stain_membership", r""" select slide_no, regexp_matches(slide_name, '(?i)^(Iba1|Ibal)[-_]') is_iba1, regexp_matches(slide_name, '(?i)^(PID|BIDS)') is_pid from slides""")
+@query("stain_membership", r""" select slide_no, lower(slide_name) like 'iba1-%' or lower(slide_name) like 'ibal-%' is_iba1, lower(slide_name) like 'pid%' or lower(slide_name) like 'bid%' is_pid from slides""")
 def stain_membership(spark, sf):
     n = F.col("slide_name")
     return slide_view(spark, sf).select("slide_no", S.stain_slide(n, "IBA1").alias("is_iba1"), S.stain_slide(n, "PID").alias("is_pid"))

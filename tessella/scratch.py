@@ -19,10 +19,12 @@ _KEPT: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary one only if unset."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset, a temporary one on a local master and an error on a cluster."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessella-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")

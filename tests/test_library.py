@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import columns as C
 from tessella.functions import slides as S
-from tessella.operators import ml, stats
+from tessella.operators import ml, raster, stats
 from tessella.plans.slide import SlideSpec, run_slides
 from tessella.queries import ORACLES, QUERIES
 from tessella.sources import tables
@@ -51,6 +51,49 @@ def test_slide_names(spark):
     got = {r.n: (r.kind, r.stain, r.sample) for r in df.select("n", S.slide_type(F.col("n")).alias("kind"), stain.alias("stain"), sample.alias("sample")).collect()}
     assert got["CD3-S25"] == ("IHC_CD3", "CD3", "S25") and got["HE-B17"] == ("H&E", "H&E", "B17")
     assert got["PGP9-5-B27"] == ("IHC_PGP95", "PGP9.5", "B27") and got["BIDS19"][1:] == ("PID", "S19") and got["odd"] == ("H&E", None, None)
+    want = {
+        "IBA1-S25": ("Iba1", "S25"), "PGP-B1": ("PGP9.5", "B1"), "HE-B17-2": ("H&E", "B17"), "cd3-s1": ("CD3", "S1"), "pid30b17": ("PID", "B17"), "PID30": (None, None),
+        "HE=-b2": ("H&E", "B2"), "Odd-x": ("Odd", "X"), "PGP9-5-b1-c": ("PGP9.5", "5"), "bids19": (None, None), "HE-": ("H&E", ""),
+    }
+    df = spark.createDataFrame([(n,) for n in want], "n string")
+    assert {r.n: (r.stain, r.sample) for r in df.select("n", stain.alias("stain"), sample.alias("sample")).collect()} == want
+    names = ["HEB17", "handE-1", "CD3_1", "cd3-1", "Ibal-2", "PGP9_5-1", "PGP5-1", "BID19", "bids2", "NF-1"]
+    of = {s: S.stain_slide(F.col("n"), s).alias(f"s{k}") for k, s in enumerate(["H&E", "CD3", "Iba1", "PGP9-5", "PID", "none"])}
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", *of.values(), S.normalized(F.col("n"), "separate").alias("m")).collect()
+    assert [[r.n for r in rows if r[f"s{k}"]] for k in range(6)] == [["HEB17", "handE-1"], ["cd3-1"], ["Ibal-2"], ["PGP9_5-1"], ["BID19", "bids2"], []]
+    assert {r.n: r.m for r in rows}["bids2"] == "PID2"
+
+
+def test_outer_boundary(spark):
+    rng = np.random.default_rng(4)
+    grid = rng.integers(0, 4, (14, 17)) * (rng.random((14, 17)) < 0.5)
+    rows = [(int(x), int(y), int(grid[y, x])) for y in range(14) for x in range(17)]
+    want = set()
+    for x, y, v in rows:
+        near = {(a, b): int(grid[y + b, x + a]) for a in (-1, 0, 1) for b in (-1, 0, 1) if 0 <= y + b < 14 and 0 <= x + a < 17}
+        differs = any(u != v for (a, b), u in near.items() if a * b == 0)
+        if differs and (v == 0 or set(near.values()) - {0, v}):
+            want.add((x, y))
+    got = raster.outer_boundary(spark.createDataFrame(rows, "px int, py int, label int"), "label", []).collect()
+    assert {(r.px, r.py) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("most_edges", [1 << 20, 3])
+def test_long_chains_are_settled(spark, most_edges):
+    """A chain is settled whole, and by rounds where it has more edges than a task may hold; so is a random graph, keys of any type."""
+    from tessella.operators.dedup import dominated
+    from tessella.scratch import Scratch
+
+    rng = np.random.default_rng(5)
+    n = 3000 if most_edges > 3 else 12
+    edges = {(k, k + 1) for k in range(n)} | {(int(min(p)), int(max(p))) for p in rng.integers(5000, 5300, (300, 2)) if p[0] != p[1]}
+    fallen = set()
+    for k in sorted({x for e in edges for x in e}):
+        if k not in fallen:
+            fallen |= {b for a, b in edges if a == k}
+    name = lambda k: f"k{k:05d}"
+    df = spark.createDataFrame([(name(a), name(b)) for a, b in edges], "hi string, lo string")
+    assert {r.id for r in dominated(df, Scratch(spark, "t"), most_edges).collect()} == set(map(name, fallen))
 
 
 def test_t_tail():
