@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontam, linededup, mixing, neardup, ogg, pst, quality, sharding, toxicity, urls
+from tessella.llm import decontam, licenses, linededup, mixing, neardup, negatives, ogg, pst, quality, sharding, toxicity, urls
 from tessella.scratch import Scratch
 from tessella.llm.text import documents
 
@@ -72,6 +72,17 @@ def op10_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pst.suffix_tree_scores(documents(spark, sf_dir), Scratch(spark, "pst"))
 
 
+def op11_summa_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0, Scratch(spark, "negatives"))
+    return found.drop("anchor_label")
+
+
+def op12_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.labelled(licenses.scan_licenses(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_conv_quality": op1_byte_conv_quality,
     "op2_url_reputation": op2_url_reputation,
@@ -83,5 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hypergeometric_shards": op8_hypergeometric_shards,
     "op9_minhash_line_dedup": op9_minhash_line_dedup,
     "op10_suffix_tree_lm": op10_suffix_tree_lm,
+    "op11_summa_hard_negatives": op11_summa_hard_negatives,
+    "op12_license_set_join": op12_license_set_join,
 }
-ORACLES: dict[str, str] = {"op2_url_reputation": urls.sql(RULES)}
+ORACLES: dict[str, str] = {"op2_url_reputation": urls.sql(RULES), "op11_summa_hard_negatives": negatives.sql(), "op12_license_set_join": licenses.sql()}
