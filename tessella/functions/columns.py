@@ -56,6 +56,11 @@ def stable_id(slide: Column, x_tenths: Column, y_tenths: Column) -> Column:
     return F.substring(F.md5(F.concat_ws(":", slide, tenth(x_tenths), tenth(y_tenths))), 1, 16)
 
 
+def content_id(text: Column, digits: int = 16) -> Column:
+    """The first hex digits of a text's MD5: equal texts, equal ids; null of a null text."""
+    return F.substring(F.md5(text.cast("binary")), 1, digits)
+
+
 def optical_density(v: Column, base10: bool = True) -> Column:
     """Minus the log of transmittance; the two floors differ as the two conventions do."""
     if base10:

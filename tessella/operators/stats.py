@@ -31,6 +31,32 @@ def describe(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
 
 
+def moments(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Sums that add up over parts of a table: n and, per column, sum, sum of squares, least and largest value.
+
+    Whole-number columns are summed as decimals, which are exact in any order.
+    """
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for c in columns:
+        whole = df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long")
+        v = F.col(c).cast("decimal(19,0)" if whole else "double")
+        aggs += [F.count(c).alias(f"{c}_n"), F.sum(v).alias(f"{c}_sum"), F.sum(v * v).alias(f"{c}_sq"), F.min(v).cast("double").alias(f"{c}_min"), F.max(v).cast("double").alias(f"{c}_max")]
+    return df.groupBy(*by).agg(*aggs)
+
+
+def merged_moments(parts: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The parts' ``moments`` as one: n and, per column, sum, mean, sample deviation, least and largest value; nulls don't count."""
+    aggs = [F.sum("n").alias("n")]
+    for c in columns:
+        aggs += [*[F.sum(f"{c}_{k}").alias(f"{c}_{k}") for k in ("n", "sum", "sq")], F.min(f"{c}_min").alias(f"{c}_min"), F.max(f"{c}_max").alias(f"{c}_max")]
+    out = parts.groupBy(*by).agg(*aggs)
+    for c in columns:
+        n, total = F.col(f"{c}_n"), F.col(f"{c}_sum")
+        spread = (n * F.col(f"{c}_sq") - total * total).cast("double")
+        out = out.withColumns({f"{c}_mean": F.when(n > 0, total.cast("double") / n), f"{c}_std": F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (n * (n - 1))))})
+    return out.select(*by, "n", *[f"{c}_{k}" for c in columns for k in ("sum", "mean", "std", "min", "max")])
+
+
 def size_filter(df: DataFrame, low: float | None, high: float | None, area: str | None = None) -> DataFrame:
     """Rows whose area is in the closed range; a bound that is 0 or None doesn't count."""
     area = area or next((c for c in ("area_px", "area", "Area") if c in df.columns), None)

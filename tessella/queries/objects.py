@@ -112,8 +112,12 @@ def _rounds(n: int) -> str:
     return out
 
 
-@query("nms_dedup", """, e0 as materialized (select a.nid hi, b.nid lo from nuclei a join nuclei b on a.slide_no = b.slide_no and (a.xi-b.xi)*(a.xi-b.xi) + (a.yi-b.yi)*(a.yi-b.yi) <= 40000
- and (a.area_px > b.area_px or (a.area_px = b.area_px and a.nid < b.nid)))""" + _rounds(8) + " select nid, area_px from nuclei where nid not in (" + " union all ".join(f"select id from d{k}" for k in range(8)) + ")")
+#: The objects that suppression at 20 um keeps, as ``once``.
+NMS = """, e0 as materialized (select a.nid hi, b.nid lo from nuclei a join nuclei b on a.slide_no = b.slide_no and (a.xi-b.xi)*(a.xi-b.xi) + (a.yi-b.yi)*(a.yi-b.yi) <= 40000
+ and (a.area_px > b.area_px or (a.area_px = b.area_px and a.nid < b.nid)))""" + _rounds(8) + ", once as (select * from nuclei where nid not in (" + " union all ".join(f"select id from d{k}" for k in range(8)) + "))"
+
+
+@query("nms_dedup", NMS + " select nid, area_px from once")
 def nms_dedup_query(spark, sf):
     return nms_dedup(nuclei(spark, sf), 200, "nid", "area_px", BY, Scratch(spark, "nms"), "xi", "yi").select("nid", "area_px")
 
