@@ -213,13 +213,12 @@ def _common(s: np.ndarray, t: np.ndarray) -> int:
 def _blocks(own: DataFrame, least: int, most: int) -> DataFrame:
     """(g, id, comp, visits, chunk) of groups of more than ``least`` members that have several components.
 
-    A group's members are dealt to chunks of about ``most`` members and ``BYTES``; those outside its leading component also visit every chunk.
+    A group's members are dealt to chunks of about ``most`` members and ``BYTES``; those outside its leading component, which has the most members, also visit every chunk.
     """
-    state = own.groupBy("g").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.min(F.struct(F.xxhash64("comp"), "comp")).alias("m")
-    )
+    parts = own.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    state = parts.groupBy("g").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("lead"))
     chunks = F.ceil(F.greatest(F.col("n") / most, F.col("bytes") / BYTES, F.lit(1))).cast("int")
-    open_ = state.where((F.col("n") > least) & F.expr("x <> y")).select("g", chunks.alias("chunks"), F.col("m.comp").alias("lead"))
+    open_ = state.where((F.col("n") > least) & (F.col("comps") > 1)).select("g", chunks.alias("chunks"), "lead")
     tagged = own.join(open_, "g")
     home = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     visits = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))

@@ -167,7 +167,7 @@ class LeakIndex:
                     n = min(n, max(2 * share, int(hit[np.searchsorted(total, p.pairs)])))
                     some = hit < n
                     hit, left, count, total = hit[some], left[some], count[some], total[some]
-                if len(total):
+                if len(total) and total[-1]:  # the bitmap may let others pass
                     where = np.repeat(hit + at, count)
                     which = np.arange(total[-1]) - np.repeat(total - count, count) + np.repeat(left, count)
                     self._compare(where, which, plain, ends, found)

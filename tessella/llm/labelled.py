@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +39,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
 def score_documents(docs: DataFrame, score: Callable[[list[bytes]], np.ndarray], threshold: float) -> DataFrame:
     """doc_id, held_out, score and predicted for every document, in Arrow batches."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = score([encode(t) for t in batch["text"]]) if len(batch) else np.zeros(0)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "score": values, "predicted": (values >= threshold).astype(np.int32)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # ids stay Arrow's: beside a null, pandas would make them doubles
+            values = score([encode(t) for t in batch["text"].to_pylist()]) if len(batch) else np.zeros(0)
+            yield pa.record_batch({"doc_id": batch["doc_id"].cast(pa.int64()), "held_out": batch["held_out"], "score": pa.array(values, pa.float64()), "predicted": pa.array((values >= threshold).astype(np.int32))})
 
     ready = docs.select("doc_id", "text", held_out(F.col("doc_id"), *HOLD_OUT).alias("held_out"))
-    return ready.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return ready.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -23,6 +23,7 @@ from math import exp, sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -195,18 +196,14 @@ def line_plan(docs: DataFrame, scratch: Scratch, p: LineParams = LineParams()) -
     base = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
     comps = line_components(base, scratch, p)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            doc, rid, ids, pos = [], [], [], []
-            for d, r, t in zip(batch["doc_id"].astype("Int64").array, batch["rid"], batch["text"]):
-                found = [(line_id(x), k) for k, x in enumerate(line_keys(t)) if x]
-                doc += [d] * len(found)
-                rid += [r] * len(found)
-                ids += [i for i, _ in found]
-                pos += [k for _, k in found]
-            yield pd.DataFrame({"doc_id": pd.array(doc, "Int64"), "rid": np.array(rid, np.int64), "id": np.array(ids, np.int64), "pos": np.array(pos, np.int64)})
-
-    lines = base.mapInPandas(run, "doc_id long, rid long, id long, pos int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # ids stay Arrow's: beside a null, pandas would make them doubles
+            found = [[(line_id(x), k) for k, x in enumerate(line_keys(t)) if x] for t in batch["text"].to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]).astype(np.int64))
+            ids, pos = (pa.array([x[k] for f in found for x in f], kind) for k, kind in ((0, pa.int64()), (1, pa.int32())))
+            yield pa.record_batch({"doc_id": batch["doc_id"].cast(pa.int64()).take(row), "rid": batch["rid"].take(row), "id": ids, "pos": pos})
+
+    lines = base.mapInArrow(run, "doc_id long, rid long, id long, pos int")
     # Occurrences of equal lines are reduced map-side before classes meet.
     first = lines.groupBy("id").agg(F.min(F.struct("doc_id", "rid", "pos")).alias("at"))
     winners = first.join(comps, "id", "left").groupBy(F.coalesce("comp", "id").alias("class")).agg(F.min("at").alias("at"))

@@ -12,7 +12,10 @@ classes; a document's component is the smallest doc_id reachable.
 
 Null and empty texts and texts without words have an empty set and are linked
 with nothing.  Rows that share a doc_id are one node.  Rows without a doc_id are
-never linked: their component is null and they are kept.
+never linked: their component is null and they are kept.  A text of any length is
+compared whole.  Ties of leaders are broken by hash, and the result doesn't depend
+on them.  An empty table gives an empty result; other columns, whatever their names,
+are never read and are passed on by ``keep_one_each``.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from math import exp, sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 from tessella.llm.banding import MET, link_components, meeting, partitions, wanted_ids
 from tessella.operators.graph import connected_components
 from tessella.scratch import Scratch
-from tessella.llm.text import WordHashes, hash_seeds, mix, words
+from tessella.llm.text import WordHashes, free_name, hash_seeds, mix, words
 
 
 @dataclass(frozen=True)
@@ -110,22 +114,22 @@ def sketch_rows(docs: DataFrame, p: NearDupParams) -> DataFrame:
     """id, n_shingles, key (128 bits as hi, lo; null for the empty set), bands and odd sketch."""
     sketcher = Sketcher(p)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # ids stay Arrow's: beside a null, pandas would make them doubles
             rows = []
-            for i, text in zip(batch["id"], batch["text"]):
+            for text in batch["text"].to_pylist():
                 s = sketcher.shingles(text)
                 if not len(s):
-                    rows.append((i, 0, None, None, None, None))
+                    rows.append((0, None, None, None, None))
                     continue
                 key = xxhash.xxh3_128_digest(s.tobytes())
                 x = sketcher.samples(s)
                 hi, lo = (int.from_bytes(key[k : k + 8], "big", signed=True) for k in (0, 8))
-                rows.append((i, len(s), hi, lo, sketcher.bands(x), sketcher.odd(x)))
-            out = pd.DataFrame(rows, columns=["id", "n_shingles", "hi", "lo", "bands", "sketch"])
-            yield out.astype({"hi": "Int64", "lo": "Int64"})
+                rows.append((len(s), hi, lo, sketcher.bands(x).tolist(), sketcher.odd(x)))
+            kinds = {"n_shingles": pa.int64(), "hi": pa.int64(), "lo": pa.int64(), "bands": pa.list_(pa.int64()), "sketch": pa.binary()}
+            yield pa.record_batch({"id": batch["id"].cast(pa.int64())} | {c: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(kinds.items())})
 
-    return docs.mapInPandas(run, "id long, n_shingles long, hi long, lo long, bands array<long>, sketch binary")
+    return docs.mapInArrow(run, "id long, n_shingles long, hi long, lo long, bands array<long>, sketch binary")
 
 
 def _near(sketches: DataFrame, p: NearDupParams, pairs: DataFrame) -> DataFrame:
@@ -148,13 +152,14 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, s): the texts of ids(id); a row with another text under the same id is one more row."""
     test = wanted_ids(ids)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            x = x[x["id"].notna()]
-            keep = test(x["id"].to_numpy(np.int64))
-            yield pd.DataFrame({"id": x["id"][keep].astype(np.int64), "s": x["text"][keep]})
+            x = x.filter(pa.array(~x["id"].is_null().to_numpy(zero_copy_only=False)))
+            keep = pa.array(test(x["id"].to_numpy().astype(np.int64)))
+            yield pa.record_batch({"id": x["id"].filter(keep).cast(pa.int64()), "s": x["text"].filter(keep)})
 
-    return docs.mapInPandas(run, "id long, s string").join(ids, "id", "left_semi")
+    # A null text is in no class.
+    return docs.where("text is not null").mapInArrow(run, "id long, s string").join(ids, "id", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, p: NearDupParams = NearDupParams()) -> DataFrame:
@@ -187,7 +192,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, p: NearDupParams = NearDu
         joined = extra.union(comps.select(F.col("comp"), F.col("id")))
         comps = connected_components(joined, scratch, "comps-3")
     named = classes.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("hi", "lo", F.coalesce("comp", "rep").alias("comp"))
-    placed = rows.select("id", "n_shingles", "hi", "lo").join(named, ["hi", "lo"], "left")
+    # Rows without a set have no class to look up and don't meet under one null key.
+    own = rows.select("hi", "lo", "id", "n_shingles")
+    placed = own.where("hi is not null").join(named, ["hi", "lo"], "left").unionByName(own.where("hi is null").withColumn("comp", F.lit(None).cast("long")))
     component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
     return placed.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
@@ -199,7 +206,8 @@ def keep_one_each(docs: DataFrame, scratch: Scratch, p: NearDupParams = NearDupP
 
     Rows without a doc_id stay; repeated rows of one doc_id leave the one whose text sorts first.
     """
-    kept = near_duplicates(docs, scratch, p).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    stay = docs.join(kept, docs["doc_id"] == F.col("_kept_id"), "left_semi")
+    kept = near_duplicates(docs, scratch, p).where("kept and doc_id is not null").select("doc_id").distinct()
+    stay = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    name = free_name(docs.columns, "_first")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return stay.withColumn("_first", first).where("_first = 1").drop("_first").unionByName(docs.where("doc_id is null"))
+    return stay.withColumn(name, first).where(F.col(name) == 1).drop(name).unionByName(docs.where("doc_id is null"))

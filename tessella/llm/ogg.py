@@ -7,7 +7,9 @@ from granule positions.  ``media_columns`` does both for a text column.
 
 Null and empty texts give one packet of 64 zero bytes.  Equal texts give equal
 bytes: serial numbers are derived from the payload.  A damaged page raises
-``OggError`` and names the byte offset.
+``OggError`` and names the byte offset.  A text of any length is stored whole;
+every row, also one that repeats another or has no id, has a row of its own; an
+empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import zlib
 from dataclasses import dataclass, field
 from typing import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessella.llm.text import encode
@@ -192,21 +194,23 @@ MEDIA_SCHEMA = (
 def media_columns(docs: DataFrame, with_media: bool = True) -> DataFrame:
     """Each document's Ogg bytes (``media``), packet-page timestamps and read-back digests."""
 
-    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in MEDIA_SCHEMA.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.float64())]
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for text in batch["text"].to_pylist():
                 raw = encode(text)
                 media = store(pad(raw))
                 payload, streams = load(media)
                 rows.append((
-                    None if pd.isna(doc_id) else int(doc_id), len(raw), len(payload),
-                    hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media),
+                    len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media),
                     hashlib.sha256(media).hexdigest(), feature(payload, streams),
                     media if with_media else None,
                     [g / RATE for s in streams.values() for g in s.granules] if with_media else None,
                 ))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in MEDIA_SCHEMA.split(", ")])
-            yield out.astype({"doc_id": "Int64"})
+            columns = [batch["doc_id"].cast(pa.int64()), *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds[1:])]]
+            yield pa.record_batch(columns, names=names)
 
-    return docs.select("doc_id", "text").mapInPandas(convert, MEDIA_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(convert, MEDIA_SCHEMA)

@@ -8,6 +8,8 @@ forward pass is a few gathers a position; no part of a text is left out.
 
 Null and empty texts are one chunk of padding and get that chunk's score.
 Without training rows of both labels the score is the label share (0.5 with none).
+Every row, also one that repeats another or has no id, has a row of its own; equal
+texts score alike; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations

@@ -33,7 +33,7 @@ def op1_byte_conv_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity_scores(documents(spark, sf_dir), labels(spark, sf_dir))
-    return scored.withColumn("n_spans", F.size("spans")).drop("spans")
+    return scored.withColumn("n_spans", F.size("spans"))
 
 
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,20 +115,24 @@ def with_shards(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
 
     Repeats of a document are numbered on both sides of the join back, so each gets a place of its own.
     """
-    key = ["_shard_id", "_shard_size", "_shard_crc"]
-    placed = shard_rows(docs, scratch, **how).toDF(*key, "_shard", "_slot")
-    copy = lambda order: F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    placed = placed.withColumn("_shard_k", copy(["_shard", "_slot"]))
+    own_names = {c.lower() for c in docs.columns}
+    mark = "_shard"
+    while any(c.startswith(mark) for c in own_names):
+        mark = f"_{mark}"
+    key = [f"{mark}_{k}" for k in ("id", "size", "crc")]
+    ours = {k: f"{mark}_own{k}" for k in key}
+    shard, slot, k_there, k_here = (f"{mark}_{c}" for c in ("shard", "slot", "k_there", "k_here"))
+    placed = shard_rows(docs, scratch, **how).toDF(*key, shard, slot)
+    copy = lambda by, order: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    placed = placed.withColumn(k_there, copy(key, [shard, slot]))
     names = []
     for name in ("size", "text_crc32", "shard", "slot"):
-        while name in docs.columns:
+        while name in own_names:
             name = f"shard_{name}"
         names.append(name)
-    own = docs.select("*", F.col("doc_id").alias(key[0]), *(m.alias(k) for m, k in zip(_measures(), key[1:])))
-    own = own.withColumn("_own_k", copy(["text"])).withColumnsRenamed({k: f"_own{k}" for k in key})
-    same = F.col(f"_own{key[0]}").eqNullSafe(F.col(key[0])) & (F.col("_own_k") == F.col("_shard_k"))
+    own = docs.select("*", F.col("doc_id").alias(ours[key[0]]), *(m.alias(ours[k]) for m, k in zip(_measures(), key[1:])))
+    own = own.withColumn(k_here, copy(ours.values(), ["text"]))
+    same = F.col(ours[key[0]]).eqNullSafe(F.col(key[0])) & (F.col(k_here) == F.col(k_there))
     for k in key[1:]:
-        same &= F.col(f"_own{k}") == F.col(k)
-    return own.join(placed, same).select(
-        *[F.col(f"`{c}`") for c in docs.columns], *[F.col(c).alias(name) for c, name in zip((key[1], key[2], "_shard", "_slot"), names)]
-    )
+        same &= F.col(ours[k]) == F.col(k)
+    return own.join(placed, same).select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(c).alias(name) for c, name in zip((key[1], key[2], shard, slot), names)])

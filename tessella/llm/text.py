@@ -38,6 +38,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with underscores before it until no column has it, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 class WordHashes(dict):
     """A bounded cache of 64-bit word hashes; a full cache is emptied, never wrong."""
 

@@ -297,12 +297,14 @@ def _spans(text: bytes, marginal: np.ndarray) -> list[dict[str, int]]:
     out: list[dict[str, int]] = []
     if not (marginal >= 0.5).any():
         return out
+    at = start = 0  # bytes and characters read so far: each byte is decoded once
     for m, p in zip(TOKEN.finditer(text), marginal):
         if p >= 0.5:
             word = m.group()
             lead = len(word) - len(word.lstrip(EDGE))
             core = word.strip(EDGE) or word
-            start = len(text[: m.start() + (lead if core != word else 0)].decode("utf-8", "replace"))
+            here = m.start() + (lead if core != word else 0)
+            start, at = start + len(text[at:here].decode("utf-8", "replace")), here
             out.append({"start": start, "end": start + len(core.decode("utf-8", "replace"))})
     return out
 

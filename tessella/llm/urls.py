@@ -8,7 +8,8 @@ limit, so hosts with little evidence follow their domain and suffix.
 
 Null urls and urls without ``://`` have an empty host and path, fit no rule and
 form one host of their own.  Null outcomes count as unlabelled.  Repeated rows
-are judged alike.  Only DataFrame functions are used.
+are judged alike.  A url of any length is judged whole; an empty table gives an
+empty result; no other column of the pages is read.  Only DataFrame functions are used.
 """
 
 from __future__ import annotations
