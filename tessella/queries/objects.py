@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import columns as C
 from tessella.operators import ml, raster, stats
 from tessella.operators.dedup import nms_dedup, pair_dedup
+from tessella.operators.density import hdbscan
 from tessella.operators.spatial import Ask, density, nearest, neighbourhood, radius_join
 from tessella.queries.registry import nuclei, pixels, query, r6, table
 from tessella.scratch import Scratch
@@ -327,6 +328,12 @@ def birch(spark, sf):
     return ml.birch(ml.standardize(df, names), names, 10, threshold=3.0).select("vec_id", "cluster")
 
 
+@query("hdbscan")
+def hdbscan_query(spark, sf):
+    """Clusters of object positions, slide by slide."""
+    return hdbscan(nuclei(spark, sf).select("nid", "slide_no", "xi", "yi"), "nid", "xi", "yi", BY).select("nid", "slide_no", "cluster")
+
+
 @query("umap")
 def umap(spark, sf):
     df, names = _embeddings(spark, sf)
