@@ -114,3 +114,27 @@ def blend(a: Column, b: Column, alpha: float) -> Column:
 def angle_proxy(major: Column, minor: Column) -> Column:
     """The older stand-in for an orientation, where a table has none."""
     return F.atan2(minor, major)
+
+
+def log_area(area: Column) -> Column:
+    """A display scale of areas."""
+    return F.log10(area + 1)
+
+
+def diameter_px(diameter_um: float, mpp: float | Column) -> Column:
+    return F.lit(diameter_um) / mpp
+
+
+def in_box(x: Column, y: Column, low: tuple[float, float], high: tuple[float, float]) -> Column:
+    """Whether a point is in a closed box."""
+    return x.between(low[0], high[0]) & y.between(low[1], high[1])
+
+
+def file_name(pattern: str, **parts: Column) -> Column:
+    """A pattern's ``{name}`` filled in; an ampersand, which shells read, becomes ``and``."""
+    out, rest = [], pattern
+    while "{" in rest:
+        before, _, rest = rest.partition("{")
+        name, _, rest = rest.partition("}")
+        out += [F.lit(before), F.replace(parts[name].cast("string"), F.lit("&"), F.lit("and"))]
+    return F.concat(*out, F.lit(rest))

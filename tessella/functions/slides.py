@@ -59,8 +59,12 @@ def parse_name(name: Column) -> tuple[Column, Column]:
     return stain, sample
 
 
+def is_ihc(kind: Column) -> Column:
+    return kind.startswith("IHC_")
+
+
 def marker(kind: Column) -> Column:
-    return F.when(kind.startswith("IHC_"), F.substring_index(kind, "_", -1))
+    return F.when(is_ihc(kind), F.get(F.split(kind, "_"), F.lit(1)))
 
 
 def complete_samples(slides: DataFrame, least: int = 5) -> DataFrame:
@@ -75,9 +79,10 @@ def stain_paths(slides: DataFrame) -> DataFrame:
     return one.groupBy("sample").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("stain", "path")))).alias("paths"))
 
 
-def marker_info(name: Column, info: dict[str, str], default: str = "unknown") -> Column:
-    """A marker's description by name, from a plan-time table."""
+def marker_info(name: Column, info: dict[str, str], default: str = "Unknown marker") -> Column:
+    """A marker's description by name, from a plan-time table; case and dashes don't count."""
+    key = F.replace(F.upper(name), F.lit("-"), F.lit(""))
     out = F.lit(default)
-    for k, v in info.items():
-        out = F.when(F.upper(name) == k.upper(), v).otherwise(out)
+    for k, v in reversed(info.items()):
+        out = F.when(key == k.upper().replace("-", ""), v).otherwise(out)
     return out

@@ -227,7 +227,7 @@ def reachability_tree(points: DataFrame, key: str, by: Sequence[str], scratch: S
             _, place = np.unique(np.concatenate([a[key], b[key]]), return_inverse=True)
             cells = _forest(w, np.stack([comp[: len(a)], place[: len(a)]]), np.stack([comp[len(a) :], place[len(a) :]]), len(names))
             i, j = np.array([c[0] for c in cells], int), np.array([c[1] for c in cells], int)
-            out = {c: [g[c].iloc[0]] * len(i) for c in by}
+            out = {c: np.full(len(i), g[c].iloc[0], object) for c in by}
             return pd.DataFrame(out | {"a": a[key].to_numpy()[i], "b": b[key].to_numpy()[j], "w": w[i, j], "ca": a["_comp"].to_numpy()[i], "cb": b["_comp"].to_numpy()[j]})
 
         return forest_of
@@ -343,12 +343,12 @@ def contracted(tree: DataFrame, points: DataFrame, least: int, key: str, by: Seq
 
     def kernel(key_: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         if not len(n):
-            return pd.DataFrame({f.name: [] for f in out})
+            return pd.DataFrame({f.name: np.zeros(0, object) for f in out})
         moved, met, left = contract(n, e, least)
         rows = [(0, a, b, s, w, None, None) for a, b, s, w in moved] + [(1, a, b, None, w, None, None) for a, b, w in met] + [(2, a, None, None, None, z, g) for a, z, g in left]
         table = pd.DataFrame(rows, columns=["what", "a", "b", "seed", "w", "size", "big"]).astype({"a": object, "b": object, "seed": object, "size": "Int64"})
         for k, c in enumerate(by):
-            table[c] = key_[k]
+            table[c] = np.full(len(table), key_[k], object)
         return table
 
     while True:
@@ -417,7 +417,7 @@ def merge_tree(seeds: list, merges: pd.DataFrame) -> pd.DataFrame:
     depth = [0] * len(parent)
     for k in range(len(parent) - 1, -1, -1):
         depth[k] = 0 if parent[k] < 0 else depth[parent[k]] + 1
-    return pd.DataFrame({"node": range(len(parent)), "parent": parent, "w": formed, "seed": [*seeds, *[None] * (len(parent) - len(seeds))], "depth": depth})
+    return pd.DataFrame({"node": range(len(parent)), "parent": parent, "w": formed, "seed": np.array([*seeds, *[None] * (len(parent) - len(seeds))], object), "depth": depth})
 
 
 def excess_of_mass(tree: pd.DataFrame, single: bool = False) -> np.ndarray:
@@ -474,7 +474,7 @@ def hdbscan(df: DataFrame, key: str, x: str, y: str, by: Sequence[str] = (), min
     def shape(names: tuple, seeds: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
         out = merge_tree(sorted(seeds["seed"]), met)
         for c, v in zip(groups, names):
-            out[c] = v
+            out[c] = np.full(len(out), v, object)
         return out[nodes.names]
 
     seeds = joined.select(*groups, "seed").distinct()

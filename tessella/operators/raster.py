@@ -51,6 +51,33 @@ def open_(df: DataFrame, v: str, k: int, by: Sequence[str], times: int = 1) -> D
     return dilate(erode(df, v, k, by, times), v, k, by, times)
 
 
+def ellipse(k: int) -> list[tuple[int, int]]:
+    """Rows (dy, half width) of an elliptic kernel of odd size k; of size 3 it is a cross."""
+    r = k // 2
+    return [(dy, round(r * (1 - dy * dy / (r * r)) ** 0.5) if r else 0) for dy in range(-r, r + 1)]
+
+
+def _shaped(df: DataFrame, v: str, kernel: Sequence[tuple[int, int]], by: Sequence[str], agg, pick) -> DataFrame:
+    """The extreme over a symmetric kernel of rows: one frame along the rows for each width, then one look up or down for each row."""
+    rows, cols = Window.partitionBy(*by, "py").orderBy("px"), Window.partitionBy(*by, "px").orderBy("py")
+    wide = df.withColumns({f"_w{h}": agg(v).over(rows.rangeBetween(-h, h)) for h in {h for _, h in kernel}})
+    shifted = wide.withColumns({f"_s{dy}": agg(f"_w{h}").over(cols.rangeBetween(dy, dy)) for dy, h in kernel})
+    parts = [F.col(f"`_s{dy}`") for dy, _ in kernel]
+    return shifted.withColumn(v, pick(*parts) if len(parts) > 1 else parts[0]).select(*df.columns)
+
+
+def dilate_shape(df: DataFrame, v: str, kernel: Sequence[tuple[int, int]], by: Sequence[str]) -> DataFrame:
+    return _shaped(df, v, kernel, by, F.max, F.greatest)
+
+
+def erode_shape(df: DataFrame, v: str, kernel: Sequence[tuple[int, int]], by: Sequence[str]) -> DataFrame:
+    return _shaped(df, v, kernel, by, F.min, F.least)
+
+
+def close_shape(df: DataFrame, v: str, kernel: Sequence[tuple[int, int]], by: Sequence[str]) -> DataFrame:
+    return erode_shape(dilate_shape(df, v, kernel, by), v, kernel, by)
+
+
 # -- integral images
 
 
@@ -61,10 +88,10 @@ def integral(df: DataFrame, v: str, by: Sequence[str]) -> DataFrame:
     return df.withColumn("s", F.sum(v).over(rows)).withColumn("s", F.sum("s").over(cols)).select(*by, "px", "py", "s")
 
 
-def window_sums(points: DataFrame, image: DataFrame, half: int, width: int, height: int, key: str, by: Sequence[str], cx: str = "cx", cy: str = "cy") -> DataFrame:
+def window_sums(points: DataFrame, image: DataFrame, half: int | Column, width: int, height: int, key: str, by: Sequence[str], cx: str = "cx", cy: str = "cy") -> DataFrame:
     """(key, total, cells): the integral image's sum over ``[c - half, c + half)`` in both directions, clipped to the image.
 
-    Each point asks for the four corners of its window: one equi-join, whatever the window's size.
+    Each point asks for the four corners of its window: one equi-join, whatever the window's size, which may be the point's own.
     """
     clip = lambda c, top: F.least(F.greatest(c, F.lit(0)), F.lit(top))
     x0, x1 = clip(F.col(cx) - half, width), clip(F.col(cx) + half, width)
@@ -87,15 +114,55 @@ def runs(df: DataFrame, v: str, by: Sequence[str]) -> DataFrame:
     return out.withColumn("rid", F.xxhash64(*by, "py", "x0"))
 
 
-def components(df: DataFrame, v: str, by: Sequence[str], scratch: Scratch) -> DataFrame:
-    """8-connected components as runs with a component id; runs of neighbouring rows that touch, corners included, are joined."""
+#: Pixels of a row's blocks in which runs of neighbouring rows meet.
+_RUN_BLOCK = 256
+
+
+def components(df: DataFrame, v: str, by: Sequence[str], scratch: Scratch, corners: bool = True) -> DataFrame:
+    """Connected components as runs with a component id; runs of neighbouring rows that touch are joined, at corners too or not.
+
+    Runs meet in the blocks of a row that they reach, so a row of many runs isn't paired whole.
+    """
+    reach = int(corners)
     own = scratch.write(runs(df, v, by), "runs")
+    cover = lambda a, b: F.explode(F.sequence(F.floor(a / _RUN_BLOCK), F.floor(b / _RUN_BLOCK)))
+    here = own.withColumn("_block", cover(F.col("x0"), F.col("x1")))
     below = own.select(*by, (F.col("py") - 1).alias("py"), F.col("x0").alias("_b0"), F.col("x1").alias("_b1"), F.col("rid").alias("_brid"))
-    touch = own.join(below, [*by, "py"]).where((F.col("x0") <= F.col("_b1") + 1) & (F.col("_b0") <= F.col("x1") + 1))
+    below = below.withColumn("_block", cover(F.col("_b0") - reach, F.col("_b1") + reach))
+    touch = here.join(below, [*by, "py", "_block"]).where((F.col("x0") <= F.col("_b1") + reach) & (F.col("_b0") <= F.col("x1") + reach))
     comps = connected_components(touch.select(F.col("rid").alias("a"), F.col("_brid").alias("b")), scratch, "components")
     return own.join(comps, own["rid"] == comps["id"], "left").select(*by, "py", "x0", "x1", F.coalesce("comp", "rid").alias("comp"))
 
 
+def run_pixels(of: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, px, py) of the pixels of runs."""
+    return of.select(*by, F.explode(F.sequence("x0", "x1")).alias("px"), "py")
+
+
+def largest_centroid(comps: DataFrame, by: Sequence[str], scale: float = 1.0) -> DataFrame:
+    """(by, cx, cy, area) of each image's largest component (of equals the first by row and column): the centroid cut to whole pixels, then scaled and rounded."""
+    best = component_table(comps, by).groupBy(*by).agg(F.max_by(F.struct("cx", "cy", "area"), F.struct("area", -F.col("min_y"), -F.col("min_x"))).alias("b"))
+    at = lambda c: F.round(F.floor(c) * F.lit(float(scale))).cast("long")
+    return best.select(*by, at("b.cx").alias("cx"), at("b.cy").alias("cy"), F.col("b.area").alias("area"))
+
+
+def external_contour(df: DataFrame, v: str, by: Sequence[str], scratch: Scratch) -> DataFrame:
+    """Set pixels that border the outside: the image's edge or the background that reaches it (by sides); borders of holes, and objects in holes, are left out.
+
+    The grid must be dense.
+    """
+    empty = components(df.select(*by, "px", "py", (F.col(v) <= 0).cast("int").alias("_e")), "_e", by, scratch, corners=False)
+    edge = df.groupBy(*by).agg(F.min("px").alias("_l"), F.max("px").alias("_r"), F.min("py").alias("_t"), F.max("py").alias("_b"))
+    bounded = lambda d: d.join(edge, list(by)) if by else d.crossJoin(F.broadcast(edge))  # noqa: E731  (one row)
+    reach = bounded(empty).where("x0 = _l or x1 = _r or py = _t or py = _b").select(*by, "comp").distinct()
+    outside = run_pixels(empty.join(reach, [*by, "comp"], "left_semi"), by)
+    on = df.where(F.col(v) > 0).select(*by, "px", "py")
+    step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0))]))
+    beside = outside.select(*by, "px", "py", step.alias("d")).select(*by, (F.col("px") + F.col("d.a")).alias("px"), (F.col("py") + F.col("d.b")).alias("py")).distinct()
+    at_edge = bounded(on).where("px = _l or px = _r or py = _t or py = _b").select(*by, "px", "py")
+    return on.join(beside, [*by, "px", "py"], "left_semi").union(at_edge).distinct()
+
+
 def component_table(comps: DataFrame, by: Sequence[str]) -> DataFrame:
     """Area, bounding box and centroid of each component."""
     n = F.col("x1") - F.col("x0") + 1
@@ -187,10 +254,14 @@ def outlines(df: DataFrame, by: Sequence[str]) -> DataFrame:
 # -- skeletons
 
 
-def thin(mask: np.ndarray) -> np.ndarray:
-    """Zhang and Suen's thinning of a 0/1 array."""
+def thin(mask: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Zhang and Suen's thinning of a 0/1 array, to its end or for at most so many passes."""
     m = np.pad(mask.astype(bool), 1)
+    passes = 0
     while True:
+        if passes == most:
+            return m[1:-1, 1:-1]
+        passes += 1
         before = m.copy()
         for odd in (False, True):
             n = [np.roll(m, s, (0, 1)) for s in ((1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1))]
@@ -213,11 +284,52 @@ def skeleton(df: DataFrame, v: str, by: Sequence[str]) -> DataFrame:
         mask = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), bool)
         mask[y - y.min(), x - x.min()] = True
         sy, sx = np.nonzero(thin(mask))
-        return pd.DataFrame({c: [g[c].iloc[0]] * len(sx) for c in by} | {"px": sx + x.min(), "py": sy + y.min()})
+        return pd.DataFrame({c: np.full(len(sx), g[c].iloc[0], object) for c in by} | {"px": sx + x.min(), "py": sy + y.min()})
 
     return df.where(F.col(v) > 0).groupBy(*by).applyInPandas(kernel, schema)
 
 
+def skeleton_whole(df: DataFrame, v: str, by: Sequence[str], scratch: Scratch, tile: int = 512, halo: int = 32) -> DataFrame:
+    """Set pixels (by, px, py) of the skeleton of whole images, thinned in tiles that see ``halo`` pixels beyond their border.
+
+    A pass looks two pixels far, so half as many passes as the halo has pixels
+    are exact inside; then tiles exchange their borders through a written table,
+    until a round removes nothing.  A task holds one tile, whatever the image.
+    """
+    now = scratch.write(df.where(F.col(v) > 0).select(*by, F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py")), "thin-0")
+    cover = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile)))
+    names = list(by)
+
+    def kernel(g: pd.DataFrame) -> pd.DataFrame:
+        x, y = g["_tx"].iloc[0] * tile, g["_ty"].iloc[0] * tile
+        mask = np.zeros((tile + 2 * halo, tile + 2 * halo), bool)
+        mask[g["py"].to_numpy() - y + halo, g["px"].to_numpy() - x + halo] = True
+        sy, sx = np.nonzero(thin(mask, halo // 2)[halo:-halo, halo:-halo])
+        return pd.DataFrame({c: np.full(len(sx), g[c].iloc[0], object) for c in names} | {"px": sx + x, "py": sy + y})
+
+    k, n = 1, now.count()
+    while True:
+        cut = now.withColumn("_tx", cover("px")).withColumn("_ty", cover("py"))
+        now = scratch.write(cut.groupBy(*by, "_tx", "_ty").applyInPandas(kernel, now.schema), f"thin-{k}")
+        left = now.count()
+        if left == n:
+            return now
+        scratch.drop(f"thin-{k - 1}")
+        k, n = k + 1, left
+
+
+def filament_mask(df: DataFrame, raw: Column, by: Sequence[str], scratch: Scratch, threshold: int = 30, least: int = 50) -> DataFrame:
+    """(by, px, py, v): a projection scaled by its image's maximum to 0..255 (truncated), above the threshold, without objects (by sides) under ``least`` pixels, closed by a cross."""
+    found = df.select(*by, "px", "py", F.greatest(raw, F.lit(0.0)).alias("_d"))
+    tops = found.groupBy(*by).agg(F.max("_d").alias("_top"))
+    scaled = found.join(tops, list(by)) if by else found.crossJoin(F.broadcast(tops))  # one row
+    level = F.when(F.col("_top") > 0, F.floor(F.col("_d") / F.col("_top") * 255)).otherwise(F.lit(0))
+    mask = scratch.write(scaled.select(*by, "px", "py", (level > threshold).cast("int").alias("v")), "filament-level")
+    kept = run_pixels(large_components(components(mask, "v", by, scratch, corners=False), by, F.lit(least)), by).withColumn("_kept", F.lit(1))
+    clean = mask.join(kept, [*by, "px", "py"], "left").select(*by, "px", "py", F.coalesce("_kept", F.lit(0)).alias("v"))
+    return close_shape(clean, "v", ellipse(3), by)
+
+
 def topology(skeleton_px: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per image: skeleton pixels, end points (one neighbour) and branch points (three or more)."""
     near = F.explode(F.expr("flatten(transform(sequence(-1, 1), dx -> transform(filter(sequence(-1, 1), dy -> dx <> 0 or dy <> 0), dy -> struct(dx as dx, dy as dy))))"))

@@ -235,3 +235,26 @@ def column_check(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
     have = set(df.columns)
     row = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(c in have).alias("present"), *[(f(c) if c in have else F.lit(None)).cast("double").alias(s) for s, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]) for c in wanted]).alias("r"))
     return row.select(F.inline("r"))
+
+
+def first_seen(df: DataFrame, column: str, order: str) -> DataFrame:
+    """(column, first) of every value in the order in which values first come; values are few."""
+    return df.groupBy(column).agg(F.min(order).alias("first")).orderBy("first", column)
+
+
+def common_features(a: DataFrame, b: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
+    """Columns of both tables, in the first one's order (decided at plan time)."""
+    return [c for c in a.columns if c in set(b.columns) and c not in exclude]
+
+
+def limited_features(columns: Sequence[str], limits: dict[str, int]) -> list[str]:
+    """The columns without those that fit a pattern beyond its first n, in their order."""
+    seen = dict.fromkeys(limits, 0)
+    out = []
+    for c in columns:
+        fits = [p for p in limits if re.search(p, c)]
+        for p in fits:
+            seen[p] += 1
+        if all(seen[p] <= limits[p] for p in fits):
+            out.append(c)
+    return out

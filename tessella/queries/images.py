@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import columns as C
-from tessella.operators import raster, stats
+from tessella.operators import placement, raster, stats
 from tessella.queries.registry import nuclei, pixels, query, r6
 from tessella.scratch import Scratch
 
@@ -102,8 +102,9 @@ def mask_components(spark, sf):
 
 @query("skeleton_topology")
 def skeleton_topology(spark, sf):
-    tiles = pixels(spark, sf).select("px", "py", (C.stain(C.DAB, *[F.col(c) for c in "rgb"]) > 0.4).cast("int").alias("v"), F.floor(F.col("py") / 100).alias("tile"))
-    return raster.topology(raster.skeleton(tiles, "v", ["tile"]), ["tile"])
+    """Ends and branches of the whole image's skeleton."""
+    mask = pixels(spark, sf).select("px", "py", (C.stain(C.DAB, *[F.col(c) for c in "rgb"]) > 0.4).cast("int").alias("v"))
+    return raster.topology(raster.skeleton_whole(mask, "v", [], Scratch(spark, "skeleton")), [])
 
 
 @query("topology_counts", """, s as (select px, py from mask where v > 0), n as (select s.px, s.py, (select count(*) from s t where abs(t.px - s.px) <= 1 and abs(t.py - s.py) <= 1) - 1 k from s)
@@ -112,19 +113,10 @@ def topology_counts(spark, sf):
     return raster.topology(_mask(spark, sf).where("v > 0").select("px", "py"), [])
 
 
-@query("best_orientation", """, f as (select px, py, r from pixels where py < 100), m as (select 99 - px px, py, (r * 3 + g) / cast(4 as double) v from pixels where py < 100),
- o as (select 'identity' name, px, py, v from m union all select 'flip_h', 99 - px, py, v from m union all select 'flip_v', px, 99 - py, v from m union all select 'rot180', 99 - px, 99 - py, v from m)
- select name, round(corr(r, v), 6) score from o join f using (px, py) group by name""")
-def best_orientation(spark, sf):
-    p = pixels(spark, sf).where("py < 100")
-    moving = p.select((99 - F.col("px")).alias("px"), "py", ((F.col("r") * 3 + F.col("g")) / 4).alias("v"))
-    return raster.best_orientation(p.select("px", "py", F.col("r").alias("v")), moving, "v", 100, 100).select("name", *r6("score"))
-
-
-@query("best_orientation_whole", """, h as (select max(py) bottom from pixels), m as (select 99 - px px, py, (r * 3 + g) / cast(4 as double) v from pixels),
+@query("best_orientation", """, h as (select max(py) bottom from pixels), m as (select 99 - px px, py, (r * 3 + g) / cast(4 as double) v from pixels),
  o as (select 'identity' name, px, py, v from m union all select 'flip_h', 99 - px, py, v from m union all select 'flip_v', px, bottom - py, v from m, h union all select 'rot180', 99 - px, bottom - py, v from m, h)
  select name, round(corr(r, v), 6) score from o join pixels using (px, py) group by name""")
-def best_orientation_whole(spark, sf):
+def best_orientation(spark, sf):
     p = pixels(spark, sf)
     moving = p.select((99 - F.col("px")).alias("px"), "py", ((F.col("r") * 3 + F.col("g")) / 4).alias("v"))
     return raster.best_orientation(p.select("px", "py", F.col("r").alias("v")), moving, "v", 100, _height(p)).select("name", *r6("score"))
@@ -167,49 +159,100 @@ def tile_normalise(spark, sf):
     return raster.percentile_normalise(tiles, ["r"], ["tile"]).select("px", "py", *r6("r"))
 
 
-@query("mask_resize", """, t as (select x, y from (select unnest(range(0, 37)) x), (select unnest(range(0, 41)) y))
- select x px, y py, v from t join mask on mask.px = cast(floor(x * 100 / cast(37 as double)) as bigint) and mask.py = cast(floor(y * 100 / cast(41 as double)) as bigint)""")
-def mask_resize(spark, sf):
-    return raster.resize_nearest(_mask(spark, sf).where("py < 100"), ["v"], (100, 100), (37, 41))
-
-
-@query("mask_resize_whole", """, h as (select max(py) + 1 height from pixels), t as (select x, y from (select unnest(range(0, 37)) x), (select unnest(range(0, 41)) y))
+@query("mask_resize", """, h as (select max(py) + 1 height from pixels), t as (select x, y from (select unnest(range(0, 37)) x), (select unnest(range(0, 41)) y))
  select x px, y py, v from t, h join mask on mask.px = cast(floor(x * 100 / cast(37 as double)) as bigint) and mask.py = cast(floor(y * height / cast(41 as double)) as bigint)""")
-def mask_resize_whole(spark, sf):
+def mask_resize(spark, sf):
     return raster.resize_nearest(_mask(spark, sf), ["v"], (100, _height(pixels(spark, sf))), (37, 41))
 
 
-@query("patch_intensity", """, n as (select nid, cast(floor(xi / cast(200 as double)) as bigint) cx, cast(floor(yi / cast(200 as double)) as bigint) cy, 2 + nid % 3 rad, 4 + nid % 3 outr from nuclei where slide_no = 1),
- j as (select nid, g v, (px-cx)*(px-cx) + (py-cy)*(py-cy) <= rad * rad inner_ from n join pixels on (px-cx)*(px-cx) + (py-cy)*(py-cy) <= outr * outr)
- select nid, round(coalesce(avg(v) filter (inner_), 0), 6) marker_intensity_mean, cast(coalesce(max(v) filter (inner_), 0) as double) marker_intensity_max, round(coalesce(stddev_pop(v) filter (inner_), 0), 6) marker_intensity_std,
- round(coalesce(avg(case when v > 30 then 1 else 0 end) filter (inner_), 0), 6) marker_positive_area_fraction, round(coalesce(avg(v) filter (not inner_), 0), 6) perinuclear_intensity_mean,
- round(coalesce(avg(case when v > 30 then 1 else 0 end) filter (not inner_), 0), 6) perinuclear_positive_fraction from n left join j using (nid) group by nid""")
-def patch_intensity(spark, sf):
-    return _patch_intensity(spark, sf, nuclei(spark, sf).where("slide_no = 1"))
-
-
 def _patch_intensity(spark, sf, n):
     points = n.select("nid", F.floor(F.col("xi") / 200).alias("cx"), F.floor(F.col("yi") / 200).alias("cy"), (2 + F.col("nid") % 3).alias("rad"), (4 + F.col("nid") % 3).alias("outr"))
     out = raster.patch_intensity(points, pixels(spark, sf), "g", "nid", "rad", "outr", 6)
     return out.select("nid", *r6(*[c for c in out.columns if c != "nid"]))
 
 
-@query("patch_intensity_whole", """, n as (select nid, cast(floor(xi / cast(200 as double)) as bigint) cx, cast(floor(yi / cast(200 as double)) as bigint) cy, 2 + nid % 3 rad, 4 + nid % 3 outr from nuclei),
+@query("patch_intensity", """, n as (select nid, cast(floor(xi / cast(200 as double)) as bigint) cx, cast(floor(yi / cast(200 as double)) as bigint) cy, 2 + nid % 3 rad, 4 + nid % 3 outr from nuclei),
  o as (select dx, dy from (select unnest(range(-6, 7)) dx), (select unnest(range(-6, 7)) dy)),
  w as (select nid, cx + dx px, cy + dy py, dx * dx + dy * dy <= rad * rad inner_ from n join o on dx * dx + dy * dy <= outr * outr),
  j as (select nid, g v, inner_ from w join pixels using (px, py))
  select nid, round(coalesce(avg(v) filter (inner_), 0), 6) marker_intensity_mean, cast(coalesce(max(v) filter (inner_), 0) as double) marker_intensity_max, round(coalesce(stddev_pop(v) filter (inner_), 0), 6) marker_intensity_std,
  round(coalesce(avg(case when v > 30 then 1 else 0 end) filter (inner_), 0), 6) marker_positive_area_fraction, round(coalesce(avg(v) filter (not inner_), 0), 6) perinuclear_intensity_mean,
  round(coalesce(avg(case when v > 30 then 1 else 0 end) filter (not inner_), 0), 6) perinuclear_positive_fraction from n left join j using (nid) group by nid""")
-def patch_intensity_whole(spark, sf):
+def patch_intensity(spark, sf):
     return _patch_intensity(spark, sf, nuclei(spark, sf))
 
 
+FILAMENTS = """, f as materialized (select px, py, greatest(cast(0.27 as double) * -ln(greatest(r / cast(255 as double), 1e-6)) + cast(0.57 as double) * -ln(greatest(g / cast(255 as double), 1e-6)) + cast(0.78 as double) * -ln(greatest(b / cast(255 as double), 1e-6)), 0) d from pixels),
+ lv as materialized (select px, py, case when floor(d / (select max(d) from f) * 255) > 30 then 1 else 0 end v from f),
+ o as (select * from (values (1, 0), (-1, 0), (0, 1), (0, -1)) t(dx, dy)), o5 as (select * from o union all select 0, 0),
+ cc as materialized (with recursive c(px, py, lab) using key (px, py) as (select px, py, py * 1000 + px from lv where v = 1
+  union (select r.px, r.py, min(c.lab) from c join o on true join recurring.c r on r.px = c.px + dx and r.py = c.py + dy where c.lab < r.lab group by r.px, r.py)) select * from c),
+ clean as materialized (select lv.px, lv.py, case when lab in (select lab from cc group by lab having count(*) >= {least}) then 1 else 0 end v from lv left join cc using (px, py)),
+ wide as materialized (select clean.px, clean.py, max(n.v) v from clean, o5 join clean n on n.px = clean.px + dx and n.py = clean.py + dy group by 1, 2),
+ closed as materialized (select wide.px, wide.py, min(n.v) v from wide, o5 join wide n on n.px = wide.px + dx and n.py = wide.py + dy group by 1, 2)"""
+
+
+@query("filament_mask", FILAMENTS.format(least=50) + " select px, py, v from closed")
+def filament_mask(spark, sf):
+    """The filaments' chain: level of the DAB projection, small objects away, closed by a cross."""
+    raw = C.stain(C.DAB_PATCH, *[F.col(c) for c in "rgb"], base10=False)
+    return raster.filament_mask(pixels(spark, sf), raw, [], Scratch(spark, "filament-mask"))
+
+
+@query("filament_mask_sparse", FILAMENTS.replace("> 30 then", "> 40 then").format(least=6) + " select px, py, v from closed")
+def filament_mask_sparse(spark, sf):
+    """The chain at a higher level, for small objects."""
+    raw = C.stain(C.DAB_PATCH, *[F.col(c) for c in "rgb"], base10=False)
+    return raster.filament_mask(pixels(spark, sf), raw, [], Scratch(spark, "filament-mask"), 40, 6)
+
+
 @query("filament_summary")
 def filament_summary(spark, sf):
-    """Filaments of the DAB mask: thinned per tile, joined into components, measured and summed up."""
-    tiles = pixels(spark, sf).select("px", "py", (C.stain(C.DAB, *[F.col(c) for c in "rgb"]) > 0.6).cast("int").alias("v"), F.floor(F.col("py") / 100).alias("tile"))
-    skeleton = raster.skeleton(tiles, "v", ["tile"]).withColumn("v", F.lit(1))
-    filaments = raster.filament_table(raster.components(skeleton, "v", ["tile"], Scratch(spark, "filaments")), ["tile"], 0.5, 5)
-    area = tiles.agg(F.sum("v").alias("positive_px"), F.count(F.lit(1)).alias("total_px"))
-    return stats.filament_summary(filaments, raster.topology(skeleton, ["tile"]), area, 0.5)
+    """Filaments of the whole image: the mask's skeleton, its components measured and summed up."""
+    scratch = Scratch(spark, "filaments")
+    raw = C.stain(C.DAB_PATCH, *[F.col(c) for c in "rgb"], base10=False)
+    mask = scratch.write(raster.filament_mask(pixels(spark, sf), raw, [], scratch), "mask")
+    skeleton = raster.skeleton_whole(mask, "v", [], scratch).withColumn("v", F.lit(1))
+    filaments = raster.filament_table(raster.components(skeleton, "v", [], scratch), [], 0.5, 5)
+    area = mask.agg(F.sum("v").alias("positive_px"), F.count(F.lit(1)).alias("total_px"))
+    return stats.filament_summary(filaments, raster.topology(skeleton, []), area, 0.5)
+
+
+@query("label_boundaries", BLOCKS.replace("between 1 and 4 and py % 6 between 1 and 4", "between 1 and 5 and py % 6 between 0 and 4") + """, n as (select a.px, a.py, a.label, b.label other, abs(a.px - b.px) + abs(a.py - b.py) = 1 side from lp a
+  join (select unnest([-1, 0, 1]) dx) on true join (select unnest([-1, 0, 1]) dy) on true join lp b on b.px = a.px + dx and b.py = a.py + dy where dx <> 0 or dy <> 0)
+ select px, py from n group by px, py, label having bool_or(side and other <> label) and (label = 0 or bool_or(other > 0 and other <> label))""")
+def label_boundaries(spark, sf):
+    """Outer borders of labelled blocks, some of which touch."""
+    inside = (F.col("px") % 6).between(1, 5) & (F.col("py") % 6).between(0, 4)
+    number = (F.floor(F.col("px") / 6) + 17 * F.floor(F.col("py") / 6) + 1).cast("long")
+    labels = pixels(spark, sf).withColumn("label", F.when(inside, number).otherwise(F.lit(0)))
+    return raster.outer_boundary(labels, "label", [])
+
+
+@query("external_contours", """, o as (select * from (values (1, 0), (-1, 0), (0, 1), (0, -1)) t(dx, dy)), top as (select max(px) w, max(py) h from pixels),
+ outside as materialized (with recursive c(px, py) as (select px, py from mask, top where v = 0 and (px = 0 or py = 0 or px = w or py = h)
+  union select m.px, m.py from c join o on true join mask m on m.px = c.px + dx and m.py = c.py + dy where m.v = 0) select * from c)
+ select px, py from mask, top where v = 1 and (px = 0 or py = 0 or px = w or py = h) union select m.px, m.py from outside join o on true join mask m on m.px = outside.px + dx and m.py = outside.py + dy where m.v = 1""")
+def external_contours(spark, sf):
+    return raster.external_contour(_mask(spark, sf), "v", [], Scratch(spark, "contours"))
+
+
+@query("tissue_centroid", BLOCKS + """, c as (select label, count(*) area, avg(px) cx, avg(py) cy, min(py) my, min(px) mx from lp where label > 0 group by label)
+ select cast(round(floor(cx) * cast(4 as double)) as bigint) cx, cast(round(floor(cy) * cast(4 as double)) as bigint) cy, area from c order by area desc, my, mx limit 1""")
+def tissue_centroid(spark, sf):
+    mask = _labels(spark, sf).select("px", "py", (F.col("label") > 0).cast("int").alias("v"))
+    return raster.largest_centroid(raster.components(mask, "v", [], Scratch(spark, "centroid")), [], 4.0)
+
+
+@query("brown_detection", """, dab as (select px, py, -log10(greatest(g, 1e-6) / 255) + cast(0.57 as double) * -log10(greatest(b, 1e-6) / 255) d from pixels),
+ rows as materialized (select px, py, sum(d) over (partition by py order by px) s from dab), top as (select max(py) + 1 h from pixels),
+ n as (select nid, cast(floor(xi / cast(200 as double)) as bigint) cx, cast(floor(yi / cast(200 as double)) as bigint) cy, cast(floor(major_axis_length * cast(1.5 as double)) as bigint) rad from nuclei),
+ w as materialized (select nid, greatest(cx - rad, 0) x0, least(cx + rad, 100) x1, greatest(cy - rad, 0) y0, least(cy + rad, h) y1 from n, top),
+ l as (select nid, x0, x1, unnest(range(y0, y1)) py, (x1 - x0) * (y1 - y0) cells from w where x1 > x0 and y1 > y0),
+ m as (select l.nid, sum(b.s - coalesce(a.s, 0)) / any_value(cells) v from l join rows b on b.py = l.py and b.px = x1 - 1 left join rows a on a.py = l.py and a.px = x0 - 1 group by l.nid)
+ select n.nid, round(coalesce(v, 0), 6) brown_intensity, case when coalesce(v, 0) > 0.15 then 1 else 0 end has_brown from n left join m using (nid)""")
+def brown_detection(spark, sf):
+    """Brown stain around every object of the image."""
+    p = pixels(spark, sf)
+    points = nuclei(spark, sf).select("nid", (F.col("xi") / 200).alias("cx"), (F.col("yi") / 200).alias("cy"), "major_axis_length")
+    return placement.brown_per_object(points, p, 100, _height(p), "nid").select("nid", *r6("brown_intensity"), "has_brown")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import columns as C
-from tessella.operators import ml, raster, stats
+from tessella.operators import ml, placement, raster, stats
 from tessella.operators.dedup import nms_dedup, pair_dedup
 from tessella.operators.density import hdbscan
 from tessella.operators.spatial import Ask, density, nearest, neighbourhood, radius_join
@@ -275,18 +275,10 @@ def coordinate_rescale(spark, sf):
     return nuclei(spark, sf).select("nid", scale("xi", F.lit(1000)), scale("yi", F.lit(800)))
 
 
-@query("feature_splat", """, p as (select nid, area_px, cast(floor(xi / cast(40 as double)) as bigint) x, cast(floor(yi / cast(40 as double)) as bigint) y from nuclei where slide_no = 2),
- m as (select nid, area_px, x + dx px, y + dy py from p, (values (-1), (0), (1)) a(dx), (values (-1), (0), (1)) b(dy))
- select px, py, max_by(area_px, nid) area_px from m where px between 0 and 499 and py between 0 and 499 group by px, py""")
-def feature_splat(spark, sf):
-    points = nuclei(spark, sf).where("slide_no = 2")
-    return raster.splat(points, "area_px", "nid", F.floor(F.col("xi") / 40), F.floor(F.col("yi") / 40), 500, 500, [])
-
-
-@query("feature_splat_whole", """, p as (select nid, slide_no, area_px, cast(floor(xi / cast(40 as double)) as bigint) x, cast(floor(yi / cast(40 as double)) as bigint) y from nuclei),
+@query("feature_splat", """, p as (select nid, slide_no, area_px, cast(floor(xi / cast(40 as double)) as bigint) x, cast(floor(yi / cast(40 as double)) as bigint) y from nuclei),
  m as (select nid, slide_no, area_px, x + dx px, y + dy py from p, (values (-1), (0), (1)) a(dx), (values (-1), (0), (1)) b(dy))
  select slide_no, px, py, max_by(area_px, nid) area_px from m where px between 0 and 499 and py between 0 and 499 group by slide_no, px, py""")
-def feature_splat_whole(spark, sf):
+def feature_splat(spark, sf):
     return raster.splat(nuclei(spark, sf), "area_px", "nid", F.floor(F.col("xi") / 40), F.floor(F.col("yi") / 40), 500, 500, ["slide_no"])
 
 
@@ -386,3 +378,43 @@ def union_slides_query(spark, sf):
     df = nuclei(spark, sf)
     parts = {"0": df.where("slide_no = 0").select("nid", "orientation"), "1": df.where("slide_no = 1").select("nid", F.col("brown_intensity").alias("brown"))}
     return union_slides(parts).groupBy("slide_id").agg(F.count(F.lit(1)).alias("n"), F.count("orientation").alias("n_orientation"), F.count("brown").alias("n_brown"))
+
+
+@query("absolute_coordinates", """, k as (select s_suppkey % 10 x, s_suppkey // 10 % 10 y, case when s_suppkey % 7 > 0 then s_suppkey % 10 * 2048 + 3 end x_lvl0, case when s_suppkey % 5 > 0 then s_suppkey // 10 % 10 * 2048 + 5 end y_lvl0 from supplier),
+ t as (select x, y, min(struct_pack(a := x_lvl0, b := y_lvl0)) o from k where x_lvl0 is not null and y_lvl0 is not null group by x, y),
+ n as (select nid, nid % 12 tx, nid // 12 % 12 ty, cast(xi % 1024 as double) x_px, cast(yi % 1024 as double) y_px from nuclei),
+ p as (select nid, o is not null in_catalogue, cast(coalesce(cast(o.a as double), tx * cast(2048 as double)) + x_px as real) x, cast(coalesce(cast(o.b as double), ty * cast(2048 as double)) + y_px as real) y from n left join t on t.x = tx and t.y = ty)
+ select nid, in_catalogue, cast(x as double) x, cast(y as double) y, round(cast(x * cast(0.252 as real) as double), 6) x_um, round(cast(y * cast(0.252 as real) as double), 6) y_um from p""")
+def absolute_coordinates(spark, sf):
+    """Places in tiles as places on the slide; tiles that the catalogue lacks follow the grid."""
+    key, row = F.col("s_suppkey"), F.floor(F.col("s_suppkey") / 10) % 10
+    tiles = table(spark, sf, "supplier").select((key % 10).alias("x"), row.alias("y"), F.when(key % 7 > 0, key % 10 * 2048 + 3).alias("x_lvl0"), F.when(key % 5 > 0, row * 2048 + 5).alias("y_lvl0"))
+    n = F.col("nid")
+    tile_id = F.concat_ws("_", (n % 12).cast("string"), (F.floor(n / 12) % 12).cast("string"))
+    found = nuclei(spark, sf).select("nid", tile_id.alias("tile_id"), (F.col("xi") % 1024).cast("double").alias("x_px"), (F.col("yi") % 1024).cast("double").alias("y_px"))
+    out = placement.catalogue_position(found, tiles, 0.252, 1024, 2.0)
+    return out.select("nid", "in_catalogue", *[F.col(c).cast("double").alias(c) for c in "xy"], *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("x_um", "y_um")])
+
+
+@query("offset_coordinates", """ select nid, nid % 12 * 896 + xi % 896 x, nid // 12 % 12 * 896 + yi % 896 y, round((nid % 12 * 896 + xi % 896) * cast(0.25 as double), 6) x_um, round((nid // 12 % 12 * 896 + yi % 896) * cast(0.25 as double), 6) y_um,
+ round(log10(area_px + 1), 6) log_area, 8 / cast(0.25 as double) diameter_px, (xi between 2000 and 9000 and yi between 1000 and 7000) in_box, 'tile_' || cast(nid % 12 as varchar) || '_Handand' || replace(seg, '&', 'and') || '.png' file_name from nuclei""")
+def offset_coordinates(spark, sf):
+    n = F.col("nid")
+    tiles = nuclei(spark, sf).withColumns({"tile_x": n % 12 * 896, "tile_y": F.floor(n / 12) % 12 * 896, "cx": F.col("xi") % 896, "cy": F.col("yi") % 896})
+    out = placement.offset_position(tiles, 0.25)
+    return out.select("nid", "x", "y", *r6("x_um", "y_um"), F.round(C.log_area(F.col("area_px")), 6).alias("log_area"), C.diameter_px(8.0, F.lit(0.25)).alias("diameter_px"), C.in_box(F.col("xi"), F.col("yi"), (2000, 1000), (9000, 7000)).alias("in_box"), C.file_name("tile_{x}_{a}.png", x=n % 12, a=F.concat(F.lit("Hand&"), "seg")).alias("file_name"))
+
+
+@query("marker_profile_near", SIDES + """, q as (select nid, inten from near where d2 < 250000 qualify row_number() over (partition by nid order by d2, mid) = 1),
+ c as (select nid, count(*) n, count(*) filter (inten > 0.15) p from near group by nid)
+ select he.nid, round(coalesce(q.inten, 0), 6) intensity, round(coalesce(n, 0) / (pi() * 10000), 9) local_density, coalesce(p, 0) positives from he left join q using (nid) left join c using (nid)""")
+def marker_profile_near(spark, sf):
+    """Nearest marker, markers' density and positives around every object of the first slide."""
+    he, mk = _sides(spark, sf)
+    out = placement.marker_features(he, mk, "nid", "mid", "brown_intensity", [], 500, 1000, 0.15, 0.1, "xi", "yi")
+    return out.select("nid", *r6("intensity"), F.round("local_density", 9).alias("local_density"), "positives")
+
+
+@query("first_seen_families", " select seg, min(nid) as first from nuclei group by seg")
+def first_seen_families(spark, sf):
+    return stats.first_seen(nuclei(spark, sf), "seg", "nid")

@@ -73,8 +73,8 @@ def blobs(seed, n):
 
 def clusters(spark, xy, least, k, group=None, **how):
     names = ["id", "x", "y", "slide", "_x"]
-    rows = [(i * 3 + 1, float(a), float(b), int(group[i]) if group is not None else 0, "own") for i, (a, b) in enumerate(xy)]
-    df = spark.createDataFrame(rows, "id long, x double, y double, slide int, _x string") if rows else spark.createDataFrame([], "id long, x double, y double, slide int, _x string")
+    rows = [(i * 3 + 1, float(a), float(b), f"s{group[i]}" if group is not None else "s", "own") for i, (a, b) in enumerate(xy)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, slide string, _x string")
     assert df.columns == names
     out = density.hdbscan(df, "id", "x", "y", ["slide"] if group is not None else (), least, k, **how)
     assert out.columns == [*names, "cluster"]
