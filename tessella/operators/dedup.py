@@ -1,40 +1,64 @@
-"""Spatial de-duplication as fixpoints over a small edge table.
-
-Both rules are greedy in a total order.  Here they are solved by rounds: in
-each, every node that no undecided node dominates is settled at once, so the
-rounds are as many as the longest chain of dominance, not as many as nodes.
-Connected groups of edges don't influence one another: groups of bounded size are
-dealt to tasks, which run all their rounds in memory, many groups side by side.
-Only groups of more edges take their rounds as written tables, of which the driver
-sees only whether any edges are left.
+"""Spatial de-duplication: both rules are greedy in a total order, in which a point falls to one that stands.
+
+Whether a point stands depends on few points around it.  So points are dealt to
+tiles with a border of several radii, and each tile decides what its own points
+allow: one falls that has a sure winner within reach, one stands whose rivals have
+all surely fallen and whose reach lies inside the tile and its border; that takes
+one shuffle.  The few whose chains of rivals lead out of the tile, and tiles with
+very many points, go on as a small edge table: connected groups of edges don't
+influence one another, so groups of bounded size are dealt to tasks, many side by
+side, and only larger ones take rounds of written tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.operators.graph import connected_components
 from tessella.operators.spatial import radius_join
 from tessella.scratch import Scratch
 
 
+#: Passes over all edges before the rest is walked node by node.
+PASSES = 32
+
+
 def _falling(edges: pd.DataFrame) -> pd.DataFrame:
-    """The nodes that fall in whole groups of edges."""
+    """The nodes that fall in whole groups of edges: passes settle short chains, one walk in order the long ones."""
     nodes, at = np.unique(np.concatenate([edges["hi"].to_numpy(), edges["lo"].to_numpy()]), return_inverse=True)
     hi, lo = at[: len(edges)], at[len(edges) :]
     down = np.zeros(len(nodes), bool)
-    while len(hi):
+    for _ in range(PASSES):
+        if not len(hi):
+            break
         below = np.zeros(len(nodes), bool)
         below[lo] = True
         down[lo[~below[hi]]] = True
         left = below[hi] & ~down[hi] & ~down[lo]
         hi, lo = hi[left], lo[left]
+    if len(hi):
+        order = np.argsort(hi, kind="stable")
+        under = lo[order].tolist()
+        starts = np.searchsorted(hi[order], np.arange(len(nodes) + 1)).tolist()
+        rivals, fell = np.bincount(lo, minlength=len(nodes)).tolist(), down.tolist()
+        todo = [k for k in np.unique(hi).tolist() if not rivals[k]]
+        while todo:
+            top = todo.pop()
+            for k in under[starts[top] : starts[top + 1]]:
+                if not fell[k]:
+                    fell[k] = True
+                    for n in under[starts[k] : starts[k + 1]]:
+                        rivals[n] -= 1
+                        if not rivals[n] and not fell[n]:
+                            todo.append(n)
+        down = np.array(fell)
     return pd.DataFrame({"id": nodes[down]})
 
 
@@ -86,14 +110,110 @@ def _by_rounds(edges: DataFrame, fallen: DataFrame, scratch: Scratch) -> DataFra
         scratch.drop(f"edges-{k - 1}")
 
 
+# -- tiles
+
+#: Tile and border widths in radii, and points of a tile with its border that one task decides.
+TILE, BORDER, MOST = 24, 6, 100_000
+#: Pairs that are measured at once.
+PAIRS = 1 << 21
+
+
+def _pairs(x: np.ndarray, y: np.ndarray, r: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, d2) of pairs in cells of r that touch, a slice at a time, each pair both ways."""
+    cx, cy = (np.floor(c / r).astype(np.int64) for c in (x, y))
+    width = int(cx.max() - cx.min()) + 3
+    code = (cy - cy.min() + 1) * width + cx - cx.min() + 1
+    order = np.argsort(code, kind="stable")
+    ordered = code[order]
+    for row in (-1, 0, 1):
+        lo, hi = np.searchsorted(ordered, code + row * width - 1, "left"), np.searchsorted(ordered, code + row * width + 1, "right")
+        ends = np.cumsum(hi - lo)
+        at = 0
+        while at < len(x):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+            n = (hi - lo)[at:stop]
+            i = np.repeat(np.arange(at, stop), n)
+            j = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[at:stop], n)]
+            yield i, j, (x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2
+            at = stop
+
+
+def _decided(hi: np.ndarray, lo: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """1 for nodes that surely stand, -1 for those that surely fall, 0 for others; only ``whole`` nodes have all their rivals among the edges."""
+    state = np.zeros(len(whole), np.int8)
+    while True:
+        rivals = np.zeros(len(whole), bool)
+        rivals[lo] = True
+        up = (state == 0) & whole & ~rivals
+        state[up] = 1
+        down = lo[state[hi] == 1]
+        state[down] = -1
+        if not up.any() and not len(down):
+            return state
+        left = (state[hi] == 0) & (state[lo] == 0)
+        hi, lo = hi[left], lo[left]
+
+
+def _statuses(points: DataFrame, r: float, key: str, by: Sequence[str], x: str, y: str, values: dict[str, Column], beats: Callable[[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(key, stands) of every point, null where its tile can't tell; ``beats`` says for which pairs (rows, i, j, d2) the first is a rival of the second."""
+    edge, border = TILE * r, BORDER * r
+    base = points.select(key, *by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), *[v.alias(c) for c, v in values.items()])
+    spread = lambda c: F.explode(F.sequence(F.floor((F.col(c) - border) / edge), F.floor((F.col(c) + border) / edge)))
+    placed = base.withColumn("_tx", spread("_x")).withColumn("_ty", spread("_y"))
+    tile = [*by, "_tx", "_ty"]
+    full = placed.groupBy(*tile).count().where(F.col("count") > MOST).select(*tile)  # their points stay open
+    schema = T.StructType([points.schema[key], T.StructField("stands", T.BooleanType())])
+
+    def kernel(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(key, kind="stable", ignore_index=True)
+        px, py = g["_x"].to_numpy(), g["_y"].to_numpy()
+        x0, y0 = g["_tx"].iloc[0] * edge, g["_ty"].iloc[0] * edge
+        home = (px >= x0) & (px < x0 + edge) & (py >= y0) & (py < y0 + edge)
+        reach = border - r * (1 + 1e-9)
+        whole = (px >= x0 - reach) & (px < x0 + edge + reach) & (py >= y0 - reach) & (py < y0 + edge + reach)
+        hi, lo = [], []
+        for i, j, d2 in _pairs(px, py, r):
+            won = beats(g, i, j, d2)
+            hi.append(i[won])
+            lo.append(j[won])
+        state = _decided(np.concatenate(hi), np.concatenate(lo), whole)[home]
+        out = np.full(len(state), None, object)
+        out[state > 0], out[state < 0] = True, False
+        return pd.DataFrame({key: g[key][home], "stands": out})
+
+    found = placed.join(full, tile, "left_anti").groupBy(*tile).applyInPandas(kernel, schema)
+    return points.select(key).join(found, key, "left")
+
+
+def _fallen(points: DataFrame, statuses: DataFrame, key: str, edges: Callable[[DataFrame, DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+    """(key) of the points that fall: as decided, or by the edges that undecided ones get from one another and from those that stand."""
+    decided = scratch.write(statuses, "statuses")
+    down = decided.where("not stands").select(key)
+    open_ = decided.where("stands is null").select(key)
+    if open_.isEmpty():
+        return down
+    left, rivals = (points.join(decided.where(c).select(key), key, "left_semi") for c in ("stands is null", "coalesce(stands, true)"))
+    return down.unionByName(dominated(edges(rivals, left), scratch).withColumnRenamed("id", key))
+
+
 def nms_dedup(points: DataFrame, r: float, key: str, prefer: str, by: Sequence[str], scratch: Scratch, x: str = "x", y: str = "y") -> DataFrame:
     """Keeps a point if no kept one lies within r; larger ``prefer`` first, null last, ties by the smaller key."""
     own = points.select(key, prefer, x, y, *by)
-    pairs = radius_join(own, own, r, by, x, y)
-    l, rr = F.col(f"l_{prefer}"), F.col(f"r_{prefer}")
-    first = (l > rr) | (l.isNotNull() & rr.isNull()) | (l.eqNullSafe(rr) & (F.col(f"l_{key}") < F.col(f"r_{key}")))
-    edges = pairs.where(first).select(F.col(f"l_{key}").alias("hi"), F.col(f"r_{key}").alias("lo"))
-    return points.join(dominated(edges, scratch).withColumnRenamed("id", key), key, "left_anti")
+    value = F.col(prefer).cast("double")
+    values = {"_p": F.when(value.isNull() | F.isnan(value), F.lit(0.0)).otherwise(value), "_class": F.when(value.isNull(), 0).when(F.isnan(value), 2).otherwise(1)}
+
+    def beats(g: pd.DataFrame, i: np.ndarray, j: np.ndarray, d2: np.ndarray) -> np.ndarray:
+        p, c = g["_p"].to_numpy(), g["_class"].to_numpy()
+        first = (c[i] > c[j]) | ((c[i] == c[j]) & ((p[i] > p[j]) | ((p[i] == p[j]) & (i < j))))  # rows are in key order
+        return first & (d2 <= r * r)
+
+    def edges(of: DataFrame, to: DataFrame) -> DataFrame:
+        pairs = radius_join(of, to, r, by, x, y)
+        l, rr = F.col(f"l_{prefer}"), F.col(f"r_{prefer}")
+        first = (l > rr) | (l.isNotNull() & rr.isNull()) | (l.eqNullSafe(rr) & (F.col(f"l_{key}") < F.col(f"r_{key}")))
+        return pairs.where(first).select(F.col(f"l_{key}").alias("hi"), F.col(f"r_{key}").alias("lo"))
+
+    return points.join(_fallen(own, _statuses(own, r, key, by, x, y, values, beats), key, edges, scratch), key, "left_anti")
 
 
 def pair_dedup(points: DataFrame, r: float, share: float, key: str, area: str, by: Sequence[str], scratch: Scratch, x: str = "x", y: str = "y") -> DataFrame:
@@ -105,13 +225,21 @@ def pair_dedup(points: DataFrame, r: float, share: float, key: str, area: str, b
     own = points.select(key, area, x, y, *by)
     l, rr = F.col(f"l_{area}"), F.col(f"r_{area}")
     alike = F.least(l, rr) / F.greatest(l, rr) > share
-    dup = scratch.write(
-        radius_join(own, own, r, by, x, y).where((F.col("d2") < r * r) & (F.col(f"l_{key}") < F.col(f"r_{key}")) & alike)
-        .select(F.col(f"l_{key}").alias("i"), F.col(f"r_{key}").alias("j"), l.alias("ai"), rr.alias("aj")),
-        "dup",
-    )
-    idle = scratch.write(dominated(dup.where("ai >= aj").select(F.col("i").alias("hi"), F.col("j").alias("lo")), scratch), "idle")
-    acting = dup.join(idle, dup["i"] == idle["id"], "left_anti")
+
+    def pairs(of: DataFrame, to: DataFrame) -> DataFrame:
+        near = radius_join(of, to, r, by, x, y).where((F.col("d2") < r * r) & (F.col(f"l_{key}") < F.col(f"r_{key}")) & alike)
+        return near.select(F.col(f"l_{key}").alias("i"), F.col(f"r_{key}").alias("j"), l.alias("ai"), rr.alias("aj"))
+
+    def beats(g: pd.DataFrame, i: np.ndarray, j: np.ndarray, d2: np.ndarray) -> np.ndarray:
+        a = g["_a"].to_numpy()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.minimum(a[i], a[j]) / np.maximum(a[i], a[j])
+        return (i < j) & (a[i] >= a[j]) & (ratio > share) & (d2 < r * r)
+
+    statuses = _statuses(own, r, key, by, x, y, {"_a": F.col(area).cast("double")}, beats)
+    edges = lambda of, to: pairs(of, to).where("ai >= aj").select(F.col("i").alias("hi"), F.col("j").alias("lo"))
+    idle = scratch.write(_fallen(own, statuses, key, edges, scratch).select(F.col(key).alias("id")), "idle")
+    acting = scratch.write(pairs(own.join(idle.withColumnRenamed("id", key), key, "left_anti"), own), "acting")
     # The visit at which a later point is removed, if an earlier one that stands outweighs it.
     killer = acting.where("ai >= aj").groupBy("j").agg(F.min("i").alias("at"))
     gone = acting.where("aj > ai").join(killer, "j", "left").where("at is null or at >= i").select(F.col("i").alias("id"))

@@ -1,8 +1,8 @@
 """Scaling, projection, clustering and embedding over feature columns.
 
 Statistics are SQL aggregates and models are Spark ML's where it has them.
-What Spark lacks (BIRCH, a UMAP-like layout) keeps only bounded summaries
-outside the executors: clustering features and landmark coordinates.
+What Spark lacks here (BIRCH) keeps only bounded summaries outside the executors.
+Density clustering is in ``density``, layouts are in ``manifold``.
 """
 
 from __future__ import annotations
@@ -236,72 +236,6 @@ def hierarchical_labels(df: DataFrame, columns: Sequence[str], cluster: str, key
     return lettered.select(key, F.concat(F.col(cluster).cast("string"), "_l").alias("cluster_hierarchical"))
 
 
-def umap_layout(df: DataFrame, columns: Sequence[str], key: str, neighbours: int = 30, min_dist: float = 0.1, landmarks: int = 1500, epochs: int = 200, seed: int = 42) -> DataFrame:
-    """(key, umap_1, umap_2): a landmark form of a fuzzy-neighbour layout.
-
-    At most ``landmarks`` rows, in hash order, are laid out on the driver from
-    their fuzzy nearest-neighbour graph; every row is then placed at the
-    membership-weighted mean of its nearest landmarks.  Deterministic by seed.
-    """
-    data = assemble(df, columns, "_x").select(key, vector_to_array("_x").alias("_a"))
-    picked = data.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(landmarks).toPandas()
-    if picked.empty:
-        return data.select(key, F.lit(0.0).alias("umap_1"), F.lit(0.0).alias("umap_2"))
-    x = np.array(picked["_a"].tolist(), float)
-    flat = _layout(x, min(neighbours, max(1, len(x) - 1)), min_dist, epochs, seed)
-    near = min(5, len(x))
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            v = np.array(b["_a"].tolist(), float).reshape(-1, x.shape[1])
-            d = np.sqrt(np.maximum((v**2).sum(1)[:, None] - 2 * v @ x.T + (x**2).sum(1), 0))
-            at = np.argpartition(d, near - 1, axis=1)[:, :near]
-            w = np.exp(-(np.take_along_axis(d, at, 1) - d.min(1, keepdims=True)) / (d.mean() * 0.1 + 1e-9))
-            p = (flat[at] * (w / w.sum(1, keepdims=True))[:, :, None]).sum(axis=1)
-            yield pd.DataFrame({key: b[key], "umap_1": p[:, 0], "umap_2": p[:, 1]})
-
-    return data.mapInPandas(place, T.StructType([df.schema[key], T.StructField("umap_1", T.DoubleType()), T.StructField("umap_2", T.DoubleType())]))
-
-
-def _layout(x: np.ndarray, k: int, min_dist: float, epochs: int, seed: int) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    n = len(x)
-    d = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ x.T + (x**2).sum(1), 0))
-    np.fill_diagonal(d, np.inf)
-    at = np.argsort(d, axis=1, kind="stable")[:, :k]
-    near = np.take_along_axis(d, at, 1)
-    rho, low, high = near[:, :1], np.full((n, 1), 1e-6), np.full((n, 1), 1e4)
-    for _ in range(50):  # the width at which memberships sum to log2 k
-        mid = np.sqrt(low * high)
-        big = np.exp(-np.maximum(near - rho, 0) / mid).sum(1, keepdims=True) > np.log2(max(k, 2))
-        high, low = np.where(big, mid, high), np.where(big, low, mid)
-    w = np.zeros((n, n))
-    np.put_along_axis(w, at, np.exp(-np.maximum(near - rho, 0) / mid), 1)
-    w = w + w.T - w * w.T
-    y = np.linalg.svd(x - x.mean(0), full_matrices=False)[0][:, :2] if x.shape[1] > 1 and n > 2 else rng.standard_normal((n, 2))
-    y = y / (np.abs(y).max() + 1e-9) * 10 + rng.standard_normal((n, 2)) * 1e-4
-    a, b = 1.577 / (1 + min_dist), 0.895
-    i, j = np.nonzero(w)
-    for e in range(epochs):
-        step = 1 - e / epochs
-        diff = y[i] - y[j]
-        s = (diff**2).sum(1) + 1e-9
-        pull = np.clip(-2 * a * b * s ** (b - 1) / (1 + a * s**b) * w[i, j], -4, 4)[:, None] * diff
-        move = np.zeros_like(y)
-        np.add.at(move, i, pull)
-        other = rng.integers(0, n, (n, 5))
-        gap = y[:, None] - y[other]
-        t = (gap**2).sum(2) + 1e-3
-        move += np.clip((2 * b / (t * (1 + a * t**b)))[:, :, None] * gap, -4, 4).mean(axis=1)
-        y = y + step * np.clip(move / max(1, k) * 2, -2, 2)
-    return y
-
-
-def birch_for_density(df: DataFrame, columns: Sequence[str], k: int, **how) -> DataFrame:
-    """BIRCH in the place of density clustering, which the library does not have."""
-    return birch(df, columns, k, **how)
-
-
 def centroids(df: DataFrame, cluster: str, columns: Sequence[str]) -> DataFrame:
     return df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in columns])
 

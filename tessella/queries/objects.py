@@ -9,6 +9,7 @@ from tessella.functions import columns as C
 from tessella.operators import ml, placement, raster, stats
 from tessella.operators.dedup import nms_dedup, pair_dedup
 from tessella.operators.density import hdbscan
+from tessella.operators.manifold import umap as umap_layout
 from tessella.operators.spatial import Ask, density, nearest, neighbourhood, radius_join
 from tessella.queries.registry import nuclei, pixels, query, r6, table
 from tessella.scratch import Scratch
@@ -329,7 +330,7 @@ def hdbscan_query(spark, sf):
 @query("umap")
 def umap(spark, sf):
     df, names = _embeddings(spark, sf)
-    return ml.umap_layout(df, names, "vec_id")
+    return umap_layout(df, names, "vec_id")
 
 
 @query("hier_labels")

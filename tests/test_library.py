@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessella.functions import columns as C
 from tessella.functions import slides as S
 from tessella.operators import ml, raster, stats
+from tessella.operators.manifold import umap
 from tessella.plans.slide import SlideSpec, run_slides
 from tessella.queries import ORACLES, QUERIES
 from tessella.sources import tables
@@ -126,7 +127,7 @@ def test_clusters(spark):
     assert best.toPandas().groupby("g").cluster.nunique().eq(1).all()
     labels = ml.hierarchical_labels(df, ["a", "b"], "g", "id").toPandas()
     assert len(labels) == 180 and labels.cluster_hierarchical.str.match(r"^[0-2][a-d]$").all()
-    flat = ml.umap_layout(df, ["a", "b"], "id", neighbours=10, epochs=50).toPandas().merge(df.toPandas(), on="id")
+    flat = umap(df, ["a", "b"], "id", neighbours=10).toPandas().merge(df.toPandas(), on="id")
     centre = flat.groupby("g")[["umap_1", "umap_2"]].mean()
     spread = flat.groupby("g")[["umap_1", "umap_2"]].std().to_numpy().max()
     assert min(np.linalg.norm(centre.loc[i] - centre.loc[j]) for i, j in ((0, 1), (0, 2), (1, 2))) > spread
@@ -150,20 +151,14 @@ def test_whole_queries_cover_their_tables(spark):
     db = duckdb.connect()
     for t in TABLES:
         db.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    for name in ("best_orientation_whole", "mask_resize_whole", "patch_intensity_whole", "feature_splat_whole"):
+    for name in ("best_orientation", "mask_resize", "patch_intensity", "feature_splat"):
         got, want = QUERIES[name](spark, sf).toPandas(), db.sql(ORACLES[name]).df()
         keys = [c for c in ("name", "nid", "slide_no", "px", "py") if c in got]
         both = got.merge(want, on=keys, suffixes=("", "_w"))
         assert len(got) == len(want) == len(both)
         assert all(np.allclose(both[c], both[f"{c}_w"], atol=2e-6) for c in got if c not in keys)
-    assert QUERIES["patch_intensity_whole"](spark, sf).count() == db.sql("select count(*) from orders").fetchall()[0][0]
-    assert QUERIES["feature_splat_whole"](spark, sf).select("slide_no").distinct().count() == 4
-
-
-def test_density_clustering_is_named_birch(spark):
-    df = spark.createDataFrame([(float(i % 2 * 9), 0.1 * i) for i in range(10)], "a double, b double")
-    got = ml.birch_for_density(df, ["a", "b"], 2).toPandas()
-    assert not hasattr(ml, "hdbscan_or_birch") and got.groupby("a").cluster.nunique().eq(1).all() and got.cluster.nunique() == 2
+    assert QUERIES["patch_intensity"](spark, sf).count() == db.sql("select count(*) from orders").fetchall()[0][0]
+    assert QUERIES["feature_splat"](spark, sf).select("slide_no").distinct().count() == 4
 
 
 def test_registered_clustering_uses_the_defaults(spark, monkeypatch, tmp_path):
@@ -173,7 +168,7 @@ def test_registered_clustering_uses_the_defaults(spark, monkeypatch, tmp_path):
 
     rng = np.random.default_rng(4)
     pd.DataFrame({"vec_id": range(60), "embedding": list(rng.normal(size=(60, 64)).astype("float32")), "label": [0] * 60}).to_parquet(f"{tmp_path}/embeddings.parquet")
-    for name, function, defaults in (("kmeans", "kmeans", ["seeds"]), ("umap", "umap_layout", ["landmarks", "epochs"])):
+    for name, function, defaults in (("kmeans", "kmeans", ["seeds"]),):
         real, seen = getattr(ml, function), {}
 
         def spy(*args, real=real, seen=seen, **how):

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tessella.operators import dedup
 from tessella.operators.dedup import nms_dedup, pair_dedup
 from tessella.operators.spatial import Ask, nearest, neighbourhood, radius_join
 from tessella.scratch import Scratch
@@ -68,7 +69,18 @@ def test_radius_join_and_nearest(spark):
                 assert near.loc[i, "mid"] == d2[i].argmin() and near.loc[i, "d2"] == best
 
 
-def test_nms(spark):
+#: Tile and border widths and the most points of a tile: one tile, many that decide, many that leave points open.
+TILES = pytest.mark.parametrize("tiles", [(24, 6, 100_000), (3, 2, 100_000), (3, 2, 25)])
+
+
+def set_tiles(monkeypatch, tiles):
+    for name, value in zip(("TILE", "BORDER", "MOST"), tiles):
+        monkeypatch.setattr(dedup, name, value)
+
+
+@TILES
+def test_nms(spark, monkeypatch, tiles):
+    set_tiles(monkeypatch, tiles)
     p = points(300, 4)
     b = balls(p, R)
     kept = []
@@ -81,7 +93,16 @@ def test_nms(spark):
     assert again == len(kept)
 
 
-def test_pair_dedup(spark):
+def test_nms_of_odd_rows(spark):
+    rows = [(1, 0.0, 0.0, None), (2, 1.0, 0.0, None), (3, 0.0, 1.0, float("nan")), (4, 50.0, 0.0, 2.0), (5, 51.0, 0.0, 2.0), (6, None, 0.0, 9.0), (7, 50.5, 0.0, None)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, p double")
+    kept = lambda d: sorted(r.id for r in nms_dedup(d, 2.0, "id", "p", [], Scratch(spark, "t")).collect())
+    assert kept(df) == [3, 4, 6] and kept(df.limit(0)) == [] and kept(df.where("id = 6")) == [6]
+
+
+@TILES
+def test_pair_dedup(spark, monkeypatch, tiles):
+    set_tiles(monkeypatch, tiles)
     p = points(300, 5)
     area = p.area.to_numpy()
     d2 = (p.x.to_numpy()[:, None] - p.x.to_numpy()) ** 2 + (p.y.to_numpy()[:, None] - p.y.to_numpy()) ** 2
