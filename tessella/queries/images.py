@@ -93,11 +93,15 @@ def connected_components_query(spark, sf):
     return out.select("area", "min_x", "max_x", "min_y", "max_y", *r6("cx", "cy"))
 
 
-@query("mask_components")
+@query("mask_components", """, on_ as materialized (select px, py from mask where v = 1), o as (select * from (values (1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1)) t(dx, dy)),
+ cc as materialized (with recursive c(px, py, lab) using key (px, py) as (select px, py, py * 1000 + px from on_
+  union (select r.px, r.py, min(c.lab) from c join o on true join recurring.c r on r.px = c.px + dx and r.py = c.py + dy where c.lab < r.lab group by r.px, r.py)) select * from c)
+ select count(*) area, min(px) min_x, max(px) max_x, min(py) min_y, max(py) max_y, round(avg(px), 6) cx, round(avg(py), 6) cy from cc group by lab having count(*) >= 5""")
 def mask_components(spark, sf):
     """Components of the tissue mask itself, largest objects only."""
     comps = raster.components(_mask(spark, sf), "v", [], Scratch(spark, "components"))
-    return raster.component_table(raster.large_components(comps, [], F.lit(5)), [])
+    out = raster.component_table(raster.large_components(comps, [], F.lit(5)), [])
+    return out.select("area", "min_x", "max_x", "min_y", "max_y", *r6("cx", "cy"))
 
 
 @query("skeleton_topology")
