@@ -114,6 +114,8 @@ def _by_rounds(edges: DataFrame, fallen: DataFrame, scratch: Scratch) -> DataFra
 
 #: Tile and border widths in radii, and points of a tile with its border that one task decides.
 TILE, BORDER, MOST = 24, 6, 100_000
+#: Points that a tile should have on average, over all groups, where radii are short.
+FILL = 20_000
 #: Pairs that are measured at once.
 PAIRS = 1 << 21
 
@@ -156,7 +158,9 @@ def _decided(hi: np.ndarray, lo: np.ndarray, whole: np.ndarray) -> np.ndarray:
 
 def _statuses(points: DataFrame, r: float, key: str, by: Sequence[str], x: str, y: str, values: dict[str, Column], beats: Callable[[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """(key, stands) of every point, null where its tile can't tell; ``beats`` says for which pairs (rows, i, j, d2) the first is a rival of the second."""
-    edge, border = TILE * r, BORDER * r
+    one = points.agg(F.count(F.lit(1)).alias("n"), (F.max(x) - F.min(x)).alias("w"), (F.max(y) - F.min(y)).alias("h")).first()
+    room = FILL * float(one["w"]) * float(one["h"]) / one["n"] if one["w"] is not None and one["h"] is not None else 0.0
+    edge, border = max(TILE * r, room**0.5), BORDER * r
     base = points.select(key, *by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), *[v.alias(c) for c, v in values.items()])
     spread = lambda c: F.explode(F.sequence(F.floor((F.col(c) - border) / edge), F.floor((F.col(c) + border) / edge)))
     placed = base.withColumn("_tx", spread("_x")).withColumn("_ty", spread("_y"))

@@ -70,11 +70,11 @@ def test_radius_join_and_nearest(spark):
 
 
 #: Tile and border widths and the most points of a tile: one tile, many that decide, many that leave points open.
-TILES = pytest.mark.parametrize("tiles", [(24, 6, 100_000), (3, 2, 100_000), (3, 2, 25)])
+TILES = pytest.mark.parametrize("tiles", [(24, 6, 100_000, 20_000), (3, 2, 100_000, 0), (3, 2, 25, 0)])
 
 
 def set_tiles(monkeypatch, tiles):
-    for name, value in zip(("TILE", "BORDER", "MOST"), tiles):
+    for name, value in zip(("TILE", "BORDER", "MOST", "FILL"), tiles):
         monkeypatch.setattr(dedup, name, value)
 
 
