@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import columns as C
-from tessella.operators import placement, raster, stats
+from tessella.operators import placement, raster, registration, stats
 from tessella.queries.registry import nuclei, pixels, query, r6
 from tessella.scratch import Scratch
 
@@ -260,3 +261,25 @@ def brown_detection(spark, sf):
     p = pixels(spark, sf)
     points = nuclei(spark, sf).select("nid", (F.col("xi") / 200).alias("cx"), (F.col("yi") / 200).alias("cy"), "major_axis_length")
     return placement.brown_per_object(points, p, 100, _height(p), "nid").select("nid", *r6("brown_intensity"), "has_brown")
+
+
+def density_scene(points, side: int):
+    """A smooth square image of points (x, y in 0..side): their counts per cell, averaged over squares of nine cells twice."""
+    cells = points.select(F.floor("x").alias("px"), F.floor("y").alias("py")).where(F.col("px").between(0, side - 1) & F.col("py").between(0, side - 1)).groupBy("px", "py").agg(F.count(F.lit(1)).alias("v"))
+    grid = points.sparkSession.range(side * side).select((F.col("id") % side).alias("px"), F.floor(F.col("id") / side).alias("py"))
+    image = grid.join(cells, ["px", "py"], "left").select("px", "py", F.coalesce("v", F.lit(0)).cast("double").alias("v"))
+    for _ in range(2):
+        for across, along in (("px", "py"), ("py", "px")):
+            image = image.withColumn("v", F.avg("v").over(Window.partitionBy(along).orderBy(across).rangeBetween(-4, 4)))
+    return image
+
+
+@query("image_registration")
+def image_registration(spark, sf):
+    """Two density images of all objects, one of them turned and moved: the map that lays them on one another."""
+    scratch = Scratch(spark, "registration")
+    own = nuclei(spark, sf).select((F.col("xi") / 200).alias("x"), (F.col("yi") / 200).alias("y"))
+    turned = own.select((F.col("x") * 0.998 - F.col("y") * 0.06 + 4).alias("x"), (F.col("x") * 0.06 + F.col("y") * 0.998 - 3).alias("y"))
+    fixed, moving = (scratch.write(density_scene(p, 100), n) for p, n in ((own, "fixed"), (turned, "moving")))
+    t = registration.register_affine(fixed, moving, "v", 100, 100, registration.Settings(affine_levels=(2, 1)), registration.identity(100, 100))
+    return registration.transform_table(t, spark).withColumn("value", F.round("value", 2))
