@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import columns as C
-from tessella.operators import placement, raster, registration, stats
+from tessella.operators import placement, raster, registration, stats, stitching
 from tessella.queries.registry import nuclei, pixels, query, r6
 from tessella.scratch import Scratch
 
@@ -283,3 +283,17 @@ def image_registration(spark, sf):
     fixed, moving = (scratch.write(density_scene(p, 100), n) for p, n in ((own, "fixed"), (turned, "moving")))
     t = registration.register_affine(fixed, moving, "v", 100, 100, registration.Settings(affine_levels=(2, 1)), registration.identity(100, 100))
     return registration.transform_table(t, spark).withColumn("value", F.round("value", 2))
+
+
+@query("stitched_tiles", BLOCKS + """, top as (select case when max(py) + 1 >= 28 then cast(floor((max(py) + 1 - 28) / cast(18 as double)) as bigint) * 18 + 28 else 0 end h from pixels)
+ select count(*) area, min(px) min_x, max(px) max_x, min(py) min_y, max(py) max_y, round(avg(px), 6) cx, round(avg(py), 6) cy from lp, top where label > 0 and py < h group by label""")
+def stitched_tiles(spark, sf):
+    """Objects found tile by tile, under numbers of each tile's own, in tiles that overlap by 10 pixels."""
+    scratch, own = Scratch(spark, "stitched"), _labels(spark, sf)
+    starts = raster.tile_grid(own.agg(F.lit(100).alias("width"), (F.max("py") + 1).alias("height")), 28, 10).select(F.col("x").cast("long").alias("tile_x"), F.col("y").cast("long").alias("tile_y"))
+    at = lambda c: F.explode(stitching.covering(F.col(c), 28, 10))
+    tiled = own.withColumn("tile_x", at("px")).withColumn("tile_y", at("py")).join(starts, ["tile_x", "tile_y"])
+    local = F.when(F.col("label") > 0, F.col("label") * 1000 + F.pmod(F.col("tile_x") * 7 + F.col("tile_y"), F.lit(1000)))
+    found = tiled.select("tile_x", "tile_y", local.alias("label"), (F.col("px") - F.col("tile_x")).alias("px"), (F.col("py") - F.col("tile_y")).alias("py"))
+    objects = stitching.stitched_objects(stitching.stitched_labels(found, 28, 10, scratch, ()), ())
+    return objects.select("area", "min_x", "max_x", "min_y", "max_y", *r6("cx", "cy"))
