@@ -198,11 +198,17 @@ def report_text(row: DataFrame, title: str) -> DataFrame:
 
 
 def markdown(df: DataFrame) -> DataFrame:
-    """Rows as lines of a Markdown table, without its head."""
+    """Rows as lines of a Markdown table (``markdown_head`` has its first two)."""
     cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
 
 
+def markdown_head(df: DataFrame) -> DataFrame:
+    """The names and the rule of a Markdown table, in one row, for the lines of ``markdown`` to follow."""
+    names = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
+    return df.sparkSession.range(1).select(F.lit(names).alias("value"))
+
+
 def marker_summary(df: DataFrame, by: Sequence[str] = (), high: float = 0.5) -> DataFrame:
     """Of patch intensities: mean and deviation, and objects whose positive share exceeds ``high``."""
     over = F.col("marker_positive_area_fraction") > high

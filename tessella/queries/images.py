@@ -9,6 +9,7 @@ from tessella.functions import columns as C
 from tessella.operators import placement, raster, registration, stats, stitching
 from tessella.queries.registry import nuclei, pixels, query, r6
 from tessella.scratch import Scratch
+from tessella.sources import png
 
 BLOCKS = """, lp as (select *, case when px % 6 between 1 and 4 and py % 6 between 1 and 4 then cast(floor(px / cast(6 as double)) as bigint) + 17 * cast(floor(py / cast(6 as double)) as bigint) + 1 else 0 end label from pixels)"""
 
@@ -297,3 +298,13 @@ def stitched_tiles(spark, sf):
     found = tiled.select("tile_x", "tile_y", local.alias("label"), (F.col("px") - F.col("tile_x")).alias("px"), (F.col("py") - F.col("tile_y")).alias("py"))
     objects = stitching.stitched_objects(stitching.stitched_labels(found, 28, 10, scratch, ()), ())
     return objects.select("area", "min_x", "max_x", "min_y", "max_y", *r6("cx", "cy"))
+
+
+@query("tile_images", """, t as (select *, cast(floor(px / cast(50 as double)) as bigint) * 50 tx, cast(floor(py / cast(50 as double)) as bigint) * 50 ty from pixels)
+ select 'tile_' || cast(tx as varchar) || '_' || cast(ty as varchar) || '.png' as name, 50 width, 50 height, true as png from t group by tx, ty""")
+def tile_images(spark, sf):
+    """The image as PNG tiles of 50 pixels."""
+    start = lambda c: (F.floor(F.col(c) / 50) * 50).cast("long")
+    tiled = pixels(spark, sf).withColumns({"tx": start("px"), "ty": start("py")}).withColumns({"px": F.col("px") - F.col("tx"), "py": F.col("py") - F.col("ty")})
+    images = png.encoded_images(tiled, png.tile_name(F.col("tx"), F.col("ty")), ["r", "g", "b"], (50, 50))
+    return images.select("name", "width", "height", (F.hex(F.substring("content", 1, 8)) == "89504E470D0A1A0A").alias("png"))

@@ -419,3 +419,10 @@ def marker_profile_near(spark, sf):
 @query("first_seen_families", " select seg, min(nid) as first from nuclei group by seg")
 def first_seen_families(spark, sf):
     return stats.first_seen(nuclei(spark, sf), "seg", "nid")
+
+
+@query("marker_report", """, m as (select slide_no, brown_intensity i, ((nid * 43) % 100) / cast(100 as double) f from nuclei)
+ select slide_no, count(*) n, round(avg(i), 6) mean_intensity, round(stddev_samp(i), 6) std_intensity, count(*) filter (where f > 0.5) n_highly_positive, round(100 * avg(case when f > 0.5 then 1 else 0 end), 6) pct_highly_positive from m group by slide_no""")
+def marker_report(spark, sf):
+    found = nuclei(spark, sf).withColumns({"marker_intensity_mean": F.col("brown_intensity"), "marker_positive_area_fraction": F.col("nid") * 43 % 100 / F.lit(100.0)})
+    return stats.marker_summary(found, ["slide_no"]).select("slide_no", "n", "n_highly_positive", *r6("mean_intensity", "std_intensity", "pct_highly_positive"))

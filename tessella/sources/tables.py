@@ -61,6 +61,12 @@ def tile_images(images: DataFrame, tiles: DataFrame) -> DataFrame:
     return images.withColumns({"x": x, "y": y}).join(tiles, ["x", "y"])
 
 
+def missing_tiles(images: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Tiles of the catalogue without an image: what ``tile_images`` leaves out."""
+    x, y = (F.regexp_extract("origin", r"tile_(\d+)_(\d+)\.", k).cast("int") for k in (1, 2))
+    return tiles.join(images.select(x.alias("x"), y.alias("y")), ["x", "y"], "left_anti")
+
+
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.svs") -> DataFrame:
     """Paths and names of files; their content is never read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
@@ -77,6 +83,15 @@ def first_candidate(files: DataFrame, patterns: Sequence[str], by: Sequence[str]
     return ranked.withColumn("_n", best).where("_n = 1").drop("_n", "_rank")
 
 
+def required_candidate(files: DataFrame, patterns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """``first_candidate``, or FileNotFoundError naming the first twenty groups that have none (one pass over the listing)."""
+    found = first_candidate(files, patterns, by)
+    lacking = files.select(*by).distinct().join(found.select(*by), list(by), "left_anti").orderBy(*by).limit(20).collect()
+    if lacking:
+        raise FileNotFoundError(f"no file like {list(patterns)} for {[tuple(r) for r in lacking]}")
+    return found
+
+
 def slide_probe(meta: DataFrame, fallback_mpp: float = 0.25) -> DataFrame:
     """Resolution of slides(mpp_x, mpp_y, ...): the mean where both are positive, else the fallback, with a flag."""
     both = (F.col("mpp_x") > 0) & (F.col("mpp_y") > 0)

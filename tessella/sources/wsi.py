@@ -45,13 +45,16 @@ class WsiReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = options
         self.tile, self.overlap, self.level = (int(options.get(k, d)) for k, d in (("tile", 1024), ("overlap", 128), ("level", 0)))
+        if not 0 <= self.overlap < self.tile:
+            raise ValueError(f"an overlap of {self.overlap} doesn't fit tiles of {self.tile}")
 
     def partitions(self) -> list[InputPartition]:
         if self.options.get("metadata") == "true":
             return [Row(0, [])]
         w, h = _open(self.options["path"]).level_dimensions[self.level]
         step = self.tile - self.overlap
-        return [Row(y, list(range(0, w - self.tile + 1, step))) for y in range(0, h - self.tile + 1, step)]
+        # A slide smaller than a tile has a partition without any: Spark would read one that it makes up itself.
+        return [Row(y, list(range(0, w - self.tile + 1, step))) for y in range(0, h - self.tile + 1, step)] or [Row(0, [])]
 
     def read(self, part: Row) -> Iterator[tuple]:
         path = self.options["path"]
