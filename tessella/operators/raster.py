@@ -415,9 +415,11 @@ def splat(points: DataFrame, value: str, order: str, x: Column, y: Column, width
     return marks.where(inside).groupBy(*by, "px", "py").agg(F.max_by(value, order).alias(value))
 
 
-def zscore(v: str, by: Sequence[str]) -> Column:
-    w = Window.partitionBy(*by)
-    return (F.col(v) - F.avg(v).over(w)) / (F.stddev_pop(v).over(w) + 1e-8)
+def zscore(df: DataFrame, v: str, by: Sequence[str], name: str) -> DataFrame:
+    """Each image's values less their mean, by their deviation: one row of sums an image, joined back."""
+    sums = df.groupBy(*by).agg(F.avg(v).alias("_mean"), F.stddev_pop(v).alias("_dev"))
+    joined = df.join(sums, list(by)) if by else df.crossJoin(F.broadcast(sums))  # one row
+    return joined.withColumn(name, (F.col(v) - F.col("_mean")) / (F.col("_dev") + 1e-8)).drop("_mean", "_dev")
 
 
 def outer_boundary(labels: DataFrame, v: str, by: Sequence[str]) -> DataFrame:

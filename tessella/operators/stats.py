@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.scratch import Scratch
+
 
 def percentiles(df: DataFrame, columns: Sequence[str], at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact linear percentiles, as ``<column>_p<percent>``."""
@@ -31,6 +33,13 @@ def describe(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
 
 
+def describe_each(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by, feature, n, mean, std, min, max): a row for each column, in one pass; nulls and NaN don't count."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])).alias("_x")
+    rows = df.select(*by, pairs).select(*by, "_x.feature", F.when(~F.isnan("_x.v"), F.col("_x.v")).alias("v"))
+    return rows.groupBy(*by, "feature").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+
+
 def moments(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Sums that add up over parts of a table: n and, per column, sum, sum of squares, least and largest value.
 
@@ -103,9 +112,26 @@ def density_grid(df: DataFrame, value: str, x: str, y: str, edge: float, by: Seq
     return df.groupBy(*by, F.floor(F.col(x) / edge).cast("int").alias("gx"), F.floor(F.col(y) / edge).cast("int").alias("gy")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
 
 
+def numbered(df: DataFrame, key: str, by: Sequence[str], name: str) -> DataFrame:
+    """Rows with their place from 0 in their group, in order of ``key``, which is unique in a group.
+
+    A group is dealt to ranges of its keys, so that no task sorts a whole one; only
+    the ranges' counts, a row for each group and range, meet in one window.
+    """
+    ranged = Scratch(df.sparkSession, "numbered").write(df.repartitionByRange(*by, key).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_from"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = ranged.withColumn(name, F.row_number().over(Window.partitionBy(*by, "_range").orderBy(key)) - 1)
+    same = F.col("_range") == F.col("_from")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return own.join(starts, same).withColumn(name, F.col(name) + F.col("_start")).select(*[F.col(f"`{c}`") for c in df.columns], name)
+
+
 def every_nth(df: DataFrame, n: int, key: str, by: Sequence[str]) -> DataFrame:
-    """Rows 0, n, 2n, ... of each group in key order."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(key))).where((F.col("_rn") - 1) % n == 0).drop("_rn")
+    """Rows 0, n, 2n, ... of each group in order of the unique key."""
+    return numbered(df, key, by, "_rn").where(F.col("_rn") % n == 0).drop("_rn")
 
 
 def hash_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
@@ -187,8 +213,8 @@ def t_test(df: DataFrame, group: str, a: str, b: str, features: Sequence[str], p
 
 def ordinal(df: DataFrame, column: str, name: str) -> DataFrame:
     """Distinct values numbered from 0 in order, joined back."""
-    numbered = df.select(column).distinct().withColumn(name, (F.dense_rank().over(Window.orderBy(column)) - 1).cast("int"))
-    return df.join(numbered, column)
+    values = numbered(df.select(column).where(F.col(column).isNotNull()).distinct(), column, (), name)
+    return df.join(values.withColumn(name, F.col(name).cast("int")), column)
 
 
 def report_text(row: DataFrame, title: str) -> DataFrame:

@@ -87,10 +87,11 @@ def run_slides(nuclei: DataFrame, spec: SlideSpec = SlideSpec()) -> dict[str, Da
 def slide_report(df: DataFrame, by: str = "slide_id") -> DataFrame:
     """One row per slide: counts and means; a column that a slide's table lacks is null (decided at plan time)."""
     have = set(df.columns)
-    mean = lambda c: F.avg(c) if c in have else F.lit(None).cast("double")
+    mean = lambda c: F.avg(f"`{c}`") if c in have else F.lit(None).cast("double")
     return df.groupBy(by).agg(
         F.count(F.lit(1)).alias("n_nuclei"), mean("area_px").alias("mean_area"), mean("coherency_50um").alias("mean_coherency"),
         (F.count_distinct("cluster") if "cluster" in have else F.lit(None).cast("long")).alias("n_clusters"), (100 * mean("has_brown")).alias("brown_pct"),
+        mean("density_um2_r100.0").alias("mean_density"), mean("brown_intensity").alias("mean_brown"),
     )
 
 

@@ -153,9 +153,7 @@ def mask_boundary(spark, sf):
 
 @query("zscore_image", " select px, py, round((r - avg(r) over ()) / (stddev_pop(r) over () + 1e-8), 6) z from pixels")
 def zscore_image(spark, sf):
-    image = pixels(spark, sf).withColumn("image", F.lit(0))
-    stats = image.groupBy("image").agg(F.avg("r").alias("m"), F.stddev_pop("r").alias("s"))
-    return image.join(F.broadcast(stats), "image").select("px", "py", F.round((F.col("r") - F.col("m")) / (F.col("s") + 1e-8), 6).alias("z"))
+    return raster.zscore(pixels(spark, sf), "r", [], "z").select("px", "py", *r6("z"))
 
 
 @query("tile_normalise", """, t as (select *, cast(floor(py / cast(50 as double)) as bigint) tile from pixels), q as (select tile, quantile_cont(r, 0.01) lo, quantile_cont(r, 0.998) hi from t group by tile)

@@ -100,6 +100,15 @@ def qc_column_summary(spark, sf):
     return out.select("slide_no", "n", *r6(*[c for c in out.columns if c.startswith("area_local")]))
 
 
+@query("shape_summary", """, s as (select seg, area_px a, 4 * pi() * area_px / greatest(perimeter_px * perimeter_px, cast(1e-6 as double)) c, case when minor_axis_length > 0 then major_axis_length / minor_axis_length else 0 end ar from nuclei),
+ l as (select seg, 'area_px' feature, cast(a as double) v from s union all select seg, 'circularity', least(greatest(c, 0), 1) from s union all select seg, 'aspect_ratio', ar from s)
+ select seg, feature, count(*) n, round(avg(v), 6) mean, round(stddev_samp(v), 6) std, round(min(v), 6) min, round(max(v), 6) max from l group by seg, feature""")
+def shape_summary(spark, sf):
+    """Mean and deviation of the shape columns by segmenter."""
+    found = stats.describe_each(C.with_derived(nuclei(spark, sf)), ["area_px", "circularity", "aspect_ratio"], ["seg"])
+    return found.select("seg", "feature", "n", *r6("mean", "std", "min", "max"))
+
+
 @query("segmentation_summary", """ select seg, count(*) n, round(avg(area_px), 6) mean, round(median(area_px), 6) median, round(stddev_samp(area_px), 6) std, min(area_px) min, max(area_px) max from nuclei group by seg""")
 def segmentation_summary(spark, sf):
     return stats.describe(nuclei(spark, sf), "area_px", ["seg"]).select("seg", "n", *r6("mean", "median", "std"), "min", "max")
@@ -208,12 +217,12 @@ def cluster_profile(spark, sf):
     return out.select("cluster", "n", *r6("area_px_mean", "brown_intensity_mean", "brown_intensity_pct_positive", "pct_total"))
 
 
-@query("slide_report", " select slide_no, count(*) n_nuclei, round(avg(area_px), 6) mean_area, count(distinct cluster) n_clusters, round(100 * avg(case when brown_intensity > 0.15 then 1 else 0 end), 6) brown_pct from nuclei group by slide_no")
+@query("slide_report", " select slide_no, count(*) n_nuclei, round(avg(area_px), 6) mean_area, count(distinct cluster) n_clusters, round(100 * avg(case when brown_intensity > 0.15 then 1 else 0 end), 6) brown_pct, round(avg(brown_intensity), 6) mean_brown from nuclei group by slide_no")
 def slide_report_query(spark, sf):
     from tessella.plans.slide import slide_report
 
     df = nuclei(spark, sf).withColumn("has_brown", (F.col("brown_intensity") > 0.15).cast("int"))
-    return slide_report(df, "slide_no").select("slide_no", "n_nuclei", *r6("mean_area"), "n_clusters", *r6("brown_pct"))
+    return slide_report(df, "slide_no").select("slide_no", "n_nuclei", *r6("mean_area"), "n_clusters", *r6("brown_pct", "mean_brown"))
 
 
 @query("top_clusters", " select cluster, count(*) n from nuclei group by cluster order by n desc, cluster limit 10")

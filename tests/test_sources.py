@@ -140,3 +140,26 @@ def test_models_are_saved_and_read_back(spark, tmp_path):
     assert again.transform(ml.assemble(df, ["a", "b"], "_x")).select("a", "cluster").exceptAll(labelled.select("a", "cluster")).isEmpty()
     with pytest.raises(Exception):
         ml.load_model(StandardScalerModel, str(tmp_path / "none"))
+
+
+def test_rows_are_numbered_by_ranges(spark):
+    """Places equal a sort's whatever the ranges; one group holds most rows, and null groups are groups."""
+    rng = np.random.default_rng(2)
+    keys = rng.permutation(5000)
+    rows = pd.DataFrame({"k": keys, "g": np.where(keys % 10 < 8, "big", np.where(keys % 10 == 8, "small", None))})
+    df = spark.createDataFrame([(int(k), g) for k, g in zip(rows["k"], rows["g"])], "k long, g string")
+    got = stats.numbered(df, "k", ["g"], "n").toPandas()
+    assert len(got) == 5000
+    for _, part in got.groupby("g", dropna=False):
+        part = part.sort_values("k")
+        assert part["n"].tolist() == list(range(len(part)))
+    assert sorted(r.k for r in stats.every_nth(df, 1000, "k", ()).collect()) == [0, 1000, 2000, 3000, 4000]
+    assert stats.numbered(df.where("k < 0"), "k", ["g"], "n").count() == 0
+    codes = {(r.g, r.code) for r in stats.ordinal(df, "g", "code").select("g", "code").distinct().collect()}
+    assert codes == {("big", 0), ("small", 1)}
+
+
+def test_columns_described_without_nan(spark):
+    df = spark.createDataFrame([("a", 1.0, None), ("a", 3.0, float("nan")), ("b", None, 2.0)], "g string, v double, w double")
+    got = {(r.g, r.feature): (r.n, r["mean"], r.max) for r in stats.describe_each(df, ["v", "w"], ["g"]).collect()}
+    assert got == {("a", "v"): (2, 2.0, 3.0), ("a", "w"): (0, None, None), ("b", "v"): (0, None, None), ("b", "w"): (1, 2.0, 2.0)}
