@@ -29,14 +29,19 @@ def refresh_slides(stream: DataFrame, store: str, recompute: Callable[[DataFrame
     """Appends each batch to the store and recomputes, whole, the slides that it touched.
 
     Batches are written under their number, so a batch that is replayed
-    overwrites itself; results are partitioned by slide and replaced by slide.
+    overwrites itself; results are partitioned by slide and replaced by slide.  The
+    store is partitioned by slide within a batch, so that only touched slides are
+    read; the driver holds their names, no more than a batch has.  Rows without a
+    slide are stored and take no part.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        df.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        touched = spark.read.parquet(f"{store}/batch={number}").select("slide_id").distinct()
-        slides = spark.read.parquet(store).drop("batch").join(touched, "slide_id", "left_semi")
+        read = df.sparkSession.read.schema(df.schema)
+        df.write.mode("overwrite").partitionBy("slide_id").parquet(f"{store}/batch={number}")
+        touched = [r["slide_id"] for r in read.parquet(f"{store}/batch={number}").select("slide_id").where("slide_id is not null").distinct().collect()]
+        if not touched:
+            return
+        slides = read.parquet(store).where(F.col("slide_id").isin(touched)).select(*[F.col(f"`{c}`") for c in df.columns])
         recompute(slides).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slide_id").parquet(out)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start()
