@@ -176,6 +176,19 @@ def large_components(comps: DataFrame, by: Sequence[str], least: Column) -> Data
     return comps.join(component_table(comps, by).where(F.col("area") >= least).select(*by, "comp"), [*by, "comp"], "left_semi")
 
 
+#: Sides of the kernels that close gaps and that remove specks, by pyramid level (the last one from there on).
+TISSUE_KERNELS = [(10, 3), (15, 3), (25, 5)]
+
+
+def tissue_mask(df: DataFrame, v: str, level: int, width: int, height: int, by: Sequence[str], scratch: Scratch, share: float = 1e-5, floor: int = 5000) -> DataFrame:
+    """(by, px, py, v) of a raw tissue mask on a dense grid: gaps closed twice and specks opened by the level's kernels, then components of too few pixels removed."""
+    closing, opening = TISSUE_KERNELS[min(level, len(TISSUE_KERNELS) - 1)]
+    clean = scratch.write(open_(close(df.select(*by, "px", "py", v), v, closing, by, 2), v, opening, by), "clean")
+    large = large_components(components(clean, v, by, scratch), by, F.lit(least_component_area(width, height, share, floor)))
+    kept = run_pixels(large, by).withColumn("_kept", F.lit(1))
+    return clean.join(kept, [*by, "px", "py"], "left").select(*by, "px", "py", F.coalesce("_kept", F.lit(0)).alias(v))
+
+
 def least_component_area(width: int, height: int, share: float = 1e-5, floor: int = 5000) -> int:
     return max(int(share * width * height), floor)
 

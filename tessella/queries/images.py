@@ -33,14 +33,14 @@ def tissue_mask_hsv(spark, sf):
     return _mask(spark, sf)
 
 
-def _frames(steps: list[tuple[str, int]]) -> str:
-    out, last = "", "mask"
+def _frames(steps: list[tuple[str, int]], last: str = "mask", tail: str = " select px, py, v from {}") -> str:
+    out = ""
     for i, (f, k) in enumerate(steps):
         a, b = k // 2, k - 1 - k // 2
         out += f""", h{i} as materialized (select px, py, {f}(v) over (partition by py order by px range between {a} preceding and {b} following) v from {last}),
  w{i} as materialized (select px, py, {f}(v) over (partition by px order by py range between {a} preceding and {b} following) v from h{i})"""
         last = f"w{i}"
-    return out + f" select px, py, v from {last}"
+    return out + tail.format(last)
 
 
 @query("mask_morphology", _frames([("max", 5), ("max", 5), ("min", 5), ("min", 5), ("min", 3), ("max", 3)]))
@@ -306,3 +306,18 @@ def tile_images(spark, sf):
     tiled = pixels(spark, sf).withColumns({"tx": start("px"), "ty": start("py")}).withColumns({"px": F.col("px") - F.col("tx"), "py": F.col("py") - F.col("ty")})
     images = png.encoded_images(tiled, png.tile_name(F.col("tx"), F.col("ty")), ["r", "g", "b"], (50, 50))
     return images.select("name", "width", "height", (F.hex(F.substring("content", 1, 8)) == "89504E470D0A1A0A").alias("png"))
+
+
+#: Boxes of two sizes that the image's tissue is cut to.
+BOXES = "px % 50 < 20 + 10 * (cast(floor(py / cast(50 as double)) as bigint) % 2) and py % 50 < 30"
+
+
+@query("tissue_pieces", f""", boxed as (select px, py, case when {BOXES} then v else 0 end v from mask)""" + _frames([("max", 10)] * 2 + [("min", 10)] * 2 + [("min", 3), ("max", 3)], "boxed", """, on_ as materialized (select px, py from {0} where v = 1), o as (select * from (values (1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1)) t(dx, dy)),
+ cc as materialized (with recursive c(px, py, lab) using key (px, py) as (select px, py, py * 1000 + px from on_
+  union (select r.px, r.py, min(c.lab) from c join o on true join recurring.c r on r.px = c.px + dx and r.py = c.py + dy where c.lab < r.lab group by r.px, r.py)) select * from c),
+ big as (select lab from cc group by lab having count(*) >= 700)
+ select w.px, w.py, case when big.lab is null then 0 else 1 end v from {0} w left join cc using (px, py) left join big using (lab)"""))
+def tissue_pieces(spark, sf):
+    """The tissue mask of the full resolution as a run makes it, pieces of under 700 pixels removed."""
+    raw = _mask(spark, sf).withColumn("v", F.when(F.expr(BOXES), F.col("v")).otherwise(F.lit(0)))
+    return raster.tissue_mask(raw, "v", 0, 100, _height(raw), [], Scratch(spark, "pieces"), floor=700)

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.operators import raster
 from tessella.scratch import Scratch
@@ -81,3 +82,15 @@ def test_tiles_and_orientation(spark):
     a = np.random.default_rng(7).random((16, 16))
     best = raster.best_orientation(frame(spark, a), frame(spark, a[:, ::-1]), "v", 16, 16).toPandas()
     assert best.loc[best.score.idxmax(), "name"] == "flip_h" and best.score.max() == pytest.approx(1)
+
+
+def test_tissue_kernels_grow_with_the_level(spark):
+    """A gap of 20 pixels stays at level 0 and closes at level 2; small pieces go, and levels beyond the last are as it."""
+    rows = [("s", x, y, int(80 <= x < 100 or 120 <= x < 140)) for x in range(220) for y in range(40)] + [("t", x, y, int(x < 5 and y < 5)) for x in range(220) for y in range(40)]
+    df = spark.createDataFrame(rows, "image string, px int, py int, v int").cache()
+    got = {}
+    for level in (0, 2, 7):
+        out = raster.tissue_mask(df, "v", level, 220, 40, ["image"], Scratch(spark, "t"), floor=500)
+        got[level] = {(r.image, r.y): r.n for r in out.where("v = 1").groupBy("image", F.col("py").alias("y")).agg(F.count("*").alias("n")).collect()}
+        assert out.count() == len(rows) and {k[0] for k in got[level]} == {"s"}
+    assert set(got[0].values()) == {40} and set(got[2].values()) == {60} and got[2] == got[7]
