@@ -58,11 +58,11 @@ def marker_features(objects: DataFrame, markers: DataFrame, key: str, other: str
 
     Distances are in the coordinates' unit; densities divide by the area in ``unit``-scaled ones.
     """
-    from tessella.operators.spatial import nearest, radius_join
+    from tessella.operators.spatial import Ask, nearest, neighbourhood
 
     closest = nearest(objects, markers, key, other, by, near, True, True, x, y).join(markers.select(other, F.col(intensity).alias("_i")), other, "left")
-    pairs = radius_join(objects.select(key, *by, x, y), markers.select(other, *by, x, y, intensity), around, by, x, y)
-    counts = pairs.groupBy(F.col(f"l_{key}").alias(key)).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(f"r_{intensity}") > positive).alias("_p"))
+    given = markers.withColumn("_positive", F.coalesce(F.col(intensity) > positive, F.lit(False)).cast("int"))
+    counts = neighbourhood(objects, [Ask("_n", "total", around), Ask("_p", "sum", around, "_positive")], key, by, x, y, of=given).select(key, "_n", "_p")
     area = F.pi() * F.lit((around * unit) ** 2)
     return closest.join(counts, key, "left").select(key, F.coalesce("_i", F.lit(0.0)).alias("intensity"), (F.coalesce("_n", F.lit(0)) / area).alias("local_density"), F.coalesce("_p", F.lit(0)).cast("long").alias("positives"))
 
