@@ -7,7 +7,9 @@ sample); every document of any length is scored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,8 @@ from tessella.llm.text import encode, held_out
 HOLD_OUT = (5, 0)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes: int, seed: int) -> list[tuple[bytes, int]]:
-    """Texts and labels, in hash order of the id; null labels, ids and texts aren't used.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes: int, seed: int) -> DataFrame:
+    """(text, label), in hash order of the id; null labels, ids and texts aren't used.
 
     A document with several labels counts with the highest.
     """
@@ -32,8 +34,27 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
     # The broadcast side has at most ``rows`` narrow rows.
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.octet_length("text") <= most_bytes)
     # Repeated ids can lengthen the join; the limit keeps the sample bounded.
-    found = sample.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "text").limit(rows).collect()
-    return [(encode(r["text"]), int(r["label"] > 0)) for r in found]
+    return sample.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "text").limit(rows).select("text", "label")
+
+
+def _example(text: str, label: int) -> tuple[bytes, int]:
+    return encode(text), int(label > 0)
+
+
+def training_sample(*args) -> list[tuple[bytes, int]]:
+    """``training_rows`` on the driver."""
+    return [_example(r["text"], r["label"]) for r in training_rows(*args).collect()]
+
+
+def fitted(fit: Callable[[list[tuple[bytes, int]]], Any], *args) -> Any:
+    """What ``fit`` makes of ``training_rows``, in the task that orders them: only the model comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = [_example(*row) for batch in batches for row in zip(batch["text"].to_pylist(), batch["label"].to_pylist())]
+        yield pa.record_batch({"model": pa.array([pickle.dumps(fit(sample))], pa.binary())})
+
+    made = training_rows(*args).mapInArrow(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else fit([])
 
 
 def score_documents(docs: DataFrame, score: Callable[[list[bytes]], np.ndarray], threshold: float) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.labelled import HOLD_OUT, training_sample
+from tessella.llm.labelled import HOLD_OUT, fitted
 from tessella.llm.text import encode, held_out
 
 TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -314,7 +314,7 @@ SCHEMA = "doc_id string, held_out boolean, score double, predicted int, spans ar
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, p: CrfParams = CrfParams(), threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted and offending spans for every row of docs(doc_id, text)."""
-    crf = Crf(p).fit(training_sample(docs, labels, "toxic", p.rows, p.most_bytes, p.seed))
+    crf = fitted(Crf(p).fit, docs, labels, "toxic", p.rows, p.most_bytes, p.seed)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -331,7 +331,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, p: CrfParams = CrfParams
 
 def without_toxic(docs: DataFrame, labels: DataFrame, p: CrfParams = CrfParams(), threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, that score under the threshold."""
-    crf = Crf(p).fit(training_sample(docs, labels, "toxic", p.rows, p.most_bytes, p.seed))
+    crf = fitted(Crf(p).fit, docs, labels, "toxic", p.rows, p.most_bytes, p.seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
