@@ -69,3 +69,19 @@ def test_two_tables(spark):
     assert (found.intensity == np.where(d2.min(1) < 25, v[d2.argmin(1)], 0)).all()
     ids = nearest(left, right, "nid", "mid", [], 5.0).collect()  # ids beyond 2**53 stay whole beside misses
     assert {r.nid: r.mid for r in ids} == {i: int(b.mid[d2[i].argmin()]) if d2[i].min() < 25 else None for i in range(200)}
+
+
+def test_dense_lattices_are_convolved(monkeypatch):
+    """On dense whole places sums and medians measure no pairs, whatever the blocks; places between whole numbers still do."""
+    monkeypatch.setattr(balls, "BLOCK", 160)
+    (qx, qy, _), (px, py, v) = scene(6000, 8, 230), scene(20000, 9, 250)
+    near = (qx[:, None] - px) ** 2 + (qy[:, None] - py) ** 2 <= 30.5**2
+    spans = balls._spans
+    monkeypatch.setattr(balls, "SITE", 0)
+    monkeypatch.setattr(balls, "_spans", None)
+    n, total, wave = balls.ball_sums(qx - 77, qy - 77, px - 77, py - 77, [None, v, np.cos(v)], 30.5)
+    assert (n == near.sum(1)).all() and (total == near @ v).all() and np.allclose(wave, near @ np.cos(v), rtol=0, atol=1e-9)
+    k = (n // 2 + 1).astype(int)
+    assert (balls.ball_kth(qx, qy, k, px, py, v, 30.5) == [np.sort(v[near[q]])[j - 1] for q, j in enumerate(k)]).all()
+    monkeypatch.setattr(balls, "_spans", spans)
+    assert (balls.ball_sums(qx + 0.5, qy, px + 0.5, py, [None], 30.5)[0] == n).all()
