@@ -26,7 +26,7 @@ row of its group (the ``by`` columns) and is made in one task for each group.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -38,11 +38,15 @@ from tessella.operators.graph import connected_components
 from tessella.scratch import Scratch
 
 #: Rows of either side that meet in one block.
-BLOCK = 2048
+BLOCK = 1 << 17
+#: Todo rows times rows of a group up to which they meet without tiles.
+MEET = 1 << 26
 #: Edges of a group that one task reduces or contracts; beyond, rounds and tiles do.
 MOST_EDGES = 1 << 20
-#: Tile width in radii.
-WIDE = 8.0
+#: Tile width in radii, and rows that a tile should have on average, over all groups, where radii are short.
+WIDE, FILL = 64.0, 20_000
+#: Pairs that are measured at once, and edges that a block holds before they are reduced.
+PAIRS, HELD = 1 << 19, 1 << 21
 #: Weights of zero count as this much.
 LEAST_WEIGHT = 1e-9
 
@@ -51,29 +55,29 @@ def _cell(c: str, edge: float) -> Column:
     return F.floor(F.col(c) / F.lit(edge)).cast("long")
 
 
-def _blocks(todo: DataFrame, points: DataFrame, r: float | None, key: str, by: Sequence[str], most: int) -> DataFrame:
+def _blocks(todo: DataFrame, points: DataFrame, r: float | None, key: str, by: Sequence[str], most: int, room: float = 0.0) -> DataFrame:
     """Todo rows (``_home``) and the points within r of their tile, dealt to blocks (by, _tx, _ty, _i, _j) of about ``most`` rows of each.
 
-    Without a radius the group is one tile: a few todo rows meet all points.
+    ``_parts``: the blocks that the tile's points are dealt to.  Without a radius the group is one tile: a few todo rows meet all points.
     """
     tile = [*by, "_tx", "_ty"]
     if r is None:
         home, around = (df.withColumns({c: F.lit(0).cast("long") for c in ("_tx", "_ty")}) for df in (todo, points))
     else:
-        edge, halo = WIDE * r, r * (1 + 1e-9)
+        edge, halo = max(WIDE * r, room), r * (1 + 1e-9)
         spread = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / edge).cast("long"), F.floor((F.col(c) + halo) / edge).cast("long")))
         home = todo.withColumns({"_tx": _cell("_x", edge), "_ty": _cell("_y", edge)})
         around = points.withColumn("_tx", spread("_x")).withColumn("_ty", spread("_y"))
     rows = F.ceil(F.col("n") / most).cast("int")
     ours = home.groupBy(*tile).agg(F.count(F.lit(1)).alias("n")).select(*tile, rows.alias("_ni"))
     near = around.join(ours.select(*tile), tile, "left_semi")
-    theirs = near.groupBy(*tile).agg(F.count(F.lit(1)).alias("n")).select(*tile, rows.alias("_nj"))
+    theirs = near.groupBy(*tile).agg(F.count(F.lit(1)).alias("n")).select(*tile, rows.alias("_parts"))
     size = ours.join(theirs, tile)
     deal = lambda n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    a = home.join(size, tile).withColumns({"_i": deal("_ni"), "_home": F.lit(True)}).withColumn("_j", all_of("_nj"))
-    b = near.join(size, tile).withColumns({"_j": deal("_nj"), "_home": F.lit(False)}).withColumn("_i", all_of("_ni"))
-    return a.unionByName(b).drop("_ni", "_nj")
+    a = home.join(size, tile).withColumns({"_i": deal("_ni"), "_home": F.lit(True)}).withColumn("_j", all_of("_parts"))
+    b = near.join(size, tile).withColumns({"_j": deal("_parts"), "_home": F.lit(False)}).withColumn("_i", all_of("_ni"))
+    return a.unionByName(b, allowMissingColumns=True)
 
 
 def _largest(df: DataFrame, by: Sequence[str]) -> int:
@@ -81,8 +85,74 @@ def _largest(df: DataFrame, by: Sequence[str]) -> int:
     return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
 
 
-def _reach(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
-    return np.sqrt((ax[:, None] - bx) ** 2 + (ay[:, None] - by) ** 2)
+def _ranges(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, lo, n): places b in an order by cells of r, and for each a the three ranges of it, (3, a), that hold all b within r."""
+    edge = r * (1 + 1e-9)
+    x0, y0 = min(ax.min(), bx.min()), min(ay.min(), by.min())
+    width = int((max(ax.max(), bx.max()) - x0) / edge) + 4
+    a, b = ((np.floor((y - y0) / edge).astype(np.int64) + 1) * width + np.floor((x - x0) / edge).astype(np.int64) + 1 for x, y in ((ax, ay), (bx, by)))
+    order = np.argsort(b, kind="stable")
+    ordered = b[order]
+    rows = [a + row * width for row in (-1, 0, 1)]
+    lo = np.stack([np.searchsorted(ordered, c - 1, "left") for c in rows])
+    return order, lo, np.stack([np.searchsorted(ordered, c + 1, "right") for c in rows]) - lo
+
+
+def _slices(n: np.ndarray) -> Iterator[slice]:
+    """Runs of rows that have about PAIRS pairs together."""
+    ends, at = np.cumsum(n), 0
+    while at < len(n):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        yield slice(at, stop)
+        at = stop
+
+
+def _spelled(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All places of ranges that begin at lo and have n, one range after the other."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+
+
+def _best(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, k: int, r: float) -> np.ndarray:
+    """(a, k): the k least distances of each a to places b, in order; infinite where less than k are within r."""
+    out = np.full((len(ax), k), np.inf)
+    if not len(bx) or not len(ax):
+        return out
+    if not np.isfinite(r):
+        r = max(float(np.hypot(max(ax.max(), bx.max()) - min(ax.min(), bx.min()), max(ay.max(), by.max()) - min(ay.min(), by.min()))) * (1 + 1e-9), LEAST_WEIGHT)
+    # The first radius suits the densest of a grid's cells; it doubles for those that stay open.
+    wide = max(float(np.ptp(bx)), float(np.ptp(by)), LEAST_WEIGHT)
+    grid = wide / max(1.0, np.sqrt(len(bx) / (4.0 * k)))
+    _, held = np.unique(np.floor((bx - bx.min()) / grid) * (len(bx) + 2) + np.floor((by - by.min()) / grid), return_counts=True)
+    rho, todo = min(r, max(grid * float(np.sqrt(k / held.max())), LEAST_WEIGHT)), np.arange(len(ax))
+    while len(todo):
+        order, lo, n = _ranges(ax[todo], ay[todo], bx, by, rho)
+        by_width = np.argsort(n.sum(axis=0), kind="stable")
+        todo, lo, n = todo[by_width], lo[:, by_width], n[:, by_width]
+        total, done = n.sum(axis=0), np.zeros(len(todo), bool)
+        for s in _slices(np.maximum(total, 1)):
+            m, i = total[s], todo[s]
+            j = order[_spelled(lo[:, s].T.ravel(), n[:, s].T.ravel())]
+            row = np.repeat(np.arange(len(m)), m)
+            d = np.full((len(m), max(int(m.max()), k)), np.inf)
+            d[row, np.arange(len(j)) - np.repeat(np.cumsum(m) - m, m)] = np.sqrt((ax[i][row] - bx[j]) ** 2 + (ay[i][row] - by[j]) ** 2)
+            best = np.sort(np.partition(d, k - 1, axis=1)[:, :k], axis=1)
+            best[best > rho] = np.inf
+            out[i], done[s] = best, np.isfinite(best[:, -1])
+        todo = todo[~done]
+        if rho >= r:
+            return out
+        rho = min(2 * rho, r)
+    return out
+
+
+def _places(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of each point in its place, from 0; number of its place)."""
+    order = np.lexsort((y, x))
+    new = np.r_[True, (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])] if len(x) else np.zeros(0, bool)
+    rank, place, first = np.empty(len(x), np.int64), np.empty(len(x), np.int64), np.flatnonzero(new)
+    number = np.cumsum(new) - 1
+    rank[order], place[order] = np.arange(len(x)) - first[number], number
+    return rank, place
 
 
 def core_distances(points: DataFrame, k: int, key: str, by: Sequence[str], scratch: Scratch, most: int = BLOCK) -> DataFrame:
@@ -94,72 +164,175 @@ def core_distances(points: DataFrame, k: int, key: str, by: Sequence[str], scrat
     densest = points.groupBy(*by, _cell("_x", grid), _cell("_y", grid)).count().agg(F.max("count")).first()[0] or 1
     r = max(grid * float(np.sqrt(2.0 * k / densest)), LEAST_WEIGHT)
     sizes = points.groupBy(*by).agg(F.least(F.lit(k), F.count(F.lit(1)) - 1).cast("int").alias("_k"))
-    sized = scratch.write(points.join(sizes, list(by)).select(*points.columns, "_k"), "core-sized")
+    group = _largest(points, by)
+    sized = points.join(sizes, list(by)).select(*points.columns, "_k")
     todo, done, step = sized.where("_k > 0"), sized.where("_k = 0").drop("_k").withColumn("_core", F.lit(0.0)), 0
-    fields = T.StructType([points.schema[key], T.StructField("_d", T.ArrayType(T.DoubleType()))])
+    names = points.columns
+    schema = T.StructType([*points.schema.fields, T.StructField("_k", T.IntegerType()), T.StructField("_parts", T.IntegerType()), T.StructField("_d", T.ArrayType(T.DoubleType()))])
 
-    def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        mine = g["_home"].to_numpy(bool)
-        a, b = g[mine], g[~mine]
-        d = _reach(a["_x"].to_numpy(), a["_y"].to_numpy(), b["_x"].to_numpy(), b["_y"].to_numpy())
-        d[a[key].to_numpy()[:, None] == b[key].to_numpy()] = np.inf
-        n = min(k, d.shape[1])
-        best = np.sort(np.partition(d, n - 1, axis=1)[:, :n], axis=1) if n else d
-        return pd.DataFrame({key: a[key].to_numpy(), "_d": [x[np.isfinite(x)] for x in best]})
+    def kernel(radius: float):
+        def best_of(g: pd.DataFrame) -> pd.DataFrame:
+            mine = g["_home"].to_numpy(bool)
+            a, b = g[mine], g[~mine]
+            if not len(a):
+                return pd.DataFrame({c: g[c][:0] for c in (*names, "_k", "_parts")} | {"_d": []})
+            x, y, bx, by_ = a["_x"].to_numpy(), a["_y"].to_numpy(), b["_x"].to_numpy(), b["_y"].to_numpy()
+            n, whole = int(a["_k"].iloc[0]) + 1, int(a["_parts"].iloc[0]) == 1  # with the point itself, at 0
+            first, place = _places(x, y)
+            few = _places(bx, by_)[0] < n  # more points of one place change nothing
+            one_each = first == 0
+            best = np.empty((int(place.max()) + 1, n))
+            best[place[one_each]] = _best(x[one_each], y[one_each], bx[few], by_[few], n, radius)
+            best = best[place]
+            found = [[v] if np.isfinite(v) else [] for v in best[:, -1].tolist()] if whole else [v[np.isfinite(v)].tolist() for v in best]
+            return a[[*names, "_k", "_parts"]].assign(_d=found)
+
+        return best_of
 
     while left := _largest(todo, by):
-        last = left <= most  # few enough to meet all points
-        met = _blocks(todo.select(key, *by, "_x", "_y"), points, None if last else r, key, by, most)
-        near = met.groupBy(*by, "_tx", "_ty", "_i", "_j").applyInPandas(kernel, fields)
-        found = near.groupBy(key).agg(F.sort_array(F.flatten(F.collect_list("_d"))).alias("_d"))
-        reached = todo.join(found, key).withColumn("_core", F.try_element_at("_d", F.col("_k")))
-        settled = scratch.write((reached if last else reached.where(F.col("_core") <= r)).select(*points.columns, "_core"), f"core-{step}")
-        done = done.unionByName(settled)
+        last = r > 2 * wide or left * group <= MEET  # few enough to meet all points
+        near = points if last or not step else _within_cells(points, todo, r, by)
+        met = _blocks(todo, near, None if last else r, key, by, most)
+        found = scratch.write(met.groupBy(*by, "_tx", "_ty", "_i", "_j").applyInPandas(kernel(np.inf if last else r), schema), f"core-found-{step}")
+        whole = found.where("_parts = 1").select(*names, "_k", F.try_element_at("_d", F.lit(1)).alias("_core"))
+        parts = found.where("_parts > 1").groupBy(*names, "_k").agg(F.sort_array(F.flatten(F.collect_list("_d"))).alias("_d"))
+        reached = whole.unionByName(parts.select(*names, "_k", F.try_element_at("_d", F.col("_k") + 1).alias("_core")))
+        done = done.unionByName(reached.where("_core is not null").drop("_k"))
         if last:
             return done
-        todo = scratch.write(todo.join(settled.select(key), key, "left_anti"), f"core-todo-{step + 1}")
+        todo = scratch.write(reached.where("_core is null").drop("_core"), f"core-todo-{step + 1}")
         r, step = 2 * r, step + 1
     return done
 
 
+def _within_cells(points: DataFrame, todo: DataFrame, r: float, by: Sequence[str]) -> DataFrame:
+    """The points in the cells of r around todo rows, which hold all within r of them."""
+    edge, around = r * (1 + 1e-9), F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    cells = todo.select(*by, _cell("_x", edge).alias("_cx"), _cell("_y", edge).alias("_cy")).distinct().withColumn("_dx", around).withColumn("_dy", around)
+    near = cells.select(*by, (F.col("_cx") + F.col("_dx")).alias("_cx"), (F.col("_cy") + F.col("_dy")).alias("_cy")).distinct()
+    return points.withColumns({"_cx": _cell("_x", edge), "_cy": _cell("_y", edge)}).join(near, [*by, "_cx", "_cy"], "left_semi").drop("_cx", "_cy")
+
+
 # -- the minimum spanning tree
 
 
-def _forest(weight: np.ndarray, rows: np.ndarray, columns: np.ndarray, names: int) -> list[tuple[int, int]]:
-    """Cells of the minimum spanning forest of a matrix of edges between labelled rows and columns, both in key order.
+def _boruvka(edges: np.ndarray, ca: np.ndarray, cb: np.ndarray, label: np.ndarray, chooses: np.ndarray | None = None) -> np.ndarray:
+    """Of edges in ascending order between labels ca and cb those of the minimum spanning forest; ``label`` becomes the label of each label's tree.
 
-    Infinite cells are no edges.  Each round takes the least edge of every label; ties go by the row's and column's places in key order.
+    With ``chooses`` only labels of trees whose labels all choose take their least edge; the others are joined by those that do.
     """
-    label = np.arange(names)
-    out: list[tuple[int, int]] = []
-    low, high = np.minimum.outer(rows[1], columns[1]), np.maximum.outer(rows[1], columns[1])
-    weight = weight.copy()
+    kept, n = [], len(label)
+    free = np.ones(n, bool) if chooses is None else chooses.copy()
+    ca, cb = label[ca], label[cb]
     while True:
-        la, lb = label[rows[0]], label[columns[0]]
-        weight[la[:, None] == lb] = np.inf
-        i, j = np.arange(len(la)), weight.argmin(axis=1)  # the first of equals has the smaller key, as columns are in order
-        jj, ii = np.arange(len(lb)), weight.argmin(axis=0)
-        i, j, own = np.r_[i, ii], np.r_[j, jj], np.r_[la, lb]
-        w = weight[i, j]
-        ok = np.isfinite(w)
-        if not ok.any():
-            return out
-        i, j, own, w = i[ok], j[ok], own[ok], w[ok]
-        order = np.lexsort((high[i, j], low[i, j], w, own))
-        first = order[np.r_[True, own[order][1:] != own[order][:-1]]]
-        for a, b in {(int(x), int(y)) for x, y in zip(i[first], j[first])}:
-            x, y = _root(label, rows[0][a]), _root(label, columns[0][b])
-            if x != y:
-                label[max(x, y)] = min(x, y)
-                out.append((a, b))
-        while (label != label[label]).any():
-            label = label[label]
-
-
-def _root(label: np.ndarray, x: int) -> int:
-    while label[x] != x:
-        x = label[x]
-    return int(x)
+        live = ca != cb
+        if chooses is not None:
+            live &= free[ca] | free[cb]
+        edges, ca, cb = edges[live], ca[live], cb[live]
+        if not len(edges):
+            return np.concatenate(kept) if kept else edges
+        at = np.arange(len(edges))
+        best = np.full(n, len(edges))
+        other = np.full(n, len(edges))
+        best[ca[::-1]], other[cb[::-1]] = at[::-1], at[::-1]  # the last of a label is its first edge
+        best = np.minimum(best, other)
+        who = np.flatnonzero((best < len(edges)) & free)
+        take = best[who]
+        to = np.arange(n)
+        to[who] = ca[take] + cb[take] - who
+        both = who[(to[to[who]] == who) & (who < to[who])]  # two that take the same edge
+        to[both] = both
+        while True:
+            further = to[to]
+            if (further == to).all():
+                break
+            to = further
+        kept.append(edges[np.unique(take)])
+        if chooses is not None:
+            bound = np.zeros(n, bool)
+            bound[to[~free]] = True
+            free = ~bound[to]
+        label[:] = to[label]
+        ca, cb = to[ca], to[cb]
+
+
+def _pair_slices(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, r: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, d) of a and b in cells of r that touch, a slice at a time."""
+    order, lo, n = _ranges(ax, ay, bx, by, r)
+    for s in _slices(n.sum(axis=0)):
+        i = np.repeat(np.arange(s.start, s.stop), n[:, s].sum(axis=0))
+        j = order[_spelled(lo[:, s].T.ravel(), n[:, s].T.ravel())]
+        yield i, j, np.sqrt((ax[i] - bx[j]) ** 2 + (ay[i] - by[j]) ** 2)
+
+
+def _open(x: np.ndarray, y: np.ndarray, comp: np.ndarray, r: float) -> np.ndarray:
+    """Points that may have one of another component within r: cells of r whose neighbours hold one component drop out."""
+    edge = r * (1 + 1e-9)
+    cx, cy = (np.floor((c - c.min()) / edge).astype(np.int64) + 1 for c in (x, y))
+    width = int(cx.max()) + 2
+    cells, at = np.unique(cy * width + cx, return_inverse=True)
+    low, high = np.full(len(cells), len(comp)), np.full(len(cells), -1)
+    np.minimum.at(low, at, comp)
+    np.maximum.at(high, at, comp)
+    least, most = low.copy(), high.copy()
+    for o in (dy * width + dx for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy):
+        k = np.minimum(np.searchsorted(cells, cells + o), len(cells) - 1)
+        there = cells[k] == cells + o
+        least[there] = np.minimum(least[there], low[k[there]])
+        most[there] = np.maximum(most[there], high[k[there]])
+    return (least < most)[at]
+
+
+def _tile_forest(x: np.ndarray, y: np.ndarray, core: np.ndarray, comp: np.ndarray, mine: np.ndarray, near: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, w): the minimum spanning forest of the edges of up to r between points ``mine`` and ``near``, of points in key order with components ``comp``.
+
+    A radius doubles up to r; points that have no other component in reach drop out between.
+    """
+    label, n = np.arange(int(comp.max()) + 1), len(x)
+    is_mine, is_near = np.zeros(n, bool), np.zeros(n, bool)
+    is_mine[mine], is_near[near] = True, True
+    some = core[mine]
+    if not np.isfinite(r):
+        r = max(float(np.hypot(np.ptp(x), np.ptp(y))), float(core.max()), LEAST_WEIGHT) * (1 + 1e-9)
+    # Cells of the first radius can be numbered, however far the points lie apart.
+    wx, wy = float(np.ptp(x)), float(np.ptp(y))
+    rho, live, out = min(r, max(float(np.quantile(some, 0.25)), np.sqrt(wx * wy / n) / 4, 2.0**-20 * max(wx, wy), LEAST_WEIGHT)), np.ones(n, bool), []
+    while True:
+        use = live & (core <= rho)
+        a, b = np.flatnonzero(use & is_mine), np.flatnonzero(use & is_near)
+        held, many = [], 0
+
+        def reduced() -> list:
+            i, j, w = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((j, i, w))
+            i, j, w = i[order], j[order], w[order]
+            kept = np.sort(_boruvka(np.arange(len(i)), comp[i], comp[j], label.copy()))
+            return [(i[kept], j[kept], w[kept])]
+
+        if len(a) and len(b):
+            for i, j, d in _pair_slices(x[a], y[a], x[b], y[b], rho):
+                i, j = a[i], b[j]
+                w = np.maximum(np.maximum(d, core[i]), core[j])
+                ok = (label[comp[i]] != label[comp[j]]) & (w <= rho) & ~((j < i) & is_mine[j] & is_near[i])
+                if ok.any():
+                    held.append((np.minimum(i, j)[ok], np.maximum(i, j)[ok], w[ok]))
+                    many += int(ok.sum())
+                    if many > HELD:
+                        held = reduced()
+                        many = len(held[0][0])
+        if held:
+            held = reduced()
+            i, j, w = held[0]
+            _boruvka(np.arange(len(i)), comp[i], comp[j], label)
+            out += held
+        if rho >= r:
+            break
+        rho = min(2 * rho, r)
+        live = _open(x, y, label[comp], rho)
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    i, j, w = (np.concatenate(c) for c in zip(*out))
+    return i, j, w
 
 
 def kruskal(edges: pd.DataFrame) -> pd.DataFrame:
@@ -206,63 +379,98 @@ def _spanning(edges: DataFrame, by: Sequence[str], scratch: Scratch, label: str,
 
 def reachability_tree(points: DataFrame, key: str, by: Sequence[str], scratch: Scratch, most: int = BLOCK, most_edges: int = MOST_EDGES) -> DataFrame:
     """(by, a, b, w): the minimum spanning tree of each group of points(key, by, _x, _y, _core) under mutual reachability."""
-    points = points.withColumn("_comp", F.col(key))
     none = points.limit(0).select(*by, F.col(key).alias("a"), F.col(key).alias("b"), F.col("_core").alias("w"))
     one = points.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y"), F.expr("percentile_approx(_core, 0.5)").alias("r")).first()
     if one["r"] is None:
         return none
-    r, step, tree = max(one["r"], 1e-6 * max(one[1] - one[0], one[3] - one[2]), LEAST_WEIGHT), 0, none
-    kinds = [points.schema[c] for c in by]
-    edge = T.StructType([*kinds, *[T.StructField(c, points.schema[key].dataType) for c in ("a", "b")], T.StructField("w", T.DoubleType()), *[T.StructField(c, points.schema[key].dataType) for c in ("ca", "cb")]])
+    # A place's points hang on the one with the least core: whatever another one reaches, that one reaches at no greater weight.
+    first = F.min(F.struct("_core", key))
+    at = points.groupBy(*by, "_x", "_y").agg(first.alias("_first"), F.count(F.lit(1)).alias("_n"))
+    stars = points.join(at.where("_n > 1"), [*by, "_x", "_y"]).where(F.col(key) != F.col(f"_first.{key}")).select(*by, F.col(f"_first.{key}").alias("a"), F.col(key).alias("b"), F.col("_core").alias("w"))
+    points = scratch.write(at.select(F.col(f"_first.{key}").alias(key), *by, "_x", "_y", F.col("_first._core").alias("_core"), F.col(f"_first.{key}").alias("_comp")), "tree-places")
+    wide, n = max(one[1] - one[0], one[3] - one[2]), max(1, points.count())
+    area = max(one[1] - one[0], 1e-6 * wide) * max(one[3] - one[2], 1e-6 * wide)
+    spacing, room = float(np.sqrt(area / n)), float(np.sqrt(FILL * area / n))
+    r, step, tree, group = max(one["r"], spacing, LEAST_WEIGHT), 0, none.unionByName(scratch.write(stars, "tree-stars")), _largest(points, by)
+    kind = points.schema[key].dataType
+    edge = T.StructType([*[points.schema[c] for c in by], T.StructField("what", T.IntegerType()), *[T.StructField(c, kind) for c in ("a", "b")], T.StructField("w", T.DoubleType()), *[T.StructField(c, kind) for c in ("ca", "cb")]])
 
-    def kernel(radius: float | None):
+    def kernel(radius: float):
         def forest_of(g: pd.DataFrame) -> pd.DataFrame:
-            g = g.sort_values(key, kind="stable")
-            mine = g["_home"].to_numpy(bool)
-            a, b = g[mine], g[~mine]
-            w = np.maximum(np.maximum(_reach(a["_x"].to_numpy(), a["_y"].to_numpy(), b["_x"].to_numpy(), b["_y"].to_numpy()), a["_core"].to_numpy()[:, None]), b["_core"].to_numpy())
-            if radius is not None:
-                w[w > radius] = np.inf
-            names, comp = np.unique(np.concatenate([a["_comp"], b["_comp"]]), return_inverse=True)
-            _, place = np.unique(np.concatenate([a[key], b[key]]), return_inverse=True)
-            cells = _forest(w, np.stack([comp[: len(a)], place[: len(a)]]), np.stack([comp[len(a) :], place[len(a) :]]), len(names))
-            i, j = np.array([c[0] for c in cells], int), np.array([c[1] for c in cells], int)
-            out = {c: np.full(len(i), g[c].iloc[0], object) for c in by}
-            return pd.DataFrame(out | {"a": a[key].to_numpy()[i], "b": b[key].to_numpy()[j], "w": w[i, j], "ca": a["_comp"].to_numpy()[i], "cb": b["_comp"].to_numpy()[j]})
+            """Rows 0: component ca is part of cb now; 1: a, b is an edge of the tree; 2: an edge that others must be held against."""
+            names, at, nth = np.unique(g[key].to_numpy(), return_index=True, return_inverse=True)
+            x, y, core = (g[c].to_numpy()[at] for c in ("_x", "_y", "_core"))
+            comps, comp = np.unique(g["_comp"].to_numpy()[at], return_inverse=True)
+            home = g["_home"].to_numpy(bool)
+            if home.all() or not home.any():
+                return pd.DataFrame({f.name: np.zeros(0, object) for f in edge})
+            mine, near = np.unique(nth[home]), np.unique(nth[~home])
+            i, j, w = _tile_forest(x, y, core, comp, mine, near, radius)
+            order = np.lexsort((j, i, w))
+            i, j, w = i[order], j[order], w[order]
+            label, sure = np.arange(len(comps)), np.zeros(len(i), bool)
+            if int(g["_parts"].iloc[0]) == 1:
+                # All edges of the tile's points are here: a component that lies whole in it has its least edge in the tree.
+                inside = np.zeros(len(names), bool)
+                inside[mine] = True
+                size = np.zeros(len(comps), np.int64)
+                size[comp] = g["_size"].to_numpy()[at]
+                whole = np.bincount(comp[mine], minlength=len(comps)) == size
+                sure[_boruvka(np.arange(len(i)), comp[i], comp[j], label, whole)] = True
+                sure &= inside[i] & inside[j]
+                label = np.arange(len(comps))
+                _boruvka(np.arange(int(sure.sum())), comp[i[sure]], comp[j[sure]], label)
+                # A tree of them has one component at most that isn't whole, and its name.
+                name = np.full(len(comps), len(comps))
+                np.minimum.at(name, label, np.arange(len(comps)))
+                name[label[~whole]] = np.flatnonzero(~whole)
+                label = name[label]
+            moved, left = np.flatnonzero(label != np.arange(len(comps))), ~sure
+            parts = [(0, comps[moved], comps[label[moved]], np.nan, comps[moved], comps[label[moved]])]
+            parts += [(what, names[i[s]], names[j[s]], w[s], comps[label[comp[i[s]]]], comps[label[comp[j[s]]]]) for what, s in ((1, sure), (2, left))]
+            out = pd.concat([pd.DataFrame(dict(zip(("a", "b", "w", "ca", "cb"), p[1:]))).assign(what=p[0]) for p in parts], ignore_index=True)
+            return out.assign(**{c: g[c].iloc[0] for c in by})[edge.names]
 
         return forest_of
 
     while True:
-        sizes = points.groupBy(*by, "_comp").count()
+        sizes = points.groupBy(*by, "_comp").agg(F.count(F.lit(1)).alias("_size"))
         # All but the points of each group's largest component; of equals the one with the largest key.
-        lead = sizes.groupBy(*by).agg(F.max_by("_comp", F.struct("count", "_comp")).alias("_lead"))
+        lead = sizes.groupBy(*by).agg(F.max_by("_comp", F.struct("_size", "_comp")).alias("_lead"))
         rest = points.join(lead, list(by)).where("_comp <> _lead").select(*points.columns)
         left = _largest(rest, by)
         if not left:
             return tree
-        last = left <= most  # few enough to meet all points
-        todo = rest if last else scratch.write(_meeting(points, r, key, by), f"tree-todo-{step}")
-        met = _blocks(todo, points if last else todo, None if last else r, key, by, most)
-        found = scratch.write(met.groupBy(*by, "_tx", "_ty", "_i", "_j").applyInPandas(kernel(None if last else r), edge), f"tree-found-{step}")
-        kept = _spanning(found, by, scratch, f"tree-{step}", most_edges)
-        tree = tree.unionByName(kept.select(*by, "a", "b", "w"))
+        last = r > 2 * wide or left * group <= MEET  # few enough to meet all points
+        # Points whose core is beyond r have no edge of up to r.
+        able = points.where(F.col("_core") <= r)
+        todo = rest if last else able if not step else scratch.write(_meeting(able, r, by), f"tree-todo-{step}")
+        with_size = todo.withColumn("_size", F.lit(1).cast("long")) if not step else todo.join(sizes, [*by, "_comp"])
+        met = _blocks(with_size, points.withColumn("_size", F.lit(0).cast("long")) if last else with_size, None if last else r, key, by, most, room)
+        if last:  # the lead's points meet no one here, so no component's edges are all at hand
+            met = met.withColumn("_parts", F.lit(2))
+        got = scratch.write(met.groupBy(*by, "_tx", "_ty", "_i", "_j").applyInPandas(kernel(np.inf if last else r), edge), f"tree-found-{step}")
+        moved = got.where("what = 0").select(F.col("ca").alias("_comp"), F.col("cb").alias("_to"))
+        renamed = lambda df, c: df.join(moved.select(F.col("_comp").alias(c), "_to"), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+        open_ = renamed(renamed(got.where("what = 2"), "ca"), "cb").where("ca <> cb").select(*by, "a", "b", "w", "ca", "cb")
+        kept = _spanning(scratch.write(open_, f"tree-open-{step}"), by, scratch, f"tree-{step}", most_edges)
+        tree = tree.unionByName(got.where("what = 1").select(*by, "a", "b", "w")).unionByName(kept.select(*by, "a", "b", "w"))
         if last:
             return tree
-        comp = connected_components(kept.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch, f"tree-comps-{step}")
-        named = points.join(comp.select(F.col("id").alias("_comp"), F.col("comp").alias("_to")), "_comp", "left").withColumn("_comp", F.coalesce("_to", "_comp"))
+        comp = connected_components(kept.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch, f"tree-comps-{step}").select(F.col("id").alias("_comp"), F.col("comp").alias("_to"))
+        named = renamed(points, "_comp").join(comp, "_comp", "left").withColumn("_comp", F.coalesce("_to", "_comp"))
         points = scratch.write(named.select(key, *by, "_x", "_y", "_core", "_comp"), f"tree-points-{step}")
         r, step = 2 * r, step + 1
 
 
-def _meeting(points: DataFrame, r: float, key: str, by: Sequence[str]) -> DataFrame:
-    """Points that may have another component's point within r: by occupied cells of r / 4, of which those of a component's inside drop out."""
-    edge, cell = r / 4, [*by, "_cx", "_cy"]
+def _meeting(points: DataFrame, r: float, by: Sequence[str]) -> DataFrame:
+    """Points that may have another component's point within r: by occupied cells of r, of which those of a component's inside drop out."""
+    edge, cell = r * (1 + 1e-9), [*by, "_cx", "_cy"]
     placed = points.withColumns({"_cx": _cell("_x", edge), "_cy": _cell("_y", edge)})
-    held = placed.select(*cell, "_comp").groupBy(*cell).agg(F.min("_comp").alias("lo"), F.max("_comp").alias("hi"))
-    reach = F.explode(F.sequence(F.lit(-5), F.lit(5)))
-    around = held.withColumn("_dx", reach).withColumn("_dy", reach).select(*by, (F.col("_cx") + F.col("_dx")).alias("_cx"), (F.col("_cy") + F.col("_dy")).alias("_cy"), "lo", "hi")
-    mixed = around.groupBy(*cell).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select(*cell)
-    return placed.join(mixed, cell, "left_semi").select(*points.columns)
+    mixed = placed.groupBy(*cell).agg(F.min("_comp").alias("lo"), F.max("_comp").alias("hi"))
+    for c in ("_cx", "_cy"):
+        mixed = mixed.withColumn("_d", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(c, F.col(c) + F.col("_d")).groupBy(*cell).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return placed.join(mixed.where("lo <> hi").select(*cell), cell, "left_semi").select(*points.columns)
 
 
 # -- contraction to the merges of large components
@@ -339,7 +547,7 @@ def contracted(tree: DataFrame, points: DataFrame, least: int, key: str, by: Seq
     joined, merges, step = [], [], 0
     one = points.agg(F.count(F.lit(1)).alias("n"), F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
     far = max(one[2] - one[1], one[4] - one[3], LEAST_WEIGHT) if one["n"] else 1.0
-    tiles = max(1, int(np.ceil(np.sqrt(_largest(edges, by) / most_edges))))
+    tiles = max(1, int(np.ceil(np.sqrt(8 * _largest(edges, by) / most_edges))))  # an eighth of it a tile, so that tasks are many
 
     def kernel(key_: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         if not len(n):

@@ -136,3 +136,44 @@ def test_the_tree_is_minimal_and_spans(spark):
         total += best.pop(i)
         best = {j: min(v, m[i, j]) for j, v in best.items()}
     assert abs(sum(m[a, b] for a, b in trees[0]) - total) < 1e-9
+
+
+def test_tiles_give_a_minimal_tree(spark, monkeypatch):
+    """Without the shortcut of small groups: tiles contract what is sure, and only the rest is left to a group's task."""
+    for name, value in (("MEET", 0), ("WIDE", 6.0), ("FILL", 20)):
+        monkeypatch.setattr(density, name, value)
+    xy = np.concatenate([np.random.default_rng(7).uniform(0, 40, (200, 2)), np.tile([20.0, 20.0], (30, 1))])
+    core = np.r_[0.5 * (np.arange(200) % 3), np.full(30, 0.25)]
+    df = spark.createDataFrame([(i, 0, float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(xy, core))], "id long, g int, _x double, _y double, _core double")
+    found = density.reachability_tree(df, "id", ["g"], Scratch(spark, "tree")).collect()
+    m = np.maximum(np.maximum(np.sqrt(((xy[:, None] - xy) ** 2).sum(-1)), core[:, None]), core)
+    best, want = dict(enumerate(m[0][1:], 1)), []
+    while best:
+        i = min(best, key=best.get)
+        want.append(best.pop(i))
+        best = {j: min(v, m[i, j]) for j, v in best.items()}
+    assert len({(r.a, r.b) for r in found}) == len(found) == 229 and np.allclose(sorted(r.w for r in found), sorted(want))
+    assert all(abs(r.w - m[r.a, r.b]) < 1e-9 for r in found)
+
+
+def test_tiles_leave_few_edges_open():
+    """A tile's own edges are settled in it; before, every tile's whole forest went on to the group's task."""
+    xy = np.random.default_rng(9).uniform(0, 100, (4000, 2))
+    n, x, y = len(xy), *xy.T
+    mine, core = np.flatnonzero((x > 10) & (x < 90) & (y > 10) & (y < 90)), np.full(len(xy), 1.0)
+    i, j, w = density._tile_forest(x, y, core, np.arange(n), mine, np.arange(n), 4.0)
+    order = np.lexsort((j, i, w))
+    i, j = i[order], j[order]
+    whole = np.zeros(n, bool)
+    whole[mine] = True
+    sure = density._boruvka(np.arange(len(i)), i, j, np.arange(n), whole)
+    assert len(i) - (whole[i[sure]] & whole[j[sure]]).sum() < len(i) / 3
+
+
+def test_best_distances_with_repeated_places():
+    rng = np.random.default_rng(10)
+    xy = np.concatenate([rng.integers(0, 9, (200, 2)), rng.uniform(0, 300, (100, 2))]).astype(float)
+    d = np.sort(np.sqrt(((xy[:, None] - xy) ** 2).sum(-1)), axis=1)[:, :6]
+    got = density._best(*xy.T, *xy.T, 6, 25.0)
+    reach = d[:, -1] <= 25.0
+    assert np.array_equal(got[reach], d[reach]) and not np.isfinite(got[~reach, -1]).any() and 0 < reach.sum() < 300
