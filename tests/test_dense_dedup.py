@@ -77,3 +77,14 @@ def test_pairs_by_edges(spark, monkeypatch):
     monkeypatch.setattr(dedup, "WIDER", 0)
     got = dedup.pair_dedup(spark.createDataFrame(p), 40.0, 0.8, "nid", "area", [], Scratch(spark, "t")).toPandas()
     assert set(got.nid) == visited(p.x.to_numpy(), p.y.to_numpy(), p.area.to_numpy(), 40.0, 0.8)
+
+
+def test_few_that_stand_are_joined_without_a_shuffle(spark):
+    """The points with all their columns aren't shuffled for the last join, and a row without a place or key stays."""
+    from tessella.operators.dedup import nms_dedup
+    from tessella.scratch import Scratch
+
+    df = spark.range(400).selectExpr("nullif(id, 7) id", "0 g", "cast(if(id = 7, null, id % 20) as double) x", "cast(id div 20 as double) y", "id % 13 area")
+    out = nms_dedup(df, 100.0, "id", "area", ["g"], Scratch(spark, "few"))
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id is None, r.area) for r in out.collect()) == [(False, 12), (True, 7)]
