@@ -477,21 +477,23 @@ def patch_intensity(points: DataFrame, image: DataFrame, v: str, key: str, radiu
     """Around each point: mean, maximum, deviation and positive share within ``radius``; mean and share of the ring out to ``outer``.
 
     Points and pixels meet on square blocks of the largest outer radius ``most``; a point asks for the blocks that its ring touches.
+    Points with the same centre and radii ask once, so what meets and is summed follows from the places, not from the points.
     """
     block = lambda c: F.floor(c / most)
     cover = lambda c: F.explode(F.sequence(block(F.col(c) - F.col(outer)), block(F.col(c) + F.col(outer))))
-    asked = points.select(key, *by, "cx", "cy", radius, outer).withColumn("_bx", cover("cx")).withColumn("_by", cover("cy"))
+    place = list(dict.fromkeys([*by, "cx", "cy", radius, outer]))
+    asked = points.select(*place).distinct().withColumn("_bx", cover("cx")).withColumn("_by", cover("cy"))
     px = image.select(*by, "px", "py", v, block(F.col("px")).alias("_bx"), block(F.col("py")).alias("_by"))
     d2 = (F.col("px") - F.col("cx")) * (F.col("px") - F.col("cx")) + (F.col("py") - F.col("cy")) * (F.col("py") - F.col("cy"))
     near = asked.join(px, [*by, "_bx", "_by"]).withColumn("_d2", d2).where(F.col("_d2") <= F.col(outer) * F.col(outer))
     inside = F.col("_d2") <= F.col(radius) * F.col(radius)
     own, ring, hit = F.when(inside, F.col(v)), F.when(~inside, F.col(v)), (F.col(v) > threshold).cast("int")
-    found = near.groupBy(key).agg(
+    found = near.groupBy(*place).agg(
         F.avg(own).alias("marker_intensity_mean"), F.max(own).alias("marker_intensity_max"), F.stddev_pop(own).alias("marker_intensity_std"),
         F.avg(F.when(inside, hit)).alias("marker_positive_area_fraction"), F.avg(ring).alias("perinuclear_intensity_mean"), F.avg(F.when(~inside, hit)).alias("perinuclear_positive_fraction"),
     )
-    names = [c for c in found.columns if c != key]
-    return points.select(key).join(found, key, "left").select(key, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
+    names = [c for c in found.columns if c not in place]
+    return points.select(key, *[c for c in place if c != key]).join(found, place, "left").select(key, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
 
 
 def filament_table(comps: DataFrame, by: Sequence[str], mpp: float, least: int = 20) -> DataFrame:
