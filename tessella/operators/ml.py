@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -156,6 +157,40 @@ def _nearest(x: Column, centres: np.ndarray, labels: np.ndarray) -> Column:
     return assign(x)
 
 
+def _by_group(batch: pa.RecordBatch, cluster: str, width: int) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
+    """(cluster, places, vectors) of a batch's rows of each cluster, without a Python object for each number."""
+    x = batch["_a"].flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    code = batch[cluster].dictionary_encode()
+    at = code.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(at, kind="stable")
+    for c, own in zip(code.dictionary.to_pylist(), np.split(order, np.cumsum(np.bincount(at, minlength=len(code.dictionary)))[:-1])):
+        yield c, own, x[own]
+
+
+def _distances(x: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    return np.stack([((x - g) ** 2).sum(axis=1) for g in grid], axis=1)
+
+
+def _sub_sums(batches: Iterator[pa.RecordBatch], cluster: str, width: int, centres: dict, only: set) -> Iterator[pa.RecordBatch]:
+    """One row of counts and sums for each sub-cluster that a task's rows have."""
+    sums: dict = {}
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(cluster).type
+        for c, _, x in _by_group(batch, cluster, width):
+            if c in only:
+                k = len(centres[c])
+                own = _distances(x, centres[c]).argmin(axis=1)
+                n, s = sums.setdefault(c, (np.zeros(k, np.int64), np.zeros((k, width))))
+                n += np.bincount(own, minlength=k)
+                for j in range(k):
+                    s[j] += x[own == j].sum(axis=0)
+    rows = [(c, j, n[j], s[j]) for c, (n, s) in sums.items() for j in range(len(n)) if n[j]]
+    if rows:
+        c, j, n, s = zip(*rows)
+        yield pa.record_batch({cluster: pa.array(c, kind), "_j": pa.array(j, pa.int32()), "_n": pa.array(n, pa.int64())} | {f"_s{i}": v for i, v in enumerate(np.array(s).T.copy())})
+
+
 def hierarchical_labels(df: DataFrame, columns: Sequence[str], cluster: str, key: str, most: int = 4, seed: int = 42, rounds: int = 50) -> DataFrame:
     """(key, cluster_hierarchical): each cluster's rows in at most four sub-clusters, as ``3b``; clusters under ``most`` rows are all ``a``.
 
@@ -164,34 +199,30 @@ def hierarchical_labels(df: DataFrame, columns: Sequence[str], cluster: str, key
     """
     spark, width = df.sparkSession, len(columns)
     scratch = Scratch(spark, "hierarchy")
-    data = scratch.write(assemble(df, columns, "_x").where(F.col(cluster).isNotNull()).select(key, cluster, vector_to_array("_x").alias("_a")), "rows")
+    data = scratch.write(assemble(df, columns, "_x").where(F.col(cluster).isNotNull()).select(key, cluster, vector_to_array("_x").alias("_a")).repartition(key), "rows")  # dealt anew, as a task reads a row group whole
     kind, out = df.schema[cluster], T.ArrayType(T.DoubleType())
     draws = T.StructType([kind, T.StructField("_e", T.DoubleType()), T.StructField("_a", out), T.StructField("_n", T.LongType())])
     sums = T.StructType([kind, T.StructField("_j", T.IntegerType()), T.StructField("_n", T.LongType()), *[T.StructField(f"_s{i}", T.DoubleType()) for i in range(width)]])
     centres: dict = {}
 
-    def distances(x: np.ndarray, grid: np.ndarray) -> np.ndarray:
-        return np.stack([((x - g) ** 2).sum(axis=1) for g in grid], axis=1)
-
-    def groups(batches: Iterator[pd.DataFrame], only: set | None) -> Iterator:
-        for b in batches:
-            for c, g in b.groupby(cluster):
-                if only is None or c in only:
-                    yield c, g, np.array(g["_a"].tolist(), float).reshape(-1, width)
-
     def drawn(grids, step: int) -> dict:
         """Per cluster a row drawn by its squared distance to the nearest centre (any row where there is none), and how many rows there are."""
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for c, g, x in groups(batches, None):
-                d = distances(x, grids.value[c]).min(axis=1) if c in grids.value else np.ones(len(x))
-                with np.errstate(divide="ignore"):
-                    e = -np.log(g["_u"].to_numpy()) / d
-                at = int(e.argmin())
-                yield pd.DataFrame({cluster: [c], "_e": [e[at]], "_a": [x[at].tolist()], "_n": [len(x)]})
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                u, rows = b["_u"].to_numpy(), []
+                for c, own, x in _by_group(b, cluster, width):
+                    d = _distances(x, grids.value[c]).min(axis=1) if c in grids.value else np.ones(len(x))
+                    with np.errstate(divide="ignore"):
+                        e = -np.log(u[own]) / d
+                    at = int(e.argmin())
+                    rows.append((c, e[at], x[at], len(x)))
+                if rows:
+                    c, e, x, n = zip(*rows)
+                    yield pa.record_batch({cluster: pa.array(c, b.schema.field(cluster).type), "_e": pa.array(e), "_a": pa.array([v.tolist() for v in x], pa.list_(pa.float64())), "_n": pa.array(n, pa.int64())})
 
         u = (F.pmod(F.xxhash64(F.col(key), F.lit(seed + step)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-        found = data.withColumn("_u", u).mapInPandas(run, draws)
+        found = data.withColumn("_u", u).select(cluster, "_a", "_u").mapInArrow(run, draws)
         best = found.groupBy(cluster).agg(F.min_by("_a", F.struct("_e", "_a")).alias("_a"), F.min("_e").alias("_e"), F.sum("_n").alias("_n"))
         return {r[cluster]: r for r in best.collect()}
 
@@ -204,15 +235,9 @@ def hierarchical_labels(df: DataFrame, columns: Sequence[str], cluster: str, key
                 centres[c] = np.vstack([centres[c], r["_a"]])
 
     def summed(grids, only: set) -> dict:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for c, _, x in groups(batches, only):
-                own = distances(x, grids.value[c]).argmin(axis=1)
-                for j in np.unique(own):
-                    part = x[own == j]
-                    yield pd.DataFrame([[c, j, len(part), *part.sum(axis=0)]], columns=sums.names)
-
         names = [f"_s{i}" for i in range(width)]
-        rows = data.mapInPandas(run, sums).groupBy(cluster, "_j").agg(F.sum("_n").alias("_n"), *[F.sum(n).alias(n) for n in names])
+        rows = data.select(cluster, "_a").mapInArrow(lambda batches: _sub_sums(batches, cluster, width, grids.value, only), sums)
+        rows = rows.groupBy(cluster, "_j").agg(F.sum("_n").alias("_n"), *[F.sum(n).alias(n) for n in names])
         return {(r[cluster], r["_j"]): np.array([r[n] for n in names]) / r["_n"] for r in rows.collect()}
 
     moving = set(centres)
@@ -227,12 +252,14 @@ def hierarchical_labels(df: DataFrame, columns: Sequence[str], cluster: str, key
             centres[c] = new
     final = spark.sparkContext.broadcast(centres)
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for c, g, x in groups(batches, None):
-            at = distances(x, final.value[c]).argmin(axis=1)
-            yield pd.DataFrame({key: g[key], cluster: g[cluster], "_l": [chr(ord("a") + i) for i in at]})
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            letter = np.zeros(b.num_rows, np.int64)
+            for c, own, x in _by_group(b, cluster, width):
+                letter[own] = _distances(x, final.value[c]).argmin(axis=1)
+            yield pa.record_batch({key: b[key], cluster: b[cluster], "_l": pa.array([chr(ord("a") + i) for i in letter])})
 
-    lettered = data.mapInPandas(label, T.StructType([df.schema[key], kind, T.StructField("_l", T.StringType())]))
+    lettered = data.mapInArrow(label, T.StructType([df.schema[key], kind, T.StructField("_l", T.StringType())]))
     return lettered.select(key, F.concat(F.col(cluster).cast("string"), "_l").alias("cluster_hierarchical"))
 
 
