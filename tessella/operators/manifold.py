@@ -20,6 +20,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -33,6 +34,8 @@ from tessella.scratch import Scratch
 CELL, PIVOTS = 1024, 32
 #: Rows that draw and push apart, and rows that meet a cell's pivots in one task.
 POOL, CHUNK = 2048, 20_000
+#: Numbers in all pivots that are broadcast; cells that need more meet theirs in a shuffle.
+SENT = 1 << 21
 
 
 def _hash(key: str, *more: int) -> Column:
@@ -43,25 +46,74 @@ def _matrix(arrays: pd.Series) -> np.ndarray:
     return np.array(arrays.tolist(), float)
 
 
+def _nearest_pivots(x: np.ndarray, p: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The nearest pivot of each row; rows as near to several are spread over them by hash, so that copies don't stay one cell."""
+    d = (p**2).sum(axis=1) - 2 * x @ p.T
+    at = d.argmin(axis=1)
+    tied = np.isclose(d, d.min(axis=1, keepdims=True), rtol=0, atol=1e-12 * max(1.0, float(np.abs(d).max())))
+    for i in np.flatnonzero(tied.sum(axis=1) > 1):
+        own = np.flatnonzero(tied[i])
+        at[i] = own[h[i] % len(own)]
+    return at
+
+
+def _by_pivots(data: DataFrame, key: str, levels: Sequence, seed: int) -> DataFrame:
+    """data(key, _a) with ``_cell`` after some levels of broadcast pivots (a map of cells to pivots each); nothing is shuffled."""
+    schema = T.StructType([*data.schema, T.StructField("_cell", T.LongType())])
+
+    def run(batches):
+        for b in batches:
+            cell = np.zeros(b.num_rows, np.int64)
+            x = b["_a"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+            for step, level in enumerate(levels):
+                pivots, h = level.value, b[f"_h{step}"].to_numpy()
+                order = np.argsort(cell, kind="stable")
+                for own in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if len(order) else ():
+                    p = pivots.get(int(cell[own[0]]))
+                    if p is not None:
+                        cell[own] = cell[own] * (PIVOTS + 1) + 1 + _nearest_pivots(x[own], p, h[own])
+            yield pa.record_batch([b[key], b["_a"], pa.array(cell)], names=[key, "_a", "_cell"])
+
+    return data.withColumns({f"_h{k}": _hash(key, seed, k) for k in range(len(levels))}).mapInArrow(run, schema)
+
+
+def _pivots(large: DataFrame) -> DataFrame:
+    """(_cell, _h, _a): the rows of least hash of each cell of large(_cell, _n, _h, _a), drawn from about eight times as many."""
+    first = F.slice(F.array_sort(F.collect_list(F.struct("_h", "_a"))), 1, PIVOTS)
+    drawn = large.where(F.abs(F.col("_h") % F.greatest(F.col("_n") / (8 * PIVOTS), F.lit(1)).cast("long")) == 0)
+    return drawn.groupBy("_cell").agg(first.alias("_all")).select("_cell", F.inline("_all"))
+
+
 def cells(data: DataFrame, key: str, scratch: Scratch, name: str, most: int = CELL, seed: int = 42) -> DataFrame:
-    """data(key, _a) with ``_cell`` (long): rows around random pivots, cells of at most ``most`` rows or about so where rows are all alike."""
-    now = data.withColumn("_cell", F.lit(0).cast("long"))
-    out, step = None, 0
-    schema = T.StructType([*now.schema])
+    """data(key, _a) with ``_cell`` (long): rows around random pivots, cells of at most ``most`` rows or about so where rows are all alike.
+
+    While all pivots have at most ``SENT`` numbers they are broadcast and rows stay where they are; larger tables go on by shuffles.
+    """
+    spark, levels, sent = data.sparkSession, [], 0
+    while True:
+        now = _by_pivots(data, key, levels, seed)
+        sizes = scratch.write(now.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most), f"{name}-sizes-{len(levels)}")
+        n = sizes.count()
+        if not n:
+            return now
+        width = len(data.select("_a").first()["_a"])
+        sent += n * PIVOTS * max(1, width)
+        if sent > SENT:
+            return _cells_by_shuffle(now, key, scratch, name, most, seed, len(levels))
+        found: dict = {}
+        for r in sorted(_pivots(now.join(F.broadcast(sizes), "_cell").withColumn("_h", _hash(key, seed, len(levels)))).collect(), key=lambda r: r["_h"]):
+            found.setdefault(r["_cell"], []).append(r["_a"])
+        levels.append(spark.sparkContext.broadcast({c: np.array(p, float) for c, p in found.items()}))
+
+
+def _cells_by_shuffle(now: DataFrame, key: str, scratch: Scratch, name: str, most: int, seed: int, step: int) -> DataFrame:
+    """``cells`` from a table with ``_cell`` on, whose rows meet their cells' pivots in chunks."""
+    out, schema = None, T.StructType([*now.schema])
 
     def nearest_pivot(k: tuple, rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return rows[schema.names]
-        x, p = _matrix(rows["_a"]), _matrix(pivots.sort_values("_h")["_a"])
-        d = (p**2).sum(axis=1) - 2 * x @ p.T
-        at = d.argmin(axis=1)
-        # Rows that are as near to several pivots are spread over them, so that copies don't stay one cell.
-        tied = np.isclose(d, d.min(axis=1, keepdims=True), rtol=0, atol=1e-12 * max(1.0, float(np.abs(d).max())))
-        many = np.flatnonzero(tied.sum(axis=1) > 1)
-        h = rows["_h"].to_numpy()
-        for i in many:
-            own = np.flatnonzero(tied[i])
-            at[i] = own[h[i] % len(own)]
+        at = _nearest_pivots(_matrix(rows["_a"]), _matrix(pivots.sort_values("_h")["_a"]), rows["_h"].to_numpy())
         return rows.assign(_cell=k[0] * (PIVOTS + 1) + 1 + at)[schema.names]
 
     while True:
@@ -73,19 +125,16 @@ def cells(data: DataFrame, key: str, scratch: Scratch, name: str, most: int = CE
         if large.isEmpty():
             return scratch.write(out, name)
         ranked = large.withColumn("_h", _hash(key, seed, step))
-        # The rows of least hash: each task names its own, then the cell's are chosen.
-        first = F.slice(F.array_sort(F.collect_list(F.struct("_h", "_a"))), 1, PIVOTS)
         part = ranked.withColumn("_p", F.pmod("_h", F.ceil(F.col("_n") / CHUNK)).cast("int"))
-        chosen = part.where(F.abs(F.col("_h") % F.greatest(F.col("_n") / (8 * PIVOTS), F.lit(1)).cast("long")) == 0).groupBy("_cell").agg(first.alias("_all")).select("_cell", F.inline("_all"))
         counts = ranked.select("_cell", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_k")).distinct()
-        pivots = scratch.write(chosen.join(counts, "_cell").select("_cell", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_p"), "_h", "_a"), f"{name}-pivots-{step}")
+        pivots = scratch.write(_pivots(ranked).join(counts, "_cell").select("_cell", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_p"), "_h", "_a"), f"{name}-pivots-{step}")
         moved = part.select(*schema.names, "_h", "_p").groupBy("_cell", "_p").cogroup(pivots.groupBy("_cell", "_p")).applyInPandas(nearest_pivot, schema)
         now, step = scratch.write(moved, f"{name}-moved-{step}"), step + 1
 
 
 def _best(pairs: DataFrame, key: str, k: int) -> DataFrame:
     """(key, near: the k nearest (d, id), nearest first) of pairs(key, _id, d), which may repeat."""
-    once = pairs.groupBy(key, "_id").agg(F.min("d").alias("d"))
+    once = pairs.repartition(F.col(key)).groupBy(key, "_id").agg(F.min("d").alias("d"))
     return once.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("d", F.col("_id").alias("id")))), 1, k).alias("near"))
 
 
@@ -205,6 +254,8 @@ def umap(df: DataFrame, columns: Sequence[str], key: str, neighbours: int = 30,
     else:
         vectors = vectors.withColumns({"_a": vector_to_array("_x"), "_start": F.array(F.get(vector_to_array("_x"), F.lit(0)), F.lit(0.0))})
     data = scratch.write(vectors.select(key, "_a", "_start"), "vectors")
+    if data.where(F.exists("_a", lambda v: v != v.cast("float").cast("double"))).isEmpty():
+        data = data.withColumn("_a", F.col("_a").cast("array<float>"))  # the same numbers in half the bytes
     graph = neighbour_graph(data.select(key, "_a"), key, neighbours, scratch, most=most, seed=seed)
     edges = scratch.write(fuzzy_edges(graph, key), "edges")
     # The start is spread to ten units, with a little noise that parts copies.
@@ -218,18 +269,20 @@ def umap(df: DataFrame, columns: Sequence[str], key: str, neighbours: int = 30,
     now = scratch.write(data.join(placed, key).select(key, "_cell", *start), "layout-0")
     a, b = curve(min_dist)
     schema = T.StructType([now.schema[key], *[T.StructField(c, T.LongType() if c == "_cell" else T.DoubleType()) for c in ("_cell", "umap_1", "umap_2")]])
-    owners = scratch.write(edges.join(placed.select(F.col(key).alias("a"), "_cell"), "a").select("_cell", "a", "b", "w"), "cell-edges")
+    owners = scratch.write(edges.join(placed.select(F.col(key).alias("a"), "_cell"), "a").select("_cell", "a", "b", "w").repartition("_cell").sortWithinPartitions("_cell", "a", "b"), "cell-edges")
+    # Rows of other cells that a cell's edges lead to: a cell gets each one's position once a round.
+    asked = owners.select("_cell", F.col("b").alias(key)).distinct().join(placed.select(key, F.col("_cell").alias("_own")), key).where("_cell <> _own")
+    asked = scratch.write(asked.groupBy(key).agg(F.collect_list("_cell").alias("_cells")), "asked")
 
     def mover(round_: int, pool: np.ndarray):
         rates = 1 - (round_ * steps + np.arange(steps)) / (rounds * steps)
 
         def move(cell: tuple, rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(key, kind="stable", ignore_index=True)
-            names = {v: i for i, v in enumerate(rows[key])}
+            outside = rows[rows["_out"]].sort_values(key, kind="stable")
+            rows = rows[~rows["_out"]].sort_values(key, kind="stable", ignore_index=True)
             near = near.sort_values(["a", "b"], kind="stable")
-            outside = near[~near["b"].isin(names.keys())].drop_duplicates("b")
-            at = names | {v: len(names) + i for i, v in enumerate(outside["b"])}
-            xy = np.concatenate([rows[["umap_1", "umap_2"]].to_numpy(float), outside[["bx", "by"]].to_numpy(float)])
+            at = {v: i for i, v in enumerate([*rows[key], *outside[key]])}
+            xy = np.concatenate([g[["umap_1", "umap_2"]].to_numpy(float) for g in (rows, outside)])
             rng = np.random.default_rng([seed, round_, cell[0] % (1 << 32)])
             row, other = (near[c].map(at).to_numpy(np.int64) for c in "ab")
             out = _moved(xy, np.arange(len(rows)), row, other, near["w"].to_numpy(float), pool, rates, a, b, rng, pushes)
@@ -242,7 +295,7 @@ def umap(df: DataFrame, columns: Sequence[str], key: str, neighbours: int = 30,
         pool = np.array([(p["umap_1"], p["umap_2"]) for p in now.orderBy(_hash(key, seed, r), key).limit(POOL).collect()], float)
         if len(pool) < 2:
             break
-        where = now.select(F.col(key).alias("b"), F.col("umap_1").alias("bx"), F.col("umap_2").alias("by"))
-        near = owners.join(where, "b")
-        now = scratch.write(now.groupBy("_cell").cogroup(near.groupBy("_cell")).applyInPandas(mover(r, pool), schema), f"layout-{r + 1}")
+        beside = now.drop("_cell").join(asked, key).withColumn("_cell", F.explode("_cells")).select(*now.columns, F.lit(True).alias("_out"))
+        met = now.withColumn("_out", F.lit(False)).union(beside)
+        now = scratch.write(met.groupBy("_cell").cogroup(owners.groupBy("_cell")).applyInPandas(mover(r, pool), schema), f"layout-{r + 1}")
     return now.select(key, "umap_1", "umap_2")
