@@ -14,9 +14,13 @@ from tessella.scratch import Scratch
 
 
 def percentiles(df: DataFrame, columns: Sequence[str], at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact linear percentiles, as ``<column>_p<percent>``."""
-    aggs = [F.expr(f"percentile(`{c}`, {q})").alias(f"{c}_p{round(q * 100)}") for c in columns for q in at]
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    """Exact linear percentiles, as ``<column>_p<percent>``; all of a column come from one count of its values."""
+    all_ = df.groupBy(*by).agg(*[_percentiles(c, at).alias(f"_q_{c}") for c in columns])
+    return all_.select(*by, *[F.col(f"`_q_{c}`")[i].alias(f"{c}_p{round(q * 100)}") for c in columns for i, q in enumerate(at)])
+
+
+def _percentiles(column: str, at: Sequence[float]) -> Column:
+    return F.percentile(f"`{column}`", F.array(*[F.lit(float(q)) for q in at]))
 
 
 def column_summary(df: DataFrame, patterns: Sequence[str] = ("^corrected_density", "local"), by: Sequence[str] = ()) -> DataFrame:
@@ -246,11 +250,12 @@ def marker_summary(df: DataFrame, by: Sequence[str] = (), high: float = 0.5) ->
 
 def positive_summary(df: DataFrame, flag: str, intensity: str, density: str, by: Sequence[str] = ()) -> DataFrame:
     """Positives in number and percent, their intensity, and the distribution of a local density."""
-    p = lambda q: F.expr(f"percentile(`{density}`, {q})")
-    return df.groupBy(*by).agg(
+    names = ["density_median", "density_p10", "density_p90"]
+    sums = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.sum(flag).cast("long").alias("n_positive"), (100 * F.avg(flag)).alias("pct_positive"), F.avg(intensity).alias("mean_intensity"),
-        F.stddev_samp(intensity).alias("std_intensity"), F.avg(density).alias("density_mean"), p(0.5).alias("density_median"), p(0.1).alias("density_p10"), p(0.9).alias("density_p90"),
+        F.stddev_samp(intensity).alias("std_intensity"), F.avg(density).alias("density_mean"), _percentiles(density, [0.5, 0.1, 0.9]).alias("_q"),
     )
+    return sums.withColumns({n: F.col("_q")[i] for i, n in enumerate(names)}).drop("_q")
 
 
 def filament_summary(filaments: DataFrame, topology: DataFrame, area_px: DataFrame, mpp: float) -> DataFrame:
