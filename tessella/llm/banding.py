@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators.graph import connected_components
+from tessella.operators.graph import connected_components, forest
 from tessella.scratch import Scratch
 from tessella.llm.text import mix
 
@@ -36,17 +36,32 @@ from tessella.llm.text import mix
 BLOCK, BYTES, SKETCHES = 1024, 1 << 22, 1 << 14
 #: Bytes of texts whose sets are made together.
 SLICE = 1 << 20
+#: Members of groups that are settled together, and their pairs.
+SMALL, PAIRS = 64, 1 << 18
 MET = "part int, own binary, stars binary"
 LED = "bucket long, id long, leader long"
 
 
+def _shared(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where buckets are alone in their leading bits, and where the others are; places are sorted along with the bits."""
+    low = np.uint64((1 << len(bucket).bit_length()) - 1)
+    packed = np.sort(bucket.view(np.uint64) & ~low | np.arange(len(bucket), dtype=np.uint64))
+    same = (packed[1:] ^ packed[:-1]) <= low
+    many = (np.r_[same, False] | np.r_[False, same])[: len(bucket)]
+    at = (packed & low).astype(np.int64)
+    return at[~many], at[many]
+
+
 def lead(bucket: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The (bucket, id) that are alone in their bucket, and (bucket, id, leader) of the others, once each, with the member of least hash as leader."""
+    alone, shared = _shared(bucket)
+    lone = np.stack([bucket[alone], ids[alone]])
+    bucket, ids = bucket[shared], ids[shared]
     order = np.argsort(bucket)
     bucket, ids = bucket[order], ids[order]
     same = bucket[1:] == bucket[:-1]
-    many = np.r_[same, False] | np.r_[False, same]
-    single = np.stack([bucket[~many], ids[~many]])
+    many = (np.r_[same, False] | np.r_[False, same])[: len(bucket)]
+    single = np.concatenate([lone, np.stack([bucket[~many], ids[~many]])], axis=1)
     bucket, ids = bucket[many], ids[many]
     if not len(ids):
         return single, np.zeros((3, 0), np.int64)
@@ -70,7 +85,7 @@ def meeting(buckets: list[np.ndarray], ids: np.ndarray, parts: int) -> pd.DataFr
     own = np.concatenate(own, axis=1) if own else np.zeros((2, 0), np.int64)
     part = (mix(own[0].view(np.uint64)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
     order = np.argsort(part, kind="stable")
-    own, part = own[:, order], part[order]
+    own, part = np.stack([x[order] for x in own]), part[order]
     starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
     data = [own[:, lo:hi].tobytes() for lo, hi in zip(starts, np.r_[starts[1:], len(part)])]
     out = pd.DataFrame({"part": part[starts].astype(np.int32), "own": data, "stars": None})
@@ -91,12 +106,15 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             else:
                 met.append(np.frombuffer(own, np.int64).reshape(2, -1))
     if met:
-        led = lead(*np.concatenate(met, axis=1))[1]
+        bucket, ids = np.concatenate(met, axis=1)
+        del met
+        shared = _shared(bucket)[1]
+        led = lead(bucket[shared], ids[shared])[1]
         yield pd.DataFrame(led[:, led[1] != led[2]].T, columns=["bucket", "id", "leader"])
 
 
-#: Slots of the bitmap of wanted ids: its size, and so the broadcast's, is fixed.
-SLOTS = 1 << 23
+#: Slots of the bitmap of wanted ids, and of a page of it: its size, and so the broadcast's, is fixed.
+SLOTS, PAGE = 1 << 23, 1 << 16
 
 
 def wanted_ids(ids: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
@@ -104,10 +122,22 @@ def wanted_ids(ids: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
 
     It spares shuffles most of what they would drop; a join decides.
     """
-    slots = ids.select(F.pmod("id", F.lit(SLOTS)).cast("int").alias("s")).distinct().toPandas()["s"].to_numpy()
-    bitmap = np.zeros(SLOTS, bool)
-    bitmap[slots] = True
-    packed = ids.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pages: dict[int, np.ndarray] = {}
+        for b in batches:
+            slot, page = b["slot"].to_numpy(), b["page"].to_numpy()
+            for k in np.unique(page).tolist():
+                pages.setdefault(k, np.zeros(PAGE, bool))[slot[page == k] % PAGE] = True
+        yield pd.DataFrame({"page": list(pages), "bits": [np.packbits(x).tobytes() for x in pages.values()]})
+
+    slot = F.pmod("id", F.lit(SLOTS)).cast("int")
+    slots = ids.select(slot.alias("slot"), F.shiftright(slot, PAGE.bit_length() - 1).alias("page"))
+    bitmap = np.zeros(SLOTS // 8, np.uint8)  # the driver gets pages of bits, not ids
+    for row in slots.repartition("page").mapInPandas(run, "page int, bits binary").collect():
+        bitmap[row.page * PAGE // 8 :][: PAGE // 8] |= np.frombuffer(row.bits, np.uint8)
+    packed = ids.sparkSession.sparkContext.broadcast(bitmap)
 
     def test(x: np.ndarray) -> np.ndarray:
         at = x % SLOTS
@@ -121,39 +151,40 @@ def partitions(df: DataFrame) -> int:
 
 
 def link_components(
-    rows: DataFrame, near: Callable[[DataFrame], DataFrame], sketches: Callable[[], DataFrame], payload: Callable[[DataFrame], DataFrame],
+    rows: DataFrame, near: Callable[[DataFrame], DataFrame] | None, sketches: Callable[[DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame],
     as_sets: Callable[[list], list[np.ndarray]], most_differ: int, percent: int, scratch: Scratch,
 ) -> DataFrame:
     """Components (id, comp) of the ids in ``rows``, which are ``meeting``'s over ``partitions`` partitions.
 
-    ``near`` leaves out pairs(a, b) that cannot be links.  ``sketches()`` has
-    (id, sketch) with equally long binaries; pairs of which more than
+    ``near`` leaves out pairs(a, b) that cannot be links.  ``sketches`` gives
+    (id, sketch) of some ids at least, with equally long binaries; pairs of which more than
     ``most_differ`` bits differ are no links.  ``payload`` gives (id, s) of some
     ids and ``as_sets`` the sorted sets of several s; a link has 100 * intersection >=
     percent * union.
     """
     stars = scratch.write(rows.repartitionById(partitions(rows), F.col("part")).mapInPandas(_meet, LED), "stars")
     met = scratch.write(stars.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "met")
-    pairs = scratch.write(near(met), "pairs")
+    pairs = scratch.write(near(met), "pairs") if near else met
     texts = scratch.write(payload(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "texts")
     links = scratch.write(_led_links(pairs, texts, as_sets, percent), "links-1")
     comps = scratch.write(connected_components(links, scratch, "comps-1"), "first-comps")
     # Buckets are trees of (leader, member); only those with an edge across components can be open.
-    side = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
+    side = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}")).hint("merge")
     across = met.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    open_ = stars.join(across.select(F.col("a").alias("leader"), F.col("b").alias("id")), ["leader", "id"], "left_semi").select("bucket").distinct()
-    hidden = scratch.write(stars.join(open_, "bucket", "left_semi"), "open-buckets")
+    open_ = stars.join(across.select(F.col("a").alias("leader"), F.col("b").alias("id")).hint("merge"), ["leader", "id"], "left_semi").select("bucket").distinct()
+    hidden = scratch.write(stars.join(open_.hint("merge"), "bucket", "left_semi"), "open-buckets")
     if hidden.isEmpty():
         return comps
     members = hidden.select("bucket", "id").union(hidden.select("bucket", "leader")).distinct()
-    own = members.join(comps, "id", "left").select(F.col("bucket").alias("g"), "id", F.coalesce("comp", "id").alias("comp"), F.lit(0).alias("bytes"))
+    own = members.join(comps.hint("merge"), "id", "left").select(F.col("bucket").alias("g"), "id", F.coalesce("comp", "id").alias("comp"), F.lit(0).alias("bytes"))
+    own = scratch.write(own, "open-members")
     # Two members are a pair that was verified; more may hide pairs that were not.
     todo = scratch.write(_blocks(own, 2, SKETCHES), "open")
     if todo.isEmpty():
         return comps
-    edges = _in_blocks(todo.join(sketches().withColumnRenamed("sketch", "s"), "id"), _NearPairs(most_differ), True)
+    edges = _in_blocks(todo.join(sketches(todo.select("id")).withColumnRenamed("sketch", "s"), "id"), _NearPairs(most_differ), True)
     families = connected_components(edges, scratch, "families").select("id", F.col("comp").alias("g"))
-    own = scratch.write(families.join(comps, "id", "left").select("g", "id", F.coalesce("comp", "id").alias("comp")), "family-members")
+    own = scratch.write(families.join(comps.hint("merge"), "id", "left").select("g", "id", F.coalesce("comp", "id").alias("comp")), "family-members")
     if own.isEmpty():
         return comps
     texts = scratch.write(payload(own.select("id")), "family-texts")
@@ -176,12 +207,12 @@ def _led_links(pairs: DataFrame, texts: DataFrame, as_sets: Callable[[list], lis
         for rows in batches:
             a, b = [], []
             for part in _slices(rows):
-                for g, chunk, i, s in zip(part["g"], part["chunk"], part["id"], as_sets(list(part["s"]))):
+                for g, chunk, i, s in zip(part["g"].tolist(), part["chunk"].tolist(), part["id"].tolist(), as_sets(list(part["s"]))):
                     if (g, chunk) != now:
                         now, heads = (g, chunk), []
                     if i == g:
                         heads.append(s)
-                    elif any(100 * (c := _common(s, t)) >= percent * (len(s) + len(t) - c) for t in heads):
+                    elif any(_linked(s, t, percent) for t in heads):
                         a.append(g)
                         b.append(i)
             yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
@@ -200,6 +231,11 @@ def _slices(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         lo = hi
 
 
+def _linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    few, many = sorted((len(s), len(t)))
+    return 100 * few >= percent * many and 100 * (c := _common(s, t)) >= percent * (few + many - c)
+
+
 def _common(s: np.ndarray, t: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     if not len(s) or not len(t):
@@ -239,7 +275,11 @@ def _in_blocks(blocks: DataFrame, related, each: bool) -> DataFrame:
             a, b = [], []
             g, chunk = rows["g"].to_numpy(), rows["chunk"].to_numpy()
             starts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (chunk[1:] != chunk[:-1])]) if len(rows) else []
-            for lo, hi in zip(starts, [*starts[1:], len(rows)]):
+            ends = [*starts[1:], len(rows)]
+            # Small groups that lie whole in the batch are settled together; the first and the last may go on elsewhere.
+            whole = [(lo, hi) for lo, hi in zip(starts[1:-1], ends[1:-1]) if hi - lo <= SMALL]
+            yield from forest(_small(rows, whole, related))
+            for lo, hi in sorted({*zip(starts, ends)}.difference(whole)):
                 if (g[lo], chunk[lo]) != now:
                     now, block = (g[lo], chunk[lo]), _Block(related, each)
                 block.add(rows.iloc[lo:hi], a, b)
@@ -249,6 +289,24 @@ def _in_blocks(blocks: DataFrame, related, each: bool) -> DataFrame:
     return columns.sortWithinPartitions("g", "chunk", "visits").mapInPandas(run, "a long, b long")
 
 
+def _small(rows: pd.DataFrame, groups: list[tuple[int, int]], related) -> Iterator[pd.DataFrame]:
+    """The related pairs (a, b) of the groups in the rows between each two places."""
+    visits, ids, comp, texts = (rows[c].to_numpy() for c in ("visits", "id", "comp", "s"))
+    come = np.r_[0, np.cumsum(visits)]
+    lo, hi = np.array(groups, np.int64).reshape(-1, 2).T
+    guests = come[hi] - come[lo]
+    pairs = (hi - lo - guests) * guests
+    for part in np.split(np.arange(len(lo)), np.flatnonzero(np.diff(np.cumsum(pairs) // PAIRS)) + 1):
+        n = pairs[part]
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        width = np.repeat(guests[part], n)
+        x, y = np.repeat(lo[part], n) + k // np.maximum(width, 1), np.repeat(hi[part], n) - 1 - k % np.maximum(width, 1)
+        apart = comp[x] != comp[y]
+        x, y = x[apart], y[apart]
+        ok = related.pairs(texts, ids, comp, np.repeat(part, n)[apart], x, y)
+        yield pd.DataFrame({"a": ids[x[ok]], "b": ids[y[ok]]})
+
+
 class _Block:
     """The residents of a block, which come first, and the forest that visitors' pairs with them make."""
 
@@ -307,6 +365,13 @@ class _NearPairs:
             differ += np.bitwise_count(x[:, None] ^ y)
         return differ <= self.most_differ
 
+    def pairs(self, sketches: np.ndarray, ids: np.ndarray, comp: np.ndarray, g: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        words = self.residents(list(sketches))
+        differ = np.zeros(len(x), np.uint16)
+        for w in words:
+            differ += np.bitwise_count(w[x] ^ w[y])
+        return differ <= self.most_differ
+
 
 class _TrueLinks:
     """Exact intersections of full sets: each visitor's elements are looked up among the residents' sorted elements."""
@@ -331,3 +396,29 @@ class _TrueLinks:
             common = np.bincount(owner[at], minlength=len(size))
             out[k] = 100 * common >= self.percent * (len(s) + size - common)
         return out
+
+    def pairs(self, texts: np.ndarray, ids: np.ndarray, comp: np.ndarray, g: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Pairs of components that others of the group have joined are left out."""
+        out, need = np.zeros(len(x), bool), np.unique(np.r_[x, y])
+        sets: dict[int, np.ndarray] = {}
+        for part in _slices(pd.DataFrame({"at": need, "s": texts[need]})):
+            sets |= zip(part["at"].tolist(), self.as_sets(list(part["s"])))
+        up: dict[tuple[int, int], int] = {}
+        seen = set()
+
+        def root(now: int, c: int) -> int:
+            while (above := up.get((now, c), c)) != c:
+                c = above
+            return c
+
+        a, b = comp[x].tolist(), comp[y].tolist()
+        for k, (now, i, j) in enumerate(zip(g.tolist(), x.tolist(), y.tolist())):
+            one, other = root(now, a[k]), root(now, b[k])
+            pair = now, *sorted((ids[i], ids[j]))
+            if one == other or pair in seen:
+                continue
+            seen.add(pair)
+            if _linked(sets[i], sets[j], self.percent):
+                out[k] = True
+                up[now, one] = other
+        return out

@@ -33,6 +33,7 @@ from tessella.scratch import Scratch
 from tessella.llm.text import encode, hash_seeds, mix
 
 SPACE = b" \t\n\r\x0b\x0c"
+BASE = 0x9E3779B97F4A7C15
 
 
 @dataclass(frozen=True)
@@ -68,29 +69,29 @@ def shingle_hashes(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of k characters of all lines, and where each line's begin."""
     # Line feeds, which no line has, end each line, so that a shorter one has a shingle of its own.
     pad = b"\n" * k
-    data = np.frombuffer(pad.join(lines) + pad + b"\0" * 4, np.uint8)
-    lengths = np.fromiter(map(len, lines), np.int64, len(lines)) + k
-    code = data[:-4]
-    chars = lengths
-    if (code & 0x80).any():
-        starts = np.flatnonzero(code & 0xC0 != 0x80)  # of characters
-        width = np.diff(np.r_[starts, len(code)])
-        code = code[starts].astype(np.uint64)
-        for j in range(1, 4):
-            code |= np.where(width > j, data[starts + j], 0).astype(np.uint64) << np.uint64(8 * j)
-        chars = np.diff(np.r_[0, np.searchsorted(starts, np.cumsum(lengths))])
+    data = pad.join(lines) + pad
+    if data.isascii():
+        code = np.frombuffer(data, np.uint8)
     else:
-        code = code.astype(np.uint64)
-    # A polynomial of k characters from every one, then those that begin a line's shingle.
-    out = np.zeros(len(code) - k + 1, np.uint64)
-    for j in range(k):
-        out *= np.uint64(0x9E3779B97F4A7C15)
-        out += code[j : len(code) - k + 1 + j]
-    begin = np.cumsum(chars) - chars
-    sizes = np.maximum(1, chars - 2 * k + 1)
-    first = np.r_[0, np.cumsum(sizes)]
-    at = np.arange(first[-1]) + np.repeat(begin - first[:-1], sizes)
-    return mix(out[at]), first
+        code = np.frombuffer(data.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.flatnonzero(code == 10)[k - 1 :: k] + 1
+    begin = np.r_[0, ends[:-1]]
+    # A polynomial of k characters from every one, by those of half as many.
+    one = code.astype(np.uint64)
+    out, n = one, 1
+    for bit in bin(k)[3:]:
+        out = out[:-n] * np.uint64(pow(BASE, n, 1 << 64)) + out[n:]
+        n *= 2
+        if bit == "1":
+            out = out[:-1] * np.uint64(BASE) + one[n:]
+            n += 1
+    # Those that begin a line's shingle: all but the ones that reach into its end, and at least one.
+    keep = np.ones(len(code), bool)
+    for j in range(1, 2 * k):
+        keep[np.maximum(ends - j, 0)] = False
+    keep[begin] = True
+    first = np.r_[0, np.cumsum(np.maximum(1, ends - begin - 2 * k + 1))]
+    return mix(out[keep[: len(out)]]), first
 
 
 class LineBands:
@@ -98,6 +99,8 @@ class LineBands:
         self.p = p
         a, _ = hash_seeds(functions, p.seed)
         self.a = (a >> np.uint64(32)).astype(np.uint32) | np.uint32(1)  # odd multipliers permute 32-bit hashes
+        rng = np.random.default_rng(p.seed)
+        self.chosen = np.stack([rng.choice(p.functions, p.rows, replace=False) for _ in range(p.bands)])
 
     def samples(self, lines: list[bytes]) -> np.ndarray:
         """[function, line] least values."""
@@ -111,19 +114,20 @@ class LineBands:
         return out
 
     def bands(self, samples: np.ndarray) -> np.ndarray:
-        """[band, line] buckets; each band has its own choice of the functions, which it shares with others."""
+        """[band, line] buckets; each band has its own choice of the first functions, which it shares with others."""
         p = self.p
-        rng = np.random.default_rng(p.seed)
-        chosen = np.stack([rng.choice(p.functions, p.rows, replace=False) for _ in range(p.bands)])
         h = np.repeat(np.arange(1, p.bands + 1, dtype=np.uint64)[:, None], samples.shape[1], axis=1)
         for r in range(p.rows):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + samples[chosen[:, r]].astype(np.uint64))
-        return h.view(np.int64)
+            h *= np.uint64(BASE)
+            h += samples[self.chosen[:, r]]
+        return mix(h).view(np.int64)
 
     def odd(self, samples: np.ndarray) -> list[bytes]:
         n = self.p.samples
         at = mix(samples[:n].astype(np.uint64) ^ mix(np.arange(1, n + 1, dtype=np.uint64))[:, None]) % np.uint64(self.p.bits)
-        return [np.packbits(np.bincount(c, minlength=self.p.bits) & 1).tobytes() for c in at.T.astype(np.int64)]
+        at += np.arange(at.shape[1], dtype=np.uint64) * np.uint64(self.p.bits)
+        odd = np.bincount(at.ravel().astype(np.int64), minlength=at.shape[1] * self.p.bits).astype(np.uint8) & 1
+        return [x.tobytes() for x in np.packbits(odd.reshape(-1, self.p.bits), axis=1)]
 
 
 def _blocks(lines: list[bytes], most: int) -> Iterator[list[bytes]]:
@@ -163,15 +167,16 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
             keep = test(found)
             yield pd.DataFrame({"id": found[keep], "s": [x for x, k in zip(lines, keep) if k]})
 
-    return docs.select("text").mapInPandas(run, "id long, s binary").join(ids, "id", "left_semi").groupBy("id").agg(F.first("s").alias("s"))
+    return docs.select("text").mapInPandas(run, "id long, s binary").join(ids.hint("merge"), "id", "left_semi").groupBy("id").agg(F.first("s").alias("s"))
 
 
-def _sketches(lines: DataFrame, p: LineParams) -> DataFrame:
-    maker = LineBands(p, p.samples)
+def _sketches(lines: DataFrame, ids: DataFrame, p: LineParams) -> DataFrame:
+    """(id, sketch) of the lines in ids(id), and of few others."""
+    maker, test = LineBands(p, p.samples), wanted_ids(ids)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            at = 0
+            batch, at = batch[test(batch["id"].to_numpy())], 0
             for own in _blocks(list(batch["s"]), p.block):
                 yield pd.DataFrame({"id": batch["id"].iloc[at : at + len(own)], "sketch": maker.odd(maker.samples(own))})
                 at += len(own)
@@ -182,13 +187,19 @@ def _sketches(lines: DataFrame, p: LineParams) -> DataFrame:
 def line_components(docs: DataFrame, scratch: Scratch, p: LineParams = LineParams()) -> DataFrame:
     """(id, comp) of the lines that are similar to others."""
     stored = lambda: docs.sparkSession.read.schema("id long, s binary").parquet(f"{scratch.root}/texts")
-    given = iter([lambda ids: _texts(docs, ids), lambda ids: stored().join(ids, "id", "left_semi")])  # first from the documents, then from what was stored
+    given = iter([lambda ids: _texts(docs, ids), lambda ids: stored().join(ids.hint("merge"), "id", "left_semi")])  # first from the documents, then from what was stored
 
     def as_sets(lines: list[bytes]) -> list[np.ndarray]:
         h, first = shingle_hashes(lines, p.shingle)
-        return [np.unique(h[a:b]) for a, b in zip(first, first[1:])]
+        for a, b in zip(first.tolist(), first[1:].tolist()):
+            h[a:b].sort()
+        keep = np.r_[True, h[1:] != h[:-1]]
+        keep[first[:-1]] = True
+        ends = np.r_[0, np.cumsum(np.add.reduceat(keep.astype(np.int64), first[:-1]))].tolist() if len(lines) else [0]
+        h = h[keep]
+        return [h[a:b] for a, b in zip(ends, ends[1:])]
 
-    return link_components(_band_rows(docs, p), lambda pairs: pairs, lambda: _sketches(stored(), p), lambda ids: next(given)(ids), as_sets, p.most_differ, p.percent, scratch)
+    return link_components(_band_rows(docs, p), None, lambda ids: _sketches(stored(), ids, p), lambda ids: next(given)(ids), as_sets, p.most_differ, p.percent, scratch)
 
 
 def line_plan(docs: DataFrame, scratch: Scratch, p: LineParams = LineParams()) -> DataFrame:
@@ -206,7 +217,7 @@ def line_plan(docs: DataFrame, scratch: Scratch, p: LineParams = LineParams()) -
     lines = base.mapInArrow(run, "doc_id long, rid long, id long, pos int")
     # Occurrences of equal lines are reduced map-side before classes meet.
     first = lines.groupBy("id").agg(F.min(F.struct("doc_id", "rid", "pos")).alias("at"))
-    winners = first.join(comps, "id", "left").groupBy(F.coalesce("comp", "id").alias("class")).agg(F.min("at").alias("at"))
+    winners = first.join(comps.hint("merge"), "id", "left").groupBy(F.coalesce("comp", "id").alias("class")).agg(F.min("at").alias("at"))
     kept = winners.groupBy("at.rid").agg(F.sort_array(F.collect_list("at.pos")).alias("kept"))
     own = base.select("doc_id", "rid", _count_lines(F.col("text")).alias("n_lines")).groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("n_lines").alias("n_lines"), F.count(F.lit(1)).alias("rows"))
     none = F.array().cast("array<int>")

@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, p: NearDupParams = NearDu
 
     buckets = reps.select("bands", "id").mapInPandas(met, MET)
     comps = link_components(
-        buckets, lambda pairs: _near(sketches, p, pairs), lambda: sketches.select("id", "sketch"), lambda ids: _texts(base, ids),
+        buckets, lambda pairs: _near(sketches, p, pairs), lambda ids: sketches.select("id", "sketch"), lambda ids: _texts(base, ids),
         Sketcher(p).sets, p.most_differ, p.percent, scratch,
     )
     # An id with several texts is one node that ties its classes together.

@@ -1,5 +1,6 @@
 """Ids that a double can't hold, beside null ids, through every operator and stage; and columns whose names clash."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,64 @@ def test_groups_of_many_blocks_lose_no_link(spark, monkeypatch, sizes):
                 comp = {k: low if v == high else v for k, v in comp.items()}
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "c"), p).collect()}
     assert got == comp and len(set(comp.values())) < 60
+
+
+def test_wanted_ids_reach_the_driver_as_bits(spark):
+    """All of the ids pass the test, and the driver gets bits of pages; before, it got every slot as a row."""
+    ids = spark.range(0, 3 << 20, 3).withColumn("id", F.xxhash64("id"))
+    sizes, old = [], type(ids).collect
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(ids), "toPandas", lambda self: pytest.fail("rows of slots on the driver"))
+        m.setattr(type(ids), "collect", lambda self: sizes.append(out := old(self)) or out)
+        test = banding.wanted_ids(ids)
+    x = np.array([r.id for r in ids.collect()])
+    assert test(x).all() and test(x + 1).mean() < 0.2
+    assert sum(len(r.bits) for rows in sizes for r in rows) <= banding.SLOTS // 8
+
+
+def test_leaders_of_shared_buckets():
+    """Buckets alone, shared, and alike in their leading bits only, against a dictionary."""
+    rng = np.random.default_rng(3)
+    bucket = np.r_[rng.integers(-(1 << 63), 1 << 63, 500), np.repeat(rng.integers(-(1 << 63), 1 << 63, 50), 4), np.arange(40) + (7 << 40)].astype(np.int64)
+    ids = np.r_[np.arange(500), np.tile([1, 2, 3, 3], 50), np.arange(40)].astype(np.int64)
+    single, led = banding.lead(bucket, ids)
+    members = {}
+    for b, i in zip(bucket.tolist(), ids.tolist()):
+        members.setdefault(b, []).append(i)
+    assert {tuple(x) for x in single.T.tolist()} == {(b, m[0]) for b, m in members.items() if len(m) == 1}
+    assert {tuple(x) for x in led[:2].T.tolist()} == {(b, i) for b, m in members.items() if len(m) > 1 for i in m}
+    assert all(leader in members[b] for b, _, leader in led.T.tolist())
+
+
+@pytest.mark.parametrize("small", [64, 0])
+def test_small_groups_are_settled_together(small, monkeypatch):
+    """Near pairs of many small groups, whole or split between batches, join the same members as block by block."""
+    import pandas as pd
+
+    monkeypatch.setattr(banding, "SMALL", small)
+    rng, rows = np.random.default_rng(4), []
+    for g in range(60):
+        base = rng.integers(0, 256, 16, dtype=np.uint8)
+        members = [(g * 10 + k, k // 2, bytes(base ^ (rng.integers(0, 2) * np.uint8(255)))) for k in range(int(rng.integers(2, 7)))]
+        rows += [(g, 0, False, *m) for m in members] + [(g, 0, True, *m) for m in members if m[1]]
+    frame = pd.DataFrame(rows, columns=["g", "chunk", "visits", "id", "comp", "s"])
+    near = banding._NearPairs(4)
+    seen = []
+
+    class Blocks:
+        def select(self, *names):
+            return self
+
+        repartition = sortWithinPartitions = select
+
+        def mapInPandas(self, run, schema):
+            return pd.concat(list(run(iter([frame[:37], frame[37:150], frame[150:]]))))
+
+    seen = banding._in_blocks(Blocks(), near, True)
+    of = {i: i for i in frame["id"]}
+    for a, b in zip(seen["a"], seen["b"]):
+        of = {k: of[b] if v == of[a] else v for k, v in of.items()}
+    for g, own in frame[~frame["visits"]].groupby("g"):
+        for x in own.itertuples():
+            assert all(of[x.id] == of[y.id] for y in own.itertuples() if y.comp != x.comp and x.s == y.s)
+    assert all(a // 10 == b // 10 for a, b in zip(seen["a"], seen["b"])) and len(seen) > 30
