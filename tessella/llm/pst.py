@@ -15,7 +15,7 @@ and one unknown word.
 
 Each position is shuffled once, to the partition of its nearest word, where all
 its contexts lie together.  Positions travel as compressed byte planes of word
-numbers, a block for each group of documents and partition.  Words of at least
+numbers, a block for each group of documents and partition, or of all groups from one partition to another.  Words of at least
 ``hot`` occurrences would fill a partition: contexts of hot words alone are summed
 per batch and settled level by level, and positions behind them start from the
 distributions found, in the partition of the context up to the nearest word that
@@ -34,13 +34,13 @@ numbers of their own.  Very long texts are read whole; a group of documents has
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -52,8 +52,10 @@ from tessella.llm.text import encode, held_out, mix
 END = xxhash.xxh3_64_intdigest(b"\n")  # white space, so no word's
 #: Word numbers: none, the document's start, then the broadcast words by falling count, then hashes.
 NONE, START, FIRST = 0, 1, 2
-#: Bytes of a word's number and of a document's place in its group.
-WORD_BYTES, DOC_BYTES = 6, 4
+#: Bytes of a document's place in its group, and about those of a token with what ends it.
+DOC_BYTES, TOKEN = 4, 6
+#: Words that are numbered, if the root has no more of its own.
+LISTED = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -69,16 +71,30 @@ class PstParams:
     group_tokens: int = 400_000
 
 
-def _groups(batch: pd.DataFrame, most: int) -> Iterator[tuple[pd.DataFrame, list[bytes], np.ndarray]]:
-    """Runs of rows of about ``most`` tokens, their tokens with ends, and where each document's begin."""
-    start, tokens, first = 0, [], [0]
+def _groups(batch: pd.DataFrame, most: int) -> Iterator[tuple[pd.DataFrame, list[bytes], np.ndarray, np.ndarray]]:
+    """Runs of rows of about ``most`` tokens, with what ``_tokens`` finds."""
+    start, texts, size = 0, [], 0
     for k, text in enumerate(batch["text"]):
-        tokens += encode(text).lower().split()
-        tokens.append(b"\n")
-        first.append(len(tokens))
-        if len(tokens) >= most or k + 1 == len(batch):
-            yield batch.iloc[start : k + 1], tokens, np.array(first)
-            start, tokens, first = k + 1, [], [0]
+        texts.append(encode(text))
+        size += len(texts[-1])
+        if size >= TOKEN * most or k + 1 == len(batch):
+            yield batch.iloc[start : k + 1], *_tokens(texts)
+            start, texts, size = k + 1, [], 0
+
+
+def _tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct tokens, the place there of every text's words and end, and where each text's begin."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_binary()).view(pa.large_string())))
+    owner, words = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy()), lists.flatten()
+    there = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # beside white space at the ends, empty words
+    if not there.all():
+        owner, words = owner[there], words.filter(pa.array(there))
+    coded = words.dictionary_encode()
+    distinct = coded.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    first = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(texts)) + 1)]
+    places = np.full(first[-1], len(distinct))
+    places[np.arange(len(owner)) + owner] = coded.indices.to_numpy()
+    return [*distinct, b"\n"], places, first
 
 
 def _hash(word: bytes) -> int:
@@ -86,47 +102,35 @@ def _hash(word: bytes) -> int:
 
 
 class Vocabulary:
-    """The broadcast words, by falling count: their numbers, counts and root probabilities."""
+    """The broadcast words, by falling count: their numbers, counts and root probabilities; the first ``own`` are the root's own."""
 
-    limit = 1 << 18
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, frequent: int, hot: int):
-        self.args = hashes, counts, total, distinct, frequent, hot
-        self.order = np.argsort(hashes)
-        self.sorted, self.counts = hashes[self.order], counts
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, own: int, total: int, distinct: int, frequent: int, hot: int, complete: bool, keep: bool = True):
+        self.args = (hashes, counts, own, total, distinct, frequent, hot, complete, False) if keep else None
+        self.complete = complete  # no other word repeats
+        self.order = np.argsort(hashes).astype(np.int32)
+        self.sorted = hashes[self.order]
         norm = total + distinct + 1
-        self.rare = FIRST + frequent
-        self.p = np.r_[1.0, 1.0, (counts + 1) / norm]  # by number
-        self.base = np.log10(self.p)
+        self.rare, self.hashed = FIRST + own, FIRST + max(frequent, LISTED)
+        p = np.r_[1.0, 1.0, (counts + 1) / norm]  # by number
+        self.p, self.base = p[: self.rare].copy(), np.log10(p)
         # The other words and the unknown one share what is left in equal parts.
-        others = distinct - len(counts)
-        self.p_rare = (total - int(counts.sum()) + others + 1) / norm / (others + 1)
+        others = distinct - own
+        self.p_rare = (total - int(counts[:own].sum()) + others + 1) / norm / (others + 1)
         end = np.flatnonzero(hashes == np.uint64(END))
         self.start_hot = bool(len(end) and counts[end[0]] >= hot)  # as many starts as ends
         self.hot_below = FIRST + int((counts >= hot).sum())
-        self._clear()
 
     def __reduce__(self):
         return Vocabulary, self.args
 
-    def _clear(self) -> None:
-        self.local: dict[bytes, int] = {}
-        self.h, self.number = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-
-    def lookup(self, tokens: list[bytes]) -> np.ndarray:
-        """Places of the tokens in ``h`` and ``number``; unknown words get one."""
-        if len(self.local) > self.limit:
-            self._clear()
-        new = list(set(tokens).difference(self.local))
-        if new:
-            h = np.fromiter(map(_hash, new), np.uint64, len(new))
-            at = np.minimum(np.searchsorted(self.sorted, h), max(0, len(self.sorted) - 1))
-            known = self.sorted[at] == h if len(self.sorted) else np.zeros(len(h), bool)
-            number = np.uint64(self.rare) + (h >> np.uint64(17))
-            number[known] = self.order[at[known]] + FIRST
-            self.local.update(zip(new, range(len(self.local), len(self.local) + len(new))))
-            self.h, self.number = np.r_[self.h, h], np.r_[self.number, number]
-        return np.fromiter(map(self.local.__getitem__, tokens), np.int64, len(tokens))
+    def lookup(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and numbers of the tokens; unknown words get one."""
+        h = np.fromiter(map(_hash, tokens), np.uint64, len(tokens))
+        at = np.minimum(np.searchsorted(self.sorted, h), max(0, len(self.sorted) - 1))
+        known = self.sorted[at] == h if len(self.sorted) else np.zeros(len(h), bool)
+        number = np.uint64(self.hashed) + (h >> np.uint64(17))
+        number[known] = self.order[at[known]] + FIRST
+        return h, number
 
     def root(self, number: np.ndarray) -> np.ndarray:
         """Root probabilities."""
@@ -144,9 +148,8 @@ def count_tokens(docs: DataFrame, p: PstParams) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for _, tokens, _ in _groups(batch[~batch["held_out"].astype(bool)], 4 * p.group_tokens):
-                found = Counter(tokens)
-                yield pd.DataFrame({"h": np.fromiter(map(_hash, found), np.uint64, len(found)).view(np.int64), "c": np.fromiter(found.values(), np.int64, len(found))})
+            for _, tokens, places, _ in _groups(batch[~batch["held_out"].astype(bool)], 4 * p.group_tokens):
+                yield pd.DataFrame({"h": np.fromiter(map(_hash, tokens), np.uint64, len(tokens)).view(np.int64), "c": np.bincount(places)})
 
     return docs.select("text", "held_out").mapInPandas(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
@@ -160,25 +163,51 @@ def _pack(columns: list[tuple[np.ndarray, int]]) -> bytes:
     return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
 
 
-def _unpack(data: bytes, n: int, widths: list[int]) -> list[np.ndarray]:
-    planes = np.frombuffer(pa.decompress(data, n * sum(widths), codec="zstd"), np.uint8).reshape(-1, n)
-    out, at = [], 0
-    for width in widths:
-        column = np.zeros((n, 8), np.uint8)
-        column[:, :width] = planes[at : at + width].T
-        out.append(column.view(np.uint64).ravel())
-        at += width
+def _groups_of(data: bytes) -> np.ndarray:
+    """The groups that a block has positions of."""
+    return np.frombuffer(data, np.int64, int.from_bytes(data[4:8], "little"), 8)
+
+
+def _unpack(v: Vocabulary, data: bytes, n: int, words: int, far: bool) -> list[np.ndarray]:
+    """The columns of a block of n positions: words, the document, the group and, if far, what hot contexts gave."""
+    listed, groups = int.from_bytes(data[:4], "little"), _groups_of(data)
+    columns = words + 1 + (len(groups) > 1)
+    size = 4 * columns * n
+    raw = pa.decompress(data[8 + 8 * len(groups) :], size + 8 * n * far + 8 * listed, codec="zstd", asbytes=True)
+    planes = np.frombuffer(raw, np.uint8, size).reshape(columns, 4, n)
+    out = [np.ascontiguousarray(x.T).view(np.uint32).ravel().astype(np.uint64) for x in planes]
+    if listed:
+        others = np.frombuffer(raw, np.uint64, listed, len(raw) - 8 * listed)
+        for x in out[:words]:
+            at = np.flatnonzero(x >= v.hashed)
+            x[at] = others[x[at] - np.uint64(v.hashed)]
+    out[words + 1 :] = [groups[out[-1].astype(np.int64)] if len(groups) > 1 else np.full(n, groups[0])]
+    if far:
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, size).reshape(8, n).T).view(np.uint64).ravel())
     return out
 
 
-def _blocks(part: np.ndarray, columns: list[tuple[np.ndarray, int]]) -> Iterator[tuple[int, int, bytes]]:
-    """(partition, positions, data) of the positions of each partition, in their order."""
+def _block(v: Vocabulary, words: np.ndarray, doc: np.ndarray, grp: np.ndarray, q: list[np.ndarray]) -> bytes:
+    """Positions as planes of four bytes; words known by their hashes are numbered in the block, and so are its groups."""
+    high = words >= v.hashed
+    others, place = np.unique(words[high], return_inverse=True)
+    words[high] = np.uint64(v.hashed) + place.astype(np.uint64)
+    groups, group = np.unique(grp, return_inverse=True) if grp[0] != grp[-1] else (grp[:1], None)
+    columns = [*words, doc, group] if len(groups) > 1 else [*words, doc]
+    planes = [np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes() for x in columns]
+    planes += [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes() for x in q]
+    head = b"".join([len(others).to_bytes(4, "little"), len(groups).to_bytes(4, "little"), groups.tobytes()])
+    return head + pa.compress(b"".join([*planes, others.tobytes()]), codec="zstd", asbytes=True)
+
+
+def _blocks(v: Vocabulary, part: np.ndarray, columns: list[np.ndarray], depth: int) -> Iterator[tuple[int, int, bytes]]:
+    """(partition, positions, data) of the positions of each partition, in their order; those of one group, or in the order of groups."""
     order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
-    part, columns = part[order], [(c[order], width) for c, width in columns]
+    part, words, (doc, grp, *q) = part[order], np.stack([c[order] for c in columns[: depth + 1]]), [c[order] for c in columns[depth + 1 :]]
     ends = np.r_[np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
     lo = 0
     for hi in ends.tolist() if len(part) else ():
-        yield int(part[lo]), hi - lo, _pack([(c[lo:hi], width) for c, width in columns])
+        yield int(part[lo]), hi - lo, _block(v, words[:, lo:hi], doc[lo:hi], grp[lo:hi], [x[lo:hi] for x in q])
         lo = hi
 
 
@@ -208,24 +237,29 @@ def _contexts(v: Vocabulary, words: list[np.ndarray]) -> tuple[np.ndarray, list[
 class _Group:
     """The positions of a group of documents: next tokens and the words before them."""
 
-    def __init__(self, v: Vocabulary, rows: pd.DataFrame, tokens: list[bytes], first: np.ndarray, depth: int):
-        self.places = v.lookup(tokens)
-        self.nx = v.number[self.places]
+    def __init__(self, v: Vocabulary, rows: pd.DataFrame, tokens: list[bytes], places: np.ndarray, first: np.ndarray, depth: int):
+        h, number = v.lookup(tokens)
+        self.nx, self.others = number[places], lambda own: h[places[own]].view(np.int64)
         sizes = np.diff(first)
-        at = np.arange(len(tokens)) - np.repeat(first[:-1], sizes)
+        at = np.arange(len(places)) - np.repeat(first[:-1], sizes)
         self.words = []
         for d in range(1, depth + 1):
-            w = np.zeros(len(tokens), np.uint64)
+            w = np.zeros(len(places), np.uint64)
             w[d:] = self.nx[:-d]
             w[at < d] = NONE
             w[at == d - 1] = START
             self.words.append(w)
+        if v.complete:  # a context with a word that doesn't repeat is never retained, nor any longer one
+            gone = np.zeros(len(places), bool)
+            for w in self.words:
+                gone |= w >= v.hashed
+                w[gone] = NONE
         self.held = rows["held_out"].to_numpy(bool)
         # The place in the group, and whether the document is held out.
         self.doc = np.repeat(np.arange(len(rows), dtype=np.uint64) * np.uint64(2) + self.held, sizes)
 
-    def columns(self, own: np.ndarray) -> list[tuple[np.ndarray, int]]:
-        return [(c[own], WORD_BYTES) for c in (self.nx, *self.words)] + [(self.doc[own], DOC_BYTES)]
+    def columns(self, own: np.ndarray, grp: int) -> list[np.ndarray]:
+        return [*(c[own] for c in (self.nx, *self.words, self.doc)), np.full(len(own), grp)]
 
 
 DOC = "grp long, at int, doc_id string, held_out boolean, n_tokens long, n_known long, base double, root double, others array<long>"
@@ -238,8 +272,8 @@ def _run_groups(make, vocabulary, p: PstParams):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grp = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for rows, tokens, first in _groups(batch, p.group_tokens):
-                yield from make(vocabulary.value, grp, rows, first, _Group(vocabulary.value, rows, tokens, first, p.depth))
+            for rows, tokens, places, first in _groups(batch, p.group_tokens):
+                yield from make(vocabulary.value, grp, rows, first, _Group(vocabulary.value, rows, tokens, places, first, p.depth))
                 grp += 1
 
     return run
@@ -249,18 +283,19 @@ def _near(docs: DataFrame, vocabulary, parts: int, p: PstParams) -> DataFrame:
     """Rows of documents, and blocks of the positions whose nearest word isn't hot."""
 
     def make(v: Vocabulary, grp: int, rows: pd.DataFrame, first: np.ndarray, x: _Group) -> Iterator[pd.DataFrame]:
-        rare = x.nx >= v.rare
+        rare, far = x.nx >= v.rare, x.nx >= v.hashed
         add = lambda y: np.add.reduceat(y, first[:-1])
-        own = np.where(rare, 0.0, v.base[np.where(rare, 0, x.nx).astype(np.int64)])
-        others = np.split(v.h[x.places[rare]].view(np.int64), np.cumsum(add(rare.astype(np.int64)))[:-1])
-        base, few = add(own), add(rare.astype(np.int64))
+        known = np.where(far, 0.0, v.base[np.where(far, 0, x.nx).astype(np.int64)])
+        few = add(far.astype(np.int64))
+        others = np.split(x.others(far), np.cumsum(few)[:-1])
+        root = add(np.where(rare, np.log10(v.p_rare), known))
         yield pd.DataFrame({
             "part": grp % parts, "grp": grp, "at": np.arange(len(rows)), "doc_id": rows["doc_id"], "held_out": x.held, "n_tokens": np.diff(first),
-            "n_known": np.diff(first) - few, "base": base, "root": base + few * np.log10(v.p_rare), "others": others, "n": 0, "data": None,
+            "n_known": np.diff(first) - few, "base": add(known), "root": root, "others": others, "n": 0, "data": None,
         })
-        near = np.flatnonzero(~v.is_hot(x.words[0]))
+        near = np.flatnonzero((x.words[0] != NONE) & ~v.is_hot(x.words[0]))
         key = _longer(np.zeros(len(near), np.uint64), 1, x.words[0][near])
-        yield _as_rows(grp, _blocks((key % np.uint64(parts)).astype(np.int64), x.columns(near)))
+        yield _as_rows(grp, _blocks(v, (key % np.uint64(parts)).astype(np.int64), x.columns(near, grp), p.depth))
 
     schema = f"part int, {DOC}, n int, data binary"
     return docs.mapInPandas(_in_order(_run_groups(make, vocabulary, p), schema), schema)
@@ -282,8 +317,8 @@ def _as_rows(grp: int, blocks: Iterator[tuple[int, int, bytes]]) -> pd.DataFrame
     return pd.DataFrame({"part": np.array(part, np.int64), "grp": grp, "n": np.array(n, np.int64), "data": data})
 
 
-def _far(docs: DataFrame, vocabulary, parts: int, p: PstParams) -> DataFrame:
-    """Pairs of contexts of hot words and next tokens with training counts, added up per group, and blocks of the positions behind hot words."""
+def _far(docs: DataFrame, vocabulary, parts: int, p: PstParams, blocks: bool) -> DataFrame:
+    """Pairs of contexts of hot words and next tokens with training counts, added up per group, or blocks of the positions behind hot words."""
 
     def make(v: Vocabulary, grp: int, rows: pd.DataFrame, first: np.ndarray, x: _Group) -> Iterator[pd.DataFrame]:
         own = np.flatnonzero(v.is_hot(x.words[0]))
@@ -291,39 +326,59 @@ def _far(docs: DataFrame, vocabulary, parts: int, p: PstParams) -> DataFrame:
             return
         words, nx, live = [w[own] for w in x.words], x.nx[own], ~x.held[(x.doc[own] >> np.uint64(1)).astype(np.int64)]
         anchor, keys, reach = _contexts(v, words)
-        for d in range(1, p.depth + 1):
+        for d in range(1, 1 if blocks else p.depth + 1):
             at = np.flatnonzero((anchor > d) & (reach >= d))
             _, head, pair = np.unique(_pair(keys[d][at], nx[at]), return_index=True, return_inverse=True)
             i = at[head]
             yield pd.DataFrame({"d": d, "k": keys[d][i].view(np.int64), "up": keys[d - 1][i].view(np.int64), "nx": nx[i].view(np.int64), "c": np.bincount(pair, live[at], len(head)).astype(np.int64)})
+        if not blocks:
+            return
         up = np.take_along_axis(np.stack(keys), np.minimum(anchor - 1, reach)[None], 0)[0]
-        yield _as_rows(grp, _blocks((_pair(up, nx) % np.uint64(parts)).astype(np.int64), x.columns(own)))
+        yield _as_rows(grp, _blocks(v, (_pair(up, nx) % np.uint64(parts)).astype(np.int64), x.columns(own, grp), p.depth))
 
-    schema = f"d int, k long, up long, nx long, c long, {BLOCK}"
+    schema = BLOCK if blocks else "d int, k long, up long, nx long, c long"
     return docs.mapInPandas(_in_order(_run_groups(make, vocabulary, p), schema), schema)
 
 
 # -- counting, testing and smoothing
 
 
+def _order(key: np.ndarray, below: int = 1 << 64) -> tuple[np.ndarray, np.ndarray]:
+    """An order that has equal keys side by side, and the number of each place's key there; keys are below a bound, or hashes."""
+    bits = len(key).bit_length()
+    low = np.uint64((1 << bits) - 1)
+    head = key << np.uint64(bits) if below << bits <= 1 << 64 else key & ~low
+    packed = np.sort(head | np.arange(len(key), dtype=np.uint64))
+    order = (packed & low).astype(np.int64)
+    there = key[order]
+    fresh = there[1:] != there[:-1]
+    if (fresh & ((packed[1:] ^ packed[:-1]) <= low)).any():  # alike in the leading bits only
+        order = np.argsort(key)
+        there = key[order]
+        fresh = there[1:] != there[:-1]
+    return order, np.cumsum(np.r_[False, fresh][: len(key)], dtype=np.uint64)
+
+
 class _Rows:
     """Positions (or pairs of a context and a next token): training weight, probability so far and whether any state was retained."""
 
     def __init__(self, nx: np.ndarray, weight: np.ndarray, p: np.ndarray, used: np.ndarray):
-        names, self.nx = np.unique(nx, return_inverse=True)
-        self.names, self.weight, self.p, self.used = len(names), weight, p, used
+        order, name = _order(mix(nx))
+        self.nx = np.empty(len(nx), np.uint64)
+        self.nx[order] = name
+        self.names, self.weight, self.p, self.used = int(name[-1]) + 1, weight, p, used
 
     def settle(self, key: np.ndarray, at: np.ndarray, gain_bits: float) -> tuple[np.ndarray, np.ndarray]:
         """Tests the contexts ``key`` of the rows ``at`` and applies those retained; gives the rows that may have longer ones and their contexts."""
         if not len(at):
             return at, key
-        _, state = np.unique(key, return_inverse=True)
-        pair = state * self.names + self.nx[at]
-        order = np.argsort(pair)
-        pair, at = pair[order], at[order]
+        order, state = _order(key)
+        at = at[order]
+        order, pair = _order(state * np.uint64(self.names) + self.nx[at], int(state[-1] + np.uint64(1)) * self.names)
+        state, at = state[order], at[order]
         start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
         rows = np.diff(np.r_[start, len(pair)])
-        c, state, parent = np.add.reduceat(self.weight[at], start), pair[start] // self.names, self.p[at[start]]
+        c, state, parent = np.add.reduceat(self.weight[at], start), state[start], self.p[at[start]]
         begin = np.flatnonzero(np.r_[True, state[1:] != state[:-1]])
         pairs = np.diff(np.r_[begin, len(state)])
         n, t, most = np.add.reduceat(c, begin), np.add.reduceat((c > 0).astype(float), begin), np.maximum.reduceat(c, begin)
@@ -381,7 +436,6 @@ def _hot_states(pairs: DataFrame, vocabulary, parts: int, scratch: Scratch, p: P
 
 def _start_far(blocks: DataFrame, states: DataFrame, vocabulary, parts: int, p: PstParams) -> DataFrame:
     """Blocks of positions behind hot words with what the hot contexts gave them, for the partitions of their further contexts."""
-    widths = [WORD_BYTES] * (p.depth + 1) + [DOC_BYTES]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v, keys, values, held = vocabulary.value, [], [], []
@@ -396,14 +450,17 @@ def _start_far(blocks: DataFrame, states: DataFrame, vocabulary, parts: int, p:
         keys, values = np.concatenate(keys), np.concatenate(values)
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
-        for grp, n, data in held:
-            columns = _unpack(data, n, widths)
-            anchor, own, reach = _contexts(v, columns[1:-1])
-            own = np.stack(own)
-            up = np.take_along_axis(own, np.minimum(anchor - 1, reach)[None], 0)[0]
-            q = values[np.searchsorted(keys, _pair(up, columns[0]))]
-            place = np.take_along_axis(own, np.minimum(anchor, reach)[None], 0)[0] % np.uint64(parts)
-            yield _as_rows(grp, _blocks(place.astype(np.int64), [*zip(columns, widths), (q, 8)]))
+        # All groups together: else each block of a group and partition would be dealt to as many blocks as there are partitions.
+        held.sort(key=lambda h: h[0])
+        columns = [np.concatenate(c) for c in zip(*(_unpack(v, data, n, p.depth + 1, False) for _, n, data in held))]
+        del held
+        anchor, own, reach = _contexts(v, columns[1 : p.depth + 1])
+        own = np.stack(own)
+        up = np.take_along_axis(own, np.minimum(anchor - 1, reach)[None], 0)[0]
+        q = values[np.searchsorted(keys, _pair(up, columns[0]))]
+        place = np.take_along_axis(own, np.minimum(anchor, reach)[None], 0)[0] % np.uint64(parts)
+        del own, up
+        yield _as_rows(0, _blocks(v, place.astype(np.int64), [*columns, q], p.depth))
 
     # Zeros, not nulls, for pandas would turn numbers beside nulls into floats.
     none = [F.lit(0).cast("long").alias(c) for c in ("k", "nx", "q")]
@@ -418,7 +475,6 @@ def _score(rows: DataFrame, vocabulary, p: PstParams) -> DataFrame:
     The rows of documents pass by; blocks of positions become blocks of their
     documents' gains over the root.
     """
-    widths = [WORD_BYTES] * (p.depth + 1) + [DOC_BYTES]
     schema = f"part int, {DOC}, n int, data binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -429,62 +485,66 @@ def _score(rows: DataFrame, vocabulary, p: PstParams) -> DataFrame:
                 yield b[doc]
             if not doc.all():
                 part = int(b["part"].iloc[0])
-                held += [(int(g), int(n), d, bool(f)) for g, n, d, f in zip(b["grp"][~doc], b["n"][~doc], b["data"][~doc], b["far"][~doc])]
+                held += [(int(n), d, bool(f)) for n, d, f in zip(b["n"][~doc], b["data"][~doc], b["far"][~doc])]
         if held:
             del b
-            gains = _as_rows(part, _gains(vocabulary.value, held, widths, p))
+            gains = _as_rows(part, _gains(vocabulary.value, held, p))
             yield gains.rename(columns={"part": "grp", "grp": "part"})
 
     return rows.mapInPandas(_in_order(run, schema), schema)
 
 
-def _gains(v: Vocabulary, held: list[tuple[int, int, bytes, bool]], widths: list[int], p: PstParams) -> Iterator[tuple[int, int, bytes]]:
+def _gains(v: Vocabulary, held: list[tuple[int, bytes, bool]], p: PstParams) -> Iterator[tuple[int, int, bytes]]:
     """(group, documents, data) of the documents of each group whose score differs from the root's."""
-    held.sort(key=lambda h: (h[0], h[3]))
-    sizes = np.array([h[1] for h in held])
-    ends = np.cumsum(sizes)
-    columns = [np.empty(ends[-1], np.uint64) for _ in widths]
+    held.sort(key=lambda h: (_groups_of(h[1])[0], h[2], h[1]))
+    ends = np.cumsum([h[0] for h in held])
+    groups = np.unique(np.concatenate([_groups_of(h[1]) for h in held]))
+    number = np.empty(ends[-1], np.uint32)
+    columns = [np.empty(ends[-1], np.uint64) for _ in range(p.depth + 2)]
     q = np.zeros(ends[-1], np.uint64)
-    for k, (_, n, data, far) in enumerate(held):
+    for k, (n, data, far) in enumerate(held):
         lo, hi = ends[k] - n, ends[k]
-        *own, last = _unpack(data, n, widths + [8]) if far else [*_unpack(data, n, widths), None]
-        for c, x in zip(columns, own):
+        own = _unpack(v, data, n, p.depth + 1, far)
+        number[lo:hi] = np.searchsorted(groups, own.pop(p.depth + 2))
+        for c, x in zip([*columns, q], own):
             c[lo:hi] = x
-        if far:
-            q[lo:hi] = last
-    groups = [h[0] for h in held]
     del held
     nx, words, doc = columns[0], columns[1:-1], columns[-1]
     root = v.root(nx)
     before, used = _from_long(q)
     rows = _Rows(nx, (doc & np.uint64(1) == 0).astype(float), np.where(before > 0, before, root), used)
-    far = before > 0
-    key, at, offset = _longer(np.zeros(len(nx), np.uint64), 1, words[0]), np.arange(len(nx)), None
-    if far.any():
-        anchor, keys, _ = _contexts(v, words)
-        at = np.flatnonzero(anchor <= p.depth)
-        key, offset, words = np.take_along_axis(np.stack(keys)[:, at], anchor[None, at], 0)[0], anchor - 1, np.stack([*words, *np.zeros((p.depth, len(nx)), np.uint64)])
-        del keys
+    far = np.flatnonzero(before > 0)
+    key, at, offset = _longer(np.zeros(len(nx), np.uint64), 1, words[0]), np.arange(len(nx)), np.zeros(len(nx), np.int8)
+    del q, nx, before, columns
+    if len(far):
+        anchor, keys, _ = _contexts(v, [w[far] for w in words])
+        key[far] = np.take_along_axis(np.stack(keys), np.minimum(anchor, p.depth)[None], 0)[0]
+        offset[far] = anchor - 1
+        at = np.flatnonzero(offset < p.depth)
+        key = key[at]
+        del anchor, keys
     for d in range(1, p.depth + 1):
         at, state = rows.settle(key, at, p.gain_bits)
         if d == p.depth:
             break
-        w = words[d][at] if offset is None else words[offset[at] + d, at]
+        w, place = np.full(len(at), NONE, np.uint64), offset[at] + d
+        for k in range(d, p.depth):
+            own = np.flatnonzero(place == k)
+            w[own] = words[k][at[own]]
         there = w != NONE
         at = at[there]
         key = _longer(state[there], d, w[there])
     use = np.flatnonzero(rows.used)
     if not len(use):
-        for g in sorted(set(groups)):
+        for g in groups.tolist():
             yield g, 0, b""
         return
     value = np.log10(rows.p[use]) - np.log10(root[use])
-    number = {g: i for i, g in enumerate(sorted(set(groups)))}
-    place = np.repeat(np.array([number[g] for g in groups], np.uint64), sizes)[use] << np.uint64(32) | doc[use] >> np.uint64(1)
+    place = number[use].astype(np.uint64) << np.uint64(32) | doc[use] >> np.uint64(1)
     docs, where = np.unique(place, return_inverse=True)
     value = np.bincount(where, value)
     owner = (docs >> np.uint64(32)).astype(np.int64)
-    for g, i in number.items():
+    for i, g in enumerate(groups.tolist()):
         lo, hi = np.searchsorted(owner, [i, i + 1])
         yield g, hi - lo, _pack([(docs[lo:hi], DOC_BYTES), (value[lo:hi].astype(np.float32), 4)]) if hi > lo else b""
 
@@ -522,16 +582,27 @@ def suffix_tree_scores(docs: DataFrame, scratch: Scratch, p: PstParams = PstPara
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     # At most ``frequent`` words can have this count: the broadcast is bounded whatever the corpus.
     least = total / p.frequent
-    common = counts.where(F.col("c") >= least).toPandas().sort_values(["c", "h"], ascending=[False, True])
+    # Words below it, if they repeat, are numbered too while there are few enough; the root doesn't know them.
+    sizes = counts.where("c > 1").groupBy(F.least("c", F.ceil(F.lit(least))).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
+    cut, listed = least, 0
+    for c, n in sorted(((r.c, r.n) for r in sizes), reverse=True):
+        listed += n
+        if listed > LISTED:
+            break
+        cut = min(cut, c)
+    common = counts.where(F.col("c") >= cut).select("h", "c").toArrow()  # as rows, each would take hundreds of bytes of the driver
     hot = int(max(np.ceil(least), p.hot))
-    hashes, c = common["h"].to_numpy(np.int64).view(np.uint64), common["c"].to_numpy(np.int64)
-    vocabulary = spark.sparkContext.broadcast(Vocabulary(hashes, c, total, distinct, p.frequent, hot))
+    h, c = common["h"].to_numpy(), common["c"].to_numpy()
+    order = np.lexsort((h, -c))
+    hashes, c = h[order].view(np.uint64), c[order]
+    del common, h, order
+    vocabulary = spark.sparkContext.broadcast(Vocabulary(hashes, c, int((c >= least).sum()), total, distinct, p.frequent, hot, cut <= 2))
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _near(base, vocabulary, parts, p).withColumn("far", F.lit(False))
     if (c >= hot).any():
-        far = scratch.write(_far(base, vocabulary, parts, p), "far")
-        states = _hot_states(far.where("d is not null").select("d", "k", "up", "nx", "c"), vocabulary, parts, scratch, p)
-        started = _start_far(far.where("d is null"), states, vocabulary, parts, p).withColumn("far", F.lit(True))
+        # The positions are found again when their states are known: written, they would be on disk beside two shuffles of them.
+        states = _hot_states(_far(base, vocabulary, parts, p, False), vocabulary, parts, scratch, p)
+        started = _start_far(_far(base, vocabulary, parts, p, True), states, vocabulary, parts, p).withColumn("far", F.lit(True))
         rows = rows.unionByName(started, allowMissingColumns=True)
     scored = scratch.write(_score(rows.repartitionById(parts, F.col("part")), vocabulary, p), "scored")
     gains = _add_up(scored.where("data is not null and n > 0"))
@@ -539,7 +610,7 @@ def suffix_tree_scores(docs: DataFrame, scratch: Scratch, p: PstParams = PstPara
     # The counts of words that aren't broadcast, for the base score alone.
     norm = float(np.log10(total + distinct + 1))
     found = (
-        rows.select("grp", "at", F.explode("others").alias("h")).join(counts.where(F.col("c") < least), "h", "left")
+        rows.select("grp", "at", F.explode("others").alias("h")).join(counts.where(F.col("c") < cut), "h", "left")
         .groupBy("grp", "at").agg(F.count("c").alias("known2"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1) - norm).alias("base2"))
     )
     zero = lambda x: F.coalesce(x, F.lit(0))

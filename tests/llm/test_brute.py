@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tests.llm.conftest import prose
@@ -374,3 +375,38 @@ def test_repeated_phrase_scores_above_the_root(spark):
     rows = pst.suffix_tree_scores(docs, Scratch(spark, "t")).collect()
     assert len(rows) == 100 and all(r.score > 0.3 * r.base_score for r in rows)
     assert len({round(r.score, 6) for r in rows}) == 1
+
+
+def test_far_blocks_do_not_grow_with_groups(spark, monkeypatch):
+    """Positions behind hot words go from partition to partition in one block; before, in one for each group of documents."""
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("abcdefgh") if rng.random() < 0.7 else f"r{rng.randrange(99)}" for _ in range(60))) for i in range(120)], "doc_id long, text string").repartition(2)
+    made, old = [], pst._start_far
+
+    def start_far(blocks, states, vocabulary, parts, p):
+        out = old(blocks, states, vocabulary, parts, p)
+        made.append((blocks.count(), out.count(), parts, out.agg({"n": "sum"}).first()[0] == blocks.agg({"n": "sum"}).first()[0]))
+        return out
+
+    monkeypatch.setattr(pst, "_start_far", start_far)
+    few = {r.doc_id: r.score for r in pst.suffix_tree_scores(docs, Scratch(spark, "t"), pst.PstParams(hot=60, group_tokens=60)).collect()}
+    (blocks, out, parts, whole), *_ = made
+    assert blocks > 3 * parts and out <= parts * parts < blocks * parts and whole
+    many = {r.doc_id: r.score for r in pst.suffix_tree_scores(docs, Scratch(spark, "t"), pst.PstParams()).collect()}
+    assert all(abs(few[i] - many[i]) < 1e-3 for i in many)
+
+
+def test_words_that_do_not_repeat_end_contexts():
+    """They are in no retained context: positions behind them aren't sent, and none carries words beyond them; blocks give back what they got."""
+    tokens = [[b"a", b"b", b"once", b"a", b"b", b"a"]]
+    texts = [b" ".join(t) for t in tokens]
+    found, places, first = pst._tokens(texts)
+    h = {w: pst._hash(w) for w in (b"a", b"b", b"\n")}
+    for complete in (True, False):
+        v = pst.Vocabulary(np.array(list(h.values()), np.uint64), np.array([3, 2, 2]), 3, 8, 4, 1 << 21, 1 << 20, complete)
+        x = pst._Group(v, pd.DataFrame({"held_out": [False]}), found, places, first, 4)
+        assert x.words[0].tolist()[:3] == [pst.START, 2, 3] and (x.words[0][3] == pst.NONE) == complete
+        assert [(w[5] != pst.NONE).item() for w in x.words] == [True, True, not complete, not complete]
+        columns = x.columns(np.arange(7), 5)
+        (part, n, data), = pst._blocks(v, np.zeros(7, np.int64), columns, 4)
+        assert (part, n) == (0, 7) and all((a == b).all() for a, b in zip(pst._unpack(v, data, n, 5, False), columns))
