@@ -597,7 +597,7 @@ def suffix_tree_scores(docs: DataFrame, scratch: Scratch, p: PstParams = PstPara
     hashes, c = h[order].view(np.uint64), c[order]
     del common, h, order
     vocabulary = spark.sparkContext.broadcast(Vocabulary(hashes, c, int((c >= least).sum()), total, distinct, p.frequent, hot, cut <= 2))
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a task holds its positions, several numbers each
     rows = _near(base, vocabulary, parts, p).withColumn("far", F.lit(False))
     if (c >= hot).any():
         # The positions are found again when their states are known: written, they would be on disk beside two shuffles of them.
